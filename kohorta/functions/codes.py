@@ -20,7 +20,8 @@ INDEX_GROUP = "E10-E14"
 LABEL_PREFIX = "pred1y_"
 
 #: Visit positions are packed below this bound, see :func:`moment`.
-MOMENT_BASE = 1 << 48
+MOMENT_BITS = 48
+MOMENT_BASE = 1 << MOMENT_BITS
 
 
 def extract_age(code: Column, pattern: str = AGE_PATTERN) -> Column:
@@ -94,8 +95,3 @@ def moment(age: Column, visit: Column) -> Column:
         F.raise_error(F.lit("visit position out of range")).cast("long")
     )
     return age.cast("long") * F.lit(MOMENT_BASE) + checked
-
-
-def age_of_moment(value: Column) -> Column:
-    """Age part of a packed moment."""
-    return F.shiftright(value, 48)

@@ -13,16 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kohorta.functions.codes import INDEX_GROUP, LABEL_PREFIX, age_of_moment, moment
+from kohorta.functions.codes import INDEX_GROUP, LABEL_PREFIX, MOMENT_BITS, moment
 from kohorta.plans.skew import hot_keys, spread_join
 
 # Codes a timeline marks.
 HIGHLIGHT_CODES = ("H35", "I20-I25", "Z89", "N18", "E10-E14")
 
 
+def identifier(name: str) -> str:
+    """A column name for use in an expression, also when it has a dot or a dash."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """Column by name, also when the name has a dot or a dash."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(identifier(name))
+
+
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def label_name(code: Column) -> Column:
@@ -38,11 +46,8 @@ def _patient_sizes(visits: DataFrame) -> DataFrame:
 
 
 def first_seen(dx: DataFrame) -> DataFrame:
-    """(p_id, code, first_moment, first_age): when a patient got each code."""
-    return dx.groupBy("p_id", "code").agg(
-        F.min(_moment()).alias("first_moment"),
-        F.min("age").alias("first_age"),
-    )
+    """(p_id, code, first_moment): when a patient got each code."""
+    return dx.groupBy("p_id", "code").agg(F.min(_moment()).alias("first_moment"))
 
 
 def carry_history(visits: DataFrame, dx: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def carry_history(visits: DataFrame, dx: DataFrame) -> DataFrame:
     The result holds visits x known codes by definition; :func:`wide_table` gives the same content
     without building those rows.
     """
-    known = first_seen(dx).select("p_id", "code", "first_moment")
+    known = first_seen(dx)
     hot = hot_keys(_patient_sizes(visits), ["p_id"])
     return (
         spread_join(visits, known, ["p_id"], hot=hot)
@@ -105,23 +110,29 @@ def wide_table(
 ) -> DataFrame:
     """One row per visit: a column per code carried from the past, a label column per target.
 
-    ``codes`` is the sorted column list; a set flag is 1, an absent one null. The pivot holds the
-    first moment of every code, one row per patient, and each visit compares its own moment to it:
-    no row per visit and known code is ever built. Every target must be one of ``codes``.
+    ``codes`` is the sorted column list; a set flag is 1, an absent one null. A patient's history
+    is one map from code to first moment, at most one entry per code, and each visit compares its
+    own moment to the entries: no row per visit and known code is ever built.
     """
-    firsts = (
-        dx.withColumn("_moment", _moment())
+    known = (
+        first_seen(dx.where(F.col("code").isin(*set(codes) | set(targets))))
         .groupBy("p_id")
-        .pivot("code", list(codes))
-        .agg(F.min("_moment"))
-        .toDF("p_id", *[f"_f{i}" for i in range(len(codes))])
+        .agg(F.map_from_entries(F.collect_list(F.struct("code", "first_moment"))).alias("_known"))
     )
     hot = hot_keys(_patient_sizes(visits), ["p_id"])
-    joined = spread_join(visits.withColumn("_now", _moment()), firsts, ["p_id"], hot=hot)
-    flags = [F.when(F.col("_now") >= F.col(f"_f{i}"), 1).alias(c) for i, c in enumerate(codes)]
-    onset = {t: age_of_moment(F.col(f"_f{list(codes).index(t)}")) for t in targets}
-    labels = [F.when(F.col("age") >= onset[t] - horizon, 1).alias(LABEL_PREFIX + t) for t in targets]
-    return joined.select(*visits.columns, *flags, *labels)
+    joined = spread_join(visits.withColumn("_now", _moment()), known, ["p_id"], "left", hot=hot)
+
+    # Text expressions: a wide table has a column per catalog code, and each Column object built
+    # from Python costs several calls into the JVM.
+    def first(code: str) -> str:
+        return f"try_element_at(_known, {text_literal(code)})"
+
+    flags = [f"CASE WHEN _now >= {first(c)} THEN 1 END AS {identifier(c)}" for c in codes]
+    labels = [
+        f"CASE WHEN age >= shiftright({first(t)}, {MOMENT_BITS}) - {horizon} THEN 1 END AS {identifier(LABEL_PREFIX + t)}"
+        for t in targets
+    ]
+    return joined.selectExpr(*map(identifier, visits.columns), *flags, *labels)
 
 
 def final_sort(visits: DataFrame) -> DataFrame:
@@ -137,7 +148,7 @@ def yearly_max(wide: DataFrame, keys: Sequence[str] = ("p_id", "age")) -> DataFr
     a hash map, a maximum over text would not.
     """
     rest = [c for c in wide.columns if c not in keys]
-    return wide.groupBy(*keys).agg(*[F.max(quoted(c)).alias(c) for c in rest])
+    return wide.groupBy(*keys).agg(*[F.expr(f"max({identifier(c)}) AS {identifier(c)}") for c in rest])
 
 
 def years_since_index(yearly: DataFrame, index: Column, name: str = "years_with_diabetes") -> DataFrame:

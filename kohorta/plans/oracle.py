@@ -416,3 +416,82 @@ _PROFILE = _with(
 )
 ORACLE["cluster_profile_count"] = _PROFILE + "SELECT cluster, size, col, n FROM p"
 ORACLE["cluster_profile_percent"] = _PROFILE + "SELECT cluster, col, round(n * CAST(100 AS DOUBLE) / size, 6) AS pct FROM p"
+
+# ---- cluster validity on given labels
+
+_KS = "ks AS (SELECT unnest(generate_series(2, 9)) AS k)"
+_PTS = "pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings)"
+_MODELS = """lab AS (SELECT id, f, CAST(k AS INT) AS k, CAST(label % k AS INT) AS cluster FROM pts, ks)"""
+# Scores of any (id, f, k, cluster) table called lab.
+_SCORES = """lng AS (SELECT id, k, cluster, unnest(f) AS v, generate_subscripts(f, 1) AS i FROM lab),
+mu AS (SELECT k, cluster, i, avg(v) AS m, count(*) AS n FROM lng GROUP BY 1, 2, 3),
+d AS (SELECT lng.k, lng.cluster, id, sum((v - m) * (v - m)) AS d2 FROM lng JOIN mu USING (k, cluster, i) GROUP BY 1, 2, 3),
+st AS (SELECT k, cluster, count(*) AS n, sum(d2) AS ss, avg(sqrt(d2)) AS dev FROM d GROUP BY 1, 2),
+tot AS (SELECT k, count(*) AS n_clusters, CAST(sum(n) AS BIGINT) AS n, sum(ss) AS inertia FROM st GROUP BY 1),
+cc AS (SELECT x.k, x.cluster AS a, y.cluster AS b, sqrt(sum((x.m - y.m) * (x.m - y.m))) AS dist
+  FROM mu x JOIN mu y ON x.k = y.k AND x.i = y.i AND x.cluster <> y.cluster GROUP BY 1, 2, 3),
+db AS (SELECT k, avg(r) AS davies_bouldin FROM (SELECT cc.k, cc.a, max((p.dev + q.dev) / dist) AS r FROM cc
+  JOIN st p ON p.k = cc.k AND p.cluster = cc.a JOIN st q ON q.k = cc.k AND q.cluster = cc.b GROUP BY 1, 2) GROUP BY k),
+gm AS (SELECT k, i, avg(v) AS g FROM lng GROUP BY 1, 2),
+bt AS (SELECT mu.k, sum(mu.n * (m - g) * (m - g)) AS between_ FROM mu JOIN gm ON gm.k = mu.k AND gm.i = mu.i GROUP BY 1),
+ch AS (SELECT k, (between_ / (n_clusters - 1)) / (inertia / (n - n_clusters)) AS calinski_harabasz FROM bt JOIN tot USING (k)),
+far AS (SELECT x.k, x.id, x.cluster AS own, y.cluster AS other, {dist} AS s, count(*) AS n
+  FROM lab x JOIN lab y ON x.k = y.k GROUP BY 1, 2, 3, 4),
+ab AS (SELECT k, id, max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b,
+  max(CASE WHEN own = other THEN n END) AS own_n FROM far GROUP BY 1, 2),
+sil AS (SELECT k, id, CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab),
+sc AS (SELECT k, davies_bouldin, calinski_harabasz, silhouette FROM db JOIN ch USING (k)
+  JOIN (SELECT k, avg(s) AS silhouette FROM sil GROUP BY 1) USING (k))"""
+_EUCLID = _SCORES.format(dist="sum(list_distance(x.f, y.f))")
+_SQUARE = _SCORES.format(dist="sum(list_distance(x.f, y.f) * list_distance(x.f, y.f))")
+_ALL = _with(_KS, _PTS, _MODELS, _EUCLID)
+_ONE = "lab AS (SELECT id, f, 10 AS k, label AS cluster FROM pts)"
+_RANKS = """rk AS (SELECT *, rank() OVER (ORDER BY davies_bouldin) AS davies_bouldin_rank,
+  rank() OVER (ORDER BY calinski_harabasz DESC) AS calinski_harabasz_rank, rank() OVER (ORDER BY silhouette DESC) AS silhouette_rank FROM sc)"""
+ORACLE["inertia"] = _ALL + "SELECT k, n_clusters, n, round(inertia, 6) AS inertia FROM tot"
+ORACLE["aic_bic"] = _ALL + """
+SELECT k, round(inertia, 6) AS inertia, round(2 * n_clusters * 64 + inertia, 6) AS aic,
+  round(ln(n) * n_clusters * 64 + inertia, 6) AS bic FROM tot"""
+ORACLE["davies_bouldin"] = _ALL + "SELECT k, round(davies_bouldin, 6) AS davies_bouldin FROM db"
+ORACLE["calinski_harabasz"] = _ALL + "SELECT k, round(calinski_harabasz, 6) AS calinski_harabasz FROM ch"
+ORACLE["silhouette_samples"] = _with(_PTS, _ONE, _EUCLID) + "SELECT id, round(s, 6) AS s FROM sil"
+ORACLE["silhouette_exact"] = _ALL + "SELECT k, round(silhouette, 6) AS silhouette FROM sc"
+ORACLE["silhouette_sq"] = _with(_PTS, _ONE, _SQUARE) + "SELECT k, round(silhouette, 6) AS silhouette FROM sc"
+ORACLE["drop_noise"] = _with(_PTS, "lab AS (SELECT id, f, 9 AS k, label AS cluster FROM pts WHERE label <> 0)", _EUCLID) + """
+SELECT k, round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz,
+  round(silhouette, 6) AS silhouette FROM sc"""
+ORACLE["rank_scores"] = _with(_KS, _PTS, _MODELS, _EUCLID, _RANKS) + """
+SELECT k, round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz,
+  round(silhouette, 6) AS silhouette, CAST(davies_bouldin_rank AS INT) AS davies_bouldin_rank,
+  CAST(calinski_harabasz_rank AS INT) AS calinski_harabasz_rank, CAST(silhouette_rank AS INT) AS silhouette_rank FROM rk"""
+ORACLE["best_k_union"] = _with(_KS, _PTS, _MODELS, _EUCLID, _RANKS) + """
+SELECT k FROM rk WHERE davies_bouldin_rank <= 3 OR calinski_harabasz_rank <= 3 OR silhouette_rank <= 3"""
+
+# ---- density clusters: neighbours of all points, closure over core points
+
+_DBSCAN = """nb AS (SELECT a.id, b.id AS bid FROM {pts} a JOIN {pts} b ON a.blk = b.blk
+    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps} * {eps}),
+core AS (SELECT nb.id FROM nb JOIN {pts} p ON p.id = bid GROUP BY nb.id HAVING sum(p.w) >= {least}),
+ce AS (SELECT nb.id, bid FROM nb WHERE nb.id IN (SELECT id FROM core) AND bid IN (SELECT id FROM core)),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.bid, reach.root FROM reach JOIN ce ON ce.id = reach.id),
+comp AS (SELECT id, min(root) AS label FROM reach GROUP BY id),
+border AS (SELECT nb.id, min(label) AS label FROM nb JOIN comp ON comp.id = nb.bid
+    WHERE nb.id NOT IN (SELECT id FROM core) GROUP BY nb.id),
+found AS (SELECT * FROM comp UNION ALL SELECT * FROM border)"""
+ORACLE["dbscan_plane"] = "WITH RECURSIVE " + ",\n".join(
+    [
+        """pl AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+  CAST(embedding[3] > 0 AS INT) * 2 + CAST(embedding[4] > 0 AS INT) AS blk, 1 AS w FROM embeddings)""",
+        _DBSCAN.format(pts="pl", eps="CAST(0.04 AS DOUBLE)", least=4),
+    ]
+) + "\nSELECT pl.id, coalesce(label, -1) AS cluster FROM pl LEFT JOIN found ON found.id = pl.id"
+ORACLE["dbscan"] = "WITH RECURSIVE " + ",\n".join(
+    [
+        "o AS (SELECT o_orderkey AS id, year(o_orderdate) AS a, month(o_orderdate) AS m, o_orderstatus AS blk FROM orders)",
+        """sc AS (SELECT id, blk, (a - (SELECT avg(a) FROM o)) / (SELECT stddev_pop(a) FROM o) AS x,
+  (m - (SELECT min(m) FROM o)) / CAST((SELECT max(m) - min(m) FROM o) AS DOUBLE) AS y FROM o)""",
+        "pl AS (SELECT blk, x, y, min(id) AS id, count(*) AS w FROM sc GROUP BY blk, x, y)",
+        _DBSCAN.format(pts="pl", eps="CAST(0.1 AS DOUBLE)", least=7),
+    ]
+) + """
+SELECT sc.id, coalesce(label, -1) AS cluster FROM sc JOIN pl USING (blk, x, y) LEFT JOIN found ON found.id = pl.id"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kohorta.functions import codes as C
 from kohorta.functions.scalars import age_band, age_between, hash_bucket
-from kohorta.operators import clean, coding, cohort, features, longitudinal, tableone
+from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
 from kohorta.plans.skew import spread_join
 from kohorta.sources import catalog as cat
@@ -603,3 +603,176 @@ def cluster_profile_count(spark, sf):
 @query
 def cluster_profile_percent(spark, sf):
     return rounded(_profile(spark, sf).select("cluster", "col", "pct"))
+
+
+# ---- cluster validity on given labels ---------------------------------------------------------
+
+LABEL_KS = list(range(2, 10))
+
+
+def _labelled(spark, sf):
+    return validity.with_label(views.points(spark, sf))
+
+
+def _relabelled(spark, sf):
+    """Several labellings of the same rows: the label modulo each k."""
+    labels = F.array(*[(F.col("label") % k).cast("int") for k in LABEL_KS])
+    return views.points(spark, sf).select("id", "features", labels.alias("labels"))
+
+
+@query
+def inertia(spark, sf):
+    return rounded(validity.inertia(validity.spreads(_relabelled(spark, sf), LABEL_KS)))
+
+
+@query
+def aic_bic(spark, sf):
+    rows = _relabelled(spark, sf)
+    dims = validity.dimension(rows)
+    return rounded(validity.aic_bic(validity.inertia(validity.spreads(rows, LABEL_KS, dims)), dims))
+
+
+@query
+def davies_bouldin(spark, sf):
+    return rounded(validity.davies_bouldin(validity.spreads(_relabelled(spark, sf), LABEL_KS)))
+
+
+@query
+def calinski_harabasz(spark, sf):
+    rows = _relabelled(spark, sf)
+    dims = validity.dimension(rows)
+    return rounded(validity.calinski_harabasz(validity.spreads(rows, LABEL_KS, dims), dims))
+
+
+@query
+def silhouette_samples(spark, sf):
+    return rounded(validity.silhouette_samples(_labelled(spark, sf)))
+
+
+@query
+def silhouette_exact(spark, sf):
+    return rounded(validity.silhouette_exact(_relabelled(spark, sf), LABEL_KS))
+
+
+@query
+def silhouette_sq(spark, sf):
+    return rounded(validity.silhouette_squared(_labelled(spark, sf), [10]))
+
+
+@query
+def drop_noise(spark, sf):
+    """Scores of the labels without label 0, which stands for noise."""
+    noisy = views.points(spark, sf).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    return rounded(validity.score_models(validity.with_label(validity.drop_noise(noisy)), [9]))
+
+
+def _ranked(spark, sf):
+    return validity.rank_scores(validity.score_models(_relabelled(spark, sf), LABEL_KS))
+
+
+@query
+def rank_scores(spark, sf):
+    return rounded(_ranked(spark, sf))
+
+
+@query
+def best_k_union(spark, sf):
+    return validity.best_k_union(_ranked(spark, sf))
+
+
+# ---- fitted models ----------------------------------------------------------------------------
+
+
+@query
+def kmeans_fit(spark, sf):
+    return cluster.kmeans_fit(views.points(spark, sf), 8).select("id", "cluster")
+
+
+@query
+def bisecting_fit(spark, sf):
+    return cluster.bisecting_fit(views.points(spark, sf), 8).select("id", "cluster")
+
+
+@query
+def ward_two_stage(spark, sf):
+    placed = cluster.ward_two_stage(views.points(spark, sf), [4, 8])
+    return placed.select("id", F.col("labels")[0].alias("ward_4"), F.col("labels")[1].alias("ward_8"))
+
+
+@query
+def pca_project(spark, sf):
+    return rounded(cluster.pca_project(views.points(spark, sf), 3).drop("features", "label"))
+
+
+@query
+def pca_kmeans(spark, sf):
+    return rounded(cluster.pca_kmeans(views.points(spark, sf)))
+
+
+@query
+def dbscan(spark, sf):
+    """Two scaled whole-number columns and status flags, as in a yearly patient table."""
+    day = F.col("o_orderdate")
+    status = [(F.col("o_orderstatus") == s).cast("int").alias(f"is_{s}") for s in ("F", "O", "P")]
+    orders = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.year(day).alias("age"), F.month(day).alias("years"), *status
+    )
+    scaled = features.scale_minmax(features.scale_standard(orders, ["age"]), ["years"])
+    return density.dbscan(scaled, ["age", "years"], 0.1, 7, ["is_F", "is_O", "is_P"])
+
+
+@query
+def dbscan_plane(spark, sf):
+    """Two continuous columns and two flags."""
+    f = F.col("features")
+    flags = [(f[i] > 0).cast("int").alias(f"b{i}") for i in (2, 3)]
+    plane = views.points(spark, sf).select("id", f[0].alias("x"), f[1].alias("y"), *flags)
+    return density.dbscan(plane, ["x", "y"], 0.04, 4, ["b2", "b3"])
+
+
+@query
+def best_k_silhouette(spark, sf):
+    return rounded(validity.best_k_silhouette(views.points(spark, sf)))
+
+
+@query
+def best_k_silhouette_sq(spark, sf):
+    return rounded(validity.best_k_silhouette(views.points(spark, sf), silhouette="squared"))
+
+
+@query
+def best_k_elbow(spark, sf):
+    return rounded(validity.best_k_elbow(views.points(spark, sf)))
+
+
+@query
+def best_k_gap(spark, sf):
+    return rounded(validity.best_k_gap(views.points(spark, sf)))
+
+
+@query
+def aic_bic_sweep(spark, sf):
+    return rounded(validity.aic_bic_sweep(views.points(spark, sf)))
+
+
+@query
+def evaluate_k(spark, sf):
+    return rounded(validity.evaluate_k(views.points(spark, sf), range(2, 41)))
+
+
+@query
+def evaluate_k_ward(spark, sf):
+    return rounded(validity.evaluate_k(views.points(spark, sf), range(2, 10), "ward"))
+
+
+@query
+def candidate_ks(spark, sf):
+    points = views.points(spark, sf)
+    return validity.candidate_ks(
+        [
+            validity.best_k_silhouette(points),
+            validity.best_k_silhouette(points, method="ward"),
+            validity.best_k_gap(points),
+            validity.best_k_elbow(points),
+        ]
+    )

@@ -95,6 +95,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coded_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As :func:`activity`, with catalog codes of every kind in place of the one target code."""
-    known = F.array(*[F.lit(str(code)) for code, *_ in catalog_rows()])
+    known = F.split(F.lit(",".join(str(code) for code, *_ in catalog_rows())), ",")
     number = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     return activity(spark, sf_dir, F.element_at(known, number % F.size(known) + 1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorta.functions.codes import age_code, visit_label
-from kohorta.operators.longitudinal import quoted
+from kohorta.operators.longitudinal import identifier
 
 NESTED_SCHEMA = "p_id STRING, visits ARRAY<ARRAY<STRING>>"
 
@@ -83,8 +83,8 @@ def read_family(spark: SparkSession, path: str, cohorts: Sequence[str]) -> DataF
 
 def rendered_wide(wide: DataFrame) -> DataFrame:
     """A wide visit table as it is stored: rendered visit id instead of a position."""
-    rest = [quoted(c) for c in wide.columns if c not in ("p_id", "visit_idx")]
-    return wide.select("p_id", visit_label(F.col("p_id"), F.col("visit_idx")).alias("v_o_id"), *rest)
+    label = visit_label(F.col("p_id"), F.col("visit_idx")).alias("v_o_id")
+    return wide.select("p_id", label, *[identifier(c) for c in wide.columns if c not in ("p_id", "visit_idx")])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
