@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.session import literal_table
+
 #: Models of a sweep: centers by (group, k).
 Models = dict[tuple[int, int], np.ndarray]
 
@@ -157,13 +159,14 @@ def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarr
 
 
 def sweep_kmeans(
-    points: DataFrame, ks: Sequence[int], seed: int = 37, max_iter: int = 50, tol: float = 1e-6
+    points: DataFrame, ks: Sequence[int], seed: int = 37, max_iter: int = 50, tol: float = 1e-4
 ) -> tuple[Models, dict[tuple[int, int], float]]:
     """Centers and inertia of k-means for every k and group, all models moved by the same passes.
 
     ``points`` is (id, features) or (id, features, grp), grp an int that separates data sets. Centers
-    start from a fixed number of rows drawn by a hash of the id. A model that stands still leaves
-    the later passes. Rows are kept on the executors meanwhile; a lost block is computed again.
+    start from a fixed number of rows drawn by a hash of the id. A model whose centers together move
+    by less than ``tol`` variances leaves the later passes. Rows are kept on the executors meanwhile;
+    a lost block is computed again.
     """
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
@@ -174,6 +177,7 @@ def sweep_kmeans(
         # Fixed-size draw that only places the first centers; every row takes part in every pass.
         drawn = points.orderBy(F.xxhash64("grp", "id", F.lit(seed))).limit(wanted).select("grp", "features").collect()
         models: Models = {}
+        still = tol * np.array([r["features"] for r in drawn]).var(axis=0).mean()
         for g in groups:
             sample = np.array([r["features"] for r in drawn if r["grp"] == g])
             start = _plus_plus(sample, max(ks), np.random.default_rng(seed))
@@ -185,7 +189,7 @@ def sweep_kmeans(
                 centers = models[key].copy()
                 for c in clusters:
                     centers[c["cluster"]] = np.array(c["total"]) / c["n"]
-                if ((centers - models[key]) ** 2).sum() <= tol:
+                if ((centers - models[key]) ** 2).sum() <= still:
                     moving.discard(key)
                 models[key] = centers
             if not moving:
@@ -272,11 +276,9 @@ def ward_two_stage(
     cuts = ward_merges(sizes, means, [min(k, len(sizes)) for k in ks])
     labels = [cuts[min(k, len(sizes))] for k in ks]
     placed = assign(points, [means]).withColumnRenamed("labels", "_micro")
-    spark = points.sparkSession
     # One row per micro-cluster, at most ``micro``.
-    table = spark.createDataFrame(
-        [(i, [int(cut[i]) for cut in labels]) for i in range(len(sizes))], "_m INT, labels ARRAY<INT>"
-    )
+    rows = [(i, [int(cut[i]) for cut in labels]) for i in range(len(sizes))]
+    table = literal_table(points.sparkSession, rows, "_m INT, labels ARRAY<INT>")
     return placed.join(F.broadcast(table), F.col("_micro")[0] == F.col("_m")).select("id", "features", "labels")
 
 

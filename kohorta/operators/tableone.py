@@ -47,17 +47,17 @@ def numeric(df: DataFrame, columns: Sequence[str], group: str | None = None) ->
 def categorical(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
     """(variable, level, grp, n, pct): counts per level, percent of the whole group."""
     rest = F.array(*[F.struct(F.lit(c).alias("variable"), quoted(c).cast("string").alias("level")) for c in columns])
-    # Levels and sizes come from the same counts: a group's size is the sum over one variable.
+    # Levels and sizes come from the same counts: a group's size is the sum over a variable's levels.
     counts = (
         _grouped(df, group)
         .select("grp", F.inline(rest))
         .groupBy("variable", "level", "grp")
         .agg(F.count("*").alias("n"))
     )
-    sizes = counts.where(F.col("variable") == columns[0]).groupBy("grp").agg(F.sum("n").alias("size"))
+    sizes = counts.groupBy("variable", "grp").agg(F.sum("n").alias("size"))
     return (
         counts.where("level IS NOT NULL")
-        .join(sizes, "grp")
+        .join(sizes, ["variable", "grp"])
         .select("variable", "level", "grp", "n", (F.col("n") * 100.0 / F.col("size")).alias("pct"))
     )
 

@@ -13,14 +13,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kohorta.operators.cluster import fit_labels, matrix, squared_distances, sweep_kmeans
 from kohorta.plans.skew import small_table, spread_join
+from kohorta.session import literal_table
 
 #: Rows a task of the exact silhouette holds.
 BLOCK_ROWS = 4096
@@ -267,15 +266,56 @@ def silhouette_exact(points: DataFrame, ks: Sequence[int]) -> DataFrame:
     return means.select(F.inline(F.array(*cells)))
 
 
-def silhouette_squared(points: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """(k, silhouette) with squared distances, linear in the rows."""
-    evaluator = ClusteringEvaluator(featuresCol="_vec", predictionCol="_label", metricName="silhouette")
-    vectors = points.withColumn("_vec", array_to_vector("features"))
-    scores = [
-        (int(k), float(evaluator.evaluate(vectors.withColumn("_label", F.col("labels")[i]))))
-        for i, k in enumerate(ks)
+def silhouette_squared(points: DataFrame, ks: Sequence[int], stats: DataFrame | None = None) -> DataFrame:
+    """(k, silhouette) with squared distances, linear in the rows and one pass for all models.
+
+    The mean squared distance of a row to a cluster is its squared distance to the centroid plus the
+    cluster's own mean squared deviation, so the centroid table says all about the other rows.
+    """
+    stats = spreads(points, ks) if stats is None else stats
+    clusters: dict[int, list] = {}
+    for r in stats.orderBy("k", "cluster").collect():
+        clusters.setdefault(r["k"], []).append(r)
+    tables = [
+        (
+            np.array([c["cluster"] for c in clusters[k]]),
+            np.array([c["mu"] for c in clusters[k]]),
+            np.array([c["n"] for c in clusters[k]], dtype=float),
+            np.array([c["ss"] for c in clusters[k]]),
+        )
+        for k in ks
     ]
-    return points.sparkSession.createDataFrame(scores, "k INT, silhouette DOUBLE")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(tables)), 0
+        for batch in batches:
+            x, labels = matrix(batch.column("features")), matrix(batch.column("labels"))
+            seen += len(x)
+            for m, (code, mu, n, ss) in enumerate(tables):
+                if len(code) < 2:
+                    continue
+                at = np.searchsorted(code, labels[:, m])
+                rows = np.arange(len(x))
+                mean = squared_distances(x, mu) + (ss / n)[None, :]
+                inside = mean[rows, at] * n[at] / np.maximum(n[at] - 1, 1)
+                mean[rows, at] = np.inf
+                outside = mean.min(axis=1)
+                top = np.maximum(np.maximum(inside, outside), 1e-300)
+                total[m] += np.where(n[at] > 1, (outside - inside) / top, 0.0).sum()
+        yield pa.RecordBatch.from_pydict(
+            {
+                "k": pa.array(list(ks), pa.int32()),
+                "total": pa.array(total, pa.float64()),
+                "n": pa.array([seen] * len(tables), pa.int64()),
+            }
+        )
+
+    return (
+        points.select("features", "labels")
+        .mapInArrow(score, "k INT, total DOUBLE, n LONG")
+        .groupBy("k")
+        .agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    )
 
 
 # ---- choice of k ------------------------------------------------------------------------------
@@ -285,7 +325,7 @@ def score_models(points: DataFrame, ks: Sequence[int], silhouette: str = "exact"
     """(k, davies_bouldin, calinski_harabasz, silhouette) of each model."""
     dims = dimension(points)
     stats = spreads(points, ks, dims)
-    width = silhouette_exact(points, ks) if silhouette == "exact" else silhouette_squared(points, ks)
+    width = silhouette_exact(points, ks) if silhouette == "exact" else silhouette_squared(points, ks, stats)
     return davies_bouldin(stats).join(calinski_harabasz(stats, dims), "k").join(width, "k")
 
 
@@ -337,7 +377,7 @@ def best_k_silhouette(
 def _inertia_table(points: DataFrame, ks: Sequence[int], seed: int) -> DataFrame:
     _, cost = sweep_kmeans(points, ks, seed)
     rows = [(int(k), float(cost[(0, k)])) for k in ks]
-    return points.sparkSession.createDataFrame(rows, "k INT, inertia DOUBLE")
+    return literal_table(points.sparkSession, rows, "k INT, inertia DOUBLE")
 
 
 def knee(curve: DataFrame, value: str = "inertia", sensitivity: float = 1.0) -> DataFrame:
@@ -412,7 +452,7 @@ def best_k_gap(
         logs = np.log([max(reference[(g, k)], 1e-300) for g in range(references)])
         gap = logs.mean() - math.log(max(actual[(0, k)], 1e-300))
         rows.append((int(k), float(gap), float(logs.std() * math.sqrt(1 + 1 / references))))
-    table = spark.createDataFrame(rows, "k INT, gap DOUBLE, sk DOUBLE")
+    table = literal_table(spark, rows, "k INT, gap DOUBLE, sk DOUBLE")
     if not one_standard_error:
         return chosen(table, "gap")
     step = F.lead(F.col("gap") - F.col("sk")).over(Window.orderBy("k"))

@@ -12,6 +12,7 @@ from kohorta.functions.scalars import age_band, age_between, hash_bucket
 from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
 from kohorta.plans.skew import spread_join
+from kohorta.session import literal_table
 from kohorta.sources import catalog as cat
 from kohorta.sources import records as rec
 from kohorta.sources import relational
@@ -153,7 +154,7 @@ def clinical_visits(spark, sf):
 
 
 def _part_catalog(spark):
-    return spark.createDataFrame(PART_CATALOG, "code_bps STRING, cie10 STRING")
+    return literal_table(spark, PART_CATALOG, "code_bps STRING, cie10 STRING")
 
 
 @query
@@ -182,7 +183,7 @@ def code_range_expand(spark, sf):
 
 
 def _brand_prefixes(spark):
-    return spark.createDataFrame(BRAND_PREFIXES, "cie STRING, cie_group STRING, code_bps LONG")
+    return literal_table(spark, BRAND_PREFIXES, "cie STRING, cie_group STRING, code_bps LONG")
 
 
 @query
@@ -224,7 +225,7 @@ def semi_join_index(spark, sf):
 
 @query
 def target_filter(spark, sf):
-    listed = spark.createDataFrame([(c, c, "T") for c in views.PURCHASE_TARGETS], "code_bps STRING, cie10 STRING, target STRING")
+    listed = literal_table(spark, [(c, c, "T") for c in views.PURCHASE_TARGETS], "code_bps STRING, cie10 STRING, target STRING")
     return views.purchases(spark, sf).join(cat.target_groups(listed), "code", "left_semi")
 
 
@@ -269,7 +270,7 @@ def _relational(spark, sf):
         F.date_add(F.lit("1950-01-01").cast("date"), (key % 9000).cast("int")).cast("string").alias("df_nacimiento"),
         F.when(nation == 0, "M").when(nation == 1, "F").otherwise("X").alias("cs_sexo"),
     )
-    groups = spark.createDataFrame(BRAND_GROUPS, "code_bps LONG, cie10 STRING")
+    groups = literal_table(spark, BRAND_GROUPS, "code_bps LONG, cie10 STRING")
     return diagnoses, patients, demographics, groups
 
 
@@ -374,7 +375,7 @@ def _onsets(spark, sf):
 
 @query
 def timeline(spark, sf):
-    names = spark.createDataFrame(CODE_NAMES, "cie10 STRING, name STRING")
+    names = literal_table(spark, CODE_NAMES, "cie10 STRING, name STRING")
     return longitudinal.timeline(_onsets(spark, sf), views.PURCHASE_CODES, names, ("PROMO", "LARGE"))
 
 

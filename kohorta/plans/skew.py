@@ -62,10 +62,10 @@ def spread_join(
 def small_table(df: DataFrame, max_rows: int) -> DataFrame | None:
     """A table of at most ``max_rows`` rows, ready to broadcast, or None when it is larger.
 
-    The size is checked by reading one row more than allowed. The rows are kept as a literal table,
+    The size is checked by reading one row more than allowed. The rows are kept as a local relation,
     so a plan that uses it several times does not compute it again.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -51,3 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table given in code.
+
+    Built from Arrow it is a local relation, whose size Catalyst knows; built from a list of rows it
+    would be an RDD of unknown size, and joins with it would shuffle both sides.
+    """
+    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+    return spark.createDataFrame(pa.table({n: list(c) for n, c in zip(names, zip(*rows))}), schema)

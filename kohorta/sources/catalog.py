@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kohorta.session import literal_table
+
 CSV_SCHEMA = "code_bps LONG, name_es STRING, name_en STRING, cie10 STRING, target STRING"
 
 # Record code | English name | group of the international classification | T for targets.
@@ -105,7 +107,7 @@ def catalog_rows() -> list[tuple[int, str, str, str | None]]:
 
 
 def builtin_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(catalog_rows(), "code_bps LONG, name_en STRING, cie10 STRING, target STRING")
+    return literal_table(spark, catalog_rows(), "code_bps LONG, name_en STRING, cie10 STRING, target STRING")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
