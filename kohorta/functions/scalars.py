@@ -34,9 +34,9 @@ def hash_bucket(key: Column, buckets: int = 100) -> Column:
 
 
 def mean_std_text(mean: Column, std: Column, precision: int = 2) -> Column:
-    """``mean (std)``; the std of a single row is shown as nan."""
-    std_text = F.coalesce(F.bround(std, precision).cast("string"), F.lit("nan"))
-    return F.concat(F.bround(mean, precision).cast("string"), F.lit(" ("), std_text, F.lit(")"))
+    """``mean (std)``; what cannot be computed, such as the std of one row, shows as nan."""
+    mean_text, std_text = (F.coalesce(F.bround(v, precision).cast("string"), F.lit("nan")) for v in (mean, std))
+    return F.concat(mean_text, F.lit(" ("), std_text, F.lit(")"))
 
 
 def count_percent_text(count: Column, percent: Column) -> Column:

@@ -131,12 +131,12 @@ def _lloyd_pass(points: DataFrame, models: Models) -> dict[tuple[int, int], list
             ("total", pa.list_(pa.float64())),
         ]
     )
-    sums = [F.expr(f"sum(total[{i}])") for i in range(dims)]
+    sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
     rows = (
         points.select("grp", "features")
         .mapInArrow(partial, STAT_SCHEMA)
         .groupBy("grp", "k", "cluster")
-        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*sums).alias("total"))
+        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total"))
         .collect()
     )
     stats: dict[tuple[int, int], list] = {}

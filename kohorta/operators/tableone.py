@@ -1,7 +1,6 @@
 """Descriptive "table one" of a patient table, as tidy rows and as a display table.
 
-All variables are melted once and aggregated together, so the cost is one pass however many
-variables there are. Sizes per group are the denominators, rows with a null level included.
+Numeric variables share one aggregation and categorical ones another, however many there are. Sizes per group are the denominators, rows with a null level included.
 """
 
 from __future__ import annotations
@@ -29,19 +28,25 @@ def header(df: DataFrame, group: str | None = None) -> DataFrame:
 
 def numeric(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
     """(variable, grp, n, mean, std) with the sample standard deviation, nulls left out."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("variable"), quoted(c).cast("double").alias("value")) for c in columns]
-    )
-    return (
-        _grouped(df, group)
-        .select("grp", F.inline(pairs))
-        .groupBy("variable", "grp")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
+    moments = []
+    for i, c in enumerate(columns):
+        value = quoted(c).cast("double")
+        moments += [
+            F.count(value).alias(f"n{i}"),
+            F.avg(value).alias(f"mean{i}"),
+            F.stddev_samp(value).alias(f"std{i}"),
+        ]
+    cells = [
+        F.struct(
+            F.lit(c).alias("variable"),
+            F.col(f"n{i}").alias("n"),
+            F.col(f"mean{i}").alias("mean"),
+            F.col(f"std{i}").alias("std"),
         )
-    )
+        for i, c in enumerate(columns)
+    ]
+    wide = _grouped(df, group).groupBy("grp").agg(*moments)
+    return wide.select("grp", F.inline(F.array(*cells))).select("variable", "grp", "n", "mean", "std")
 
 
 def categorical(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
@@ -118,8 +123,8 @@ def display(
     """
     text = (
         F.when(F.col("variable") == "N", F.col("n").cast("string"))
-        .when(F.col("mean").isNotNull(), mean_std_text(F.col("mean"), F.col("std"), precision))
-        .otherwise(count_percent_text(F.col("n"), F.col("pct")))
+        .when(F.col("pct").isNotNull(), count_percent_text(F.col("n"), F.col("pct")))
+        .otherwise(mean_std_text(F.col("mean"), F.col("std"), precision))
     )
     first = F.max(F.when(F.col("grp") == groups[0], F.col("n")))
     cells = [F.max(F.when(F.col("grp") == g, text)).alias(g) for g in groups]

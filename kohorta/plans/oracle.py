@@ -72,7 +72,7 @@ SELECT o_orderkey,
   CAST(floor(date_diff('day', DATE '1970-03-01', CAST(o_orderdate AS DATE)) / CAST(365.25 AS DOUBLE)) AS BIGINT) AS age_a,
   CAST(floor(date_diff('day', DATE '1998-07-01', CAST(o_orderdate AS DATE)) / CAST(365.25 AS DOUBLE)) AS BIGINT) AS age_b
 FROM orders"""
-ORACLE["age_bands"] = _with(REC) + """
+ORACLE["age_band"] = _with(REC) + """
 SELECT visit_idx, CASE WHEN a < 18 THEN '0-18' WHEN a < 45 THEN '18-44' WHEN a < 65 THEN '45-64' ELSE '60>' END AS band
 FROM (SELECT visit_idx, (age - 45) * 10 + 10 AS a FROM vis)"""
 
@@ -384,6 +384,22 @@ ORACLE["tableone_merge"] = _T + """
 SELECT w.variable, w.level, g.grp, w.n AS n_all, w.pct AS pct_all, w.mean AS mean_all, g.n, g.pct, g.mean
 FROM whole w LEFT JOIN tall g ON g.variable = w.variable AND g.level IS NOT DISTINCT FROM w.level"""
 
+_CELL = """max(CASE WHEN grp = '{g}' THEN {text} END) AS {name}"""
+
+
+def _cells(text: str) -> str:
+    return ", ".join(_CELL.format(g=g, text=text, name=n) for g, n in (("DM", "dm"), ("No DM", "no_dm")))
+
+
+_NP = "printf('%d (%.2f%%)', n, round_even(pct, 2))"
+_MS = """coalesce(CAST(round_even(mean, 2) AS VARCHAR), 'nan') || ' (' || coalesce(CAST(round_even(std, 2) AS VARCHAR), 'nan') || ')'"""
+ORACLE["tableone_display"] = _T + f"""
+SELECT 'N' AS row, {_cells('CAST(n AS VARCHAR)')} FROM sizes
+UNION ALL SELECT variable, {_cells(_MS)} FROM num GROUP BY variable
+UNION ALL SELECT CASE WHEN one THEN variable ELSE level END, {_cells(_NP)}
+  FROM catg JOIN (SELECT variable, count(DISTINCT level) = 1 AS one FROM catg GROUP BY 1) USING (variable) GROUP BY variable, level, one
+UNION ALL SELECT variable, NULL, NULL FROM catg GROUP BY variable HAVING count(DISTINCT level) > 1"""
+
 # ---- features
 
 ORACLE["one_hot"] = "SELECT c_custkey, " + ", ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorta.functions import codes as C
-from kohorta.functions.scalars import age_band, age_between, hash_bucket
+from kohorta.functions import scalars
 from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
 from kohorta.plans.skew import spread_join
@@ -82,15 +82,15 @@ def age_from_dates(spark, sf):
     day = F.to_date("o_orderdate")
     return views.table(spark, sf, "orders").select(
         "o_orderkey",
-        age_between(F.lit("1970-03-01").cast("date"), day).alias("age_a"),
-        age_between(F.lit("1998-07-01").cast("date"), day).alias("age_b"),
+        scalars.age_between(F.lit("1970-03-01").cast("date"), day).alias("age_a"),
+        scalars.age_between(F.lit("1998-07-01").cast("date"), day).alias("age_b"),
     )
 
 
 @query
-def age_bands(spark, sf):
+def age_band(spark, sf):
     visits = views.visits_of(views.purchases(spark, sf))
-    return visits.select("visit_idx", age_band((F.col("age") - 45) * 10 + 10).alias("band"))
+    return visits.select("visit_idx", scalars.age_band((F.col("age") - 45) * 10 + 10).alias("band"))
 
 
 # ---- sex and age ------------------------------------------------------------------------------
@@ -476,7 +476,7 @@ TABLE_NUMERIC = ["age_dm", "c_acctbal"]
 def _patients(spark, sf) -> DataFrame:
     customers = views.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     joined = customers.join(_summary(spark, sf), F.col("c_custkey") == F.col("p_id"))
-    return joined.withColumn("age_dm_cat", age_band(F.col("age_dm")))
+    return joined.withColumn("age_dm_cat", scalars.age_band(F.col("age_dm")))
 
 
 @query

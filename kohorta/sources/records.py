@@ -45,20 +45,19 @@ def flatten_visits(nested: DataFrame) -> DataFrame:
     )
 
 
-def build_nested(dx: DataFrame, sex: Column | None = None) -> DataFrame:
-    """(p_id, visits) from flat (p_id, code, age) rows, an optional sex visit first.
+def pairs_to_visits(pairs: str) -> Column:
+    """One visit ``[code, age code]`` per (age, code) pair."""
+    return F.transform(pairs, lambda p: F.array(p["code"], age_code(p["age"])))
 
-    Rows are made distinct before they are collected: a patient has at most codes x ages of them,
-    whatever the number of source rows.
+
+def build_nested(dx: DataFrame) -> DataFrame:
+    """(p_id, visits) from flat (p_id, code, age) rows, one visit per distinct code and age.
+
+    The set of a patient holds at most codes x ages pairs, whatever the number of source rows, and
+    is formed on the map side first.
     """
-    keys = ["p_id"] if sex is None else ["p_id", "_sex"]
-    rows = dx if sex is None else dx.withColumn("_sex", sex)
-    pairs = F.array_sort(F.collect_list(F.struct("age", "code")))
-    visits = F.transform(pairs, lambda p: F.array(p["code"], age_code(p["age"])))
-    nested = rows.select(*keys, "age", "code").distinct().groupBy(*keys).agg(visits.alias("visits"))
-    if sex is None:
-        return nested
-    return nested.select("p_id", F.concat(F.array(F.array("_sex")), F.col("visits")).alias("visits"))
+    pairs = F.array_sort(F.collect_set(F.struct("age", "code")))
+    return dx.groupBy("p_id").agg(pairs.alias("pairs")).select("p_id", pairs_to_visits("pairs").alias("visits"))
 
 
 def records_json(nested: DataFrame) -> DataFrame:

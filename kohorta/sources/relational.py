@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from kohorta.functions.codes import INDEX_GROUP, sex_to_code
 from kohorta.functions.scalars import age_between, date_part
 from kohorta.operators.coding import classify_by_prefix, expand_code_ranges
-from kohorta.plans.skew import spread_join
-from kohorta.sources.records import build_nested
+from kohorta.sources.records import pairs_to_visits
 
 DIAGNOSES_SCHEMA = "cx_curp STRING, catalog_key STRING, df_consulta STRING"
 PATIENTS_SCHEMA = "cx_curp_original STRING, cx_curp STRING"
@@ -33,33 +32,28 @@ def patient_diagnoses(
     catalog: DataFrame,
     index_group: str = INDEX_GROUP,
 ) -> DataFrame:
-    """Distinct (p_id, sex, code, age, cie_group) of patients that have the index group.
+    """(p_id, sex, pairs) of patients that have the index group; pairs are sorted, distinct (age, code).
 
-    Rows become distinct before the index rule joins them back, so that join handles at most
-    codes x ages rows per patient.
+    The index rule and the distinct rows come from the same aggregation, so nothing is joined back.
+    A patient has at most codes x ages pairs however many source rows there are, and map tasks
+    already send sets.
     """
     coded = classify_by_prefix(diagnoses, "catalog_key", expand_code_ranges(catalog)).withColumnRenamed(
         "cx_curp", "p_id"
     )
     known = enrich_patients(patients, demographics)
-    rows = (
+    age = age_between(F.col("birth"), date_part(F.col("df_consulta")))
+    pair = F.struct(age.alias("age"), F.col("code_bps").cast("string").alias("code"))
+    return (
         coded.join(known, "p_id")
-        .select(
-            "p_id",
-            sex_to_code(F.col("sex")).alias("sex"),
-            F.col("code_bps").cast("string").alias("code"),
-            age_between(F.col("birth"), date_part(F.col("df_consulta"))).alias("age"),
-            "cie_group",
+        .groupBy("p_id", sex_to_code(F.col("sex")).alias("sex"))
+        .agg(
+            F.bool_or(F.col("cie_group") == index_group).alias("_has"),
+            F.array_sort(F.collect_set(pair)).alias("pairs"),
         )
-        .distinct()
-    )
-    with_index = (
-        rows.groupBy("p_id")
-        .agg(F.bool_or(F.col("cie_group") == index_group).alias("_has"), F.count("*").alias("n_rows"))
         .where("_has")
         .drop("_has")
     )
-    return spread_join(rows, with_index, ["p_id"]).drop("n_rows")
 
 
 def relational_to_records(
@@ -71,7 +65,7 @@ def relational_to_records(
 ) -> DataFrame:
     """Nested records (p_id, visits): the sex visit, then one visit per diagnosis and age."""
     rows = patient_diagnoses(diagnoses, patients, demographics, catalog, index_group)
-    return build_nested(rows, F.col("sex"))
+    return rows.select("p_id", F.concat(F.array(F.array("sex")), pairs_to_visits("pairs")).alias("visits"))
 
 
 def relational_counts(
