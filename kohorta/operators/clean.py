@@ -18,7 +18,7 @@ from kohorta.functions.codes import (
     is_sex_marker,
     sex_letter,
 )
-from kohorta.plans.skew import spread_join
+from kohorta.plans.skew import hot_keys, spread_join
 
 PATIENT = ["p_id"]
 VISIT = ["p_id", "visit_idx"]
@@ -93,34 +93,41 @@ def age_conflict_report(records: DataFrame, pattern: str = AGE_PATTERN) -> DataF
     )
 
 
-def clinical_visits(records: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
-    """(p_id, visit_idx, sex, age) of visits with a known age and at least one diagnosis.
-
-    The patient level is an aggregate of all rows, because a marker-only visit is evidence too.
-    """
+def aged_visits(records: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
+    """(p_id, visit_idx, age) of visits with a known age and at least one diagnosis."""
     code = F.col("code")
     age = extract_age(code, pattern)
-    per_visit = records.groupBy(*VISIT).agg(
-        F.bool_or(code == MALE).alias("is_male"),
-        F.bool_or(code == FEMALE).alias("is_female"),
-        F.min_by(age, F.when(age.isNotNull(), F.col("code_idx"))).alias("age"),
-        F.bool_or(~is_sex_marker(code) & (code != AGE_UNKNOWN) & age.isNull()).alias("has_dx"),
-        F.count("*").alias("n_codes"),
-    )
-    per_patient = per_visit.groupBy("p_id").agg(
-        sex_letter(F.bool_or("is_male"), F.bool_or("is_female")).alias("sex"),
-        F.count("*").alias("n_rows"),
+    return (
+        records.groupBy(*VISIT)
+        .agg(
+            F.min_by(age, F.when(age.isNotNull(), F.col("code_idx"))).alias("age"),
+            F.bool_or(~is_sex_marker(code) & (code != AGE_UNKNOWN) & age.isNull()).alias("_has_dx"),
+        )
+        .where("age IS NOT NULL AND _has_dx")
+        .drop("_has_dx")
     )
-    kept = per_visit.where("age IS NOT NULL AND has_dx").select(*VISIT, "age", "n_codes")
-    return spread_join(kept, per_patient, PATIENT).select(*VISIT, "sex", "age", F.col("n_codes").alias("n_rows"))
+
+
+def clinical_visits(records: DataFrame, pattern: str = AGE_PATTERN, hot: DataFrame | None = None) -> DataFrame:
+    """(p_id, visit_idx, sex, age) of the visits of :func:`aged_visits`.
+
+    Sex comes from all rows of a patient, because a visit of markers only is evidence, too.
+    """
+    flags = sex_flags(records)
+    sexes = flags.select("p_id", sex_letter(F.col("is_male"), F.col("is_female")).alias("sex"))
+    hot = hot_keys(flags, PATIENT) if hot is None else hot
+    return spread_join(aged_visits(records, pattern), sexes, PATIENT, hot=hot).select(*VISIT, "sex", "age")
 
 
 def diagnosis_rows(records: DataFrame, visits: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
-    """Distinct diagnoses (p_id, visit_idx, sex, age, code) of the visits kept by :func:`clinical_visits`."""
+    """Distinct diagnoses (p_id, visit_idx, age, code) of the given (p_id, visit_idx, age) visits.
+
+    Made distinct first, a visit has at most one row per code, so this join has no hot key.
+    """
     code = F.col("code")
     dx = (
         records.where(~is_sex_marker(code) & (code != AGE_UNKNOWN) & extract_age(code, pattern).isNull())
         .select(*VISIT, "code")
         .distinct()
     )
-    return spread_join(dx, visits, VISIT).select(*VISIT, "sex", "age", "code")
+    return dx.join(visits.select(*VISIT, "age"), VISIT).select(*VISIT, "age", "code")

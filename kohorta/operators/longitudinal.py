@@ -1,7 +1,7 @@
 """History, look-ahead labels, wide and yearly tables, timelines.
 
-``dx`` is (p_id, visit_idx, age, code), ``visits`` is (p_id, visit_idx, age, ...). Visits of a patient
-are ordered by (age, visit_idx). What a visit knows of its past is fully given by the first moment
+``dx`` is (p_id, visit_idx, age, code), ``visits`` is (p_id, visit_idx, age, ...), ``hot`` the patients
+to spread in joins, counted from the visits when not given. Visits of a patient are ordered by (age, visit_idx). What a visit knows of its past is fully given by the first moment
 each code was seen, so a patient's history is never joined to itself.
 """
 
@@ -50,14 +50,14 @@ def first_seen(dx: DataFrame) -> DataFrame:
     return dx.groupBy("p_id", "code").agg(F.min(_moment()).alias("first_moment"))
 
 
-def carry_history(visits: DataFrame, dx: DataFrame) -> DataFrame:
+def carry_history(visits: DataFrame, dx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Each visit with every code its patient had at that visit or before.
 
     The result holds visits x known codes by definition; :func:`wide_table` gives the same content
     without building those rows.
     """
     known = first_seen(dx)
-    hot = hot_keys(_patient_sizes(visits), ["p_id"])
+    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     return (
         spread_join(visits, known, ["p_id"], hot=hot)
         .where(_moment() >= F.col("first_moment"))
@@ -66,7 +66,12 @@ def carry_history(visits: DataFrame, dx: DataFrame) -> DataFrame:
 
 
 def lookahead_labels(
-    visits: DataFrame, dx: DataFrame, targets: Sequence[str], horizon: int = 1, onset_only: bool = False
+    visits: DataFrame,
+    dx: DataFrame,
+    targets: Sequence[str],
+    horizon: int = 1,
+    onset_only: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Visits (p_id, visit_idx, age) with a label for each target they have or will have in ``horizon`` years.
 
@@ -82,7 +87,7 @@ def lookahead_labels(
     due = age >= F.col("first_age") - horizon
     if onset_only:
         due = due & (age <= F.col("first_age"))
-    hot = hot_keys(_patient_sizes(visits), ["p_id"])
+    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     return (
         spread_join(visits, onset, ["p_id"], hot=hot)
         .where(due)
@@ -107,6 +112,7 @@ def wide_table(
     codes: Sequence[str],
     targets: Sequence[str],
     horizon: int = 1,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per visit: a column per code carried from the past, a label column per target.
 
@@ -119,7 +125,7 @@ def wide_table(
         .groupBy("p_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("code", "first_moment"))).alias("_known"))
     )
-    hot = hot_keys(_patient_sizes(visits), ["p_id"])
+    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     joined = spread_join(visits.withColumn("_now", _moment()), known, ["p_id"], "left", hot=hot)
 
     # Text expressions: a wide table has a column per catalog code, and each Column object built

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kohorta.functions.codes import AGE_PATTERN, INDEX_GROUP
-from kohorta.operators.clean import clinical_visits, diagnosis_rows
+from kohorta.operators.clean import aged_visits, clinical_visits, diagnosis_rows
 from kohorta.operators.coding import map_codes
 from kohorta.operators.longitudinal import wide_table, yearly_summary
+from kohorta.plans.skew import hot_keys
 
 
 def to_wide(
@@ -24,9 +26,10 @@ def to_wide(
     ``codes`` lists the columns; :func:`kohorta.sources.catalog.column_codes` gives the catalog's,
     to which a caller adds raw codes the catalog lacks.
     """
-    visits = clinical_visits(records, age_pattern)
-    dx = map_codes(diagnosis_rows(records, visits, age_pattern), catalog)
-    return wide_table(visits.drop("n_rows"), dx, codes, targets)
+    hot = hot_keys(records.groupBy("p_id").agg(F.count("*").alias("n_rows")), ["p_id"])
+    visits = clinical_visits(records, age_pattern, hot)
+    dx = map_codes(diagnosis_rows(records, aged_visits(records, age_pattern), age_pattern), catalog)
+    return wide_table(visits, dx, codes, targets, hot=hot)
 
 
 def to_yearly(wide: DataFrame, index_column: str = INDEX_GROUP) -> DataFrame:

@@ -11,7 +11,7 @@ from kohorta.functions import codes as C
 from kohorta.functions import scalars
 from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
-from kohorta.plans.skew import spread_join
+from kohorta.plans.skew import hot_keys, spread_join
 from kohorta.session import literal_table
 from kohorta.sources import catalog as cat
 from kohorta.sources import records as rec
@@ -147,7 +147,7 @@ def age_conflict_report(spark, sf):
 
 @query
 def clinical_visits(spark, sf):
-    return clean.clinical_visits(views.coded_activity(spark, sf)).drop("n_rows")
+    return clean.clinical_visits(views.coded_activity(spark, sf))
 
 
 # ---- codes ------------------------------------------------------------------------------------
@@ -289,26 +289,28 @@ def relational_counts(spark, sf):
 
 
 def _purchases(spark, sf):
+    """dx, visits and the customers whose orders alone make them hot."""
     dx = views.purchases(spark, sf)
-    return dx, views.visits_of(dx)
+    orders = views.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("p_id")).agg(F.count("*").alias("n_rows"))
+    return dx, views.visits_of(dx), hot_keys(orders, ["p_id"])
 
 
 @query
 def history_carry(spark, sf):
-    dx, visits = _purchases(spark, sf)
-    return longitudinal.carry_history(visits, dx)
+    dx, visits, hot = _purchases(spark, sf)
+    return longitudinal.carry_history(visits, dx, hot)
 
 
 @query
 def target_labels(spark, sf):
-    dx, visits = _purchases(spark, sf)
-    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS)
+    dx, visits, hot = _purchases(spark, sf)
+    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, hot=hot)
 
 
 @query
 def target_labels_onset(spark, sf):
-    dx, visits = _purchases(spark, sf)
-    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, onset_only=True)
+    dx, visits, hot = _purchases(spark, sf)
+    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, onset_only=True, hot=hot)
 
 
 @query
@@ -318,15 +320,15 @@ def label_shift_union(spark, sf):
 
 @query
 def label_union(spark, sf):
-    dx, visits = _purchases(spark, sf)
-    labels = longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS)
-    return longitudinal.label_union(longitudinal.carry_history(visits, dx), labels)
+    dx, visits, hot = _purchases(spark, sf)
+    labels = longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, hot=hot)
+    return longitudinal.label_union(longitudinal.carry_history(visits, dx, hot), labels)
 
 
 @query
 def wide_pivot(spark, sf):
-    dx, visits = _purchases(spark, sf)
-    return longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS)
+    dx, visits, hot = _purchases(spark, sf)
+    return longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS, hot=hot)
 
 
 def _catalog_columns():
@@ -356,9 +358,9 @@ def final_sort(spark, sf):
 
 @query
 def yearly_max(spark, sf):
-    dx, visits = _purchases(spark, sf)
+    dx, visits, hot = _purchases(spark, sf)
     return longitudinal.yearly_max(
-        longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS)
+        longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS, hot=hot)
     )
 
 

@@ -15,14 +15,14 @@ MAX_HOT_KEYS = 1_000
 SALTS = 64
 
 
-def hot_keys(counts: DataFrame, key: Sequence[str], rows: str = "n_rows", hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(counts: DataFrame, key: Sequence[str], rows: str = "n_rows", hot_rows: int | None = None) -> DataFrame:
     """The heaviest keys of a one-row-per-key table.
 
     The limit bounds the size of the broadcast in :func:`spread_join`. It decides only where rows
     are placed, never which rows are joined: a key left out is joined by the plain shuffle.
     """
     return (
-        counts.where(F.col(rows) >= hot_rows)
+        counts.where(F.col(rows) >= (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.col(rows).desc(), *key)
         .limit(MAX_HOT_KEYS)
         .select(*key)
@@ -36,7 +36,7 @@ def spread_join(
     how: str = "inner",
     hot: DataFrame | None = None,
     rows: str = "n_rows",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large ``fact`` to an aggregate of itself (``per_key``) on ``key``.

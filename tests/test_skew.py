@@ -1,10 +1,16 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from kohorta.plans import skew
 from kohorta.plans.skew import hot_keys, small_table, spread_join
 from kohorta.session import checkpoint_dir, written
+from tests.oracle_check import connect, differences, spark_rows, sql_rows
+
+SF = os.environ.get("KOHORTA_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture
@@ -48,3 +54,19 @@ def test_written_goes_to_the_checkpoint_folder(spark, fact, rows):
     back = written(fact, "probe")
     assert all(f.startswith("file:") and checkpoint_dir(spark) in f for f in back.inputFiles())
     assert rows(back) == rows(fact)
+
+
+#: Queries that join rows back to an aggregate of themselves.
+SALTED = [
+    "sex_evidence", "clinical_visits", "semi_join_index", "history_carry", "target_labels", "wide_pivot", "to_wide",
+    "silhouette_samples", "dbscan_plane",
+]
+
+
+@pytest.mark.parametrize("name", SALTED)
+def test_queries_with_every_key_hot(spark, monkeypatch, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    got = spark_rows(entry.queries()[name](spark, SF))
+    assert differences(got, sql_rows(connect(SF), entry.oracle_sql()[name])) is None
