@@ -13,7 +13,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kohorta.plans.skew import hot_keys, spread_join
@@ -165,31 +165,34 @@ def _direct(grid: _Grid, core: DataFrame, pairs: DataFrame, level: int) -> DataF
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the component.
 
-    Every round takes the smallest label around a node and then the label of that label, so the
-    number of rounds grows with the logarithm of the longest chain. Each round is written to the
-    shared folder, which ends its lineage.
+    In every round a label is offered across each edge both to the neighbour and to the node the
+    neighbour's label points to, so whole trees are hooked together; then each node takes the label
+    of its label, which halves the trees. The rounds grow with the logarithm of the nodes. Each is
+    written to the shared folder, which ends its lineage.
     """
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "components-edges"
     )
     labels = written(nodes.select("node", F.col("node").alias("label")), "components")
     for _ in range(MAX_ROUNDS):
-        around = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
+        ends = both.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+        offers = (
+            ends.where("lb < la")
+            .select(F.explode(F.array("a", "la")).alias("node"), "lb")
+            .groupBy("node")
+            .agg(F.min("lb").alias("offer"))
         )
-        stepped = labels.join(around, "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label")).alias("next")
+        stepped = labels.join(offers, "node", "left").select(
+            "node", "label", F.least("label", F.coalesce("offer", "label")).alias("next")
         )
-        stepped = written(stepped, "components-step")
+        seen = Observation()
+        stepped = written(stepped.observe(seen, F.count_if(F.col("next") < F.col("label")).alias("moved")), "components-step")
+        if seen.get["moved"] == 0:
+            return labels
         sizes = stepped.groupBy("next").agg(F.count("*").alias("n_rows"))
         targets = stepped.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         jumped = spread_join(stepped, targets, ["next"], hot=hot_keys(sizes, ["next"]))
-        moved = written(jumped.select("node", F.col("label").alias("old"), F.col("jump").alias("label")), "components")
-        labels = moved.select("node", "label")
-        if moved.where("old <> label").isEmpty():
-            return labels
+        labels = written(jumped.select("node", F.col("jump").alias("label")), "components")
     raise RuntimeError("components did not settle")
 
 

@@ -73,12 +73,12 @@ def test_best_k_of_blobs(table):
     for found in (
         validity.best_k_silhouette(points, range(2, 7)),
         validity.best_k_silhouette(points, range(2, 7), "ward"),
-        validity.best_k_silhouette(points, range(2, 7), "bisecting", silhouette="squared"),
+        validity.best_k_silhouette(points, range(2, 5), "bisecting", silhouette="squared"),
         validity.best_k_elbow(points, range(1, 9)),
-        validity.best_k_gap(points, range(1, 6), references=3, max_iter=15),
+        validity.best_k_gap(points, range(1, 5), references=2, max_iter=8),
     ):
         assert [r["k"] for r in found.where("chosen").collect()] == [3]
-    assert validity.best_k_gap(points, range(1, 6), 3, max_iter=15, one_standard_error=True).where("chosen").count() == 1
+    assert validity.best_k_gap(points, range(1, 5), 2, max_iter=8, one_standard_error=True).where("chosen").count() == 1
 
 
 def test_ward_exact_and_two_stage(table):
