@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kohorta.functions.codes import INDEX_GROUP, LABEL_PREFIX, MOMENT_BITS, moment
+from kohorta.functions.codes import INDEX_GROUP, LABEL_PREFIX, MOMENT_BASE, MOMENT_BITS, moment
 from kohorta.plans.skew import hot_keys, spread_join
 
 # Codes a timeline marks.
@@ -33,6 +33,10 @@ def text_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def text_array(values: Sequence[str]) -> str:
+    return "CAST(array(" + ", ".join(map(text_literal, values)) + ") AS ARRAY<STRING>)"
+
+
 def label_name(code: Column) -> Column:
     return F.concat(F.lit(LABEL_PREFIX), code)
 
@@ -117,28 +121,31 @@ def wide_table(
     """One row per visit: a column per code carried from the past, a label column per target.
 
     ``codes`` is the sorted column list; a set flag is 1, an absent one null. A patient's history
-    is one map from code to first moment, at most one entry per code, and each visit compares its
-    own moment to the entries: no row per visit and known code is ever built.
+    is one array with the first moment of each column, and each visit compares its own moment to
+    it: no row per visit and known code is ever built.
+
+    The comparison is one array expression and the columns are plain element reads. Written as one
+    condition per column, the generated method of a wide table would be too long for the JIT.
     """
     known = (
         first_seen(dx.where(F.col("code").isin(*set(codes) | set(targets))))
         .groupBy("p_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("code", "first_moment"))).alias("_known"))
     )
+    # Text expressions: every Column object built from Python costs several calls into the JVM.
+    # A label is due from the start of the year of life ``horizon`` before the onset.
+    first = f"transform({text_array(codes)}, c -> try_element_at(_known, c))"
+    onset = (
+        f"transform({text_array(targets)}, c -> "
+        f"(shiftright(try_element_at(_known, c), {MOMENT_BITS}) - {horizon}) * {MOMENT_BASE}L)"
+    )
+    known = known.selectExpr("p_id", f"concat({first}, {onset}) AS _from")
     hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     joined = spread_join(visits.withColumn("_now", _moment()), known, ["p_id"], "left", hot=hot)
-
-    # Text expressions: a wide table has a column per catalog code, and each Column object built
-    # from Python costs several calls into the JVM.
-    def first(code: str) -> str:
-        return f"try_element_at(_known, {text_literal(code)})"
-
-    flags = [f"CASE WHEN _now >= {first(c)} THEN 1 END AS {identifier(c)}" for c in codes]
-    labels = [
-        f"CASE WHEN age >= shiftright({first(t)}, {MOMENT_BITS}) - {horizon} THEN 1 END AS {identifier(LABEL_PREFIX + t)}"
-        for t in targets
-    ]
-    return joined.selectExpr(*map(identifier, visits.columns), *flags, *labels)
+    names = [*codes, *(LABEL_PREFIX + t for t in targets)]
+    return joined.withColumn("_set", F.expr("transform(_from, m -> CASE WHEN _now >= m THEN 1 END)")).selectExpr(
+        *map(identifier, visits.columns), *[f"get(_set, {i}) AS {identifier(n)}" for i, n in enumerate(names)]
+    )
 
 
 def final_sort(visits: DataFrame) -> DataFrame:
