@@ -24,6 +24,8 @@ from kohorta.session import literal_table
 Models = dict[tuple[int, int], np.ndarray]
 
 STAT_SCHEMA = "grp INT, k INT, cluster INT, n LONG, cost DOUBLE, total ARRAY<DOUBLE>"
+#: Up to this many task rows of a pass are added up on the driver instead of shuffled.
+GATHER_ROWS = 5_000
 #: Rows that seed the centers of a sweep, per center of its largest model.
 SEED_ROWS_PER_CENTER = 50
 #: Micro-clusters summarised before an agglomerative merge; a fixed bound, not a share of the rows.
@@ -86,11 +88,12 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0, out=d2)
 
 
-def _lloyd_pass(points: DataFrame, models: Models) -> dict[tuple[int, int], list]:
-    """Size, cost and coordinate sum of every cluster of every model, from one pass over the rows.
+def _lloyd_pass(points: DataFrame, models: Models, gather: bool = False) -> dict[tuple[int, int], dict[int, list]]:
+    """Size, cost and coordinate sum by cluster of every model, from one pass over the rows.
 
     Each task sends one row per cluster, so the shuffle grows with tasks x clusters, and what comes
-    back to the driver is the models themselves.
+    back to the driver is the models themselves. With ``gather`` the task rows come back as they
+    are, for the caller that has checked that there are few.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +134,19 @@ def _lloyd_pass(points: DataFrame, models: Models) -> dict[tuple[int, int], list
             ("total", pa.list_(pa.float64())),
         ]
     )
-    sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
-    rows = (
-        points.select("grp", "features")
-        .mapInArrow(partial, STAT_SCHEMA)
-        .groupBy("grp", "k", "cluster")
-        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total"))
-        .collect()
-    )
-    stats: dict[tuple[int, int], list] = {}
-    for r in rows:
-        stats.setdefault((r["grp"], r["k"]), []).append(r)
+    parts = points.select("grp", "features").mapInArrow(partial, STAT_SCHEMA)
+    if not gather:
+        sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
+        parts = parts.groupBy("grp", "k", "cluster").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total")
+        )
+    stats: dict[tuple[int, int], dict[int, list]] = {}
+    for r in parts.collect():
+        clusters = stats.setdefault((r["grp"], r["k"]), {})
+        known = clusters.setdefault(r["cluster"], [0, 0.0, np.zeros(dims)])
+        known[0] += r["n"]
+        known[1] += r["cost"]
+        known[2] = known[2] + np.array(r["total"])
     return stats
 
 
@@ -183,19 +188,20 @@ def sweep_kmeans(
             start = _plus_plus(sample, max(ks), np.random.default_rng(seed))
             models.update({(g, k): start[:k] for k in ks})
         moving, inertia = set(models), {}
+        gather = points.rdd.getNumPartitions() * sum(ks) * len(groups) <= GATHER_ROWS
         for _ in range(max_iter):
-            stats = _lloyd_pass(points, {key: models[key] for key in moving})
+            stats = _lloyd_pass(points, {key: models[key] for key in moving}, gather)
             for key, clusters in stats.items():
                 centers = models[key].copy()
-                for c in clusters:
-                    centers[c["cluster"]] = np.array(c["total"]) / c["n"]
+                for c, (n, _, total) in clusters.items():
+                    centers[c] = total / n
                 if ((centers - models[key]) ** 2).sum() <= still:
                     moving.discard(key)
                 models[key] = centers
             if not moving:
                 break
-        for key, clusters in _lloyd_pass(points, models).items():
-            inertia[key] = sum(c["cost"] for c in clusters)
+        for key, clusters in _lloyd_pass(points, models, gather).items():
+            inertia[key] = sum(cost for _, cost, _ in clusters.values())
         return models, inertia
     finally:
         points.unpersist()
@@ -271,8 +277,8 @@ def ward_two_stage(
         models, _ = sweep_kmeans(points, [micro], seed, max_iter=10)
         means = models[(0, micro)]
         stats = _lloyd_pass(points.withColumn("grp", F.lit(0)), {(0, micro): means})[(0, micro)]
-        means = np.array([np.array(r["total"]) / r["n"] for r in stats])
-        sizes = np.array([r["n"] for r in stats])
+        means = np.array([total / n for n, _, total in stats.values()])
+        sizes = np.array([n for n, _, _ in stats.values()])
     cuts = ward_merges(sizes, means, [min(k, len(sizes)) for k in ks])
     labels = [cuts[min(k, len(sizes))] for k in ks]
     placed = assign(points, [means]).withColumnRenamed("labels", "_micro")

@@ -68,6 +68,14 @@ def test_sweep_finds_blobs_and_matches_one_model(table, spark):
     assert sorted(r["n"] for r in features.cluster_sizes(fitted, "cluster").collect()) == [60, 60, 60]
 
 
+def test_sweep_adds_up_alike_on_driver_and_by_shuffle(table, monkeypatch):
+    points = frame(table, blobs()).repartition(5)
+    _, gathered = cluster.sweep_kmeans(points, [2, 3])
+    monkeypatch.setattr(cluster, "GATHER_ROWS", 0)
+    _, shuffled = cluster.sweep_kmeans(points, [2, 3])
+    assert all(abs(gathered[key] - shuffled[key]) < 1e-6 for key in shuffled)
+
+
 def test_best_k_of_blobs(table):
     points = frame(table, blobs())
     for found in (
