@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from kohorta.llm.common import table
 from kohorta.llm.fingerprints import fingerprint_edits
 from kohorta.llm.licenses import license_report
+from kohorta.llm.quality import score_quality
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op10_license_scan": op10_license_scan,
 }
 
