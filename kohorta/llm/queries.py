@@ -10,6 +10,11 @@ from kohorta.llm.common import table
 from kohorta.llm.fingerprints import fingerprint_edits
 from kohorta.llm.licenses import license_report
 from kohorta.llm.quality import score_quality
+from kohorta.llm.toxicity import score_toxicity
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +30,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op10_license_scan": op10_license_scan,
