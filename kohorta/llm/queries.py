@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kohorta.llm.common import table
+from kohorta.llm.decontamination import contamination
 from kohorta.llm.fingerprints import fingerprint_edits
 from kohorta.llm.licenses import license_report
+from kohorta.llm.line_dedup import dedup_lines
+from kohorta.llm.mixing import mix_sources
 from kohorta.llm.quality import score_quality
+from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
 from kohorta.llm.toxicity import score_toxicity
+from kohorta.session import checkpoint_dir
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserting all documents, revising those with echoed lines, and a repeated commit."""
+    docs = table(spark, sf_dir, "documents")
+    tokenizers = {"byte_bpe_50k/1": byte_pair_counter("byte_bpe_50k"), "words/1": word_counter}
+    ledger = TokenLedger(spark, f"{checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    batches = {"insert": inserts(docs), "revise": revisions(docs, without_echoes(F.col("text")))}
+    for batch, changes in batches.items():
+        ledger.commit(batch, count_changes(changes, tokenizers))
+    ledger.commit("revise", count_changes(batches["revise"], tokenizers))
+    return ledger.totals()
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -25,15 +44,79 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", "text")
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), repetition=1.0, temper=0.5)
+
+
+def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_mixture": op8_mixture,
+    "op9_contamination": op9_contamination,
     "op10_license_scan": op10_license_scan,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+#: Hash of a text made of a document's parts as a number in [0, 1).
+_UNIFORM = "('0x' || substr(md5({}), 1, 13))::bigint / 4503599627370496.0::double"
+
+LLM_ORACLE: dict[str, str] = {
+    "op8_mixture": f"""
+with recursive sizes as (select source, count(*) as n from documents group by source),
+shares as (select source, n, sqrt(n::double) as weight from sizes),
+rates as (
+  select source, weight / (select sum(weight) from shares) * (select sum(n) from shares) / n as rate from shares),
+cdf as (
+  select source, rate, 0 as k, exp(-rate) as term, exp(-rate) as below from rates
+  union all
+  select source, rate, k + 1, term * rate / (k + 1), below + term * rate / (k + 1) from cdf
+  where k < rate + sqrt(rate) * 12 + 40),
+drawn as (
+  select d.*, (select count(*) from cdf c where c.source is not distinct from d.source and c.below <= d.u) as copies
+  from (select *, {_UNIFORM.format("concat_ws(':', '8', 'draw', coalesce(doc_id::varchar, ''), coalesce(text, ''))")} as u
+        from documents) d),
+spread as (select *, unnest(range(copies)) as copy from drawn)
+select s.doc_id, s.text, s.lang, s.source, s.n_chars, r.rate, s.copies, s.copy,
+  {_UNIFORM.format("concat_ws(':', '8', 'order', coalesce(doc_id::varchar, ''), copy::varchar, coalesce(text, ''))")} as shuffle_key
+from spread s join rates r on r.source is not distinct from s.source""",
+    "op9_contamination": f"""
+with docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+items as (select item_id::varchar as item, {_WORDS} as w from benchmark where item_id is not null),
+windows as (
+  select item, 13 as k, array_to_string(w[i : i + 12], ' ') as run
+  from (select item, w, unnest(range(1, len(w) - 11)) as i from items where len(w) >= 13)
+  union
+  select item, len(w), array_to_string(w, ' ') from items where len(w) between 1 and 12),
+runs as (
+  select r, k, i, array_to_string(w[i : i + k - 1], ' ') as run
+  from (select r, w, k, unnest(range(1, (len(w) - k + 2)::bigint)) as i
+        from docs, (select distinct k from windows) where len(w) >= k)),
+found as (select r, i, runs.k, item from runs join windows using (k, run)),
+hits as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from found) group by r),
+named as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct r, item from found) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (r) left join named using (r)""",
+}
