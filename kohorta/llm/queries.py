@@ -14,6 +14,7 @@ from kohorta.llm.fingerprints import fingerprint_edits
 from kohorta.llm.licenses import license_report
 from kohorta.llm.line_dedup import dedup_lines
 from kohorta.llm.mixing import mix_sources
+from kohorta.llm.ngram_join import ngram_components
 from kohorta.llm.quality import score_quality
 from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
 from kohorta.llm.toxicity import score_toxicity
@@ -36,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_join": op4_ngram_join,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
@@ -81,6 +87,25 @@ _WORDS = (
 _UNIFORM = "('0x' || substr(md5({}), 1, 13))::bigint / 4503599627370496.0::double"
 
 LLM_ORACLE: dict[str, str] = {
+    "op4_ngram_join": """
+with recursive docs as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2)::bigint)) as i from docs where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+overlaps as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k
+  from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * k >= 75 * (x.n + y.n - k)),
+reach as (select doc_id as start, doc_id as node from docs union select start, b from reach join links on a = node)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from docs join (select start as doc_id, min(node) as component_id from reach group by 1) using (doc_id)
+left join sizes using (doc_id)""",
     "op8_mixture": f"""
 with recursive sizes as (select source, count(*) as n from documents group by source),
 shares as (select source, n, sqrt(n::double) as weight from sizes),
