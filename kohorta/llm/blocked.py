@@ -94,7 +94,8 @@ def _counted(tag_type: str, owned: bool):
             sums = np.add.reduceat(weights[order], starts)
             if owned:
                 owners = np.concatenate([np.frombuffer(columns["owners"][i], np.uint64) for i in at])[order]
-                differ = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+                least = np.minimum.reduceat(owners, starts)
+                differ = (least == 0) | (least != np.maximum.reduceat(owners, starts))
                 sums = np.where(differ, sums, 1)
             counts = np.empty(len(order), np.int64)
             counts[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
@@ -119,7 +120,8 @@ def _counted(tag_type: str, owned: bool):
 def counts_by_flush(columns: DataFrame, tag_type: str, owned: bool = False) -> DataFrame:
     """For every flush its note, and tags and counts of its entries whose key occurs more than once.
 
-    With ``owned``, a key counts as shared only if its entries have two different owners.
+    With ``owned``, a key counts as shared only if its entries have two different owners, or the owner
+    zero, which stands for several.
     """
     return columns.groupBy("block").applyInArrow(_counted(tag_type, owned), COUNT_SCHEMA)
 

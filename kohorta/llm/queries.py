@@ -16,11 +16,16 @@ from kohorta.llm.line_dedup import dedup_lines
 from kohorta.llm.mixing import mix_sources
 from kohorta.llm.ngram_join import ngram_components
 from kohorta.llm.quality import score_quality
+from kohorta.llm.repeats import remove_repeats
 from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
 from kohorta.llm.toxicity import score_toxicity
 from kohorta.session import checkpoint_dir
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
@@ -67,6 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_join": op4_ngram_join,
@@ -96,11 +102,11 @@ shingles as (
   select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
   from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2)::bigint)) as i from docs where len(w) > 0)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
-overlaps as (
+inner_sizes as (
   select a.doc_id as a, b.doc_id as b, count(*) as k
   from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
 links as (
-  select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  select a, b from inner_sizes join sizes x on x.doc_id = a join sizes y on y.doc_id = b
   where 100 * k >= 75 * (x.n + y.n - k)),
 reach as (select doc_id as start, doc_id as node from docs union select start, b from reach join links on a = node)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
