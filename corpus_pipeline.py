@@ -8,6 +8,7 @@ of their operators: null texts are scored as empty, have no lines, shingles or w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kohorta.llm.common import table
 from kohorta.llm.decontamination import decontaminate
@@ -18,6 +19,11 @@ from kohorta.llm.quality import keep_good
 from kohorta.session import written
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` after texts were changed; null texts keep theirs."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars").cast("bigint")))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.3 go."""
     return keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
@@ -25,7 +31,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go from the texts, and documents of which nothing is left."""
-    return drop_repeated_lines(docs)
+    return _recounted(drop_repeated_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others the words of benchmark passages are cut."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _recounted(decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +34,11 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed
     return list(zip(got["text"].cast(pa.binary()).to_pylist(), got["_label"].to_pylist()))
 
 
-def text_scorer(score: Callable[[list[bytes]], list[float]]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    """A function on Arrow batches of text that gives each text its score; null counts as empty."""
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``, so an operator's own columns cannot clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
-    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = [x or b"" for x in batch.cast(pa.binary()).to_pylist()]
-            yield pa.array(score(texts), pa.float64())
 
-    return scores
+def unboxed(names: list[str], **replaced: Column) -> list[Column]:
+    """The columns in ``row`` by their names, some of them with a new value."""
+    return [replaced[c].alias(c) if c in replaced else F.col(f"row.`{c}`").alias(c) for c in names]

@@ -15,9 +15,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.llm.common import boxed, unboxed
+
 #: Words of a window.
 WINDOW = 13
 #: Words of items that one automaton takes; a larger benchmark is cut into several.
@@ -265,5 +267,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE)
                 out.append((bad, without_spans(text, mask) if hit and not bad else text))
             yield pd.DataFrame(out, columns=["contaminated", "text"]).astype({"contaminated": "bool", "text": "object"})
 
-    kept = docs.withColumn("_judged", judged(F.col("text"))).where(~F.col("_judged.contaminated"))
-    return kept.withColumn("text", F.col("_judged.text")).drop("_judged")
+    kept = boxed(docs).withColumn("judged", judged(F.col("row.text"))).where("not judged.contaminated")
+    return kept.select(*unboxed(docs.columns, text=F.col("judged.text")))

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.llm.common import boxed, unboxed
 from kohorta.session import written
 
 #: Lines hashed together, and k-grams of which one is selected; runs of GRAM + WINDOW - 1 are found.
@@ -87,10 +88,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     them is the later one; equal ids with different texts are ordered by a hash of the text. Null texts
     stay null. Added columns, replacing any of these names: n_lines (not blank), n_removed, n_runs.
     """
-    docs = docs.drop("n_lines", "n_removed", "n_runs")
     size = gram + window - 1
-    mark = F.xxhash64(F.col("text"))
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), mark.alias("mark"), "text")
+    rows = boxed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("bigint"), "mark": F.xxhash64("row.text")})
+    slim = rows.select("doc_id", "mark", F.col("row.text").alias("text"))
     runs = written(slim.mapInArrow(_run_rows(gram, window), "doc_id bigint, mark bigint, place int, fp bigint, digest binary"), "line-runs")
     # Counts and first places are written before they are joined: no aggregate then stands between
     # shuffle and join, and a fingerprint that a third of the documents share can be split.
@@ -100,24 +100,23 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     first = met.groupBy("digest").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = written(first.select("digest", "first"), "line-first-places")
     later = runs.join(first, "digest").where(where > F.col("first"))
-    per_doc = later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("_places"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    per_doc = later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "id", "mark": "own"})
 
     @F.pandas_udf("text string, n_lines int, n_removed int, n_runs int")
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         rows = [_without(t, p, size) for t, p in zip(texts, places)]
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed", "n_runs"])
 
-    columns = docs.columns
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & mark.eqNullSafe(F.col("_mark")), "left")
-    done = joined.withColumn("_cut", cut(F.col("text"), F.col("_places")))
-    return done.select(
-        *[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in columns],
-        "_cut.n_lines", "_cut.n_removed", "_cut.n_runs",
-    )
+    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("own")), "left")
+    done = joined.withColumn("cut", cut(F.col("row.text"), F.col("places")))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    return done.select(*unboxed(names, text=F.col("cut.text")), "cut.n_lines", "cut.n_removed", "cut.n_runs")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` after :func:`dedup_lines`, without those that lost all their lines."""
-    done = dedup_lines(docs)
-    return done.where("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
+    taken = [c for c in docs.columns if c in ("n_lines", "n_removed", "n_runs")]
+    done = dedup_lines(docs.withColumnsRenamed({c: f"{c} of input" for c in taken}))
+    kept = done.where("n_removed = 0 or n_removed < n_lines").drop("n_lines", "n_removed", "n_runs")
+    return kept.withColumnsRenamed({f"{c} of input": c for c in taken})

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.llm.common import boxed, unboxed
 from kohorta.plans.skew import small_table
 from kohorta.session import written
 
@@ -86,16 +87,16 @@ def mix_sources(
     zero times is left out, which is the feature. Empty tables give no rows; rates above ``MAX_RATE``
     raise an error.
     """
-    docs = docs.drop("copy", "copies", "rate", "shuffle_key")
     rates = source_rates(docs, weights, repetition, temper)
     rate = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a rate is above {MAX_RATE}")).cast("double"))
-    rates = rates.select(F.col("source").alias("_source"), rate.alias("rate"))
+    rates = rates.select("source", rate.alias("rate"))
     # Few sources travel to the documents; many are written first, so a hot source's join can be split.
     few = small_table(rates, MAX_BROADCAST_SOURCES)
     rates = written(rates, "source-rates") if few is None else few
-    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    u = hash_uniform(F.lit(seed), F.lit("draw"), F.col("doc_id"), F.col("text"))
+    joined = boxed(docs).join(rates, F.col("row.source").eqNullSafe(F.col("source")))
+    u = hash_uniform(F.lit(seed), F.lit("draw"), F.col("row.doc_id"), F.col("row.text"))
     drawn = joined.withColumn("copies", poisson_inverse(u, F.col("rate"))).where("copies > 0")
     spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    key = hash_uniform(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy"), F.col("text"))
-    return spread.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    key = hash_uniform(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("copy"), F.col("row.text"))
+    names = [c for c in docs.columns if c not in ("copy", "copies", "rate", "shuffle_key")]
+    return spread.select(*unboxed(names), "rate", "copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm import blocked
+from kohorta.llm.common import boxed, unboxed
 from kohorta.operators.density import connected_components
 from kohorta.plans.skew import small_table
 from kohorta.session import written
@@ -324,9 +325,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the smallest id stays.
 
-    Rows with a null id stay; of rows that repeat an id that stays, one stays, the first by its text.
+    Rows with a null id stay; of rows that repeat an id that stays, one stays, the first by a hash of the row.
     """
     components = written(ngram_components(docs), "ngram-components")
-    heads = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head")).drop("_head")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    heads = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
+    rows = boxed(docs).withColumn("id", F.col("row.doc_id").cast("bigint"))
+    marked = rows.join(heads, F.col("id") == F.col("head"))
+    # Rows that repeat an id are few; of unique ids every row is its own group.
+    kept = marked.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select(*unboxed(docs.columns)).unionByName(docs.where("doc_id is null"))
