@@ -38,10 +38,6 @@ def is_sex_marker(code: Column) -> Column:
     return code.isin(MALE, FEMALE, SEX_UNKNOWN)
 
 
-def is_age(code: Column, pattern: str = COHORT_AGE_PATTERN) -> Column:
-    return code.rlike(pattern)
-
-
 def code_kind(code: Column, pattern: str = AGE_PATTERN) -> Column:
     """``sex``, ``age``, ``age_unknown`` or ``dx``."""
     return (

@@ -72,7 +72,8 @@ def validate_visits(flags: DataFrame) -> DataFrame:
     """Add ``status`` and ``age_unknown`` to visit flags.
 
     A visit with a target code always stays, without an age it is marked; any other visit needs at
-    least two codes, one of them an age and one not.
+    least two codes, one of them an age and one not. The unknown-age marker stands in for an age, but
+    a visit that carries it never counts, whatever its other codes.
     """
     n, n_age = F.col("n"), F.col("n_age")
     has_target = F.col("n_target") > 0
@@ -80,6 +81,7 @@ def validate_visits(flags: DataFrame) -> DataFrame:
         F.when(has_target & (n_age > 0) & ~F.col("marked_unknown"), "keep_target")
         .when(has_target, "keep_age_unknown")
         .when((n == 0) & (F.col("n_sex") > 0), "sex_only")
+        .when(F.col("marked_unknown") & (n > n_age), "keep_age_unknown")
         .when(n <= 1, "drop_single")
         .when(n <= n_age, "drop_only_age")
         .when(n_age == 0, "drop_no_age")
@@ -93,7 +95,7 @@ def require_min_visits(
 ) -> DataFrame:
     """(p_id, n_valid) of patients with at least ``minimum`` kept visits of known age.
 
-    ``strict_sex_visit`` counts as the contest rules were run: the sex visit of a patient with a
+    ``strict_sex_visit`` counts as the original rules were run: the sex visit of a patient with a
     known sex counts, so a patient of unknown sex (``sex`` = U) needs one more clinical visit.
     """
     counts = (
@@ -118,19 +120,6 @@ def cohort_name(index_age: Column, min_age: Column, max_age: Column) -> Column:
     )
 
 
-def classify_visits(visits: DataFrame) -> DataFrame:
-    """Cohort per patient from one row per visit (p_id, min_age, has_index)."""
-    return (
-        visits.groupBy("p_id")
-        .agg(
-            F.min(F.when(F.col("has_index"), F.col("min_age"))).alias("first_index_age"),
-            F.min("min_age").alias("min_age"),
-            F.max("min_age").alias("max_age"),
-        )
-        .withColumn("cohort", cohort_name(F.col("first_index_age"), F.col("min_age"), F.col("max_age")))
-    )
-
-
 def classify_cohort(
     records: DataFrame,
     index: str = INDEX_CODE,

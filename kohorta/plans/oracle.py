@@ -37,7 +37,8 @@ _EVT = """{name} AS (
     CAST(date_diff('day', CAST(date_trunc('week', ts) AS DATE), CAST(ts AS DATE)) AS INT) AS visit_idx,
     event_id AS code_idx,
     CASE event_type WHEN 'signup' THEN '401' WHEN 'error' THEN {error} WHEN 'click' THEN '1111' WHEN 'view' THEN '2222'
-      ELSE '9' || lpad(CAST(CAST(floor(value) AS BIGINT) % 120 AS VARCHAR), 3, '0') END AS code
+      ELSE CASE WHEN event_id % 17 = 3 THEN '9999' WHEN event_id % 19 = 5 THEN '3333'
+      WHEN event_id % 13 = 7 THEN '9' || CAST(CAST(floor(value) AS BIGINT) % 80 + 120 AS VARCHAR) ELSE '9' || lpad(CAST(CAST(floor(value) AS BIGINT) % 120 AS VARCHAR), 3, '0') END END AS code
   FROM events)"""
 EVT = _EVT.format(name="evt", error="'703'")
 _KNOWN = "[" + ", ".join(f"'{r[0]}'" for r in catalog_rows()) + "]"
@@ -64,7 +65,8 @@ SELECT CAST(o_custkey AS VARCHAR) || '_' || CAST(o_orderkey AS VARCHAR) AS v_o_i
 ORACLE["extract_age"] = _with(EVT) + """
 SELECT code_idx, CASE WHEN code ~ '^9[01][0-9][0-9]$' THEN CAST(substr(code, 2) AS INT) END AS age FROM evt"""
 ORACLE["code_kinds"] = _with(EVT) + """
-SELECT CASE WHEN code IN ('1111', '2222') THEN 'sex' WHEN code IN ('401', '703') THEN 'dx' ELSE 'age' END AS kind,
+SELECT CASE WHEN code IN ('1111', '2222', '3333') THEN 'sex' WHEN code IN ('401', '703') THEN 'dx'
+  WHEN code = '9999' THEN 'age_unknown' ELSE 'age' END AS kind,
   count(*) AS n FROM evt GROUP BY 1"""
 ORACLE["strict_code_cast"] = "SELECT p_partkey, CAST(substr(p_brand, 7) AS BIGINT) AS brand_no FROM part"
 ORACLE["age_from_dates"] = """
@@ -92,7 +94,7 @@ ORACLE["sex_encode_num"] = _LINE_SEX + """
 SELECT p_id, CASE sex WHEN 'M' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS sex_num,
   CASE sex WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' ELSE 'Unknow' END AS sex_label FROM sexed"""
 _AGED = """aged AS (SELECT *, CASE WHEN code ~ '^9[01][0-9][0-9]$' THEN CAST(substr(code, 2) AS INT) END AS a
-  FROM evt WHERE code NOT IN ('1111', '2222'))"""
+  FROM evt WHERE code NOT IN ('1111', '2222', '3333'))"""
 ORACLE["first_age_in_visit"] = _with(EVT, _AGED) + """
 SELECT p_id, visit_idx, a AS age FROM
   (SELECT *, row_number() OVER (PARTITION BY p_id, visit_idx ORDER BY code_idx) AS rn FROM aged WHERE a IS NOT NULL)
@@ -116,7 +118,8 @@ WIDE_SRC = ",\n".join(
         "cat AS (SELECT * FROM " + _values([(str(r[0]), r[2]) for r in catalog_rows()]) + " AS t(raw, cie10))",
         """cdx AS (SELECT DISTINCT aged.p_id, aged.visit_idx, sex, fa.age, coalesce(cie10, aged.code) AS code
           FROM aged JOIN fa ON aged.p_id = fa.p_id AND aged.visit_idx = fa.visit_idx
-          JOIN sexed ON sexed.p_id = aged.p_id LEFT JOIN cat ON cat.raw = aged.code WHERE a IS NULL)""",
+          JOIN sexed ON sexed.p_id = aged.p_id LEFT JOIN cat ON cat.raw = aged.code
+          WHERE a IS NULL AND aged.code <> '9999')""",
         "cvis AS (SELECT DISTINCT p_id, visit_idx, sex, age FROM cdx)",
     ]
 )
@@ -260,12 +263,15 @@ ORACLE["positive_count"] = _with(REC, _ONSET) + "SELECT *, CAST(" + " + ".join(
 
 # ---- cohorts
 
-FLAGS = """flags AS (SELECT p_id, visit_idx, count(*) FILTER (code NOT IN ('1111', '2222')) AS n,
-    count(*) FILTER (code ~ '^9[0-9][0-9][0-9]$') AS n_age, count(*) FILTER (code IN ('703', '910', '1999', '1401')) AS n_target,
-    bool_or(code = '401') AS has_index, min(CASE WHEN code ~ '^9[0-9][0-9][0-9]$' THEN CAST(substr(code, 2) AS INT) END) AS min_age
+FLAGS = """flags AS (SELECT p_id, visit_idx, count(*) FILTER (code NOT IN ('1111', '2222', '3333', '9999')) AS n,
+    count(*) FILTER (code ~ '^9[0-9][0-9][0-9]$' AND code <> '9999') AS n_age,
+    count(*) FILTER (code IN ('703', '910', '1999', '1401')) AS n_target, count(*) FILTER (code IN ('1111', '2222')) AS n_sex,
+    bool_or(code = '9999') AS unknown, bool_or(code = '401') AS has_index,
+    min(CASE WHEN code ~ '^9[0-9][0-9][0-9]$' AND code <> '9999' THEN CAST(substr(code, 2) AS INT) END) AS min_age
   FROM evt GROUP BY p_id, visit_idx),
-valid AS (SELECT *, CASE WHEN n_target > 0 AND n_age > 0 THEN 'keep_target' WHEN n_target > 0 THEN 'keep_age_unknown'
-    WHEN n = 0 THEN 'sex_only' WHEN n = 1 THEN 'drop_single' WHEN n = n_age THEN 'drop_only_age'
+valid AS (SELECT *, CASE WHEN n_target > 0 AND n_age > 0 AND NOT unknown THEN 'keep_target' WHEN n_target > 0 THEN 'keep_age_unknown'
+    WHEN n = 0 AND n_sex > 0 THEN 'sex_only' WHEN unknown AND n > n_age THEN 'keep_age_unknown'
+    WHEN n <= 1 THEN 'drop_single' WHEN n = n_age THEN 'drop_only_age'
     WHEN n_age = 0 THEN 'drop_no_age' ELSE 'keep' END AS status FROM flags),
 pat AS (SELECT p_id, bool_or(has_index) AS has_index, bool_or(has_index AND n_age > 0) AS has_index_with_age,
     count(*) FILTER (status IN ('keep', 'keep_target')) AS n_valid,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohorta.functions.codes import FEMALE, INDEX_CODE, MALE
+from kohorta.functions.codes import AGE_UNKNOWN, FEMALE, INDEX_CODE, MALE, SEX_UNKNOWN
 from kohorta.sources.catalog import catalog_rows
 
 PURCHASE_CODES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -45,9 +45,12 @@ def visits_of(dx: DataFrame) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str, error_code: Column | None = None) -> DataFrame:
-    """Coded records (p_id, visit_idx, code_idx, code) with every kind of code."""
+    """Coded records (p_id, visit_idx, code_idx, code) with every kind of code.
+
+    Some purchases stand for an unknown age, an unknown sex or an age of 120 to 199.
+    """
     error_code = F.lit("703") if error_code is None else error_code
-    day = F.to_date("ts")
+    day, number = F.to_date("ts"), F.col("event_id")
     week = F.trunc(day, "week").cast("date")
     kind = F.col("event_type")
     code = (
@@ -55,6 +58,9 @@ def activity(spark: SparkSession, sf_dir: str, error_code: Column | None = None)
         .when(kind == "error", error_code)
         .when(kind == "click", MALE)
         .when(kind == "view", FEMALE)
+        .when(number % 17 == 3, AGE_UNKNOWN)
+        .when(number % 19 == 5, SEX_UNKNOWN)
+        .when(number % 13 == 7, F.concat(F.lit("9"), (F.floor("value") % 80 + 120).cast("string")))
         .otherwise(F.concat(F.lit("9"), F.lpad((F.floor("value") % 120).cast("string"), 3, "0")))
     )
     return table(spark, sf_dir, "events").select(

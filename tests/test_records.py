@@ -227,3 +227,13 @@ def test_timeline(table, rows):
         ("p", 1, "E10-E14", 45, None, True),
         ("p", 2, "H35", 50, "H35 - Retinopathy", True),
     ]
+
+
+def test_visit_marked_unknown_never_counts(table):
+    from kohorta.operators.cohort import classify_cohort, validate_visits, visit_flags
+
+    patients = {"a": [["1111"], ["401", "9050"], ["402", "9999", "9045"]], "b": [["401", "9050"], ["402", "9045"]]}
+    long = records(table, patients)
+    assert [r.p_id for r in classify_cohort(long).collect()] == ["b"]
+    status = {r.visit_idx: r.status for r in validate_visits(visit_flags(long)).where("p_id = 'a'").collect()}
+    assert status == {0: "sex_only", 1: "keep", 2: "keep_age_unknown"}
