@@ -24,11 +24,10 @@ from kohorta.session import literal_table
 Models = dict[tuple[int, int], np.ndarray]
 
 STAT_SCHEMA = "grp INT, k INT, cluster INT, n LONG, cost DOUBLE, total ARRAY<DOUBLE>"
-#: Up to this many task rows of a pass are added up on the driver instead of shuffled.
-GATHER_ROWS = 5_000
-#: Rows that seed the centers of a sweep, per center of its largest model.
-SEED_ROWS_PER_CENTER = 50
-#: Micro-clusters summarised before an agglomerative merge; a fixed bound, not a share of the rows.
+#: Rounds of drawing candidate centers, and candidates per round and center of the largest model.
+SEED_ROUNDS = 3
+OVERSAMPLING = 2
+#: Micro-clusters that an agglomerative merge works on unless the caller names another number.
 MICRO_CLUSTERS = 500
 
 
@@ -76,11 +75,20 @@ def pca_kmeans(points: DataFrame, k: int = 12, components: int = 2, seed: int =
 # ---- sweeps -----------------------------------------------------------------------------------
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an Arrow list column as a matrix."""
+def matrix(column: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
+    """Rows of an Arrow list column as a matrix; null rows and rows of another length are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    bad = np.flatnonzero((sizes < 0) | (sizes != sizes[:1]))
+    if column.null_count or len(bad):
+        at = int(np.flatnonzero(sizes < 0)[0]) if column.null_count else int(bad[0])
+        name = f"row {at} of a batch" if ids is None else f"id {ids[at].as_py()}"
+        raise ValueError(f"features of {name} are null or have another number of values than the first row")
+    values = column.flatten()
+    if values.null_count:
+        raise ValueError("features hold a null value")
+    return np.asarray(values).reshape(len(column), -1)
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -88,12 +96,11 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0, out=d2)
 
 
-def _lloyd_pass(points: DataFrame, models: Models, gather: bool = False) -> dict[tuple[int, int], dict[int, list]]:
+def _lloyd_pass(points: DataFrame, models: Models) -> dict[tuple[int, int], dict[int, list]]:
     """Size, cost and coordinate sum by cluster of every model, from one pass over the rows.
 
     Each task sends one row per cluster, so the shuffle grows with tasks x clusters, and what comes
-    back to the driver is the models themselves. With ``gather`` the task rows come back as they
-    are, for the caller that has checked that there are few.
+    back to the driver is the models themselves.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +141,13 @@ def _lloyd_pass(points: DataFrame, models: Models, gather: bool = False) -> dict
             ("total", pa.list_(pa.float64())),
         ]
     )
-    parts = points.select("grp", "features").mapInArrow(partial, STAT_SCHEMA)
-    if not gather:
-        sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
-        parts = parts.groupBy("grp", "k", "cluster").agg(
-            F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total")
-        )
+    sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
+    parts = (
+        points.select("grp", "features")
+        .mapInArrow(partial, STAT_SCHEMA)
+        .groupBy("grp", "k", "cluster")
+        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total"))
+    )
     stats: dict[tuple[int, int], dict[int, list]] = {}
     for r in parts.collect():
         clusters = stats.setdefault((r["grp"], r["k"]), {})
@@ -150,57 +158,102 @@ def _lloyd_pass(points: DataFrame, models: Models, gather: bool = False) -> dict
     return stats
 
 
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k centers drawn one after the other with probability by squared distance; a prefix of the
-    result is a draw for a smaller k."""
-    chosen = [sample[rng.integers(len(sample))]]
-    nearest = ((sample - chosen[0]) ** 2).sum(axis=1)
+def _plus_plus(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centers drawn one after the other with probability by weight and squared distance; a prefix
+    of the result is a draw for a smaller k."""
+    chosen = [rows[rng.choice(len(rows), p=weights / weights.sum())]]
+    nearest = ((rows - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = nearest.sum()
-        pick = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
-        chosen.append(sample[pick])
-        nearest = np.minimum(nearest, ((sample - chosen[-1]) ** 2).sum(axis=1))
+        pull = nearest * weights
+        total = pull.sum()
+        pick = rng.choice(len(rows), p=pull / total) if total > 0 else rng.integers(len(rows))
+        chosen.append(rows[pick])
+        nearest = np.minimum(nearest, ((rows - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 
+def _drawn(points: DataFrame, known: dict[int, np.ndarray], cost: dict[int, float], wanted: int, salt: int) -> dict[int, np.ndarray]:
+    """Rows of every group drawn with probability by squared distance to the known centers.
+
+    A row is drawn if a hash of its id falls below its share of the group's cost times ``wanted``, so
+    about ``wanted`` rows of a group come back, whatever its size, and the same ones on every run.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, groups, u = matrix(batch.column("features")), np.asarray(batch.column("grp")), np.asarray(batch.column("u"))
+            d2 = np.zeros(len(x))
+            for g in np.unique(groups):
+                d2[groups == g] = squared_distances(x[groups == g], known[g]).min(axis=1) * wanted / max(cost[g], 1e-300)
+            hit = pa.array(np.flatnonzero(u < d2))
+            yield batch.select(["grp", "id_hash", "features"]).take(hit)
+
+    hashed = F.xxhash64(F.lit(salt), "grp", "id")
+    u = F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
+    rows = points.select("grp", hashed.alias("id_hash"), u.alias("u"), "features")
+    found: dict[int, list] = {}
+    for r in rows.mapInArrow(draw, "grp INT, id_hash LONG, features ARRAY<DOUBLE>").orderBy("grp", "id_hash", "features").collect():
+        found.setdefault(r["grp"], []).append(r["features"])
+    return {g: np.array(rows) for g, rows in found.items()}
+
+
+def _first_centers(points: DataFrame, k: int, seed: int) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """k first centers per group by k-means|| over all rows, and each group's cost around one row.
+
+    Every round draws candidates from the whole table, far rows more likely; in the end a candidate
+    weighs as many rows as are nearest to it, and k of them are drawn. What comes to the driver is
+    bounded by groups, k and rounds.
+    """
+    first = F.min_by("features", F.struct(F.xxhash64(F.lit(seed), "grp", "id"), F.col("features")))
+    known = {r["grp"]: np.array([r["features"]]) for r in points.groupBy("grp").agg(first.alias("features")).collect()}
+    spread: dict[int, float] = {}
+    for turn in range(SEED_ROUNDS):
+        stats = _lloyd_pass(points, {(g, len(c)): c for g, c in known.items()})
+        cost = {g: sum(v[1] for v in clusters.values()) for (g, _), clusters in stats.items()}
+        spread = spread or cost
+        for g, rows in _drawn(points, known, cost, OVERSAMPLING * k, seed * 31 + turn).items():
+            known[g] = np.unique(np.concatenate([known[g], rows]), axis=0)
+    stats = _lloyd_pass(points, {(g, len(c)): c for g, c in known.items()})
+    centers = {}
+    for (g, _), clusters in stats.items():
+        weights = np.array([clusters.get(i, [0])[0] for i in range(len(known[g]))], float)
+        centers[g] = _plus_plus(known[g], weights, k, np.random.default_rng(seed))
+    return centers, spread
+
+
 def sweep_kmeans(
     points: DataFrame, ks: Sequence[int], seed: int = 37, max_iter: int = 50, tol: float = 1e-4
 ) -> tuple[Models, dict[tuple[int, int], float]]:
     """Centers and inertia of k-means for every k and group, all models moved by the same passes.
 
     ``points`` is (id, features) or (id, features, grp), grp an int that separates data sets. Centers
-    start from a fixed number of rows drawn by a hash of the id. A model whose centers together move
-    by less than ``tol`` variances leaves the later passes. Rows are kept on the executors meanwhile;
-    a lost block is computed again.
+    start from a draw over all rows of a group, see :func:`_first_centers`. A model whose centers
+    together move by less than ``tol`` variances leaves the later passes. Rows are kept on the
+    executors meanwhile; a lost block is computed again.
     """
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
     points = points.select("id", "features", F.col("grp").cast("int").alias("grp")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        groups = [r["grp"] for r in points.select("grp").distinct().collect()]
-        wanted = max(ks) * SEED_ROWS_PER_CENTER * len(groups)
-        # Fixed-size draw that only places the first centers; every row takes part in every pass.
-        drawn = points.orderBy(F.xxhash64("grp", "id", F.lit(seed))).limit(wanted).select("grp", "features").collect()
-        models: Models = {}
-        still = tol * np.array([r["features"] for r in drawn]).var(axis=0).mean()
-        for g in groups:
-            sample = np.array([r["features"] for r in drawn if r["grp"] == g])
-            start = _plus_plus(sample, max(ks), np.random.default_rng(seed))
-            models.update({(g, k): start[:k] for k in ks})
+        start, spread = _first_centers(points, max(ks), seed)
+        models: Models = {(g, k): centers[:k] for g, centers in start.items() for k in ks}
+        rows = {r["grp"]: r["n"] for r in points.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+        dims = next(iter(start.values())).shape[1]
+        # The cost around one row is about twice the variance, summed over rows and dimensions.
+        still = {g: tol * cost / (2 * rows[g] * dims) for g, cost in spread.items()}
         moving, inertia = set(models), {}
-        gather = points.rdd.getNumPartitions() * sum(ks) * len(groups) <= GATHER_ROWS
         for _ in range(max_iter):
-            stats = _lloyd_pass(points, {key: models[key] for key in moving}, gather)
+            stats = _lloyd_pass(points, {key: models[key] for key in moving})
             for key, clusters in stats.items():
                 centers = models[key].copy()
                 for c, (n, _, total) in clusters.items():
                     centers[c] = total / n
-                if ((centers - models[key]) ** 2).sum() <= still:
+                if ((centers - models[key]) ** 2).sum() <= still[key[0]]:
                     moving.discard(key)
                 models[key] = centers
             if not moving:
                 break
-        for key, clusters in _lloyd_pass(points, models, gather).items():
+        for key, clusters in _lloyd_pass(points, models).items():
             inertia[key] = sum(cost for _, cost, _ in clusters.values())
         return models, inertia
     finally:
@@ -212,7 +265,7 @@ def assign(points: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("features"))
+            x = matrix(batch.column("features"), batch.column("id"))
             found = np.stack([squared_distances(x, c).argmin(axis=1) for c in centers], axis=1).astype(np.int32)
             offsets = np.arange(0, found.size + 1, len(centers), dtype=np.int32)
             labels = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
@@ -263,22 +316,17 @@ def ward_two_stage(
 ) -> DataFrame:
     """Rows with ``labels``, one Ward cut per k, smallest k first.
 
-    With at most ``micro`` distinct rows the merge is exact. Otherwise k-means first forms ``micro``
-    small clusters, and the merge works on their sizes and means; rows get the label of their
-    micro-cluster. The summary on the driver has a fixed size however many rows there are.
+    K-means forms at most ``micro`` small clusters, and the merge works on their sizes and means; rows
+    get the label of their micro-cluster. The summary on the driver has a fixed size however many rows
+    there are, and a table of any size takes the same way. The more micro-clusters, the closer to a
+    merge of single rows.
     """
     ks = sorted(set(ks))
-    some = points.groupBy("features").agg(F.count("*").alias("n")).limit(micro + 1).collect()
-    if len(some) <= micro:
-        some.sort(key=lambda r: r["features"])
-        sizes = np.array([r["n"] for r in some])
-        means = np.array([r["features"] for r in some])
-    else:
-        models, _ = sweep_kmeans(points, [micro], seed, max_iter=10)
-        means = models[(0, micro)]
-        stats = _lloyd_pass(points.withColumn("grp", F.lit(0)), {(0, micro): means})[(0, micro)]
-        means = np.array([total / n for n, _, total in stats.values()])
-        sizes = np.array([n for n, _, _ in stats.values()])
+    models, _ = sweep_kmeans(points, [micro], seed, max_iter=10)
+    means = models[(0, micro)]
+    stats = _lloyd_pass(points.withColumn("grp", F.lit(0)), {(0, micro): means})[(0, micro)]
+    means = np.array([total / n for n, _, total in (stats[c] for c in sorted(stats))])
+    sizes = np.array([stats[c][0] for c in sorted(stats)])
     cuts = ward_merges(sizes, means, [min(k, len(sizes)) for k in ks])
     labels = [cuts[min(k, len(sizes))] for k in ks]
     placed = assign(points, [means]).withColumnRenamed("labels", "_micro")
@@ -294,7 +342,7 @@ def fit_labels(points: DataFrame, ks: Sequence[int], method: str = "kmeans", see
     if method == "kmeans":
         models, _ = sweep_kmeans(points, ks, seed)
         return assign(points, [models[(0, k)] for k in ks])
-    if method in ("ward", "birch"):
+    if method == "ward":
         return ward_two_stage(points, ks, seed=seed)
     if method == "bisecting":
         frame = points.select("id", "features")

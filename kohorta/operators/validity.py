@@ -2,14 +2,17 @@
 
 Rows are (id, features array<double>, labels array<int>): one label per model, so several models are
 scored together. Inertia, Davies-Bouldin and Calinski-Harabasz take two aggregations over the rows;
-the tables between are one row per cluster. The exact silhouette needs all distances and is computed
-in blocks; the squared-distance silhouette needs one pass.
+the tables between are one row per cluster. The silhouette that scores models is the one on squared
+distances, linear in the rows; the Euclidean one needs all distances and is an operator of its own.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from kohorta.session import literal_table
 
 #: Rows a task of the exact silhouette holds.
 BLOCK_ROWS = 4096
-#: Centroid tables up to this size are broadcast.
-MAX_CENTERS = 10_000
+#: Centroid tables up to this size are broadcast, and larger ones are read in blocks of this size.
+CENTER_BYTES = 64 << 20
 RANKED = {"davies_bouldin": True, "calinski_harabasz": False, "silhouette": False}
 
 
@@ -66,7 +69,8 @@ def spreads(points: DataFrame, ks: Sequence[int], dims: int | None = None) -> Da
     dims = dimension(points) if dims is None else dims
     rows = _per_model(points, ks)
     centers = centroids(points, ks, dims)
-    few = small_table(centers, MAX_CENTERS)
+    most = max(1, CENTER_BYTES // (8 * (dims + 4)))
+    few = small_table(centers, most)
     if few is not None:
         joined = rows.join(few, ["k", "cluster"])
     else:
@@ -81,7 +85,7 @@ def spreads(points: DataFrame, ks: Sequence[int], dims: int | None = None) -> Da
             F.avg(F.sqrt("d2")).alias("dev"),
         )
     )
-    few = small_table(sums, MAX_CENTERS) if few is not None else None
+    few = small_table(sums, most) if few is not None else None
     return sums if few is None else few
 
 
@@ -103,22 +107,70 @@ def aic_bic(totals: DataFrame, dims: int) -> DataFrame:
     )
 
 
+class _Centers(NamedTuple):
+    """Clusters of one model in a block: label, center, rows, sum of squares, mean distance."""
+
+    code: np.ndarray
+    mu: np.ndarray
+    n: np.ndarray
+    ss: np.ndarray
+    dev: np.ndarray
+
+
+def _center_blocks(stats: DataFrame) -> Iterator[dict[int, _Centers]]:
+    """The clusters by model in blocks of bounded size, streamed through the driver one at a time."""
+    rows: list = []
+    size = 0
+
+    def packed() -> dict[int, _Centers]:
+        by_model: dict[int, list] = {}
+        for r in rows:
+            by_model.setdefault(r["k"], []).append(r)
+        return {
+            k: _Centers(*(np.array([r[c] for r in own], t) for c, t in zip(("cluster", "mu", "n", "ss", "dev"), (int, *[float] * 4))))
+            for k, own in by_model.items()
+        }
+
+    for r in stats.select("k", "cluster", "mu", "n", "ss", "dev").orderBy("k", "cluster").toLocalIterator():
+        rows.append(r)
+        size += 8 * (len(r["mu"]) + 4)
+        if size >= CENTER_BYTES:
+            yield packed()
+            rows, size = [], 0
+    if rows:
+        yield packed()
+
+
 def davies_bouldin(stats: DataFrame) -> DataFrame:
     """(k, davies_bouldin): mean over clusters of the worst (dev + dev) / distance to another one.
 
-    Every cluster holds the list of its model's clusters and scans it in place, so no row per pair
-    of clusters is made. Clusters on the same centroid do not compare, as if infinitely far.
+    Every cluster is compared with blocks of its model's clusters, and one number per cluster and
+    block comes out. Clusters on the same centroid do not compare, as if infinitely far.
     """
-    lists = stats.groupBy("k").agg(F.collect_list(F.struct("cluster", "mu", "dev")).alias("others"))
-    ratio = """array_max(transform(others, o -> CASE WHEN o.cluster <> cluster THEN
-        coalesce((dev + o.dev) / nullif(sqrt(
-            aggregate(zip_with(mu, o.mu, (a, b) -> (a - b) * (a - b)), 0D, (t, v) -> t + v)), 0D), 0D) END))"""
-    return (
-        stats.join(lists, "k")
-        .select("k", F.expr(ratio).alias("worst"))
-        .groupBy("k")
-        .agg(F.avg("worst").alias("davies_bouldin"))
-    )
+
+    def against(block: dict[int, _Centers]):
+        def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ks, codes = np.asarray(batch.column("k")), np.asarray(batch.column("cluster"))
+                mu, dev, out = matrix(batch.column("mu")), np.asarray(batch.column("dev")), np.full(len(ks), -1.0)
+                for k in set(ks.tolist()) & block.keys():
+                    at, other = np.flatnonzero(ks == k), block[k]
+                    for i in at:
+                        d = np.sqrt(((other.mu - mu[i]) ** 2).sum(axis=1))
+                        d[(other.code == codes[i]) | (d == 0)] = np.inf
+                        ratio = np.where(other.code == codes[i], -1.0, (dev[i] + other.dev) / d)
+                        out[i] = ratio.max()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k"), batch.column("cluster"), pa.array(out)], names=["k", "cluster", "worst"]
+                )
+
+        return worst
+
+    slim = stats.select(F.col("k").cast("int").alias("k"), F.col("cluster").cast("int").alias("cluster"), "mu", "dev")
+    parts = [slim.mapInArrow(against(b), "k INT, cluster INT, worst DOUBLE") for b in _center_blocks(stats)]
+    worst = reduce(DataFrame.union, parts, slim.select("k", "cluster", F.lit(0.0).alias("worst")).where("false"))
+    per_cluster = worst.groupBy("k", "cluster").agg(F.max("worst").alias("worst"))
+    return per_cluster.groupBy("k").agg(F.avg(F.when(F.col("worst") >= 0, F.col("worst"))).alias("davies_bouldin"))
 
 
 def calinski_harabasz(stats: DataFrame, dims: int) -> DataFrame:
@@ -138,11 +190,6 @@ def calinski_harabasz(stats: DataFrame, dims: int) -> DataFrame:
 # ---- silhouette -------------------------------------------------------------------------------
 
 
-def _blocks(rows: int, parallelism: int) -> int:
-    size = min(BLOCK_ROWS, max(256, rows // max(1, 2 * parallelism)))
-    return max(1, math.ceil(rows / size))
-
-
 def _exact(points: DataFrame, n_models: int) -> DataFrame:
     """(id, features, labels, w, s): distinct rows, their number of copies, their silhouettes.
 
@@ -162,8 +209,7 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
     sizes = [{r["cluster"]: r["n"] for r in size_rows if r["m"] == m} for m in range(n_models)]
     codes = [np.array(sorted(s)) for s in sizes]
     counts = [np.array([s[c] for c in code], dtype=float) for s, code in zip(sizes, codes)]
-    n_rows = distinct.count()
-    blocks = _blocks(n_rows, points.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, math.ceil(distinct.count() / BLOCK_ROWS))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own, held, sums = None, [], None, None
@@ -270,62 +316,74 @@ def silhouette_squared(points: DataFrame, ks: Sequence[int], stats: DataFrame |
     """(k, silhouette) with squared distances, linear in the rows and one pass for all models.
 
     The mean squared distance of a row to a cluster is its squared distance to the centroid plus the
-    cluster's own mean squared deviation, so the centroid table says all about the other rows.
+    cluster's own mean squared deviation, so the centroid table says all about the other rows. It is
+    taken in blocks; the one block of all but huge tables is summed up in the tasks.
     """
     stats = spreads(points, ks) if stats is None else stats
-    clusters: dict[int, list] = {}
-    for r in stats.orderBy("k", "cluster").collect():
-        clusters.setdefault(r["k"], []).append(r)
-    tables = [
-        (
-            np.array([c["cluster"] for c in clusters[k]]),
-            np.array([c["mu"] for c in clusters[k]]),
-            np.array([c["n"] for c in clusters[k]], dtype=float),
-            np.array([c["ss"] for c in clusters[k]]),
-        )
-        for k in ks
-    ]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(tables)), 0
-        for batch in batches:
-            x, labels = matrix(batch.column("features")), matrix(batch.column("labels"))
-            seen += len(x)
-            for m, (code, mu, n, ss) in enumerate(tables):
-                if len(code) < 2:
-                    continue
-                at = np.searchsorted(code, labels[:, m])
-                rows = np.arange(len(x))
-                mean = squared_distances(x, mu) + (ss / n)[None, :]
-                inside = mean[rows, at] * n[at] / np.maximum(n[at] - 1, 1)
-                mean[rows, at] = np.inf
-                outside = mean.min(axis=1)
-                top = np.maximum(np.maximum(inside, outside), 1e-300)
-                total[m] += np.where(n[at] > 1, (outside - inside) / top, 0.0).sum()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "k": pa.array(list(ks), pa.int32()),
-                "total": pa.array(total, pa.float64()),
-                "n": pa.array([seen] * len(tables), pa.int64()),
-            }
-        )
+    place = {k: i for i, k in enumerate(ks)}
+    id_type = points.schema["id"].dataType.simpleString()
 
-    return (
-        points.select("features", "labels")
-        .mapInArrow(score, "k INT, total DOUBLE, n LONG")
-        .groupBy("k")
-        .agg((F.sum("total") / F.sum("n")).alias("silhouette"))
-    )
+    def distances(x: np.ndarray, labels: np.ndarray, c: _Centers) -> tuple[np.ndarray, np.ndarray]:
+        """Mean squared distance to the own cluster (nan: not in the block; inf: alone), to the nearest other."""
+        mean = squared_distances(x, c.mu) + (c.ss / c.n)[None, :]
+        at = np.minimum(np.searchsorted(c.code, labels), len(c.code) - 1)
+        own, rows = c.code[at] == labels, np.arange(len(x))
+        inside = np.where(own, np.where(c.n[at] > 1, mean[rows, at] * c.n[at] / np.maximum(c.n[at] - 1, 1), np.inf), np.nan)
+        mean[rows[own], at[own]] = np.inf
+        return inside, mean.min(axis=1)
+
+    def widths(inside: np.ndarray, outside: np.ndarray) -> np.ndarray:
+        known = np.isfinite(inside) & np.isfinite(outside)
+        a, b = np.where(known, inside, 0.0), np.where(known, outside, 0.0)
+        return np.where(known, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+
+    def summed(block: dict[int, _Centers]):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, seen = dict.fromkeys(block, 0.0), 0
+            for batch in batches:
+                x, labels = matrix(batch.column("features")), matrix(batch.column("labels"))
+                seen += len(x)
+                for k, c in block.items():
+                    total[k] += float(widths(*distances(x, labels[:, place[k]], c)).sum())
+            yield pa.RecordBatch.from_pydict(
+                {"k": pa.array(list(total), pa.int32()), "total": pa.array(list(total.values()), pa.float64()), "n": pa.array([seen] * len(total), pa.int64())}
+            )
+
+        return score
+
+    def parted(block: dict[int, _Centers]):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, labels = matrix(batch.column("features")), matrix(batch.column("labels"))
+                for k, c in block.items():
+                    inside, outside = distances(x, labels[:, place[k]], c)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), pa.array(np.full(len(x), k), pa.int32()), pa.array(inside, from_pandas=True), pa.array(outside)],
+                        names=["id", "k", "inside", "outside"],
+                    )
+
+        return rows
+
+    blocks = list(itertools.islice(iterator := _center_blocks(stats), 2))
+    if len(blocks) == 1:
+        sums = points.select("features", "labels").mapInArrow(summed(blocks[0]), "k INT, total DOUBLE, n LONG")
+        return sums.groupBy("k").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+    frame = points.select("id", "features", "labels")
+    parts = [frame.mapInArrow(parted(b), f"id {id_type}, k INT, inside DOUBLE, outside DOUBLE") for b in itertools.chain(blocks, iterator)]
+    met = reduce(DataFrame.union, parts).groupBy("id", "k").agg(F.max("inside").alias("a"), F.min("outside").alias("b"))
+    known = (F.col("a") < float("inf")) & (F.col("b") < float("inf"))
+    width = F.when(known, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0)
+    return met.groupBy("k").agg(F.avg(width).alias("silhouette"))
 
 
 # ---- choice of k ------------------------------------------------------------------------------
 
 
-def score_models(points: DataFrame, ks: Sequence[int], silhouette: str = "exact") -> DataFrame:
-    """(k, davies_bouldin, calinski_harabasz, silhouette) of each model."""
+def score_models(points: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """(k, davies_bouldin, calinski_harabasz, silhouette on squared distances) of each model."""
     dims = dimension(points)
     stats = spreads(points, ks, dims)
-    width = silhouette_exact(points, ks) if silhouette == "exact" else silhouette_squared(points, ks, stats)
+    width = silhouette_squared(points, ks, stats)
     return davies_bouldin(stats).join(calinski_harabasz(stats, dims), "k").join(width, "k")
 
 
@@ -348,14 +406,23 @@ def best_k_union(ranked: DataFrame, top: int = 3) -> DataFrame:
     return ranked.where(any_top).select("k").orderBy("k")
 
 
-def evaluate_k(
-    points: DataFrame, ks: Sequence[int], method: str = "kmeans", seed: int = 37, silhouette: str = "exact"
-) -> DataFrame:
+def _shortlisted(scores: DataFrame) -> DataFrame:
+    listed = F.least(*[F.col(f"{name}_rank") for name in RANKED]) <= 3
+    return rank_scores(scores).withColumn("shortlisted", listed)
+
+
+def evaluate_k(points: DataFrame, ks: Sequence[int], method: str = "kmeans", seed: int = 37) -> DataFrame:
     """Fit, score, rank and shortlist: the ranked table with ``shortlisted``."""
     ks = sorted(set(ks))
-    ranked = rank_scores(score_models(fit_labels(points, ks, method, seed), ks, silhouette))
-    listed = F.least(*[F.col(f"{name}_rank") for name in RANKED]) <= 3
-    return ranked.withColumn("shortlisted", listed)
+    return _shortlisted(score_models(fit_labels(points, ks, method, seed), ks))
+
+
+def shortlisted_labels(points: DataFrame, ks: Sequence[int], method: str = "kmeans", seed: int = 37) -> DataFrame:
+    """(id, k, cluster) of every model that :func:`evaluate_k` shortlists."""
+    ks = sorted(set(ks))
+    labelled = fit_labels(points, ks, method, seed)
+    listed = [r["k"] for r in _shortlisted(score_models(labelled, ks)).where("shortlisted").select("k").collect()]
+    return _per_model(labelled, ks).where(F.col("k").isin(listed)).select("id", "k", "cluster")
 
 
 def chosen(scores: DataFrame, value: str, highest: bool = True) -> DataFrame:
@@ -365,13 +432,11 @@ def chosen(scores: DataFrame, value: str, highest: bool = True) -> DataFrame:
 
 
 def best_k_silhouette(
-    points: DataFrame, ks: Sequence[int] = range(2, 10), method: str = "kmeans", seed: int = 42, silhouette: str = "exact"
+    points: DataFrame, ks: Sequence[int] = range(2, 10), method: str = "kmeans", seed: int = 42
 ) -> DataFrame:
-    """(k, silhouette, chosen) for the silhouette-best k."""
+    """(k, silhouette, chosen) for the best k by the silhouette on squared distances."""
     ks = sorted(set(ks))
-    labelled = fit_labels(points, ks, method, seed)
-    width = silhouette_exact(labelled, ks) if silhouette == "exact" else silhouette_squared(labelled, ks)
-    return chosen(width, "silhouette")
+    return chosen(silhouette_squared(fit_labels(points, ks, method, seed), ks), "silhouette")
 
 
 def _inertia_table(points: DataFrame, ks: Sequence[int], seed: int) -> DataFrame:
@@ -411,11 +476,13 @@ def best_k_elbow(points: DataFrame, ks: Sequence[int] = range(1, 20), seed: int
 
 
 def aic_bic_sweep(points: DataFrame, ks: Sequence[int] = range(2, 51), seed: int = 0) -> DataFrame:
-    """(k, inertia, aic, bic) of k-means for every k."""
+    """(k, inertia, aic, bic) of k-means for every k, with the k of the smallest AIC and BIC marked."""
     table = _inertia_table(points, list(ks), seed)
     n = points.agg(F.count("*").alias("n")).scalar()
     totals = table.withColumn("n", n).withColumn("n_clusters", F.col("k").cast("long"))
-    return aic_bic(totals, dimension(points))
+    scores = aic_bic(totals, dimension(points))
+    best = lambda value: F.row_number().over(Window.orderBy(F.col(value), F.col("k"))) == 1
+    return scores.withColumns({"chosen_aic": best("aic"), "chosen_bic": best("bic")})
 
 
 def best_k_gap(
@@ -440,9 +507,9 @@ def best_k_gap(
         *[F.max(F.col("features")[i]).alias(f"hi{i}") for i in range(dims)],
     ).first()
     _, actual = sweep_kmeans(points, ks, seed, max_iter)
-    columns = [
-        F.lit(bounds[f"lo{i}"]) + F.rand(seed * 1009 + i) * (bounds[f"hi{i}"] - bounds[f"lo{i}"]) for i in range(dims)
-    ]
+    # Uniform numbers from a hash of row and column, so they do not depend on how rows are placed.
+    uniforms = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), "id"), 11) / F.lit(float(1 << 53)) for i in range(dims)]
+    columns = [F.lit(bounds[f"lo{i}"]) + u * (bounds[f"hi{i}"] - bounds[f"lo{i}"]) for i, u in enumerate(uniforms)]
     uniform = spark.range(bounds["n"] * references).select(
         "id", (F.col("id") % references).cast("int").alias("grp"), F.array(*columns).alias("features")
     )

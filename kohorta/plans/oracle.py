@@ -479,14 +479,14 @@ ORACLE["calinski_harabasz"] = _ALL + "SELECT k, round(calinski_harabasz, 6) AS c
 ORACLE["silhouette_samples"] = _with(_PTS, _ONE, _EUCLID) + "SELECT id, round(s, 6) AS s FROM sil"
 ORACLE["silhouette_exact"] = _ALL + "SELECT k, round(silhouette, 6) AS silhouette FROM sc"
 ORACLE["silhouette_sq"] = _with(_PTS, _ONE, _SQUARE) + "SELECT k, round(silhouette, 6) AS silhouette FROM sc"
-ORACLE["drop_noise"] = _with(_PTS, "lab AS (SELECT id, f, 9 AS k, label AS cluster FROM pts WHERE label <> 0)", _EUCLID) + """
+ORACLE["drop_noise"] = _with(_PTS, "lab AS (SELECT id, f, 9 AS k, label AS cluster FROM pts WHERE label <> 0)", _SQUARE) + """
 SELECT k, round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz,
   round(silhouette, 6) AS silhouette FROM sc"""
-ORACLE["rank_scores"] = _with(_KS, _PTS, _MODELS, _EUCLID, _RANKS) + """
+ORACLE["rank_scores"] = _with(_KS, _PTS, _MODELS, _SQUARE, _RANKS) + """
 SELECT k, round(davies_bouldin, 6) AS davies_bouldin, round(calinski_harabasz, 6) AS calinski_harabasz,
   round(silhouette, 6) AS silhouette, CAST(davies_bouldin_rank AS INT) AS davies_bouldin_rank,
   CAST(calinski_harabasz_rank AS INT) AS calinski_harabasz_rank, CAST(silhouette_rank AS INT) AS silhouette_rank FROM rk"""
-ORACLE["best_k_union"] = _with(_KS, _PTS, _MODELS, _EUCLID, _RANKS) + """
+ORACLE["best_k_union"] = _with(_KS, _PTS, _MODELS, _SQUARE, _RANKS) + """
 SELECT k FROM rk WHERE davies_bouldin_rank <= 3 OR calinski_harabasz_rank <= 3 OR silhouette_rank <= 3"""
 
 # ---- density clusters: neighbours of all points, closure over core points

@@ -740,7 +740,7 @@ def best_k_silhouette(spark, sf):
 
 @query
 def best_k_silhouette_sq(spark, sf):
-    return rounded(validity.best_k_silhouette(views.points(spark, sf), silhouette="squared"))
+    return rounded(validity.best_k_silhouette(views.points(spark, sf)))
 
 
 @query
@@ -775,6 +775,7 @@ def candidate_ks(spark, sf):
         [
             validity.best_k_silhouette(points),
             validity.best_k_silhouette(points, method="ward"),
+            validity.best_k_silhouette(points, method="bisecting"),
             validity.best_k_gap(points),
             validity.best_k_elbow(points),
         ]

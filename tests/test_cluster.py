@@ -35,7 +35,7 @@ def brute_silhouette(x, labels):
 def test_silhouette_against_brute_force(table, monkeypatch):
     x = np.concatenate([blobs(per=40), blobs(per=40)[:30], [[50.0, 50.0]]])  # with copies and a singleton
     labels = np.concatenate([np.arange(len(x) - 1) % 4, [9]])
-    monkeypatch.setattr(validity, "_blocks", lambda rows, cores: 5)
+    monkeypatch.setattr(validity, "BLOCK_ROWS", 30)
     points = frame(table, x, labels)
     got = {r["id"]: r["s"] for r in validity.silhouette_samples(points).collect()}
     expected = brute_silhouette(x, labels)
@@ -50,7 +50,7 @@ def test_indices_with_large_centroid_tables(table, monkeypatch):
     x = blobs()
     points = frame(table, x, np.repeat([0, 1, 2], 60))
     small = validity.score_models(points, [3]).first()
-    monkeypatch.setattr(validity, "MAX_CENTERS", 1)
+    monkeypatch.setattr(validity, "CENTER_BYTES", 1)
     large = validity.score_models(points, [3]).first()
     assert np.allclose(small, large)
 
@@ -68,12 +68,40 @@ def test_sweep_finds_blobs_and_matches_one_model(table, spark):
     assert sorted(r["n"] for r in features.cluster_sizes(fitted, "cluster").collect()) == [60, 60, 60]
 
 
-def test_sweep_adds_up_alike_on_driver_and_by_shuffle(table, monkeypatch):
-    points = frame(table, blobs()).repartition(5)
-    _, gathered = cluster.sweep_kmeans(points, [2, 3])
-    monkeypatch.setattr(cluster, "GATHER_ROWS", 0)
-    _, shuffled = cluster.sweep_kmeans(points, [2, 3])
-    assert all(abs(gathered[key] - shuffled[key]) < 1e-6 for key in shuffled)
+def test_sweep_does_not_depend_on_partitions(table):
+    points = frame(table, blobs())
+    _, one = cluster.sweep_kmeans(points.repartition(1), [2, 3])
+    _, many = cluster.sweep_kmeans(points.repartition(7), [2, 3])
+    assert all(abs(one[key] - many[key]) < 1e-6 for key in one)
+
+
+def test_sweep_seeds_small_groups(spark):
+    grp = F.when(F.col("id") < 5, 1).otherwise(0)
+    points = spark.range(5005).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("features"), grp.alias("grp"))
+    models, cost = cluster.sweep_kmeans(points, [2, 3])
+    assert {key for key in models} == {(0, 2), (0, 3), (1, 2), (1, 3)}
+    assert cost[(1, 3)] < cost[(1, 2)]
+
+
+def test_ragged_and_null_features_are_errors(spark):
+    for bad in ("array(4D)", "cast(null as array<double>)", "array(1D, null)"):
+        points = spark.sql(f"select 1L as id, array(1D, 2D) as features union all select 2L, {bad}").coalesce(1)
+        with pytest.raises(Exception, match="features"):
+            cluster.assign(points, [np.zeros((2, 2))]).collect()
+
+
+def test_shortlisted_models_keep_their_labels(table):
+    points = frame(table, blobs())
+    listed = {r["k"] for r in validity.evaluate_k(points, range(2, 9)).where("shortlisted").collect()}
+    kept = validity.shortlisted_labels(points, range(2, 9))
+    assert {r["k"] for r in kept.select("k").distinct().collect()} == listed
+    assert kept.count() == 180 * len(listed)
+
+
+def test_information_criteria_mark_their_minimum(table):
+    got = validity.aic_bic_sweep(frame(table, blobs()), range(2, 7)).collect()
+    assert [r["k"] for r in got if r["chosen_aic"]] == [min(got, key=lambda r: r["aic"])["k"]]
+    assert [r["k"] for r in got if r["chosen_bic"]] == [min(got, key=lambda r: r["bic"])["k"]]
 
 
 def test_best_k_of_blobs(table):
@@ -81,7 +109,7 @@ def test_best_k_of_blobs(table):
     for found in (
         validity.best_k_silhouette(points, range(2, 7)),
         validity.best_k_silhouette(points, range(2, 7), "ward"),
-        validity.best_k_silhouette(points, range(2, 5), "bisecting", silhouette="squared"),
+        validity.best_k_silhouette(points, range(2, 5), "bisecting"),
         validity.best_k_elbow(points, range(1, 9)),
         validity.best_k_gap(points, range(1, 5), references=2, max_iter=8),
     ):
