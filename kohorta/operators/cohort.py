@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from kohorta.functions.codes import (
     AGE_UNKNOWN,
     COHORT_AGE_PATTERN,
+    FEMALE,
     INDEX_CODE,
     LEGACY_AGE_PATTERN,
+    MALE,
+    SEX_UNKNOWN,
     SINGLE_AGE_PATTERN,
     TARGET_CODES,
     extract_age,
@@ -47,9 +50,13 @@ def visit_flags(
     age_pattern: str = COHORT_AGE_PATTERN,
 ) -> DataFrame:
     """One row per visit with what the rules ask of it. Sex markers count apart from other codes."""
+    return records.groupBy(*VISIT).agg(*_flags(index, targets, age_pattern))
+
+
+def _flags(index: str, targets: Sequence[str], age_pattern: str) -> list[Column]:
     code = F.col("code")
     age = extract_age(code, age_pattern)
-    return records.groupBy(*VISIT).agg(
+    return [
         F.count_if(~is_sex_marker(code) & (code != AGE_UNKNOWN)).alias("n"),
         F.count_if(age.isNotNull()).alias("n_age"),
         F.count_if(code.isin(*targets)).alias("n_target"),
@@ -57,7 +64,7 @@ def visit_flags(
         F.bool_or(code == index).alias("has_index"),
         F.bool_or(code == AGE_UNKNOWN).alias("marked_unknown"),
         F.min(age).alias("min_age"),
-    )
+    ]
 
 
 def require_index(flags: DataFrame) -> DataFrame:
@@ -90,6 +97,43 @@ def validate_visits(flags: DataFrame) -> DataFrame:
     return flags.withColumn("status", status).withColumn("age_unknown", F.col("status") == "keep_age_unknown")
 
 
+def clean_records(
+    records: DataFrame,
+    index: str = INDEX_CODE,
+    targets: Sequence[str] = TARGET_CODES,
+    age_pattern: str = COHORT_AGE_PATTERN,
+) -> DataFrame:
+    """(p_id, visits): the records that the selection leaves, nested.
+
+    The first visit holds the patient's sex code alone, the unknown one for evidence of both or none.
+    Then come the kept visits in order, without sex markers; a target visit without an age ends with
+    the unknown-age marker. Patients of whom no visit is kept have the sex visit only. Two
+    aggregations, no join: a visit's codes and a patient's visits are the groups that the records are
+    nested by.
+    """
+    code = F.col("code")
+    coded = F.when(~is_sex_marker(code), F.struct("code_idx", "code"))
+    per_visit = validate_visits(
+        records.groupBy(*VISIT).agg(
+            *_flags(index, targets, age_pattern),
+            F.bool_or(code == MALE).alias("is_male"),
+            F.bool_or(code == FEMALE).alias("is_female"),
+            F.array_sort(F.collect_list(coded)).alias("coded"),
+        )
+    )
+    codes = F.transform("coded", lambda c: c["code"])
+    unmarked = (F.col("n_target") > 0) & (F.col("n_age") == 0) & ~F.col("marked_unknown")
+    codes = F.when(unmarked, F.concat(codes, F.array(F.lit(AGE_UNKNOWN)))).otherwise(codes)
+    visit = F.when(F.col("status").isin(*KEPT, "keep_age_unknown"), F.struct("visit_idx", codes.alias("codes")))
+    per_patient = per_visit.groupBy("p_id").agg(
+        F.bool_or("is_male").alias("is_male"),
+        F.bool_or("is_female").alias("is_female"),
+        F.array_sort(F.collect_list(visit)).alias("kept"),
+    )
+    sex = F.when(F.col("is_male") & ~F.col("is_female"), MALE).when(F.col("is_female") & ~F.col("is_male"), FEMALE).otherwise(SEX_UNKNOWN)
+    return per_patient.select("p_id", F.concat(F.array(F.array(sex)), F.transform("kept", lambda v: v["codes"])).alias("visits"))
+
+
 def require_min_visits(
     validated: DataFrame, minimum: int = 2, sex: DataFrame | None = None, strict_sex_visit: bool = False
 ) -> DataFrame:

@@ -293,6 +293,18 @@ SELECT p_id, dm AS first_index_age, lo AS min_age, hi AS max_age, {_COHORT} AS c
 _SELECT = f"""chosen AS (SELECT p_id, dm AS first_index_age, lo AS min_age, hi AS max_age, {_COHORT} AS cohort
   FROM pat WHERE has_index_with_age AND n_valid >= 2)"""
 ORACLE["cohort_select"] = _with(EVT, FLAGS, _SELECT) + "SELECT * FROM chosen"
+_CLEAN = """own AS (SELECT p_id, visit_idx, list(code ORDER BY code_idx, code) FILTER (code NOT IN ('1111', '2222', '3333')) AS cs
+  FROM evt GROUP BY p_id, visit_idx),
+kv AS (SELECT p_id, list(CASE WHEN n_target > 0 AND n_age = 0 AND NOT unknown THEN list_append(cs, '9999') ELSE cs END ORDER BY visit_idx) AS vs
+  FROM valid JOIN own USING (p_id, visit_idx) WHERE status LIKE 'keep%' GROUP BY p_id),
+cleaned AS (SELECT sexed.p_id, CAST(to_json(list_concat(
+    [[CASE sex WHEN 'M' THEN '1111' WHEN 'F' THEN '2222' ELSE '3333' END]], coalesce(vs, []))) AS VARCHAR) AS visits_json
+  FROM sexed LEFT JOIN kv USING (p_id))"""
+ORACLE["cleaned_records"] = _with(EVT, FLAGS, SEX.format(src="evt"), _CLEAN) + "SELECT p_id, visits_json FROM cleaned"
+ORACLE["cohort_files"] = _with(EVT, FLAGS, SEX.format(src="evt"), _CLEAN, _SELECT) + """
+SELECT p_id, cohort, visits_json FROM cleaned JOIN chosen USING (p_id) WHERE cohort IN ('only_future', 'complete')"""
+ORACLE["csv_round_trip"] = _with(REC) + "SELECT DISTINCT p_id, visit_idx, age FROM rec"
+ORACLE["nested_round_trip"] = ORACLE["flatten_visits"]
 ORACLE["cohort_classify_legacy"] = _with(
     EVT,
     """lf AS (SELECT p_id, visit_idx, count(*) AS n, count(*) FILTER (code LIKE '%90%' AND length(code) = 4) AS n_age,

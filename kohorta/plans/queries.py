@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from kohorta.functions import scalars
 from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
 from kohorta.plans.skew import hot_keys, spread_join
-from kohorta.session import literal_table
+from kohorta.session import literal_table, run_dir
 from kohorta.sources import catalog as cat
 from kohorta.sources import records as rec
 from kohorta.sources import relational
@@ -430,6 +431,38 @@ def cohort_select(spark, sf):
     return cohort.classify_cohort(views.activity(spark, sf))
 
 
+@query
+def cleaned_records(spark, sf):
+    return rec.records_json(cohort.clean_records(views.activity(spark, sf)))
+
+
+@query
+def cohort_files(spark, sf):
+    """Records of the chosen patients, written by cohort; the family with a future is read back."""
+    activity = views.activity(spark, sf)
+    path = f"{run_dir(spark)}/cohorts-{uuid.uuid4().hex}"
+    rec.write_cohorts(cohort.clean_records(activity), cohort.classify_cohort(activity), path)
+    family = rec.read_family(spark, path, cohort.FAMILIES["future"])
+    return family.select("p_id", "cohort", F.to_json("visits").alias("visits_json"))
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Visits written as CSV and read back."""
+    visits = views.visits_of(views.purchases(spark, sf))
+    path = f"{run_dir(spark)}/visits-{uuid.uuid4().hex}"
+    rec.write_table(visits, path, "csv")
+    return rec.read_table(spark, path, "p_id BIGINT, visit_idx BIGINT, age INT", "csv")
+
+
+@query
+def nested_round_trip(spark, sf):
+    """Nested records written as JSON Lines, read back and flattened."""
+    path = f"{run_dir(spark)}/records-{uuid.uuid4().hex}"
+    rec.write_records(views.notes(spark, sf), path)
+    return rec.flatten_visits(rec.read_records(spark, path))
+
+
 @query
 def cohort_classify_legacy(spark, sf):
     return cohort.classify_cohort_legacy(views.activity(spark, sf))

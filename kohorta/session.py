@@ -31,17 +31,35 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only in local mode."""
+    """Shared folder named by the cluster; a temporary one only in local mode.
+
+    A path on a machine's own disk is refused on a cluster: other machines would not see it.
+    """
+    local = spark.sparkContext.master.startswith("local")
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not local and (not folder or folder.startswith("file:")):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="kohorta-ckpt-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="kohorta-ckpt-")
+        spark.conf.set(CHECKPOINT_KEY, folder)
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the driver ends.
+
+    What is written there is read lazily, so it has to stay for as long as a result may be.
+    """
+    context = spark.sparkContext
+    path = f"{checkpoint_dir(spark).rstrip('/')}/kohorta-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,7 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the next round starts at a file scan, and the scan brings fresh size statistics for joins.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -68,6 +68,9 @@ def records_json(nested: DataFrame) -> DataFrame:
 def write_cohorts(nested: DataFrame, classified: DataFrame, path: str) -> None:
     """Nested records as JSON Lines in one folder per cohort.
 
+    ``nested`` is what :func:`kohorta.operators.cohort.clean_records` returns, so the files hold the
+    kept visits only.
+
     Families overlap and are unions of cohorts, so they are read with :func:`read_family` instead of
     being written again.
     """

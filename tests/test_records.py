@@ -237,3 +237,19 @@ def test_visit_marked_unknown_never_counts(table):
     assert [r.p_id for r in classify_cohort(long).collect()] == ["b"]
     status = {r.visit_idx: r.status for r in validate_visits(visit_flags(long)).where("p_id = 'a'").collect()}
     assert status == {0: "sex_only", 1: "keep", 2: "keep_age_unknown"}
+
+
+def test_cleaned_records_feed_the_wide_table(table):
+    from kohorta.sources.records import flatten_visits
+
+    patients = {
+        "a": [["401", "9050"], ["1111", "402"], ["703"], ["9060"], ["402", "9999", "9045"], ["404", "9052"]],
+        "b": [["1111", "2222"], ["402"]],
+    }
+    cleaned = cohort.clean_records(records(table, patients))
+    got = {r.p_id: r.visits for r in cleaned.collect()}
+    assert got["a"] == [["1111"], ["401", "9050"], ["703", "9999"], ["402", "9999", "9045"], ["404", "9052"]]
+    assert got["b"] == [["3333"]]
+    catalog = cat.builtin_catalog(cleaned.sparkSession)
+    wide = pipelines.to_wide(flatten_visits(cleaned), catalog, cat.column_codes(catalog), ["H35"])
+    assert sorted((r.p_id, r.sex, r.age) for r in wide.collect()) == [("a", "M", 45), ("a", "M", 50), ("a", "M", 52)]
