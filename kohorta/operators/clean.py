@@ -18,18 +18,18 @@ from kohorta.functions.codes import (
     is_sex_marker,
     sex_letter,
 )
-from kohorta.plans.skew import hot_keys, spread_join
+from kohorta.plans.skew import spread_join
+from kohorta.session import written
 
 PATIENT = ["p_id"]
 VISIT = ["p_id", "visit_idx"]
 
 
 def sex_flags(records: DataFrame) -> DataFrame:
-    """One row per patient: is there male evidence, female evidence, and how many rows."""
+    """One row per patient: is there male evidence, is there female evidence."""
     return records.groupBy("p_id").agg(
         F.bool_or(F.col("code") == MALE).alias("is_male"),
         F.bool_or(F.col("code") == FEMALE).alias("is_female"),
-        F.count("*").alias("n_rows"),
     )
 
 
@@ -40,7 +40,7 @@ def resolve_sex(records: DataFrame) -> DataFrame:
 
 def spread_sex_evidence(records: DataFrame) -> DataFrame:
     """Every code row with its patient's evidence flags."""
-    return spread_join(records, sex_flags(records), PATIENT).drop("n_rows")
+    return spread_join(records, sex_flags(records), PATIENT)
 
 
 def sex_report(records: DataFrame) -> DataFrame:
@@ -93,41 +93,35 @@ def age_conflict_report(records: DataFrame, pattern: str = AGE_PATTERN) -> DataF
     )
 
 
-def aged_visits(records: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
-    """(p_id, visit_idx, age) of visits with a known age and at least one diagnosis."""
+def coded_visits(records: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
+    """(p_id, visit_idx, age, is_male, is_female, codes): all that later steps ask of the records.
+
+    One aggregation over the records, written to the shared folder. ``age`` is the first one of the
+    visit, ``codes`` its distinct diagnoses.
+    """
     code = F.col("code")
     age = extract_age(code, pattern)
-    return (
-        records.groupBy(*VISIT)
-        .agg(
-            F.min_by(age, F.when(age.isNotNull(), F.col("code_idx"))).alias("age"),
-            F.bool_or(~is_sex_marker(code) & (code != AGE_UNKNOWN) & age.isNull()).alias("_has_dx"),
-        )
-        .where("age IS NOT NULL AND _has_dx")
-        .drop("_has_dx")
+    dx = F.when(~is_sex_marker(code) & (code != AGE_UNKNOWN) & age.isNull(), code)
+    per_visit = records.groupBy(*VISIT).agg(
+        F.min_by(age, F.when(age.isNotNull(), F.col("code_idx"))).alias("age"),
+        F.bool_or(code == MALE).alias("is_male"),
+        F.bool_or(code == FEMALE).alias("is_female"),
+        F.collect_set(dx).alias("codes"),
     )
+    return written(per_visit, "coded-visits")
 
 
-def clinical_visits(records: DataFrame, pattern: str = AGE_PATTERN, hot: DataFrame | None = None) -> DataFrame:
-    """(p_id, visit_idx, sex, age) of the visits of :func:`aged_visits`.
+def clinical_visits(coded: DataFrame) -> DataFrame:
+    """(p_id, visit_idx, sex, age) of the :func:`coded_visits` with a known age and a diagnosis.
 
-    Sex comes from all rows of a patient, because a visit of markers only is evidence, too.
+    Sex comes from all visits of a patient, because a visit of markers only is evidence, too.
     """
-    flags = sex_flags(records)
-    sexes = flags.select("p_id", sex_letter(F.col("is_male"), F.col("is_female")).alias("sex"))
-    hot = hot_keys(flags, PATIENT) if hot is None else hot
-    return spread_join(aged_visits(records, pattern), sexes, PATIENT, hot=hot).select(*VISIT, "sex", "age")
+    flags = coded.groupBy("p_id").agg(F.bool_or("is_male").alias("m"), F.bool_or("is_female").alias("f"))
+    sexes = flags.select("p_id", sex_letter(F.col("m"), F.col("f")).alias("sex"))
+    known = coded.where("age IS NOT NULL AND size(codes) > 0").select(*VISIT, "age")
+    return spread_join(known, sexes, PATIENT).select(*VISIT, "sex", "age")
 
 
-def diagnosis_rows(records: DataFrame, visits: DataFrame, pattern: str = AGE_PATTERN) -> DataFrame:
-    """Distinct diagnoses (p_id, visit_idx, age, code) of the given (p_id, visit_idx, age) visits.
-
-    Made distinct first, a visit has at most one row per code, so this join has no hot key.
-    """
-    code = F.col("code")
-    dx = (
-        records.where(~is_sex_marker(code) & (code != AGE_UNKNOWN) & extract_age(code, pattern).isNull())
-        .select(*VISIT, "code")
-        .distinct()
-    )
-    return dx.join(visits.select(*VISIT, "age"), VISIT).select(*VISIT, "age", "code")
+def diagnosis_rows(coded: DataFrame) -> DataFrame:
+    """Distinct diagnoses (p_id, visit_idx, age, code) of the :func:`coded_visits` with a known age."""
+    return coded.where("age IS NOT NULL").select(*VISIT, "age", F.explode("codes").alias("code"))

@@ -322,13 +322,8 @@ def single_age_attrition(
 
 
 def index_patients(dx: DataFrame, index: str) -> DataFrame:
-    """(p_id, n_rows) of patients with the index code."""
-    return (
-        dx.groupBy("p_id")
-        .agg(F.bool_or(F.col("code") == index).alias("_has"), F.count("*").alias("n_rows"))
-        .where("_has")
-        .drop("_has")
-    )
+    """(p_id) of patients with the index code."""
+    return dx.where(F.col("code") == index).select("p_id").distinct()
 
 
 def attrition_counts(dx: DataFrame, patients: DataFrame, index: str) -> DataFrame:

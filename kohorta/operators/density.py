@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kohorta.plans.skew import hot_keys, spread_join
+from kohorta.plans.skew import spread_join
 from kohorta.session import written
 
 NOISE = -1
@@ -58,13 +58,13 @@ class _Grid:
         return moved.select("blk", *target, *own, F.col("id").alias("qid"))
 
 
-def _sparse_neighbours(grid: _Grid, probing: DataFrame, points: DataFrame, hot: DataFrame) -> DataFrame:
+def _sparse_neighbours(grid: _Grid, probing: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (qid, point) within eps, for probing points that lie in sparse cells.
 
     A cell has fewer than ``min_samples`` probing points, so a point meets a bounded number of them
     and the work is linear in the points; the caller aggregates the pairs at once.
     """
-    return spread_join(points, grid.probes(probing, grid.offsets), grid.key, hot=hot).where(grid.near("", "q"))
+    return points.join(grid.probes(probing, grid.offsets), grid.key).where(grid.near("", "q"))
 
 
 def _boxes(grid: _Grid, points: DataFrame, level: int) -> DataFrame:
@@ -189,9 +189,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         stepped = written(stepped.observe(seen, F.count_if(F.col("next") < F.col("label")).alias("moved")), "components-step")
         if seen.get["moved"] == 0:
             return labels
-        sizes = stepped.groupBy("next").agg(F.count("*").alias("n_rows"))
         targets = stepped.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        jumped = spread_join(stepped, targets, ["next"], hot=hot_keys(sizes, ["next"]))
+        jumped = stepped.join(targets, "next")
         labels = written(jumped.select("node", F.col("jump").alias("label")), "components")
     raise RuntimeError("components did not settle")
 
@@ -221,13 +220,12 @@ def dbscan(
     # Equal rows become one weighted point.
     collapsed = rows.groupBy("blk", *grid.x).agg(F.min("id").alias("id"), F.count("*").alias("w"))
     points = written(collapsed.select("*", *[c.alias(n) for c, n in zip(grid.cells(), grid.c)]), "dbscan-points")
-    cells = points.groupBy(*grid.key).agg(F.sum("w").alias("cell_w"), F.count("*").alias("n_rows"))
-    hot = hot_keys(cells, grid.key)
-    weighted = spread_join(points, cells, grid.key, hot=hot)
+    cells = points.groupBy(*grid.key).agg(F.sum("w").alias("cell_w"))
+    weighted = spread_join(points, cells, grid.key)
     dense = F.col("cell_w") >= min_samples
     sparse = written(weighted.where(~dense).select("id", "w", "blk", *grid.x, *grid.c), "dbscan-sparse")
     reached = (
-        _sparse_neighbours(grid, sparse, points, hot)
+        _sparse_neighbours(grid, sparse, points)
         .groupBy(F.col("qid").alias("id"))
         .agg(F.sum("w").alias("around"))
         .where(F.col("around") >= min_samples)
@@ -238,18 +236,18 @@ def dbscan(
     core = written(core, "dbscan-core")
     nodes = core.groupBy(*grid.key).agg(F.min("id").alias("node"), F.count("*").alias("n_rows"))
     nodes = written(nodes, "dbscan-nodes")
-    placed = spread_join(core, nodes, grid.key, hot=hot).select("node", *grid.key, *grid.x, "id")
+    placed = core.join(nodes, grid.key).select("node", *grid.key, *grid.x, "id")
     edges = _touching(grid, placed, nodes)
     labels = connected_components(nodes, edges)
     node_labels = nodes.join(labels, "node").select(*grid.key, "label")
-    core_labels = written(spread_join(core, node_labels, grid.key, hot=hot).select(*columns, "label"), "dbscan-labels")
+    core_labels = written(core.join(node_labels, grid.key).select(*columns, "label"), "dbscan-labels")
     rest = sparse.join(core.select("id"), "id", "left_anti")
     border = (
-        _sparse_neighbours(grid, rest, core_labels.drop("id"), hot)
+        _sparse_neighbours(grid, rest, core_labels.drop("id"))
         .groupBy(F.col("qid").alias("id"))
         .agg(F.min("label").alias("label"))
     )
     found = core_labels.select("id", "label").union(border)
-    by_point = points.select("blk", *grid.x, "id", F.col("w").alias("n_rows")).join(found, "id", "left")
-    per_point = by_point.select("blk", *grid.x, "n_rows", F.coalesce("label", F.lit(NOISE)).alias("cluster"))
+    by_point = points.select("blk", *grid.x, "id").join(found, "id", "left")
+    per_point = by_point.select("blk", *grid.x, F.coalesce("label", F.lit(NOISE)).alias("cluster"))
     return spread_join(rows, per_point, ["blk", *grid.x]).select(F.col("id").alias(key), "cluster")

@@ -1,8 +1,8 @@
 """History, look-ahead labels, wide and yearly tables, timelines.
 
-``dx`` is (p_id, visit_idx, age, code), ``visits`` is (p_id, visit_idx, age, ...), ``hot`` the patients
-to spread in joins, counted from the visits when not given. Visits of a patient are ordered by (age, visit_idx). What a visit knows of its past is fully given by the first moment
-each code was seen, so a patient's history is never joined to itself.
+``dx`` is (p_id, visit_idx, age, code), ``visits`` is (p_id, visit_idx, age, ...). Visits of a patient
+are ordered by (age, visit_idx). What a visit knows of its past is fully given by the first moment each
+code was seen, so a patient's history is never joined to itself.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kohorta.functions.codes import INDEX_GROUP, LABEL_PREFIX, MOMENT_BASE, MOMENT_BITS, moment
-from kohorta.plans.skew import hot_keys, spread_join
+from kohorta.plans.skew import spread_join
 
 # Codes a timeline marks.
 HIGHLIGHT_CODES = ("H35", "I20-I25", "Z89", "N18", "E10-E14")
@@ -45,25 +45,20 @@ def _moment() -> Column:
     return moment(F.col("age"), F.col("visit_idx"))
 
 
-def _patient_sizes(visits: DataFrame) -> DataFrame:
-    return visits.groupBy("p_id").agg(F.count("*").alias("n_rows"))
-
-
 def first_seen(dx: DataFrame) -> DataFrame:
     """(p_id, code, first_moment): when a patient got each code."""
     return dx.groupBy("p_id", "code").agg(F.min(_moment()).alias("first_moment"))
 
 
-def carry_history(visits: DataFrame, dx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def carry_history(visits: DataFrame, dx: DataFrame) -> DataFrame:
     """Each visit with every code its patient had at that visit or before.
 
     The result holds visits x known codes by definition; :func:`wide_table` gives the same content
     without building those rows.
     """
     known = first_seen(dx)
-    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     return (
-        spread_join(visits, known, ["p_id"], hot=hot)
+        spread_join(visits, known, ["p_id"])
         .where(_moment() >= F.col("first_moment"))
         .drop("first_moment")
     )
@@ -75,7 +70,6 @@ def lookahead_labels(
     targets: Sequence[str],
     horizon: int = 1,
     onset_only: bool = False,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Visits (p_id, visit_idx, age) with a label for each target they have or will have in ``horizon`` years.
 
@@ -91,9 +85,8 @@ def lookahead_labels(
     due = age >= F.col("first_age") - horizon
     if onset_only:
         due = due & (age <= F.col("first_age"))
-    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
     return (
-        spread_join(visits, onset, ["p_id"], hot=hot)
+        spread_join(visits, onset, ["p_id"])
         .where(due)
         .select("p_id", "visit_idx", "age", label_name(F.col("code")).alias("label"))
     )
@@ -116,7 +109,6 @@ def wide_table(
     codes: Sequence[str],
     targets: Sequence[str],
     horizon: int = 1,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per visit: a column per code carried from the past, a label column per target.
 
@@ -140,8 +132,7 @@ def wide_table(
         f"(shiftright(try_element_at(_known, c), {MOMENT_BITS}) - {horizon}) * {MOMENT_BASE}L)"
     )
     known = known.selectExpr("p_id", f"concat({first}, {onset}) AS _from")
-    hot = hot_keys(_patient_sizes(visits), ["p_id"]) if hot is None else hot
-    joined = spread_join(visits.withColumn("_now", _moment()), known, ["p_id"], "left", hot=hot)
+    joined = spread_join(visits.withColumn("_now", _moment()), known, ["p_id"], "left")
     names = [*codes, *(LABEL_PREFIX + t for t in targets)]
     return joined.withColumn("_set", F.expr("transform(_from, m -> CASE WHEN _now >= m THEN 1 END)")).selectExpr(
         *map(identifier, visits.columns), *[f"get(_set, {i}) AS {identifier(n)}" for i, n in enumerate(names)]

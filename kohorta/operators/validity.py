@@ -74,7 +74,7 @@ def spreads(points: DataFrame, ks: Sequence[int], dims: int | None = None) -> Da
     if few is not None:
         joined = rows.join(few, ["k", "cluster"])
     else:
-        joined = spread_join(rows, centers, ["k", "cluster"], rows="n")
+        joined = spread_join(rows, centers, ["k", "cluster"])
     sums = (
         joined.select("k", "cluster", "n", "mu", F.expr(_squares("features", "mu", dims)).alias("d2"))
         .groupBy("k", "cluster")
@@ -298,7 +298,7 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
 
 def silhouette_samples(points: DataFrame) -> DataFrame:
     """(id, s) with the silhouette of every row under one labelling."""
-    scored = _exact(points, 1).select("features", "labels", F.col("s")[0].alias("s"), F.col("w").alias("n_rows"))
+    scored = _exact(points, 1).select("features", "labels", F.col("s")[0].alias("s"))
     return spread_join(points, scored, ["features", "labels"]).select("id", "s")
 
 

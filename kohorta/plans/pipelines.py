@@ -1,17 +1,15 @@
-"""Whole flows built from the operators; each is one lazy plan."""
+"""Whole flows built from the operators."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kohorta.functions.codes import AGE_PATTERN, INDEX_GROUP
-from kohorta.operators.clean import aged_visits, clinical_visits, diagnosis_rows
+from kohorta.operators.clean import clinical_visits, coded_visits, diagnosis_rows
 from kohorta.operators.coding import map_codes
 from kohorta.operators.longitudinal import wide_table, yearly_summary
-from kohorta.plans.skew import hot_keys
 
 
 def to_wide(
@@ -23,13 +21,14 @@ def to_wide(
 ) -> DataFrame:
     """Coded records to the wide visit table: sex, age, mapped codes, history, look-ahead labels.
 
+    The records are read once, for one row per visit.
+
     ``codes`` lists the columns; :func:`kohorta.sources.catalog.column_codes` gives the catalog's,
     to which a caller adds raw codes the catalog lacks.
     """
-    hot = hot_keys(records.groupBy("p_id").agg(F.count("*").alias("n_rows")), ["p_id"])
-    visits = clinical_visits(records, age_pattern, hot)
-    dx = map_codes(diagnosis_rows(records, aged_visits(records, age_pattern), age_pattern), catalog)
-    return wide_table(visits, dx, codes, targets, hot=hot)
+    coded = coded_visits(records, age_pattern)
+    dx = map_codes(diagnosis_rows(coded), catalog)
+    return wide_table(clinical_visits(coded), dx, codes, targets)
 
 
 def to_yearly(wide: DataFrame, index_column: str = INDEX_GROUP) -> DataFrame:

@@ -12,8 +12,8 @@ from kohorta.functions import codes as C
 from kohorta.functions import scalars
 from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
 from kohorta.plans import pipelines, views
-from kohorta.plans.skew import hot_keys, spread_join
-from kohorta.session import literal_table, run_dir
+from kohorta.plans.skew import spread_join
+from kohorta.session import literal_table, run_dir, written
 from kohorta.sources import catalog as cat
 from kohorta.sources import records as rec
 from kohorta.sources import relational
@@ -148,7 +148,7 @@ def age_conflict_report(spark, sf):
 
 @query
 def clinical_visits(spark, sf):
-    return clean.clinical_visits(views.coded_activity(spark, sf))
+    return clean.clinical_visits(clean.coded_visits(views.coded_activity(spark, sf)))
 
 
 # ---- codes ------------------------------------------------------------------------------------
@@ -220,7 +220,7 @@ def inner_enrich(spark, sf):
 
 @query
 def semi_join_index(spark, sf):
-    dx = views.purchases(spark, sf)
+    dx = written(views.purchases(spark, sf), "purchases")
     return spread_join(dx, cohort.index_patients(dx, views.PURCHASE_INDEX), ["p_id"], "left_semi")
 
 
@@ -290,28 +290,27 @@ def relational_counts(spark, sf):
 
 
 def _purchases(spark, sf):
-    """dx, visits and the customers whose orders alone make them hot."""
-    dx = views.purchases(spark, sf)
-    orders = views.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("p_id")).agg(F.count("*").alias("n_rows"))
-    return dx, views.visits_of(dx), hot_keys(orders, ["p_id"])
+    """dx rows, joined once, and their visits."""
+    dx = written(views.purchases(spark, sf), "purchases")
+    return dx, views.visits_of(dx)
 
 
 @query
 def history_carry(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
-    return longitudinal.carry_history(visits, dx, hot)
+    dx, visits = _purchases(spark, sf)
+    return longitudinal.carry_history(visits, dx)
 
 
 @query
 def target_labels(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
-    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, hot=hot)
+    dx, visits = _purchases(spark, sf)
+    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS)
 
 
 @query
 def target_labels_onset(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
-    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, onset_only=True, hot=hot)
+    dx, visits = _purchases(spark, sf)
+    return longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, onset_only=True)
 
 
 @query
@@ -321,15 +320,15 @@ def label_shift_union(spark, sf):
 
 @query
 def label_union(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
-    labels = longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS, hot=hot)
-    return longitudinal.label_union(longitudinal.carry_history(visits, dx, hot), labels)
+    dx, visits = _purchases(spark, sf)
+    labels = longitudinal.lookahead_labels(visits, dx, views.PURCHASE_TARGETS)
+    return longitudinal.label_union(longitudinal.carry_history(visits, dx), labels)
 
 
 @query
 def wide_pivot(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
-    return longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS, hot=hot)
+    dx, visits = _purchases(spark, sf)
+    return longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS)
 
 
 def _catalog_columns():
@@ -359,9 +358,9 @@ def final_sort(spark, sf):
 
 @query
 def yearly_max(spark, sf):
-    dx, visits, hot = _purchases(spark, sf)
+    dx, visits = _purchases(spark, sf)
     return longitudinal.yearly_max(
-        longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS, hot=hot)
+        longitudinal.wide_table(visits, dx, views.PURCHASE_CODES, views.PURCHASE_TARGETS)
     )
 
 

@@ -7,56 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is spread once it holds this many rows.
-HOT_ROWS = 1_000_000
-#: At most this many keys are spread; any other key holds less than 1/1000 of the rows.
-MAX_HOT_KEYS = 1_000
-#: Tasks one hot key is spread over.
-SALTS = 64
+from kohorta.session import written
 
 
-def hot_keys(counts: DataFrame, key: Sequence[str], rows: str = "n_rows", hot_rows: int | None = None) -> DataFrame:
-    """The heaviest keys of a one-row-per-key table.
-
-    The limit bounds the size of the broadcast in :func:`spread_join`. It decides only where rows
-    are placed, never which rows are joined: a key left out is joined by the plain shuffle.
-    """
-    return (
-        counts.where(F.col(rows) >= (HOT_ROWS if hot_rows is None else hot_rows))
-        .orderBy(F.col(rows).desc(), *key)
-        .limit(MAX_HOT_KEYS)
-        .select(*key)
-    )
-
-
-def spread_join(
-    fact: DataFrame,
-    per_key: DataFrame,
-    key: Sequence[str],
-    how: str = "inner",
-    hot: DataFrame | None = None,
-    rows: str = "n_rows",
-    hot_rows: int | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
+def spread_join(fact: DataFrame, per_key: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a large ``fact`` to an aggregate of itself (``per_key``) on ``key``.
 
-    Adaptive execution cannot split a join side that is an aggregate, so hot keys are salted here:
-    their fact rows go to ``salts`` tasks by a hash of the row, and their few aggregate rows are
-    repeated for each salt. Keys that are not hot use salt 0. The salt depends on the row only, so
-    a recomputed task places its rows as before.
+    Adaptive execution splits the rows of a hot key only where nothing stands between a join and the
+    shuffles under it, and an aggregate would. So the aggregate is written to the shared folder and
+    joined as a table: a small one is broadcast by its size, a large one by a shuffle whose skewed
+    partitions are split.
     """
-    key = list(key)
-    if hot is None:
-        hot = hot_keys(per_key, key, rows, hot_rows)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = fact.join(marked, key, "left").withColumn("_salt", salt).drop("_hot")
-    right = per_key.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    if rows in right.columns and rows in left.columns:
-        right = right.drop(rows)
-    return left.join(right, [*key, "_salt"], how).drop("_salt")
+    return fact.join(written(per_key, "per-key"), list(key), how)
 
 
 def small_table(df: DataFrame, max_rows: int) -> DataFrame | None:
