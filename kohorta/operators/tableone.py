@@ -1,6 +1,8 @@
 """Descriptive "table one" of a patient table, as tidy rows and as a display table.
 
-Numeric variables share one aggregation and categorical ones another, however many there are. Sizes per group are the denominators, rows with a null level included.
+The columns of a table are computed and written once. Numeric variables share one aggregation over
+them and categorical ones another, however many there are. Sizes per group are the denominators, rows
+with a null level included.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kohorta.functions.scalars import count_percent_text, mean_std_text
 from kohorta.operators.longitudinal import quoted
+from kohorta.session import written
 
 GLOBAL = "Global"
 
@@ -68,15 +71,20 @@ def categorical(df: DataFrame, columns: Sequence[str], group: str | None = None)
 
 
 
-def table_one(
-    df: DataFrame, categorical_columns: Sequence[str], numeric_columns: Sequence[str], group: str | None = None
+def _narrow(df: DataFrame, columns: Sequence[str], group: str | None) -> DataFrame:
+    """The columns of a table, computed once: every part of the table is an aggregate of them."""
+    names = dict.fromkeys([*columns, *([group] if group else [])])
+    return written(df.select(*map(quoted, names)), "table-one")
+
+
+def _parts(
+    df: DataFrame, categorical_columns: Sequence[str], numeric_columns: Sequence[str], group: str | None
 ) -> DataFrame:
-    """The whole table as tidy rows (variable, level, grp, n, pct, mean, std)."""
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     top = header(df, group).select(
         F.lit("N").alias("variable"), text.alias("level"), "grp", "n",
         number.alias("pct"), number.alias("mean"), number.alias("std"),
-    )
+    )
     middle = numeric(df, numeric_columns, group).select(
         "variable", text.alias("level"), "grp", "n", number.alias("pct"), "mean", "std"
     )
@@ -86,12 +94,21 @@ def table_one(
     return top.unionByName(middle).unionByName(bottom)
 
 
+def table_one(
+    df: DataFrame, categorical_columns: Sequence[str], numeric_columns: Sequence[str], group: str | None = None
+) -> DataFrame:
+    """The whole table as tidy rows (variable, level, grp, n, pct, mean, std)."""
+    narrow = _narrow(df, [*categorical_columns, *numeric_columns], group)
+    return _parts(narrow, categorical_columns, numeric_columns, group)
+
+
 def merged(
     df: DataFrame, categorical_columns: Sequence[str], numeric_columns: Sequence[str], group: str
 ) -> DataFrame:
     """Overall rows beside the rows of each group, matched on variable and level."""
-    whole = table_one(df, categorical_columns, numeric_columns)
-    parts = table_one(df, categorical_columns, numeric_columns, group)
+    narrow = _narrow(df, [*categorical_columns, *numeric_columns], group)
+    whole = _parts(narrow, categorical_columns, numeric_columns, None)
+    parts = _parts(narrow, categorical_columns, numeric_columns, group)
     left, right = whole.alias("w"), parts.alias("g")
     same = (F.col("w.variable") == F.col("g.variable")) & F.col("w.level").eqNullSafe(F.col("g.level"))
     return left.join(right, same, "left").select(
