@@ -115,7 +115,7 @@ WIDE_SRC = ",\n".join(
         SEX.format(src="evt"),
         _AGED,
         """fa AS (SELECT p_id, visit_idx, arg_min(a, code_idx) AS age FROM aged WHERE a IS NOT NULL GROUP BY ALL)""",
-        "cat AS (SELECT * FROM " + _values([(str(r[0]), r[2]) for r in catalog_rows()]) + " AS t(raw, cie10))",
+        "cat AS (SELECT * FROM " + _values([(str(r[0]), r[1]) for r in catalog_rows()]) + " AS t(raw, cie10))",
         """cdx AS (SELECT DISTINCT aged.p_id, aged.visit_idx, sex, fa.age, coalesce(cie10, aged.code) AS code
           FROM aged JOIN fa ON aged.p_id = fa.p_id AND aged.visit_idx = fa.visit_idx
           JOIN sexed ON sexed.p_id = aged.p_id LEFT JOIN cat ON cat.raw = aged.code
@@ -192,7 +192,7 @@ SELECT (SELECT count(*) FROM customer) AS n_initial, count(DISTINCT o_custkey) A
 
 def _carry(vis: str, dx: str, prefix: str, keys: str) -> str:
     """Literal form: every earlier visit of the patient joined, labels by shift and join on age."""
-    targets = _in(views.PURCHASE_TARGETS) if prefix == "r" else _in(t for t in sorted(r[2] for r in catalog_rows() if r[3]))
+    targets = _in(views.PURCHASE_TARGETS) if prefix == "r" else _in(t for t in sorted(r[1] for r in catalog_rows() if r[2]))
     return f"""{prefix}pairs AS (SELECT a.*, b.visit_idx AS visit2 FROM {vis} a JOIN {vis} b ON a.p_id = b.p_id
     AND (b.age < a.age OR (b.age = a.age AND b.visit_idx <= a.visit_idx))),
 {prefix}carried AS (SELECT DISTINCT {', '.join('x.' + k for k in keys.split(', '))}, d.code FROM {prefix}pairs x JOIN {dx} d

@@ -333,7 +333,7 @@ def wide_pivot(spark, sf):
 
 def _catalog_columns():
     rows = cat.catalog_rows()
-    return sorted(r[2] for r in rows), sorted(r[2] for r in rows if r[3])
+    return sorted(r[1] for r in rows), sorted(r[1] for r in rows if r[2])
 
 
 def _to_wide(spark, sf):

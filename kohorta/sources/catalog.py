@@ -9,105 +9,105 @@ from kohorta.session import literal_table
 
 CSV_SCHEMA = "code_bps LONG, name_es STRING, name_en STRING, cie10 STRING, target STRING"
 
-# Record code | English name | group of the international classification | T for targets.
+# Record code | group of the international classification | T for targets.
 CATALOG_TEXT = """\
-101|HIV|B20|
-201|Head and neck cancer|C14|
-202|Stomach cancer|C16|
-203|Colorectal cancer|C18-C20|
-204|Liver and Bile Duct Cancer|C22|
-205|Pancreatic cancer|C25|
-206|Lung and Bronchus Cancer|C34|
-207|Thyroid cancer|C73|
-208|Bone and soft tissue sarcomas|C40-C41|
-209|Melanoma|C43|
-210|Breast cancer|C50|
-211|Uterine cancer|C55|
-212|Cervical cancer|C53|
-213|Ovarian cancer|C56|
-214|Prostate cancer|C61|
-215|Testicular cancer|C62|
-216|Kidney and renal pelvis cancer|C64-C65|
-217|Bladder cancer|C67|
-218|Hodgkin’s disease|C81|
-219|Non-Hodgkin's lymphoma|C82-C85|
-220|Leucemia|C91-C95|
-221|Immunoproliferative neoplasm|C88|
-222|Kaposi's sarcoma|C46|
-401|Diabetes|E10-E14|
-402|Hyperlipidaemia|E78|
-403|Hypothyroidism|E03|
-404|Obesity|E66|
-500|Dementia|F01-F03|
-501|Other organic mental disorder|F09|
-502|Alcohol dependence|F10|
-503|Tobacco dependence|F17|
-504|Other substance dependece|F19|
-505|Schizophrenia|F20|
-506|Mood disorder|F30-F39|
-507|Anxiety disorder|F40-F41|
-508|Eating disorder|F50|
-509|Other functional disorder|F48|
-510|Disorders of adult personality and behaviour|F60-F69|
-511|Intellectual disability|F70-F79|
-512|Autism|F84|
-513|Other developmental disorder|F89|
-514|Behavioural and emotional disorders with onset usually occurring in childhood and adolescence|F90-F98|
-601|Epilepsia|G40-G41|
-602|Parkinson disease|G20|
-603|Extrapyramidal disorder|G25|
-604|Motor disorders with no CVA|G80-G83|
-701|Age-related macular degeneration|H35.3|
-702|Glaucoma|H40-H42|
-703|Retinopathy|H35|T
-901|Acute cerebrovascular disease|I60-I64|
-902|Ill-defined cerebrovascular disease and others|I67-I69|
-903|Transient ischemic attack|G45|
-904|Occlusion or stenosis of precerebral arteries|I65|
-905|Sequelae of cerebrovascular diseases|I69|
-906|Extremity arteriopathy diseases|I70|
-907|Intra-abdominal artery disease|I74|
-908|Peripheral and visceral artery aneurysms|I71|
-909|Atrial fibrillation|I48|
-910|Ischemic heart disease|I20-I25|T
-911|Acquired heart diseases|I34-I38|
-912|Congenital cardiovascular anomalies|Q20-Q28|
-913|Hypertension|I10-I15|
-914|Heart failure|I50|
-1001|COPD|J44|
-1002|Asthma|J45|
-1101|Ischemic hepatitis except for cirrhosis|K73|
-1102|Hepatic steatosis|K76.0|
-1103|Hepatic cirrhosis|K74|
-1104|Gastroesophageal reflux disease|K21|
-1105|Regional enteritis and ulcerative colitis|K50-K51|
-1106|Malabsorption and food intolerance|K90.4|
-1201|Psoriasis|L40|
-1202|Dermatitis|L20|
-1301|Osteoporosis|M81|
-1302|Arthrosis/spondylosis|M15-M19|
-1303|Gout and other crystal deposition diseases|M10|
-1304|Other arthropathies|M13|
-1305|Rheumatoid arthritis and related diseases|M05-M06|
-1306|Collagen diseases and vasculitis|M30-M31|
-1307|Fibromyalgia|M79.7|
-1401|Chronic kidney disease|N18|T
-1402|Urinary lithiasis|N20|
-1999|Amputation|Z89|T
+101|B20|
+201|C14|
+202|C16|
+203|C18-C20|
+204|C22|
+205|C25|
+206|C34|
+207|C73|
+208|C40-C41|
+209|C43|
+210|C50|
+211|C55|
+212|C53|
+213|C56|
+214|C61|
+215|C62|
+216|C64-C65|
+217|C67|
+218|C81|
+219|C82-C85|
+220|C91-C95|
+221|C88|
+222|C46|
+401|E10-E14|
+402|E78|
+403|E03|
+404|E66|
+500|F01-F03|
+501|F09|
+502|F10|
+503|F17|
+504|F19|
+505|F20|
+506|F30-F39|
+507|F40-F41|
+508|F50|
+509|F48|
+510|F60-F69|
+511|F70-F79|
+512|F84|
+513|F89|
+514|F90-F98|
+601|G40-G41|
+602|G20|
+603|G25|
+604|G80-G83|
+701|H35.3|
+702|H40-H42|
+703|H35|T
+901|I60-I64|
+902|I67-I69|
+903|G45|
+904|I65|
+905|I69|
+906|I70|
+907|I74|
+908|I71|
+909|I48|
+910|I20-I25|T
+911|I34-I38|
+912|Q20-Q28|
+913|I10-I15|
+914|I50|
+1001|J44|
+1002|J45|
+1101|K73|
+1102|K76.0|
+1103|K74|
+1104|K21|
+1105|K50-K51|
+1106|K90.4|
+1201|L40|
+1202|L20|
+1301|M81|
+1302|M15-M19|
+1303|M10|
+1304|M13|
+1305|M05-M06|
+1306|M30-M31|
+1307|M79.7|
+1401|N18|T
+1402|N20|
+1999|Z89|T
 """
 
 
-def catalog_rows() -> list[tuple[int, str, str, str | None]]:
-    """(code_bps, name_en, cie10, target) of the built-in catalog."""
+def catalog_rows() -> list[tuple[int, str, str | None]]:
+    """(code_bps, cie10, target) of the built-in catalog; names are in the CSV of :func:`read_catalog`."""
     rows = []
     for line in CATALOG_TEXT.splitlines():
-        code, name, group, target = line.split("|")
-        rows.append((int(code), name, group, target or None))
+        code, group, target = line.split("|")
+        rows.append((int(code), group, target or None))
     return rows
 
 
 def builtin_catalog(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, catalog_rows(), "code_bps LONG, name_en STRING, cie10 STRING, target STRING")
+    return literal_table(spark, catalog_rows(), "code_bps LONG, cie10 STRING, target STRING")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -134,8 +134,8 @@ def test_first_age_in_list_order(table, rows):
 
 def wide_of(spark, table, people):
     rows = cat.catalog_rows()
-    codes = sorted(r[2] for r in rows)
-    targets = sorted(r[2] for r in rows if r[3])
+    codes = sorted(r[1] for r in rows)
+    targets = sorted(r[1] for r in rows if r[2])
     return pipelines.to_wide(records(table, people), cat.builtin_catalog(spark), codes, targets), codes
 
 
