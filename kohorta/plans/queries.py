@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from kohorta.functions import codes as C
 from kohorta.functions import scalars
@@ -812,3 +813,77 @@ def candidate_ks(spark, sf):
             validity.best_k_elbow(points),
         ]
     )
+
+
+# ---- what must hold for models that SQL cannot fit ---------------------------------------------
+
+
+@query
+def cluster_facts(spark, sf):
+    """Per method: rows, ids and clusters of its labels; every row has one label, no cluster is empty."""
+    points, k = views.points(spark, sf), 8
+    plane = cluster.pca_kmeans(points, k)
+    labels = {
+        "kmeans": cluster.kmeans_fit(points, k).select("id", F.col("cluster").alias("c")),
+        "bisecting": cluster.bisecting_fit(points, k).select("id", F.col("cluster").alias("c")),
+        "ward": cluster.ward_two_stage(points, [k]).select("id", F.col("labels")[0].alias("c")),
+        "pca_kmeans": plane.select("id", F.col("cluster").alias("c")),
+    }
+    rows = None
+    for method, found in labels.items():
+        one = found.agg(
+            F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_distinct("c").alias("n_clusters"),
+            F.min("c").alias("lowest"), F.max("c").alias("highest"),
+        ).withColumn("method", F.lit(method))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+@query
+def sweep_facts(spark, sf):
+    """Per k: does the cost of the labels equal the model's, and does it fall as k grows."""
+    points, ks = views.points(spark, sf), list(range(2, 10))
+    models, cost = cluster.sweep_kmeans(points, ks)
+    labelled = cluster.assign(points, [models[(0, k)] for k in ks])
+    measured = literal_table(spark, [(k, float(cost[(0, k)])) for k in ks], "k INT, cost DOUBLE")
+    # The model's cost is measured around its centers; the mean of their rows can only be closer.
+    totals = validity.inertia(validity.spreads(labelled, ks)).join(measured, "k")
+    before = F.lag("cost").over(Window.orderBy("k"))
+    return totals.select(
+        "k",
+        "n",
+        "n_clusters",
+        ((F.col("inertia") <= F.col("cost") * (1 + 1e-9)) & (F.col("inertia") >= F.col("cost") * 0.98)).alias("cost_agrees"),
+        F.coalesce(F.col("cost") < before, F.lit(True)).alias("falls"),
+    )
+
+
+@query
+def pca_facts(spark, sf):
+    """Components are centred, uncorrelated and in order of variance."""
+    plane = cluster.pca_project(views.points(spark, sf), 2)
+    a, b = F.col("pca_0"), F.col("pca_1")
+    return plane.agg(
+        F.count("*").alias("n_rows"),
+        ((F.abs(F.avg(a)) < 1e-9) & (F.abs(F.avg(b)) < 1e-9)).alias("centred"),
+        (F.abs(F.corr(a, b)) < 1e-6).alias("uncorrelated"),
+        (F.var_samp(a) >= F.var_samp(b)).alias("ordered"),
+    )
+
+
+@query
+def choice_facts(spark, sf):
+    """Per criterion: how many k's it looked at, and how many it chose."""
+    points = views.points(spark, sf)
+    info = validity.aic_bic_sweep(points, range(2, 9))
+    tables = {
+        "silhouette": validity.best_k_silhouette(points, range(2, 7)).select("k", "chosen"),
+        "aic": info.select("k", F.col("chosen_aic").alias("chosen")),
+        "bic": info.select("k", F.col("chosen_bic").alias("chosen")),
+        "gap": validity.best_k_gap(points, range(1, 5), references=2, max_iter=5).select("k", "chosen"),
+    }
+    rows = None
+    for name, found in tables.items():
+        one = found.agg(F.count("*").alias("n_k"), F.count_if("chosen").alias("n_chosen")).withColumn("criterion", F.lit(name))
+        rows = one if rows is None else rows.union(one)
+    return rows
