@@ -3,7 +3,7 @@
 Each document is repeated a Poisson number of times, with the mean that its source needs to reach its
 share of the mixture. The Poisson number is the inverse of the distribution function at a uniform
 number made from a hash of the document, so every run and every recomputed task draws the same. The
-copies are then shuffled globally, by ranges of another hash.
+copies are then shuffled globally by another hash.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.llm.common import boxed, unboxed
+from kohorta.llm.common import boxed, shuffle_partitions, unboxed
 from kohorta.plans.skew import small_table
 from kohorta.session import written
 
@@ -30,24 +30,31 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) > u for X Poisson with mean ``rate``.
+def poisson_draws(u: Column, rate: Column) -> Column:
+    """0 to k-1 for the smallest k with P(X <= k) > u, X being Poisson with mean ``rate``.
 
     The distribution function is summed term by term up to a bound far beyond any double below one.
+    The state carries ``u`` and ``rate``, so they are not computed again at each step.
     """
     bound = F.ceil(rate + F.sqrt(rate) * 12 + 40).cast("int")
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("total"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), u.alias("u"), rate.alias("rate")
+    )
 
     def step(s: Column, i: Column) -> Column:
-        term = s["term"] * rate / i
-        going = s["total"] <= u
+        term = s["term"] * s["rate"] / i
+        going = s["total"] <= s["u"]
         return F.struct(
             F.when(going, s["k"] + 1).otherwise(s["k"]).alias("k"),
             F.when(going, term).otherwise(s["term"]).alias("term"),
             F.when(going, s["total"] + term).otherwise(s["total"]).alias("total"),
+            s["u"].alias("u"),
+            s["rate"].alias("rate"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), bound), start, step, lambda s: s["k"])
+    none = F.array().cast("array<bigint>")
+    numbers = lambda s: F.when(s["k"] > 0, F.sequence(F.lit(0).cast("long"), s["k"] - 1)).otherwise(none)
+    return F.aggregate(F.sequence(F.lit(1), bound), start, step, numbers)
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, repetition: float = 1.0, temper: float = 0.5) -> DataFrame:
@@ -79,10 +86,10 @@ def mix_sources(
     temper: float = 0.5,
     seed: int = SEED,
 ) -> DataFrame:
-    """Every document as often as its draw says, in a global random order.
+    """Every document as often as its draw says, shuffled over all partitions.
 
-    Added columns: ``copy`` (from 0), ``copies``, ``rate`` of the source, ``shuffle_key`` in [0, 1),
-    by which the rows are sorted; columns of the input with these names are replaced. The draw depends
+    Added columns: ``copy`` (from 0), ``copies``, ``rate`` of the source, ``shuffle_key`` in [0, 1), by
+    a hash of which rows are dealt to partitions and by which they are sorted there; columns of the input with these names are replaced. The draw depends
     on seed, doc_id and text, so repeated rows get the same number of copies each. A document drawn
     zero times is left out, which is the feature. Empty tables give no rows; rates above ``MAX_RATE``
     raise an error.
@@ -94,9 +101,11 @@ def mix_sources(
     few = small_table(rates, MAX_BROADCAST_SOURCES)
     rates = written(rates, "source-rates") if few is None else few
     joined = boxed(docs).join(rates, F.col("row.source").eqNullSafe(F.col("source")))
-    u = hash_uniform(F.lit(seed), F.lit("draw"), F.col("row.doc_id"), F.col("row.text"))
-    drawn = joined.withColumn("copies", poisson_inverse(u, F.col("rate"))).where("copies > 0")
-    spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    key = hash_uniform(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("copy"), F.col("row.text"))
+    joined = joined.withColumn("digest", F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
+    u = hash_uniform(F.lit(seed), F.lit("draw"), F.col("row.doc_id"), F.col("digest"))
+    drawn = joined.withColumn("draws", poisson_draws(u, F.col("rate")))
+    spread = drawn.select("row", "rate", "digest", F.size("draws").cast("long").alias("copies"), F.explode("draws").alias("copy"))
+    key = hash_uniform(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("copy"), F.col("digest"))
     names = [c for c in docs.columns if c not in ("copy", "copies", "rate", "shuffle_key")]
-    return spread.select(*unboxed(names), "rate", "copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key")
+    mixed = spread.select(*unboxed(names), "rate", "copies", "copy", key.alias("shuffle_key"))
+    return mixed.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -19,7 +19,7 @@ from kohorta.llm.quality import score_quality
 from kohorta.llm.repeats import remove_repeats
 from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
 from kohorta.llm.toxicity import score_toxicity
-from kohorta.session import checkpoint_dir
+from kohorta.session import run_dir
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserting all documents, revising those with echoed lines, and a repeated commit."""
     docs = table(spark, sf_dir, "documents")
     tokenizers = {"byte_bpe_50k/1": byte_pair_counter("byte_bpe_50k"), "words/1": word_counter}
-    ledger = TokenLedger(spark, f"{checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    ledger = TokenLedger(spark, f"{run_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
     batches = {"insert": inserts(docs), "revise": revisions(docs, without_echoes(F.col("text")))}
     for batch, changes in batches.items():
         ledger.commit(batch, count_changes(changes, tokenizers))
@@ -124,11 +124,11 @@ cdf as (
   where k < rate + sqrt(rate) * 12 + 40),
 drawn as (
   select d.*, (select count(*) from cdf c where c.source is not distinct from d.source and c.below <= d.u) as copies
-  from (select *, {_UNIFORM.format("concat_ws(':', '8', 'draw', coalesce(doc_id::varchar, ''), coalesce(text, ''))")} as u
+  from (select *, {_UNIFORM.format("concat_ws(':', '8', 'draw', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))")} as u
         from documents) d),
 spread as (select *, unnest(range(copies)) as copy from drawn)
 select s.doc_id, s.text, s.lang, s.source, s.n_chars, r.rate, s.copies, s.copy,
-  {_UNIFORM.format("concat_ws(':', '8', 'order', coalesce(doc_id::varchar, ''), copy::varchar, coalesce(text, ''))")} as shuffle_key
+  {_UNIFORM.format("concat_ws(':', '8', 'order', coalesce(doc_id::varchar, ''), copy::varchar, md5(coalesce(text, '')))")} as shuffle_key
 from spread s join rates r on r.source is not distinct from s.source""",
     "op9_contamination": f"""
 with docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
