@@ -34,7 +34,9 @@ EPOCHS = 25
 RATE = 0.3
 SEED = 2
 #: Distinct words whose scores a task remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
+#: Bytes of text that a task cuts into words at a time.
+PART_BYTES = 1 << 20
 
 #: ASCII letters in lower case; other ASCII characters part words, all others belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -90,13 +92,23 @@ class ToxicityModel:
 
     def scores(self, texts: Sequence[bytes], memo: dict[bytes, float]) -> list[float]:
         """Probability of label 1; a text without words gets 0."""
+        out: list[float] = []
+        part: list[bytes] = []
+        held = 0
+        for t in texts:
+            part.append(t)
+            held += len(t)
+            if held >= PART_BYTES:
+                out += self._part_scores(part, memo)
+                part, held = [], 0
+        return out + self._part_scores(part, memo)
+
+    def _part_scores(self, texts: list[bytes], memo: dict[bytes, float]) -> list[float]:
         split = [words_of(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in memo}
-        if new:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                new = {w for ws in split for w in ws}
-            fresh = list(new)
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        fresh = list({w for ws in split for w in ws if w not in memo})
+        if fresh:
             memo.update(zip(fresh, self.word_scores(fresh).tolist()))
         out = []
         for ws in split:
