@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm import blocked
-from kohorta.llm.common import boxed, unboxed
+from kohorta.llm.common import boxed, raw_texts, unboxed
 from kohorta.operators.density import connected_components
 from kohorta.plans.skew import small_table
 from kohorta.session import written
@@ -33,12 +33,13 @@ from kohorta.session import written
 WORDS = 5
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Rounds with one pivot per column before the remaining pairs are multiplied out.
-PIVOT_ROUNDS = 3
+#: Sets of a block of rows, and cells of a block of the matrix that is dense while it is multiplied.
+BLOCK_ROWS = 256
+BLOCK_CELLS = 4_000_000
 #: Ids that may be broadcast to filter the documents; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Words whose hashes a task remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _TAG = "uint16"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -114,8 +115,8 @@ def _document_columns(blocks: int):
         held: list[tuple] = []
         entries = 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                values = shingles(raw or b"", memo)
+            for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                values = shingles(raw, memo)
                 held.append((doc_id, values))
                 entries += len(values)
                 if entries >= blocked.FLUSH_ENTRIES or len(held) >= blocked.FLUSH_DOCS:
@@ -139,7 +140,7 @@ def _document_counts(table: pa.Table) -> pa.Table:
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[bytes, int] = {}
     for batch in batches:
-        sets = [shingles(raw or b"", memo) for raw in batch.column(0).cast(pa.binary()).to_pylist()]
+        sets = [shingles(raw, memo) for raw in raw_texts(batch.column(0))]
         yield pa.RecordBatch.from_arrays(
             [pa.array([_set_hash(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
             names=["h", "n", "grams"],
@@ -203,82 +204,140 @@ def _rare_entries(table: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(g, pa.int64()), "h": pa.array(out_h, pa.binary()), "n": pa.array(n, pa.int64())})
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link: their overlap is accumulated over both whole rows."""
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist())):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= PERCENT * (len(both) - shared):
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda s: sets.select(F.col("h").alias(s), F.col("grams").alias(f"grams_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_overlaps, "a binary, b binary")
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the linked pairs to connect what they connect."""
+    parent: dict[int, int] = {}
 
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
 
-def _sized(n: str, m: str):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    kept = []
+    for a, b in linked.tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            parent[y] = x
+            kept.append((a, b))
+    return kept
 
 
-def _ordered_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), smaller first."""
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Pairs (i, j) of sets of ``left`` and ``right`` that link; without ``right``, pairs i < j of ``left``.
 
+    The sets are the rows of two sparse matrices, whose product holds the overlaps. Only columns that
+    several rows have can add to an overlap; they are multiplied a block at a time and accumulated.
+    """
+    rows = left + (right or [])
+    sizes = np.array([len(r) for r in rows], np.int64)
+    split = len(left)
+    n, m = sizes[:split, None], sizes[None, split:] if right is not None else sizes[None, :split]
+    possible = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+    if right is None:
+        possible = np.triu(possible, 1)
+    if not possible.any():
+        return np.empty((0, 2), np.int64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    _, column, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    place = np.full(len(counts), -1, np.int64)
+    place[shared] = np.arange(len(shared))
+    keep = place[column] >= 0
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    overlap = np.zeros(possible.shape, np.float32)
+    width = max(1, BLOCK_CELLS // len(rows))
+    for start in range(0, len(shared), width):
+        lo, hi = np.searchsorted(column, (start, start + width))
+        block = np.zeros((len(rows), min(width, len(shared) - start)), np.float32)
+        block[owner[lo:hi], column[lo:hi] - start] = 1.0
+        overlap += block[:split] @ (block[split:] if right is not None else block[:split]).T
+    k = overlap.astype(np.int64)
+    return np.argwhere(possible & (100 * k >= PERCENT * (n + m - k)))
+
+
+def _multiplied(table: pa.Table) -> pa.Table:
+    """Links within every block and between every two blocks of a room."""
+    groups: dict[tuple, tuple[list, list]] = {}
+    for key, second, h, grams in zip(*(table.column(c).to_pylist() for c in ("pair", "second", "h", "grams"))):
+        groups.setdefault(key, ([], []))[second].append((h, np.frombuffer(grams, np.uint64)))
+    out: list[tuple[bytes, bytes]] = []
+    for left, right in groups.values():
+        found = linked_pairs([x for _, x in left], [x for _, x in right] if right else None)
+        names = [h for h, _ in left + right]
+        if right:
+            found = found + np.array([0, len(left)])
+        out += [(names[a], names[b]) for a, b in _forest(found)]
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _families(entries: DataFrame) -> DataFrame:
+    """(h, n, family): sets that are connected by shared columns, whether they link or not."""
+    first = written(entries.groupBy("g").agg(F.min("h").alias("b")), "ngram-columns")
+    edges = entries.join(first, "g").where("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    edges = written(edges, "ngram-edges")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = connected_components(nodes, edges).select(F.col("node").alias("h"), F.col("label").alias("family"))
+    return written(entries.select("h", "n").distinct().join(found, "h"), "ngram-families")
+
+
+def _rooms(members: DataFrame, rooms: int) -> DataFrame:
+    """(room, pair, second, h): which sets are multiplied with which, block by block.
+
+    A family of up to BLOCK_ROWS sets is one block. A larger one is cut by bands of sizes, such that
+    links are possible within a band and between neighbours only, and each band by a hash into blocks
+    of about BLOCK_ROWS. Every two blocks that may have links meet in a room of their own; small
+    families share rooms.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = members.join(written(sizes, "ngram-family-sizes"), "family")
+    small = sized.where(F.col("size") <= BLOCK_ROWS).select(
+        F.pmod(F.xxhash64("family"), F.lit(rooms)).alias("room"), F.hex("family").alias("pair"), F.lit(0).alias("second"), "h"
+    )
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("int")
+    large = written(sized.where(F.col("size") > BLOCK_ROWS).select("family", "h", band.alias("band")), "ngram-large")
+    counts = large.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    counts = written(counts, "ngram-bands")
+    next_up = counts.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    next_down = counts.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    around = written(counts.join(next_up, ["family", "band"], "left").join(next_down, ["family", "band"], "left"), "ngram-around")
+    placed = large.join(around, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+
+    def partners(blocks: str, shift: int):
+        """Blocks of the band ``shift`` away, as (lower band, its block, upper band, its block, is upper)."""
+        up, own = F.col("band") + shift, F.col("own")
+        there = F.when(F.col(blocks) > 0, F.sequence(F.lit(0), F.col(blocks) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def meet(j):
+            if shift > 0:
+                low = F.lit(True)
+            elif shift < 0:
+                low = F.lit(False)
+            else:
+                low = own <= j
+            text = lambda b, i, c, k: F.concat_ws(":", F.hex("family"), b.cast("string"), i.cast("string"), c.cast("string"), k.cast("string"))
+            return F.struct(
+                F.when(low, text(F.col("band"), own, up, j)).otherwise(text(up, j, F.col("band"), own)).alias("pair"),
+                F.when(low, F.lit(0)).otherwise(F.lit(1)).alias("second"),
+            )
 
-def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """Each column's documents with the column's pivot, where sizes allow a link."""
-    rank = F.struct(F.xxhash64(F.lit(turn), "label").alias("r"), F.xxhash64(F.lit(turn), "h").alias("s"), "h", "n", "label")
-    pivots = written(
-        entries.groupBy("g").agg(F.min(rank).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high").select("g", F.col("p.h").alias("y"), F.col("p.n").alias("m"), F.col("p.label").alias("pivot_label")),
-        "ngram-pivots",
-    )
-    met = entries.join(pivots, "g").where(F.col("label") != F.col("pivot_label")).where(_sized("n", "m"))
-    return _ordered_pairs(met.withColumnRenamed("h", "x"))
-
+        return F.transform(there, meet)
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of different components that share a column and whose sizes allow a link."""
-    mixed = entries.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("g")
-    open_entries = written(entries.join(written(mixed, "ngram-open"), "g"), "ngram-open-entries")
-    other = open_entries.select("g", F.col("h").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-    met = open_entries.join(other, "g").where(F.col("label") < F.col("other")).where(_sized("n", "m"))
-    return _ordered_pairs(met.withColumnRenamed("h", "x"))
+    met = F.explode(F.concat(partners("blocks", 0), partners("above", 1), partners("below", -1)))
+    pairs = placed.select("h", met.alias("m")).select((F.xxhash64("m.pair")).alias("room"), "m.pair", "m.second", "h")
+    return small.unionByName(pairs)
 
 
 def _components(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label) of the sets that have a link."""
-    labelled = entries.withColumn("label", F.col("h"))
-    tested = links = found = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        pairs = _pivot_pairs(labelled, turn) if turn < PIVOT_ROUNDS else _all_pairs(labelled)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "ngram-pairs")
-        if pairs.isEmpty():
-            # No column has two components whose pivot pair is new; only the full turn is final.
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        new = written(_links(pairs, sets), "ngram-links")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = connected_components(nodes, links)
-        if turn < PIVOT_ROUNDS:
-            labels = found.select(F.col("node").alias("h"), F.col("label").alias("found"))
-            labelled = written(
-                entries.join(labels, "h", "left").select("g", "h", "n", F.coalesce("found", "h").alias("label")), "ngram-labelled"
-            )
-    if found is None:
-        return sets.select(F.col("h").alias("node"), F.col("h").alias("label")).where("false")
-    return found
+    rooms = _rooms(_families(entries), blocked.block_count(sets))
+    placed = written(rooms, "ngram-rooms").join(sets, "h").select("room", "pair", "second", "h", "grams")
+    links = written(placed.groupBy("room").applyInArrow(_multiplied, "a binary, b binary"), "ngram-links")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return connected_components(nodes, links)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
