@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from kohorta.llm.common import shuffle_partitions
 
 #: Entries of a flush; it bounds a task's buffers.
-FLUSH_ENTRIES = 1_000_000
+FLUSH_ENTRIES = 500_000
 #: Documents of a flush, so a document's number fits in 16 bits.
 FLUSH_DOCS = 60_000
 BLOCKS_PER_PARTITION = 4

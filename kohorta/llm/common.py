@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,13 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed
     return list(zip(got["text"].cast(pa.binary()).to_pylist(), got["_label"].to_pylist()))
 
 
+def raw_texts(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """The texts of an Arrow column as UTF-8 bytes, null as empty, copied out a few rows at a time."""
+    for at in range(0, len(column), step):
+        for raw in column.slice(at, step).cast(pa.binary()).to_pylist():
+            yield raw or b""
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, so an operator's own columns cannot clash with them."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

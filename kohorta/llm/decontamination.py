@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.llm.common import boxed, unboxed
+from kohorta.llm.common import boxed, raw_texts, unboxed
 
 #: Words of a window.
 WINDOW = 13
@@ -212,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE)
         match = load()
         for batch in batches:
             out = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in raw_texts(batch.column(1)):
                 words = words_of(text)
                 mask, items = match(words)
                 n, hit = len(words), int(mask.sum())

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.llm.common import boxed, unboxed
+from kohorta.llm.common import boxed, raw_texts, unboxed
 from kohorta.session import written
 
 #: Lines hashed together, and k-grams of which one is selected; runs of GRAM + WINDOW - 1 are found.
@@ -50,10 +50,8 @@ def _run_rows(gram: int, window: int):
         for batch in batches:
             rows = [
                 (doc_id, mark, place, fp, digest)
-                for doc_id, mark, raw in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-                )
-                for place, fp, digest in _runs(raw or b"", gram, window)
+                for doc_id, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)))
+                for place, fp, digest in _runs(raw, gram, window)
             ]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())

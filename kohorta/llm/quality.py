@@ -122,7 +122,9 @@ def quality_score(model: CompressionClassifier, text: str | Column = "text") ->
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([(t or "").encode() for t in texts]), dtype="float64")
+        parts = (texts.iloc[at : at + 256] for at in range(0, len(texts), 256))
+        found = [model.scores([(t or "").encode() for t in part]) for part in parts]
+        return pd.Series(np.concatenate(found) if found else np.empty(0), dtype="float64")
 
     return score(text)
 
