@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm import blocked
-from kohorta.llm.common import shuffle_partitions
+from kohorta.llm.common import raw_texts, shuffle_partitions
 from kohorta.plans.skew import small_table
 from kohorta.session import written
 
@@ -41,12 +41,13 @@ GRAM = 64
 #: Windows of a context; longer runs are cut.
 RUN_WINDOWS = 2048
 #: Contexts of an n-gram beyond which its windows are dealt one by one.
-HOT_CONTEXTS = 200
-#: Bytes of contexts that one suffix array takes, and bits of a position in it.
+HOT_CONTEXTS = 4_000
+#: Bytes of contexts that one suffix array takes, but for those of one n-gram that exceed it.
 CHUNK_BYTES = 1_000_000
-_BITS = np.uint64(21)
+#: Bits of a position up to which two ranks and a position fit in one number.
+_PACKED_BITS = 21
 #: Bytes of contexts between two rounds of merging equal ones before they are sent.
-MERGE_BYTES = 32_000_000
+MERGE_BYTES = 16_000_000
 MAX_BROADCAST_IDS = 2_000_000
 #: Ids of texts and bytes of a place: text digest and start.
 _PLACE = np.dtype([("text", "V16"), ("start", "<i4")])
@@ -161,8 +162,7 @@ def _text_columns(blocks: int):
         keys: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         entries = 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                raw = raw or b""
+            for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 digest = _digest(raw)
                 texts.append(Text(doc_id, digest, len(raw), hashlib.sha256(raw).digest()))
                 if digest not in keys:
@@ -178,36 +178,40 @@ def _text_columns(blocks: int):
     return run
 
 
-def _text_hits(table: pa.Table) -> pa.Table:
-    """All texts of a flush, and for each the runs whose n-gram stands elsewhere, too, with a hot mark.
+def _text_hits(hot_contexts: int):
+    """From a flush to all its texts, and for each the runs whose n-gram stands elsewhere, too, with a hot mark.
 
     A hit is the number of the run, doubled, plus one if its n-gram has very many contexts. The count
     that decides is the same for every flush, so all contexts of an n-gram are dealt alike.
     """
-    for note, tags, counts in blocked.gathered(table, "uint32"):
-        texts = pa.ipc.open_stream(note).read_all()
-        meta = texts.schema.metadata
-        raw = meta[b"digests"]
-        sizes = np.frombuffer(meta[b"sizes"], np.int64)
-        seen = np.frombuffer(meta[b"counts"], np.uint16).astype(np.int64)
-        seen[tags] = counts
-        per_run = seen[np.frombuffer(meta[b"inverse"], np.uint32)]
-        hits, at = {}, 0
-        for i, size in enumerate(sizes.tolist()):
-            own = per_run[at : at + size]
-            at += size
-            found = np.flatnonzero(own > 1)
-            hits[raw[16 * i : 16 * i + 16]] = (2 * found + (own[found] > HOT_CONTEXTS)).astype(np.int32).tobytes() if len(found) else None
-        column = pa.array([hits[d] for d in texts.column("digest").to_pylist()], pa.binary())
-        return texts.replace_schema_metadata(None).append_column("hits", column)
+
+    def hits_of(table: pa.Table) -> pa.Table:
+        for note, tags, counts in blocked.gathered(table, "uint32"):
+            texts = pa.ipc.open_stream(note).read_all()
+            meta = texts.schema.metadata
+            raw = meta[b"digests"]
+            sizes = np.frombuffer(meta[b"sizes"], np.int64)
+            seen = np.frombuffer(meta[b"counts"], np.uint16).astype(np.int64)
+            seen[tags] = counts
+            per_run = seen[np.frombuffer(meta[b"inverse"], np.uint32)]
+            hits, at = {}, 0
+            for i, size in enumerate(sizes.tolist()):
+                own = per_run[at : at + size]
+                at += size
+                found = np.flatnonzero(own > 1)
+                hits[raw[16 * i : 16 * i + 16]] = (2 * found + (own[found] > hot_contexts)).astype(np.int32).tobytes() if len(found) else None
+            column = pa.array([hits[d] for d in texts.column("digest").to_pylist()], pa.binary())
+            return texts.replace_schema_metadata(None).append_column("hits", column)
+
+    return hits_of
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        raws = [raw or b"" for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+        packed = [(_digest(raw), pack(raw)) for raw in raw_texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_digest(r) for r in raws], pa.binary()), pa.array([pack(r) for r in raws], pa.binary())],
+            [batch.column(0), pa.array([d for d, _ in packed], pa.binary()), pa.array([z for _, z in packed], pa.binary())],
             names=["doc_id", "own", "z"],
         )
 
@@ -250,12 +254,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    """Dense ranks of numbers of at most 43 bits."""
-    packed = values << _BITS | np.arange(len(values), dtype=np.uint64)
+def _ranks(values: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of numbers of at most ``2 * bits`` bits; positions have ``bits`` bits."""
+    if bits > _PACKED_BITS:
+        return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    shift = np.uint64(bits)
+    packed = values << shift | np.arange(len(values), dtype=np.uint64)
     packed.sort()
-    order = (packed & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
-    ordered = packed >> _BITS
+    order = (packed & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    ordered = packed >> shift
     ranks = np.empty(len(values), np.uint64)
     ranks[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
     return ranks
@@ -269,17 +276,19 @@ def suffix_intervals(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     """
     padded = np.concatenate([text, np.zeros(2 * MIN_BYTES, np.uint8)])
     n = len(text) + MIN_BYTES
+    bits = max(_PACKED_BITS, n.bit_length())
+    shift = np.uint64(bits)
     ranks = np.zeros(n, np.uint64)
     for i in range(5):
         ranks = ranks << np.uint64(8) | padded[i : i + n]
-    ranks = _ranks(ranks)
+    ranks = _ranks(ranks, bits)
     size = 5
     while size < 160:
         later = np.zeros(n, np.uint64)
         later[:-size] = ranks[size:]
-        ranks = _ranks(ranks << _BITS | later)
+        ranks = _ranks(ranks << shift | later, bits)
         size *= 2
-    pair = _ranks(ranks[starts] << _BITS | ranks[starts + MIN_BYTES - size])
+    pair = _ranks(ranks[starts] << shift | ranks[starts + MIN_BYTES - size], bits)
     order = np.argsort(pair, kind="stable")
     return starts[order], pair[order].astype(np.int64)
 
@@ -441,11 +450,11 @@ class _Prepared(NamedTuple):
     contexts: DataFrame
 
 
-def _prepare(docs: DataFrame) -> _Prepared:
+def _prepare(docs: DataFrame, hot_contexts: int) -> _Prepared:
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     columns = slim.mapInArrow(_text_columns(blocked.block_count(docs)), blocked.COLUMN_SCHEMA)
     rows = blocked.counts_by_flush(columns, "uint32", owned=True).groupBy("flush").applyInArrow(
-        _text_hits, "doc_id bigint, digest binary, n_bytes bigint, sha binary, hits binary"
+        _text_hits(hot_contexts), "doc_id bigint, digest binary, n_bytes bigint, sha binary, hits binary"
     )
     rows = written(rows, "repeat-texts")
     classes = written(rows.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")), "repeat-classes")
@@ -461,7 +470,7 @@ def _prepare(docs: DataFrame) -> _Prepared:
     return _Prepared(rows, classes, texts, dealt)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     Removed is each byte in a string of MIN_BYTES bytes that also starts anywhere else, in the same
@@ -469,7 +478,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are other places, so a copied text of MIN_BYTES or more is removed whole. Ties cannot arise, since
     every occurrence goes. Null ids are kept as they are. Other columns are left out.
     """
-    parts = _prepare(docs)
+    parts = _prepare(docs, hot_contexts)
     spans = parts.contexts.mapInArrow(_spans, "digest binary, start int, size int")
     per_text = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     cut = parts.texts.select("digest", "z").join(per_text, "digest").mapInArrow(
@@ -532,7 +541,7 @@ def _split_places(packed: bytes) -> list[bytes]:
     return [packed[i : i + size] for i in range(0, len(packed), size)]
 
 
-def repeat_groups(docs: DataFrame) -> DataFrame:
+def repeat_groups(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(repeat, length, places): maximal repeats with all their occurrences.
 
     ``repeat`` is a digest of the string, ``places`` are text digests (see :func:`_digest`) with byte
@@ -540,6 +549,6 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     several that overlap, each with all its occurrences; the strings of very frequent n-grams are
     reported window by window. The occurrences of one string within a text and across texts are alike.
     """
-    return _prepare(docs).contexts.mapInArrow(
+    return _prepare(docs, hot_contexts).contexts.mapInArrow(
         _groups, "repeat binary, length int, places array<struct<digest: binary, start: int>>"
     )
