@@ -2,9 +2,11 @@
 
 The lines of a document are a sequence of hashes. Of every ``window`` neighbouring k-grams of lines
 the smallest is a fingerprint, so any run of ``window + gram - 1`` lines that stands in two places has
-a fingerprint in common. Only stretches around fingerprints that occur more than once are compared at
-all. The comparison extends a match both ways, as far as the neighbouring runs of that length are
-repeats as well; lines of later repeats are deleted, the first occurrence stays.
+a fingerprint in common. A line of ``LONG_BYTES`` bytes or more has a fingerprint of its own as well, so
+a passage that is one line is found between any neighbours. Only stretches around fingerprints that
+occur more than once are compared at all. The comparison extends a match both ways, as far as the
+neighbouring runs of that length are repeats as well; lines of later repeats are deleted, the first
+occurrence stays.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from kohorta.session import written
 #: Lines hashed together, and k-grams of which one is selected; runs of GRAM + WINDOW - 1 are found.
 GRAM = 1
 WINDOW = 2
+#: Bytes of a line that is a repeat by itself. A line of more than 50 words has more, in any language.
+LONG_BYTES = 100
 
 
 def content_lines(raw: bytes) -> tuple[list[bytes], list[int]]:
@@ -33,25 +37,35 @@ def content_lines(raw: bytes) -> tuple[list[bytes], list[int]]:
     return [stripped[i] for i in at], at
 
 
-def _runs(raw: bytes, gram: int, window: int) -> list[tuple[int, int, bytes]]:
-    """(place, fingerprint, digest) of every run of ``gram + window - 1`` lines."""
+def _runs(raw: bytes, gram: int, window: int, long_bytes: int) -> list[tuple[int, int, bytes]]:
+    """(place, fingerprint, digest) of every run of ``gram + window - 1`` lines and of every long line.
+
+    A place is the number of the first line, doubled, plus one if the line stands for itself. No line
+    holds a line break, so a line and a run have different digests.
+    """
     lines, _ = content_lines(raw)
     size = gram + window - 1
-    if len(lines) < size:
-        return []
-    joined = [b"\n".join(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
-    grams = np.array([xxhash.xxh3_64_intdigest(g) for g in joined], np.uint64)
-    smallest = np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1).view(np.int64)
-    return [(i, fp, xxhash.xxh3_128_digest(b"\n".join(lines[i : i + size]))) for i, fp in enumerate(smallest.tolist())]
-
-
-def _run_rows(gram: int, window: int):
+    found = []
+    if len(lines) >= size:
+        joined = [b"\n".join(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
+        grams = np.array([xxhash.xxh3_64_intdigest(g) for g in joined], np.uint64)
+        smallest = np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1).view(np.int64)
+        found = [(2 * i, fp, xxhash.xxh3_128_digest(b"\n".join(lines[i : i + size]))) for i, fp in enumerate(smallest.tolist())]
+    if size > 1:
+        for i, line in enumerate(lines):
+            if len(line) >= long_bytes:
+                digest = xxhash.xxh3_128_digest(line)
+                found.append((2 * i + 1, int.from_bytes(digest[:8], "little", signed=True), digest))
+    return found
+
+
+def _run_rows(gram: int, window: int, long_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (doc_id, mark, place, fp, digest)
                 for doc_id, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)))
-                for place, fp, digest in _runs(raw, gram, window)
+                for place, fp, digest in _runs(raw, gram, window, long_bytes)
             ]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -63,25 +77,26 @@ def _run_rows(gram: int, window: int):
 
 
 def _without(text: str | None, places, size: int) -> tuple[str | None, int, int, int]:
-    """Text without the lines of the given runs; its content lines, deleted lines and deleted stretches."""
+    """Text without the lines of the given runs and long lines; its content lines, deleted lines and deleted stretches."""
     raw = (text or "").encode()
     lines, at = content_lines(raw)
     if places is None or not len(places):
         return text, len(lines), 0, 0
     gone = np.zeros(len(lines), bool)
-    for i in places:
-        gone[i : i + size] = True
+    for place in places:
+        i = place >> 1
+        gone[i : i + (1 if place & 1 else size)] = True
     stretches = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     dropped = {at[i] for i in np.flatnonzero(gone)}
     kept = [line for i, line in enumerate(raw.split(b"\n")) if i not in dropped]
     return b"\n".join(kept).decode(), len(lines), int(gone.sum()), stretches
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_bytes: int = LONG_BYTES) -> DataFrame:
     """Documents with later repeats of runs of lines deleted from ``text``; all rows and columns stay.
 
-    A run is ``gram + window - 1`` lines in a row, blank lines and white space at line ends aside; it
-    is a later repeat if the same run stands earlier: in a document with a smaller id (null first), or
+    A run is ``gram + window - 1`` lines in a row, or one line of ``long_bytes`` bytes (UTF-8) or more,
+    blank lines and white space at line ends aside; it is a later repeat if the same run stands earlier: in a document with a smaller id (null first), or
     earlier in the same document. Rows with the same id and text count as one document, so none of
     them is the later one; equal ids with different texts are ordered by a hash of the text. Null texts
     stay null. Added columns, replacing any of these names: n_lines (not blank), n_removed, n_runs.
@@ -89,7 +104,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     size = gram + window - 1
     rows = boxed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("bigint"), "mark": F.xxhash64("row.text")})
     slim = rows.select("doc_id", "mark", F.col("row.text").alias("text"))
-    runs = written(slim.mapInArrow(_run_rows(gram, window), "doc_id bigint, mark bigint, place int, fp bigint, digest binary"), "line-runs")
+    runs = written(slim.mapInArrow(_run_rows(gram, window, long_bytes), "doc_id bigint, mark bigint, place int, fp bigint, digest binary"), "line-runs")
     # Counts and first places are written before they are joined: no aggregate then stands between
     # shuffle and join, and a fingerprint that a third of the documents share can be split.
     shared = written(runs.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-fingerprints")
