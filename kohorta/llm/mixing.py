@@ -2,13 +2,14 @@
 
 Each document is repeated a Poisson number of times, with the mean that its source needs to reach its
 share of the mixture. The Poisson number is the inverse of the distribution function at a uniform
-number made from a hash of the document, so every run and every recomputed task draws the same. The
-copies are then shuffled globally by another hash.
+number made from a hash of the document, so every run and every recomputed task draws the same. A
+large mean is cut into equal parts, each drawn by a hash of its own and added up, which is exact for
+Poisson numbers. The copies are then shuffled globally by another hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from kohorta.llm.common import boxed, shuffle_partitions, unboxed
 from kohorta.plans.skew import small_table
 from kohorta.session import written
 
-#: Larger means are refused: the distribution function would start below the smallest double.
+#: Largest mean of one draw: far above it, the distribution function starts below the smallest double.
 MAX_RATE = 500.0
 #: Tables of more sources than this are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 10_000
@@ -31,7 +32,7 @@ def hash_uniform(*parts: Column) -> Column:
 
 
 def poisson_draws(u: Column, rate: Column) -> Column:
-    """0 to k-1 for the smallest k with P(X <= k) > u, X being Poisson with mean ``rate``.
+    """0 to k-1 for the smallest k with P(X <= k) > u, X being Poisson with mean ``rate``, ``MAX_RATE`` at most.
 
     The distribution function is summed term by term up to a bound far beyond any double below one.
     The state carries ``u`` and ``rate``, so they are not computed again at each step.
@@ -57,6 +58,15 @@ def poisson_draws(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), bound), start, step, numbers)
 
 
+def poisson_parts(rate: Column, uniform: Callable[[Column], Column]) -> Column:
+    """Poisson numbers that add up to one with mean ``rate``: of equal parts of mean ``MAX_RATE`` at most.
+
+    ``uniform`` gives the number in [0, 1) of a part, which is numbered from 0.
+    """
+    parts = F.greatest(F.ceil(rate / MAX_RATE), F.lit(1)).cast("long")
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.size(poisson_draws(uniform(p), rate / parts)).cast("long"))
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, repetition: float = 1.0, temper: float = 0.5) -> DataFrame:
     """(source, n_docs, rate): mean number of copies of a document of each source.
 
@@ -91,20 +101,25 @@ def mix_sources(
     Added columns: ``copy`` (from 0), ``copies``, ``rate`` of the source, ``shuffle_key`` in [0, 1), by
     a hash of which rows are dealt to partitions and by which they are sorted there; columns of the input with these names are replaced. The draw depends
     on seed, doc_id and text, so repeated rows get the same number of copies each. A document drawn
-    zero times is left out, which is the feature. Empty tables give no rows; rates above ``MAX_RATE``
-    raise an error.
+    zero times is left out, which is the feature. Empty tables give no rows. A rate above ``MAX_RATE``
+    is drawn in equal parts below it; its copies are numbered through from one part to the next.
     """
     rates = source_rates(docs, weights, repetition, temper)
-    rate = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit(f"a rate is above {MAX_RATE}")).cast("double"))
-    rates = rates.select("source", rate.alias("rate"))
+    rates = rates.select("source", "rate")
     # Few sources travel to the documents; many are written first, so a hot source's join can be split.
     few = small_table(rates, MAX_BROADCAST_SOURCES)
     rates = written(rates, "source-rates") if few is None else few
     joined = boxed(docs).join(rates, F.col("row.source").eqNullSafe(F.col("source")))
     joined = joined.withColumn("digest", F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
-    u = hash_uniform(F.lit(seed), F.lit("draw"), F.col("row.doc_id"), F.col("digest"))
-    drawn = joined.withColumn("draws", poisson_draws(u, F.col("rate")))
-    spread = drawn.select("row", "rate", "digest", F.size("draws").cast("long").alias("copies"), F.explode("draws").alias("copy"))
+    named = (F.lit(seed), F.lit("draw"), F.col("row.doc_id"), F.col("digest"))
+    drawn = joined.withColumn("draws", poisson_parts(F.col("rate"), lambda p: F.when(p == 0, hash_uniform(*named)).otherwise(hash_uniform(*named, p))))
+    total = lambda draws: F.aggregate(draws, F.lit(0).cast("long"), lambda a, k: a + k)
+    # One row per part first: no array grows with the rate but the parts' numbers.
+    parts = drawn.select("row", "rate", "digest", "draws", total(F.col("draws")).alias("copies"), F.posexplode("draws").alias("part", "k"))
+    before = total(F.slice("draws", 1, F.col("part")))
+    parts = parts.where("k > 0").select("row", "rate", "digest", "copies", "k", before.alias("before"))
+    copy = F.sequence(F.col("before"), F.col("before") + F.col("k") - 1)
+    spread = parts.select("row", "rate", "digest", "copies", F.explode(copy).alias("copy"))
     key = hash_uniform(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("copy"), F.col("digest"))
     names = [c for c in docs.columns if c not in ("copy", "copies", "rate", "shuffle_key")]
     mixed = spread.select(*unboxed(names), "rate", "copies", "copy", key.alias("shuffle_key"))

@@ -1,8 +1,18 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import math
 import random
+import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from kohorta.llm.licenses import LICENSES, NOTICES, license_report
 from kohorta.llm.line_dedup import LONG_BYTES, dedup_lines
+from kohorta.llm.mixing import mix_sources
+from kohorta.llm.ngram_join import ngram_components
+from kohorta.llm.repeats import remove_repeats
+from tests.llm import brute
 
 
 def _words(seed: int, n: int) -> str:
@@ -46,3 +56,33 @@ def test_line_dedup_keeps_one_of_each_line(spark):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.text for r in got} == want
     assert {x for t in want.values() for x in t.split("\n") if x} == {x for _, t in rows for x in t.split("\n")}
+
+
+# ---- mixing
+
+
+def test_large_rates_are_drawn_in_parts(spark):
+    rows = [(i, f"text {i}", "hot" if i < 40 else None) for i in range(41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_sources(docs, {"hot": 0.9, None: 0.1}, repetition=1000.0)
+    per_doc = got.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.min("copy").alias("a"), F.max("copy").alias("b"),
+        F.max("copies").alias("k"), F.max("rate").alias("rate"),
+    ).collect()
+    assert len(per_doc) == 41
+    for r in per_doc:
+        assert (r.n, r.d, r.a, r.b) == (r.k, r.k, 0, r.k - 1)
+        assert r.rate > 900 and abs(r.k - r.rate) < 6 * math.sqrt(r.rate)
+    scores = [(r.k - r.rate) / math.sqrt(r.rate) for r in per_doc]
+    assert abs(sum(scores)) < 5 * math.sqrt(41) and 0.3 < sum(x * x for x in scores) / 41 < 2.2
+    again = mix_sources(docs.repartition(5), {"hot": 0.9, None: 0.1}, repetition=1000.0)
+    assert again.groupBy("doc_id").count().exceptAll(got.groupBy("doc_id").count()).count() == 0
+
+
+def test_a_stray_source_beside_large_ones_is_mixed(spark):
+    docs = spark.range(300_001).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") > 0, "large").alias("source")
+    )
+    got = mix_sources(docs, repetition=1.0, temper=0.5)
+    stray = got.where("source is null").agg(F.count("*").alias("n"), F.max("copies").alias("k"), F.max("rate").alias("rate")).first()
+    assert stray.rate > 500 and stray.n == stray.k and abs(stray.n - stray.rate) < 6 * math.sqrt(stray.rate)
