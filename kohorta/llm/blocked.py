@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from kohorta.llm.common import shuffle_partitions
@@ -47,6 +49,14 @@ def block_count(df: DataFrame) -> int:
     return BLOCKS_PER_PARTITION * shuffle_partitions(df.sparkSession)
 
 
+def flush_number(note: bytes, nth: int) -> int:
+    """The number of a task's ``nth`` flush, the same whenever the task is run again.
+
+    Flushes of the same rows have the same note, so the task and the flush's place in it count as well.
+    """
+    return xxhash.xxh3_64_intdigest(note + b"%d %d" % (TaskContext.get().partitionId(), nth)) >> 1
+
+
 def column_rows(
     blocks: int, flush: int, keys: np.ndarray, tags: np.ndarray, weights: np.ndarray, note: bytes, owners: np.ndarray | None = None
 ) -> pa.RecordBatch:

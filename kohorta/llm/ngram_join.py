@@ -70,10 +70,6 @@ def _set_hash(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def _flush_number(note: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(note) >> 1
-
-
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -95,7 +91,7 @@ def _document_columns(blocks: int):
     """Entries of documents by block: keys that several documents of a flush share travel once."""
     unwanted = np.iinfo(_TAG).max
 
-    def flushed(docs: list[tuple]) -> pa.RecordBatch:
+    def flushed(nth: int, docs: list[tuple]) -> pa.RecordBatch:
         ids, sets = [d[0] for d in docs], [d[1] for d in docs]
         sizes = np.array([len(s) for s in sets], np.int64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -108,22 +104,22 @@ def _document_columns(blocks: int):
             )
         )
         tags = np.where(counts > 1, unwanted, owner[first]).astype(_TAG)
-        return blocked.column_rows(blocks, _flush_number(note), keys, tags, counts, note)
+        return blocked.column_rows(blocks, blocked.flush_number(note, nth), keys, tags, counts, note)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         held: list[tuple] = []
-        entries = 0
+        entries = nth = 0
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 values = shingles(raw, memo)
                 held.append((doc_id, values))
                 entries += len(values)
                 if entries >= blocked.FLUSH_ENTRIES or len(held) >= blocked.FLUSH_DOCS:
-                    yield flushed(held)
-                    held, entries = [], 0
+                    yield flushed(nth, held)
+                    held, entries, nth = [], 0, nth + 1
         if held:
-            yield flushed(held)
+            yield flushed(nth, held)
 
     return run
 
@@ -150,7 +146,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set_columns(blocks: int):
     """Entries of distinct sets by block; the note keeps the sets, for choosing their rarest n-grams."""
 
-    def flushed(rows: list[tuple]) -> pa.RecordBatch:
+    def flushed(nth: int, rows: list[tuple]) -> pa.RecordBatch:
         sets = [r[1] for r in rows]
         keys, counts, _, inverse = _combined(np.concatenate(sets), np.empty(0))
         note = _packed(
@@ -158,20 +154,20 @@ def _set_columns(blocks: int):
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["h", "grams"]
             )
         )
-        return blocked.column_rows(blocks, _flush_number(note), keys, np.arange(len(keys), dtype=np.uint32), counts, note)
+        return blocked.column_rows(blocks, blocked.flush_number(note, nth), keys, np.arange(len(keys), dtype=np.uint32), counts, note)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        entries = 0
+        entries = nth = 0
         for batch in batches:
             for h, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append((h, np.frombuffer(grams, np.uint64)))
                 entries += len(grams) // 8
                 if entries >= blocked.FLUSH_ENTRIES:
-                    yield flushed(held)
-                    held, entries = [], 0
+                    yield flushed(nth, held)
+                    held, entries, nth = [], 0, nth + 1
         if held:
-            yield flushed(held)
+            yield flushed(nth, held)
 
     return run
 

@@ -130,7 +130,7 @@ class Text(NamedTuple):
 def _text_columns(blocks: int):
     """Keys of the windows of every distinct text of a flush by block; the note lists all texts."""
 
-    def flushed(texts: list[Text], keys: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def flushed(nth: int, texts: list[Text], keys: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         digests = list(keys)
         sizes = np.array([len(keys[d][0]) for d in digests], np.int64)
         flat, twice = (np.concatenate([keys[d][i] for d in digests]) for i in (0, 1))
@@ -154,13 +154,13 @@ def _text_columns(blocks: int):
             w.write_table(listed)
         note = sink.getvalue().to_pybytes()
         tags = np.arange(len(distinct), dtype=np.uint32)
-        return blocked.column_rows(blocks, xxhash.xxh3_64_intdigest(note) >> 1, distinct, tags, counts, note, owners)
+        return blocked.column_rows(blocks, blocked.flush_number(note, nth), distinct, tags, counts, note, owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         texts: list[Text] = []
         keys: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        entries = 0
+        entries = nth = 0
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 digest = _digest(raw)
@@ -170,10 +170,10 @@ def _text_columns(blocks: int):
                     keys[digest] = (found[0], found[3])
                     entries += len(found[0])
                 if entries >= blocked.FLUSH_ENTRIES or len(texts) >= blocked.FLUSH_DOCS:
-                    yield flushed(texts, keys)
-                    texts, keys, entries = [], {}, 0
+                    yield flushed(nth, texts, keys)
+                    texts, keys, entries, nth = [], {}, 0, nth + 1
         if texts:
-            yield flushed(texts, keys)
+            yield flushed(nth, texts, keys)
 
     return run
 

@@ -3,10 +3,13 @@
 import math
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kohorta.llm import repeats
 from kohorta.llm.licenses import LICENSES, NOTICES, license_report
 from kohorta.llm.line_dedup import LONG_BYTES, dedup_lines
 from kohorta.llm.mixing import mix_sources
@@ -86,3 +89,22 @@ def test_a_stray_source_beside_large_ones_is_mixed(spark):
     got = mix_sources(docs, repetition=1.0, temper=0.5)
     stray = got.where("source is null").agg(F.count("*").alias("n"), F.max("copies").alias("k"), F.max("rate").alias("rate")).first()
     assert stray.rate > 500 and stray.n == stray.k and abs(stray.n - stray.rate) < 6 * math.sqrt(stray.rate)
+
+
+# ---- flushes
+
+
+@pytest.mark.parametrize("fills_a_flush", [False, True])
+def test_flushes_of_equal_rows(spark, fills_a_flush):
+    text = _words(7, 300)
+    once = spark.createDataFrame([(1, text), (2, _words(8, 90))], "doc_id bigint, text string").coalesce(1)
+    if fills_a_flush:
+        rows = [(1, " ".join(f"{i:x}" for i in range(500_010)))] * 3
+        docs = spark.createDataFrame(rows[:1], "doc_id bigint, text string").select(F.explode(F.array_repeat(F.struct("doc_id", "text"), 3)).alias("r")).select("r.*")
+    else:
+        rows = [(1, text), (2, _words(8, 90))] * 2
+        docs = once.union(once)
+    n = [len(t.split()) - 4 for _, t in rows]
+    assert sorted(map(tuple, ngram_components(docs).collect())) == sorted((d, k, d) for (d, _), k in zip(rows, n))
+    want = sorted((d, len(t), len(t), 1, brute.sha(b"")) for d, t in rows)
+    assert sorted(map(tuple, remove_repeats(docs).collect())) == want
