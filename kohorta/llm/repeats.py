@@ -268,31 +268,87 @@ def _ranks(values: np.ndarray, bits: int) -> np.ndarray:
     return ranks
 
 
-def suffix_intervals(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``starts`` to a depth of MIN_BYTES, and the number of each suffix's interval.
+def _prefix_ranks(text: np.ndarray, depth: int, kept: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, int, int]:
+    """Ranks of all positions by their next ``size`` bytes, doubled from 5 to ``depth`` or more; size; bits of a position.
 
-    Ranks of 5 bytes are doubled to 160; two overlapping ranks of 160 give the order of the first 200
-    bytes. Suffixes of one interval share all of them.
+    ``kept`` gets the ranks of each size from 20 to the last but one.
     """
     padded = np.concatenate([text, np.zeros(2 * MIN_BYTES, np.uint8)])
     n = len(text) + MIN_BYTES
     bits = max(_PACKED_BITS, n.bit_length())
-    shift = np.uint64(bits)
     ranks = np.zeros(n, np.uint64)
     for i in range(5):
         ranks = ranks << np.uint64(8) | padded[i : i + n]
     ranks = _ranks(ranks, bits)
     size = 5
-    while size < 160:
+    while size < depth:
+        if kept is not None and size >= 20:
+            kept[size] = ranks.astype(np.uint32)
         later = np.zeros(n, np.uint64)
         later[:-size] = ranks[size:]
-        ranks = _ranks(ranks << shift | later, bits)
+        ranks = _ranks(ranks << np.uint64(bits) | later, bits)
         size *= 2
-    pair = _ranks(ranks[starts] << shift | ranks[starts + MIN_BYTES - size], bits)
+    return ranks, size, bits
+
+
+def suffix_intervals(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of ``starts`` to a depth of MIN_BYTES, and the number of each suffix's interval.
+
+    Ranks of 5 bytes are doubled to 160; two overlapping ranks of 160 give the order of the first 200
+    bytes. Suffixes of one interval share all of them.
+    """
+    ranks, size, bits = _prefix_ranks(text, 160)
+    pair = _ranks(ranks[starts] << np.uint64(bits) | ranks[starts + MIN_BYTES - size], bits)
     order = np.argsort(pair, kind="stable")
     return starts[order], pair[order].astype(np.int64)
 
 
+def _common_prefixes(text: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal bytes from ``a`` and ``b`` on, ``most`` at most, by the ranks of each size; 0 if they are fewer than MIN_BYTES."""
+    out = np.zeros(len(a), np.int64)
+    at = np.flatnonzero(ranks[160][a] == ranks[160][b])
+    x, y, found, bound = a[at], b[at], np.zeros(len(at), np.int64), most[at]
+    for size in sorted(ranks, reverse=True):
+        same = ranks[size]
+        last = len(same) - 1
+        found += size * (same[np.minimum(x + found, last)] == same[np.minimum(y + found, last)])
+    # What is left is shorter than the least size.
+    open_ = np.arange(len(at))
+    for _ in range(min(ranks)):
+        open_ = open_[found[open_] < bound[open_]]
+        open_ = open_[text[x[open_] + found[open_]] == text[y[open_] + found[open_]]]
+        found[open_] += 1
+    found = np.minimum(found, bound)
+    out[at] = np.where(found < MIN_BYTES, 0, found)
+    return out
+
+
+def interval_scan(common: list[int], lefts: list[int]) -> list[tuple[int, int, int]]:
+    """Maximal repeats (begin, end, length) of a suffix array by one scan with a stack of open intervals.
+
+    ``common`` holds the bytes that a suffix shares with the one before it, 0 if too few; ``lefts`` the
+    byte before each, -1 if unknown. An interval whose suffixes all follow the same byte is left out,
+    being part of a repeat that starts earlier. Inner intervals come before those around them.
+    """
+    out = []
+    lengths, begins, sides = [0], [0], [-1]
+    for i, shared in enumerate([*common[1:], 0], 1):
+        begin, side = i - 1, lefts[i - 1]
+        while lengths[-1] > shared:
+            length, begin, own = lengths.pop(), begins.pop(), sides.pop()
+            if own != side:
+                side = -1
+            if side < 0:
+                out.append((begin, i, length))
+        if lengths[-1] < shared:
+            lengths.append(shared)
+            begins.append(begin)
+            sides.append(side)
+        elif sides[-1] != side:
+            sides[-1] = -1
+    return out
+
+
 def interval_tree(suffixes: Sequence[bytes], lefts: Sequence[int], least: int) -> list[tuple[int, list[int]]]:
     """Maximal repeats among suffixes: (length, members), every nested group with all occurrences.
 
@@ -360,29 +416,60 @@ def _scan(cold: list[tuple]):
     return text, begins, windows, order, interval
 
 
+def _repeated(cold: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, length): the stretches of a chunk's contexts that its maximal repeats cover.
+
+    A byte that no UTF-8 text has parts the contexts, so no repeat goes past the end of one.
+    """
+    bodies = [r[1] for r in cold]
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    windows = np.array([r[2] for r in cold], np.int64)
+    context = np.repeat(np.arange(len(cold)), windows)
+    offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = begins[context] + offset
+    shorter: dict[int, np.ndarray] = {}
+    ranks, _, _ = _prefix_ranks(text, max(320, int(sizes.max()) + 1), shorter)
+    order = np.argsort(ranks[starts], kind="stable")
+    starts, context, offset = starts[order], context[order], offset[order]
+    rest = sizes[context] - offset
+    common = np.zeros(len(starts), np.int64)
+    common[1:] = _common_prefixes(text, shorter, starts[:-1], starts[1:], np.minimum(rest[:-1], rest[1:]))
+    near = common > 0
+    near[:-1] |= common[1:] > 0
+    lefts = np.where(offset > 0, text[np.maximum(starts - 1, 0)].astype(np.int64), -1)
+    groups = interval_scan(common[near].tolist(), lefts[near].tolist()) if near.any() else []
+    longest = np.zeros(int(near.sum()), np.int64)
+    for begin, end, length in reversed(groups):  # inner groups are longer and come last
+        longest[begin:end] = length
+    # A context that stands for several places is a repeat of its own to its end.
+    whole = np.flatnonzero([len(r[3]) > _PLACE.itemsize for r in cold])
+    begin = np.concatenate([starts[near][longest > 0], begins[whole]])
+    end = begin + np.concatenate([longest[longest > 0], sizes[whole]])
+    if not len(begin):
+        return begin, begin, begin
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+    reach = reach[np.append(first[1:], len(begin)) - 1]
+    context = np.searchsorted(begins, begin[first], side="right") - 1
+    return context, begin[first] - begins[context], reach - begin[first]
+
+
 _SPAN_FIELDS = pa.schema([("digest", pa.binary()), ("start", pa.int32()), ("size", pa.int32())])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, start, size): bytes of a text that lie in repeated windows, from the intervals."""
+    """(digest, start, size): bytes of a text that lie in maximal repeats, or in repeated windows of hot n-grams."""
     for cold, hot in _chunks(batches):
         texts, starts, sizes = [], [], []
         if cold:
-            text, begins, windows, order, interval = _scan(cold)
-            weight = np.array([len(r[3]) // _PLACE.itemsize for r in cold], np.int64)
-            context = np.searchsorted(begins, order, side="right") - 1
-            # An interval is a repeat if its contexts stand for two places or more.
-            repeated = np.bincount(interval, weights=weight[context])[interval] > 1
-            hits = np.sort(order[repeated])
-            if len(hits):
-                context = np.searchsorted(begins, hits, side="right") - 1
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(hits) > 1) | (np.diff(context) > 0)]))
-                length = np.diff(np.append(first, len(hits))) + MIN_BYTES - 1
-                for c, off, size in zip(context[first].tolist(), (hits[first] - begins[context[first]]).tolist(), length.tolist()):
-                    places = np.frombuffer(cold[c][3], _PLACE)
-                    texts.append(places["text"])
-                    starts.append(places["start"] + off)
-                    sizes.append(np.full(len(places), size))
+            for c, off, size in zip(*(x.tolist() for x in _repeated(cold))):
+                places = np.frombuffer(cold[c][3], _PLACE)
+                texts.append(places["text"])
+                starts.append(places["start"] + off)
+                sizes.append(np.full(len(places), size))
         at = 0
         while at < len(hot):
             # Equal windows have equal keys, so they are neighbours; windows of one key are few.

@@ -108,3 +108,45 @@ def test_flushes_of_equal_rows(spark, fills_a_flush):
     assert sorted(map(tuple, ngram_components(docs).collect())) == sorted((d, k, d) for (d, _), k in zip(rows, n))
     want = sorted((d, len(t), len(t), 1, brute.sha(b"")) for d, t in rows)
     assert sorted(map(tuple, remove_repeats(docs).collect())) == want
+
+
+# ---- repeats
+
+
+def test_scan_yields_the_maximal_repeats_of_the_tree():
+    pick = random.Random(5)
+    for _ in range(100):
+        texts = [bytes(pick.choice(b"ab") for _ in range(pick.randint(1, 12))) for _ in range(4)]
+        places = [(t, i) for t in texts for i in range(len(t))]
+        suffixes, lefts = [t[i:] for t, i in places], [t[i - 1] if i else -1 for t, i in places]
+        order = sorted(range(len(suffixes)), key=lambda i: suffixes[i])
+        common = [0] + [n if (n := repeats._common(suffixes[a], suffixes[b])) >= 2 else 0 for a, b in zip(order, order[1:])]
+        got = {(n, tuple(sorted(order[b:e]))) for b, e, n in repeats.interval_scan(common, [lefts[i] for i in order])}
+        assert got == {(n, tuple(g)) for n, g in repeats.interval_tree(suffixes, lefts, 2)}
+
+
+def test_maximal_repeats_cover_every_repeated_window():
+    pick = random.Random(5)
+    for _ in range(60):
+        units = [bytes(pick.choice(b"ab\x00z") for _ in range(pick.choice([1, 2, 90, 230, 400]))) for _ in range(4)]
+        bodies = {b"".join(pick.choice(units) for _ in range(pick.randint(1, 8)))[:2247] for _ in range(pick.randint(1, 7))}
+        cold = [(1, b, len(b) - 199, b"x" * 20 * pick.choice([1, 1, 1, 2])) for b in sorted(bodies) if len(b) >= 200]
+        if not cold:
+            continue
+        seen = Counter()
+        for _, body, windows, places in cold:
+            for i in range(windows):
+                seen[body[i : i + 200]] += len(places) // 20
+        want = {(c, j) for c, (_, b, n, _) in enumerate(cold) for i in range(n) if seen[b[i : i + 200]] > 1 for j in range(i, i + 200)}
+        stretches = list(zip(*(x.tolist() for x in repeats._repeated(cold))))
+        assert {(c, j) for c, at, size in stretches for j in range(at, at + size)} == want
+
+
+def test_the_query_scans_its_intervals(monkeypatch):
+    called = []
+    monkeypatch.setattr(repeats, "interval_scan", lambda *a, scan=repeats.interval_scan: called.append(a) or scan(*a))
+    body = bytes(random.Random(1).choice(b"abcdef") for _ in range(300))
+    rows = [(7, b, len(b) - 199, bytes([i]) * 16 + b"\0" * 4) for i, b in enumerate((b"1" + body, b"2" + body))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), repeats._CONTEXT_FIELDS)], schema=repeats._CONTEXT_FIELDS)
+    found = [tuple(r.values()) for out in repeats._spans(iter([batch])) for r in out.to_pylist()]
+    assert called and found == [(bytes([i]) * 16, 1, 300) for i in range(2)]
