@@ -100,7 +100,7 @@ NOTICES = (
 
 #: A text without any of these substrings matches no rule.
 GATE = ("licen", "copyright", "reserved", "warranty", "permission", "redistribution", "gpl", "cc0", " cc ",
-        "wtfpl", " commons ", " domain ", "affero")
+        "wtfpl", " commons ", " domain ", "affero", " attribution ")
 
 _WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

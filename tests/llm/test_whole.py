@@ -91,6 +91,25 @@ def test_a_stray_source_beside_large_ones_is_mixed(spark):
     assert stray.rate > 500 and stray.n == stray.k and abs(stray.n - stray.rate) < 6 * math.sqrt(stray.rate)
 
 
+# ---- licenses
+
+
+def _example(pattern: str) -> str:
+    """The shortest words that a rule's pattern takes: optional parts left out, the first of each choice."""
+    pattern = re.sub(r"\(\?:[^()|]*\)\?", "", pattern).replace(" ?", " ")
+    while (plain := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: "" if m[2] else m[1], pattern)) != pattern:
+        pattern = plain
+    return re.sub(r"\[(.)[^\]]*\](?:\{\d\})?", lambda m: m[1], pattern.replace("[0-9]{2}", "19"))
+
+
+def test_one_example_of_every_rule_passes_the_gate(spark):
+    named = [(label.removesuffix("-short"), _example(name)) for label, _, name in LICENSES]
+    rows = named + [(label, _example(p)) for _, label, _, p in NOTICES] + [("mit-0", "released under MIT No Attribution")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels or "").split(",") for r in license_report(docs).collect()}
+    assert [rows[i] for i in range(len(rows)) if rows[i][0] not in got[i]] == []
+
+
 # ---- flushes
 
 
