@@ -7,11 +7,12 @@ transpose holds the overlap of every two documents, but hardly any of it is need
    the threshold of its set leaves no room for a link, and nearly all documents are out.
 2. Of the rest, equal sets are one row. Columns are ordered by count, rare ones first. Two sets that
    reach the threshold share a column among the first of each, as many as its size leaves room to miss.
-   Only those entries of the matrix are multiplied, and only between sets whose sizes allow a link.
-3. The overlaps of the pairs found are accumulated over their whole rows and judged exactly.
+   Sets that are connected by such columns, linked or not, are a family.
+3. Within a family, all rows whose sizes allow a link are multiplied, block by block, and the overlaps
+   are judged exactly. Only a forest of links leaves a block.
 
-A column that many documents share is not multiplied out: its documents are compared with a pivot
-first, linked ones become one component, and only pairs of different components are multiplied then.
+A family's work and shuffle grow with the square of its blocks: a set is sent to every block of its own
+band of sizes and of the two next to it. Linked sets are not contracted before.
 """
 
 from __future__ import annotations
