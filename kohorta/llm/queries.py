@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from kohorta.llm.common import table
 from kohorta.llm.decontamination import contamination
 from kohorta.llm.fingerprints import fingerprint_edits
+from kohorta.llm.hard_negatives import floored, mine_hard_negatives, usable_rows
+from kohorta.llm.language import identify_languages, in_fold
 from kohorta.llm.licenses import license_report
 from kohorta.llm.line_dedup import dedup_lines
 from kohorta.llm.mixing import mix_sources
 from kohorta.llm.ngram_join import ngram_components
+from kohorta.llm.periodic_runs import detect_runs
 from kohorta.llm.quality import score_quality
 from kohorta.llm.repeats import remove_repeats
 from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
@@ -71,6 +74,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has a label that is off by one."""
+    given = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = usable_rows(given.withColumn("label", label), "vec_id", "embedding", "label").withColumn("vec", floored(F.col("vec")))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_runs(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 2, 4))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +101,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture": op8_mixture,
     "op9_contamination": op9_contamination,
     "op10_license_scan": op10_license_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_language": op13_language,
 }
 
 _WORDS = (
@@ -150,4 +172,56 @@ named as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from docs left join hits using (r) left join named using (r)""",
+    "op11_hard_negatives": """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.vec, b.vec)::bigint as score
+  from usable a join usable b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::integer as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10""",
+    "op12_periodic_runs": """
+with given as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+    xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) as h
+  from documents),
+cuts as (select *, len(w)::bigint as n, h // 10 as g, h % 10 = 0 and len(w) > 0 as loops from given),
+starts as (select *, case when loops then g % n end as a from cuts),
+units as (select *, case when loops then 1 + (n - a) // (3 + g % 8) end as p from starts),
+texts as (
+  select r, doc_id, n, case when loops then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w
+  from units),
+grams as (
+  select r, i, w[i + 1 : i + 5] as gram from (select r, w, unnest(range(n - 4)) as i from texts where n >= 6)),
+pairs as (
+  select a.r, a.i, b.i - a.i as q from grams a join grams b on a.r = b.r and a.gram = b.gram and a.i < b.i),
+islands as (select r, q, i, i - row_number() over (partition by r, q order by i) as k from pairs),
+stretches as (select r, q, min(i) as start, count(*) + 4 + q as length from islands group by r, q, k),
+runs as (
+  select r, start, length, min(q) as period from stretches where length >= greatest(6, 4 * q) group by r, start, length),
+best as (
+  select * from runs
+  qualify row_number() over (partition by r order by length::double / period desc, start, period) = 1),
+listed as (
+  select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as l
+  from runs group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+words as (select r, unnest(range(n)) as i, unnest(w) as word from texts where n > 0),
+kept as (
+  select r, string_agg(word, ' ' order by i) as t from words left join (select r, i, true as cut from gone) using (r, i)
+  where cut is null group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period,
+  (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(l, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from texts left join best using (r) left join listed using (r) left join kept using (r)""",
 }

@@ -206,4 +206,4 @@ def test_pipeline_stages(spark, docs, empty, labels, items, tmp_path, monkeypatc
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in Q.LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in Q.LLM_QUERIES) == list(range(1, 14))
