@@ -158,14 +158,14 @@ class ItemAutomaton:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of bounded size, one at a time from the driver's iterator.
 
-    Items are a stated query set; documents are matched against all blocks. Rows with a null id or
-    null text are left out: they have no name or no words.
+    Items are a stated query set; documents are matched against all blocks. Rows with a null text have
+    no words and are left out; an item with a null id is matched as any other, but has no name.
     """
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
-    blocks: list[list[tuple[str, list[bytes]]]] = []
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
+    blocks: list[list[tuple[str | None, list[bytes]]]] = []
     size = block_words
     for item, text in rows.orderBy("item_id", "text").toLocalIterator():
         words = words_of(text.encode())
@@ -189,7 +189,7 @@ def _matcher(docs: DataFrame, benchmark: DataFrame):
             items: set[str] = set()
             for automaton in automata:
                 spans, found = automaton.find(words)
-                items |= found
+                items |= found - {None}
                 for a, b in spans:
                     hit[a] += 1
                     hit[b] -= 1
@@ -267,5 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE)
                 out.append((bad, without_spans(text, mask) if hit and not bad else text))
             yield pd.DataFrame(out, columns=["contaminated", "text"]).astype({"contaminated": "bool", "text": "object"})
 
-    kept = boxed(docs).withColumn("judged", judged(F.col("row.text"))).where("not judged.contaminated")
+    # A filter on what is selected later would have every text judged twice, were the function deterministic.
+    once = judged.asNondeterministic()
+    kept = boxed(docs).withColumn("judged", once(F.col("row.text"))).where("not judged.contaminated")
     return kept.select(*unboxed(docs.columns, text=F.col("judged.text")))

@@ -122,7 +122,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_by
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed", "n_runs"])
 
     joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("mark").eqNullSafe(F.col("own")), "left")
-    done = joined.withColumn("cut", cut(F.col("row.text"), F.col("places")))
+    # Later filters on its numbers would have every text cut twice, were the function deterministic.
+    once = cut.asNondeterministic()
+    done = joined.withColumn("cut", once(F.col("row.text"), F.col("places")))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     return done.select(*unboxed(names, text=F.col("cut.text")), "cut.n_lines", "cut.n_removed", "cut.n_runs")
 

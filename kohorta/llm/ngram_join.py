@@ -20,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm import blocked
@@ -337,9 +338,11 @@ def _components(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return connected_components(nodes, links)
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+def ngram_components(docs: DataFrame, with_sets: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; exact, whatever the sizes of groups.
 
+    ``with_sets`` adds ``h``, the hash of the row's set, and ``label``, one of the component's hashes.
+
     Words are runs without ASCII white space, A-Z in lower case. A set is the distinct 5-word
     shingles, or all words as one if there are fewer. Null, empty and blank texts have no shingles and
     link with nothing, so their component is their own id. Repeated rows have equal sets and share a
@@ -354,7 +357,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     )
     rows = written(counted, "ngram-documents")
     near = F.col("n") * PERCENT <= F.col("shared") * 100
-    alone = rows.where((F.col("n") == 0) | ~near).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = rows.where((F.col("n") == 0) | ~near).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", F.col("h").alias("label"))
     open_rows = rows.where((F.col("n") > 0) & near).select("doc_id", "n", "h")
 
     classes = written(open_rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "ngram-classes")
@@ -373,20 +376,40 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         "h", F.coalesce("label", "h").alias("label"), "doc_id"
     )
     smallest = written(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "ngram-smallest")
-    ids = written(labelled.select("h", "label").join(smallest, "label").select("h", "component_id"), "ngram-class-ids")
-    linked = open_rows.join(ids, "h").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return alone.unionByName(linked)
+    ids = written(labelled.select("h", "label").join(smallest, "label").select("h", "label", "component_id"), "ngram-class-ids")
+    linked = open_rows.join(ids, "h").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "h", "label")
+    found = alone.unionByName(linked)
+    return found if with_sets else found.drop("h", "label")
+
+
+def set_hash(text: Column) -> Column:
+    """The hash of a text's shingle set, as :func:`ngram_components` gives it."""
+
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        memo: dict[bytes, int] = {}
+        return texts.map(lambda t: _set_hash(shingles((t or "").encode(), memo)))
+
+    return hashed(text)
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the smallest id stays.
 
-    Rows with a null id stay; of rows that repeat an id that stays, one stays, the first by a hash of the row.
+    Rows with a null id stay. Of rows that share an id and a component, one stays, the first by a hash of
+    the row; rows of one id in different components are different documents, and each is its component's.
     """
-    components = written(ngram_components(docs), "ngram-components")
-    heads = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
+    components = written(ngram_components(docs, with_sets=True), "ngram-components")
+    heads = components.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head"), "h", "label").distinct()
+    # An id that stands for several sets says nothing about its rows' components: some of its rows may be
+    # no heads at all. Their texts are hashed again; of unique ids the row itself is the head.
+    many = components.groupBy(F.col("doc_id").alias("_id")).agg(F.countDistinct("h").alias("sets")).where("sets > 1")
+    many = written(many.select("_id"), "ngram-repeated-ids")
     rows = boxed(docs).withColumn("id", F.col("row.doc_id").cast("bigint"))
-    marked = rows.join(heads, F.col("id") == F.col("head"))
+    plain = heads.join(many, F.col("head") == F.col("_id"), "left_anti").drop("h")
+    marked = rows.join(plain, F.col("id") == F.col("head")).select("row", "id", "label")
+    mixed = rows.join(many, F.col("id") == F.col("_id"), "left_semi").withColumn("own", set_hash(F.col("row.text")))
+    chosen = mixed.join(heads, (F.col("id") == F.col("head")) & (F.col("own") == F.col("h"))).select("row", "id", "label")
     # Rows that repeat an id are few; of unique ids every row is its own group.
-    kept = marked.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    kept = marked.unionByName(chosen).groupBy("id", "label").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return kept.select(*unboxed(docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -20,10 +20,13 @@ from kohorta.llm.ngram_join import ngram_components
 from kohorta.llm.periodic_runs import detect_runs
 from kohorta.llm.quality import score_quality
 from kohorta.llm.repeats import remove_repeats
-from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, inserts, revisions, without_echoes, word_counter
+from kohorta.llm.token_counts import TokenLedger, byte_pair_counter, count_changes, deletes, inserts, revisions, without_echoes, word_counter
 from kohorta.llm.toxicity import score_toxicity
 from kohorta.session import run_dir
 
+#: Documents with fewer characters are deleted from the token ledger again.
+SHORT_CHARS = 200
+
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
@@ -34,11 +37,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after inserting all documents, revising those with echoed lines, and a repeated commit."""
+    """Totals after inserting all documents, revising those with echoed lines, deleting the short, and a repeated commit."""
     docs = table(spark, sf_dir, "documents")
     tokenizers = {"byte_bpe_50k/1": byte_pair_counter("byte_bpe_50k"), "words/1": word_counter}
     ledger = TokenLedger(spark, f"{run_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
-    batches = {"insert": inserts(docs), "revise": revisions(docs, without_echoes(F.col("text")))}
+    revised = docs.withColumn("text", without_echoes(F.col("text")))
+    batches = {
+        "insert": inserts(docs),
+        "revise": revisions(docs, without_echoes(F.col("text"))),
+        "delete": deletes(revised.where(F.coalesce(F.length("text"), F.lit(0)) < SHORT_CHARS)),
+    }
     for batch, changes in batches.items():
         ledger.commit(batch, count_changes(changes, tokenizers))
     ledger.commit("revise", count_changes(batches["revise"], tokenizers))
@@ -154,7 +162,7 @@ select s.doc_id, s.text, s.lang, s.source, s.n_chars, r.rate, s.copies, s.copy,
 from spread s join rates r on r.source is not distinct from s.source""",
     "op9_contamination": f"""
 with docs as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
-items as (select item_id::varchar as item, {_WORDS} as w from benchmark where item_id is not null),
+items as (select item_id::varchar as item, {_WORDS} as w from benchmark),
 windows as (
   select item, 13 as k, array_to_string(w[i : i + 12], ' ') as run
   from (select item, w, unnest(range(1, len(w) - 11)) as i from items where len(w) >= 13)
@@ -168,7 +176,7 @@ found as (select r, i, runs.k, item from runs join windows using (k, run)),
 hits as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from found) group by r),
 named as (
   select r, count(*) as n_items, string_agg(item, ',' order by item) as names
-  from (select distinct r, item from found) group by r)
+  from (select distinct r, item from found where item is not null) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from docs left join hits using (r) left join named using (r)""",

@@ -2,8 +2,8 @@
 
 Totals by source, language and tokenizer version are sums, so they need no second look at documents
 that did not change: an insert adds a document's tokens, a delete takes them away, a revision does
-both. Each batch of changes is summed up first and written as a folder of its own under its id; the
-totals are the sum over the folders. Committing a batch again changes nothing.
+both. Each batch of changes is summed up first and written as a folder of its own; the totals are the
+sum over the folders that a batch has claimed. Committing a batch again changes nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +76,13 @@ def count_changes(changes: DataFrame, tokenizers: dict) -> DataFrame:
 
 
 class TokenLedger:
-    """Committed batches in a folder that all executors share; a batch is a folder named by its id.
+    """Committed batches in a folder that all executors share.
 
-    A batch is written to a folder of its own attempt and becomes part of the ledger by one rename,
-    which either happens or does not. A second commit under the same id finds it there and does
-    nothing, whether the first writer died or not.
+    Every commit writes its sums to a folder of its own attempt first. Then it claims the batch: a small
+    file that names the attempt is renamed to the batch's name, which fails if that name is taken, so of
+    several writers of one batch exactly one succeeds. Totals read the attempts that a claim names, and
+    no others: what a writer left that died, or lost the race, never counts. On a store whose renames are
+    not exclusive, a batch needs a single writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -91,28 +94,48 @@ class TokenLedger:
     def _files(self):
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _claimed(self, name: str) -> bool:
+        return self._files().exists(self._path("claims", name))
+
     def commit(self, batch: str, sums: DataFrame) -> bool:
         """Add a batch; False when a batch of that id is there already."""
         name = hashlib.sha256(batch.encode()).hexdigest()
-        files, target = self._files(), self._path("committed", name)
-        if files.exists(target):
+        if self._claimed(name):
             return False
-        attempt = f"attempt-{name}-{os.urandom(8).hex()}"
-        sums.select(F.lit(batch).alias("batch"), *KEYS, *SUMS).write.parquet(f"{self.folder}/{attempt}")
-        files.mkdirs(self._path("committed"))
-        if files.exists(target):
+        attempt = f"{name}-{os.urandom(8).hex()}"
+        sums.select(F.lit(batch).alias("batch"), *KEYS, *SUMS).write.parquet(f"{self.folder}/attempts/attempt={attempt}")
+        return self._claim(name, attempt)
+
+    def _claim(self, name: str, attempt: str) -> bool:
+        files, draft = self._files(), self._path("drafts", attempt)
+        files.mkdirs(self._path("claims"))
+        out = files.create(draft, False)
+        out.write(bytearray(attempt.encode()))
+        out.close()
+        context = self.spark.sparkContext
+        jvm = context._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        plain = context._gateway.new_array(rename, 1)
+        plain[0] = rename.NONE
+        target = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), context._jsc.hadoopConfiguration())
+        try:
+            target.rename(draft, self._path("claims", name), plain)
+        except Py4JJavaError as refused:
+            if "FileAlreadyExistsException" not in str(refused.java_exception):
+                raise
+            files.delete(draft, False)
             return False
-        if not files.rename(self._path(attempt), target):
-            raise OSError(f"could not commit batch {batch}")
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens, n_chars); groups with nothing left are gone."""
-        columns = f"batch string, source string, lang string, tokenizer string, {', '.join(f'{c} bigint' for c in SUMS)}"
-        if not self._files().exists(self._path("committed")):
+        columns = f"batch string, source string, lang string, tokenizer string, {', '.join(f'{c} bigint' for c in SUMS)}, attempt string"
+        if not self._files().exists(self._path("claims")):
             rows = self.spark.createDataFrame([], columns)
         else:
-            rows = self.spark.read.schema(columns).option("recursiveFileLookup", "true").parquet(f"{self.folder}/committed")
+            claims = self.spark.read.text(f"{self.folder}/claims").select(F.col("value").alias("attempt"))
+            attempts = self.spark.read.schema(columns).parquet(f"{self.folder}/attempts")
+            rows = attempts.join(claims, "attempt", "left_semi")
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
 

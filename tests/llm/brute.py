@@ -95,8 +95,8 @@ def base_licenses(text: str | None) -> tuple:
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
 
-def removed_lines(rows: list[tuple[int | None, str | None]], size: int = 2) -> list[int]:
-    """Deleted lines per row; ids must differ."""
+def removed_lines(rows: list[tuple[int | None, str | None]], size: int = 2, long_bytes: int = 100) -> list[int]:
+    """Lines per row that go as part of a repeated run, or as a repeated long line; ids must differ."""
     seen: set[tuple[str, ...]] = set()
     out = {}
     for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0])):
@@ -107,5 +107,9 @@ def removed_lines(rows: list[tuple[int | None, str | None]], size: int = 2) -> l
             if run in seen:
                 gone |= set(range(at, at + size))
             seen.add(run)
+        for at, line in enumerate(lines):
+            if len(line.encode()) >= long_bytes:
+                gone |= {at} if (line,) in seen else set()
+                seen.add((line,))
         out[i] = len(gone)
     return [out[i] for i in range(len(rows))]

@@ -180,8 +180,9 @@ def test_mixing(docs, empty):
     assert all(r["count"] == 2 for r in twins)
     assert mix_sources(empty).count() == 0
     assert mix_sources(docs, weights={}).count() == 0
-    with pytest.raises(Exception, match="a rate is above"):
-        mix_sources(docs, repetition=10_000.0).count()
+    large = mix_sources(docs.where("doc_id in (7, 8)"), {"a": 0.5, "b": 0.5}, repetition=700.0).groupBy("doc_id")
+    for r in large.agg(F.count("*").alias("n"), F.max("copies").alias("k"), F.max("rate").alias("rate")).collect():
+        assert r.n == r.k and r.rate == 700 and abs(r.n - r.rate) < 6 * r.rate**0.5
 
 
 def test_token_counts(docs, empty):
