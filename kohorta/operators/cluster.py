@@ -6,11 +6,12 @@ over the rows per iteration, whatever the number of models, instead of one pass
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -18,12 +19,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.operators.birch import BRANCHING, MAX_LEAVES, THRESHOLD, birch_subclusters
+from kohorta.operators.dense import matrix, squared_distances
 from kohorta.session import literal_table
 
 #: Models of a sweep: centers by (group, k).
 Models = dict[tuple[int, int], np.ndarray]
 
-STAT_SCHEMA = "grp INT, k INT, cluster INT, n LONG, cost DOUBLE, total ARRAY<DOUBLE>"
+#: Rows that a pass over a sweep's rows multiplies with all centers at once.
+CHUNK_ROWS = 1024
 #: Rounds of drawing candidate centers, and candidates per round and center of the largest model.
 SEED_ROUNDS = 3
 OVERSAMPLING = 2
@@ -75,86 +79,98 @@ def pca_kmeans(points: DataFrame, k: int = 12, components: int = 2, seed: int =
 # ---- sweeps -----------------------------------------------------------------------------------
 
 
-def matrix(column: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
-    """Rows of an Arrow list column as a matrix; null rows and rows of another length are an error."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.asarray(column.value_lengths().fill_null(-1))
-    bad = np.flatnonzero((sizes < 0) | (sizes != sizes[:1]))
-    if column.null_count or len(bad):
-        at = int(np.flatnonzero(sizes < 0)[0]) if column.null_count else int(bad[0])
-        name = f"row {at} of a batch" if ids is None else f"id {ids[at].as_py()}"
-        raise ValueError(f"features of {name} are null or have another number of values than the first row")
-    values = column.flatten()
-    if values.null_count:
-        raise ValueError("features hold a null value")
-    return np.asarray(values).reshape(len(column), -1)
+def _chunks(points: DataFrame) -> DataFrame:
+    """(grp, data): the rows as matrices of at most CHUNK_ROWS rows, which a pass reads without unpacking."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.asarray(batch.column("grp"))
+            x = matrix(batch.column("features"))
+            out: list[tuple[int, bytes]] = []
+            for g in np.unique(groups):
+                rows = x[groups == g]
+                out += [(int(g), rows[at : at + CHUNK_ROWS].tobytes()) for at in range(0, len(rows), CHUNK_ROWS)]
+            for at in range(0, len(out), 16):
+                g, data = zip(*out[at : at + 16])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(data, pa.binary())], names=["grp", "data"])
+
+    return points.select("grp", "features").mapInArrow(pack, "grp INT, data BINARY")
 
-def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ y.T) + (y * y).sum(axis=1)[None, :]
-    return np.maximum(d2, 0.0, out=d2)
 
+def _fan(chunks: DataFrame) -> int:
+    """As many tasks between the first ones and the driver as each of them reads rows."""
+    return max(1, math.isqrt(chunks.rdd.getNumPartitions()))
 
-def _lloyd_pass(points: DataFrame, models: Models) -> dict[tuple[int, int], dict[int, list]]:
+
+def _lloyd_pass(chunks: DataFrame, models: Models, fan: int = 1) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Size, cost and coordinate sum by cluster of every model, from one pass over the rows.
 
-    Each task sends one row per cluster, so the shuffle grows with tasks x clusters, and what comes
-    back to the driver is the models themselves.
+    A task sends one packed row for all models, and ``fan`` tasks add these up for the driver. All sums are
+    in the order of the tasks and do not depend on which came first.
     """
+    keys = sorted(models)
+    dims = models[keys[0]].shape[1]
+    sizes = {key: len(models[key]) for key in keys}
+    total = sum(sizes.values())
+    shared = chunks.sparkSession.sparkContext.broadcast({key: np.ascontiguousarray(models[key]) for key in keys})
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], list[np.ndarray]] = {}
+        own = shared.value
+        sums = np.zeros((total, dims + 2))
+        at, place = {}, 0
+        for key in keys:
+            at[key], place = place, place + sizes[key]
+        by_group: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        for g in {g for g, _ in keys}:
+            mine = [key for key in keys if key[0] == g]
+            centers = np.concatenate([own[key] for key in mine])
+            by_group[g] = (mine, centers, (centers * centers).sum(axis=1))
+        read = False
         for batch in batches:
-            x, groups = matrix(batch.column("features")), np.asarray(batch.column("grp"))
-            for g in np.unique(groups):
-                rows = x[groups == g]
-                for key, centers in models.items():
-                    if key[0] != g:
-                        continue
-                    d2 = squared_distances(rows, centers)
-                    label = d2.argmin(axis=1)
-                    member = np.zeros((len(centers), len(rows)))
-                    member[label, np.arange(len(rows))] = 1.0
-                    cost = np.bincount(label, d2[np.arange(len(rows)), label], len(centers))
-                    found = [member.sum(axis=1), cost, member @ rows]
-                    known = seen.setdefault(key, [np.zeros_like(f) for f in found])
-                    for have, new in zip(known, found):
-                        have += new
-        out = [
-            {"grp": g, "k": k, "cluster": c, "n": int(n[c]), "cost": float(cost[c]), "total": total[c].tolist()}
-            for (g, k), (n, cost, total) in seen.items()
-            for c in range(k)
-            if n[c]
-        ]
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    dims = next(iter(models.values())).shape[1]
-    schema = pa.schema(
-        [
-            ("grp", pa.int32()),
-            ("k", pa.int32()),
-            ("cluster", pa.int32()),
-            ("n", pa.int64()),
-            ("cost", pa.float64()),
-            ("total", pa.list_(pa.float64())),
-        ]
-    )
-    sums = F.expr("array(" + ", ".join(f"sum(total[{i}])" for i in range(dims)) + ")")
-    parts = (
-        points.select("grp", "features")
-        .mapInArrow(partial, STAT_SCHEMA)
-        .groupBy("grp", "k", "cluster")
-        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), sums.alias("total"))
-    )
-    stats: dict[tuple[int, int], dict[int, list]] = {}
-    for r in parts.collect():
-        clusters = stats.setdefault((r["grp"], r["k"]), {})
-        known = clusters.setdefault(r["cluster"], [0, 0.0, np.zeros(dims)])
-        known[0] += r["n"]
-        known[1] += r["cost"]
-        known[2] = known[2] + np.array(r["total"])
+            for g, data in zip(batch.column("grp").to_pylist(), batch.column("data")):
+                if g not in by_group:
+                    continue
+                read = True
+                x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, dims)
+                mine, centers, squares = by_group[g]
+                norms = (x * x).sum(axis=1)
+                away = squares - 2.0 * (x @ centers.T)
+                first = 0
+                for key in mine:
+                    k = sizes[key]
+                    near = away[:, first : first + k]
+                    label = near.argmin(axis=1)
+                    rows = np.arange(len(x))
+                    member = np.zeros((k, len(x)))
+                    member[label, rows] = 1.0
+                    part = sums[at[key] : at[key] + k]
+                    part[:, 0] += member.sum(axis=1)
+                    part[:, 1] += np.bincount(label, np.maximum(near[rows, label] + norms, 0.0), k)
+                    part[:, 2:] += member @ x
+                    first += k
+        if read:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("task")
+        whole = np.zeros(total * (dims + 2))
+        for data in parts["sums"]:
+            whole += np.frombuffer(data.as_buffer(), np.float64)
+        return pa.table({"task": parts["task"][:1], "sums": pa.array([whole.tobytes()], pa.binary())})
+
+    parts = chunks.mapInArrow(partial, "task INT, sums BINARY")
+    if fan > 1:
+        parts = parts.groupBy((F.col("task") % fan).alias("of")).applyInArrow(added, "task INT, sums BINARY")
+    whole = np.zeros((total, dims + 2))
+    for r in sorted(parts.collect(), key=lambda r: r["task"]):
+        whole += np.frombuffer(bytes(r["sums"]), np.float64).reshape(total, dims + 2)
+    shared.unpersist()
+    stats, place = {}, 0
+    for key in keys:
+        part = whole[place : place + sizes[key]]
+        stats[key] = (part[:, 0], part[:, 1], part[:, 2:])
+        place += sizes[key]
     return stats
 
 
@@ -197,7 +213,7 @@ def _drawn(points: DataFrame, known: dict[int, np.ndarray], cost: dict[int, floa
     return {g: np.array(rows) for g, rows in found.items()}
 
 
-def _first_centers(points: DataFrame, k: int, seed: int) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+def _first_centers(points: DataFrame, chunks: DataFrame, fan: int, k: int, seed: int) -> tuple[dict[int, np.ndarray], dict[int, float]]:
     """k first centers per group by k-means|| over all rows, and each group's cost around one row.
 
     Every round draws candidates from the whole table, far rows more likely; in the end a candidate
@@ -208,15 +224,14 @@ def _first_centers(points: DataFrame, k: int, seed: int) -> tuple[dict[int, np.n
     known = {r["grp"]: np.array([r["features"]]) for r in points.groupBy("grp").agg(first.alias("features")).collect()}
     spread: dict[int, float] = {}
     for turn in range(SEED_ROUNDS):
-        stats = _lloyd_pass(points, {(g, len(c)): c for g, c in known.items()})
-        cost = {g: sum(v[1] for v in clusters.values()) for (g, _), clusters in stats.items()}
+        stats = _lloyd_pass(chunks, {(g, len(c)): c for g, c in known.items()}, fan)
+        cost = {g: float(costs.sum()) for (g, _), (_, costs, _) in stats.items()}
         spread = spread or cost
         for g, rows in _drawn(points, known, cost, OVERSAMPLING * k, seed * 31 + turn).items():
             known[g] = np.unique(np.concatenate([known[g], rows]), axis=0)
-    stats = _lloyd_pass(points, {(g, len(c)): c for g, c in known.items()})
+    stats = _lloyd_pass(chunks, {(g, len(c)): c for g, c in known.items()}, fan)
     centers = {}
-    for (g, _), clusters in stats.items():
-        weights = np.array([clusters.get(i, [0])[0] for i in range(len(known[g]))], float)
+    for (g, _), (weights, _, _) in stats.items():
         centers[g] = _plus_plus(known[g], weights, k, np.random.default_rng(seed))
     return centers, spread
 
@@ -234,8 +249,10 @@ def sweep_kmeans(
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
     points = points.select("id", "features", F.col("grp").cast("int").alias("grp")).persist(StorageLevel.MEMORY_AND_DISK)
+    chunks = _chunks(points).persist(StorageLevel.MEMORY_AND_DISK)
+    fan = _fan(chunks)
     try:
-        start, spread = _first_centers(points, max(ks), seed)
+        start, spread = _first_centers(points, chunks, fan, max(ks), seed)
         models: Models = {(g, k): centers[:k] for g, centers in start.items() for k in ks}
         rows = {r["grp"]: r["n"] for r in points.groupBy("grp").agg(F.count("*").alias("n")).collect()}
         dims = next(iter(start.values())).shape[1]
@@ -243,20 +260,20 @@ def sweep_kmeans(
         still = {g: tol * cost / (2 * rows[g] * dims) for g, cost in spread.items()}
         moving, inertia = set(models), {}
         for _ in range(max_iter):
-            stats = _lloyd_pass(points, {key: models[key] for key in moving})
-            for key, clusters in stats.items():
+            stats = _lloyd_pass(chunks, {key: models[key] for key in moving}, fan)
+            for key, (n, _, total) in stats.items():
                 centers = models[key].copy()
-                for c, (n, _, total) in clusters.items():
-                    centers[c] = total / n
+                centers[n > 0] = total[n > 0] / n[n > 0][:, None]
                 if ((centers - models[key]) ** 2).sum() <= still[key[0]]:
                     moving.discard(key)
                 models[key] = centers
             if not moving:
                 break
-        for key, clusters in _lloyd_pass(points, models).items():
-            inertia[key] = sum(cost for _, cost, _ in clusters.values())
+        for key, (_, costs, _) in _lloyd_pass(chunks, models, fan).items():
+            inertia[key] = float(costs.sum())
         return models, inertia
     finally:
+        chunks.unpersist()
         points.unpersist()
 
 
@@ -324,9 +341,9 @@ def ward_two_stage(
     ks = sorted(set(ks))
     models, _ = sweep_kmeans(points, [micro], seed, max_iter=10)
     means = models[(0, micro)]
-    stats = _lloyd_pass(points.withColumn("grp", F.lit(0)), {(0, micro): means})[(0, micro)]
-    means = np.array([total / n for n, _, total in (stats[c] for c in sorted(stats))])
-    sizes = np.array([stats[c][0] for c in sorted(stats)])
+    chunks = _chunks(points.withColumn("grp", F.lit(0)))
+    sizes, _, totals = _lloyd_pass(chunks, {(0, micro): means}, _fan(chunks))[(0, micro)]
+    means, sizes = totals[sizes > 0] / sizes[sizes > 0][:, None], sizes[sizes > 0]
     cuts = ward_merges(sizes, means, [min(k, len(sizes)) for k in ks])
     labels = [cuts[min(k, len(sizes))] for k in ks]
     placed = assign(points, [means]).withColumnRenamed("labels", "_micro")
@@ -336,6 +353,29 @@ def ward_two_stage(
     return placed.join(F.broadcast(table), F.col("_micro")[0] == F.col("_m")).select("id", "features", "labels")
 
 
+def birch_labels(
+    points: DataFrame,
+    ks: Sequence[int],
+    threshold: float = THRESHOLD,
+    branching: int = BRANCHING,
+    max_leaves: int = MAX_LEAVES,
+) -> DataFrame:
+    """Rows with ``labels``, one cut per k, smallest k first, of a merge of Birch subclusters.
+
+    The centroids of the subclusters are merged by Ward's distance, each counting once, and a row gets
+    the label of the nearest centroid. With fewer subclusters than k, each is a cluster.
+    """
+    ks = sorted(set(ks))
+    sizes, means, _ = birch_subclusters(points, threshold, branching, max_leaves)
+    if not len(sizes):
+        return points.select("id", "features", F.array().cast("array<int>").alias("labels"))
+    cuts = ward_merges(np.ones(len(means)), means, [min(k, len(means)) for k in ks])
+    rows = [(i, [int(cuts[min(k, len(means))][i]) for k in ks]) for i in range(len(means))]
+    table = literal_table(points.sparkSession, rows, "_m INT, labels ARRAY<INT>")
+    placed = assign(points, [means]).withColumnRenamed("labels", "_micro")
+    return placed.join(F.broadcast(table), F.col("_micro")[0] == F.col("_m")).select("id", "features", "labels")
+
+
 def fit_labels(points: DataFrame, ks: Sequence[int], method: str = "kmeans", seed: int = 37) -> DataFrame:
     """Rows with ``labels``, one cluster per k in ascending order of k, by the named method."""
     ks = sorted(set(ks))
@@ -344,6 +384,8 @@ def fit_labels(points: DataFrame, ks: Sequence[int], method: str = "kmeans", see
         return assign(points, [models[(0, k)] for k in ks])
     if method == "ward":
         return ward_two_stage(points, ks, seed=seed)
+    if method == "birch":
+        return birch_labels(points, ks)
     if method == "bisecting":
         frame = points.select("id", "features")
         for k in ks:
