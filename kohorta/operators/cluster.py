@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from kohorta.operators.birch import BRANCHING, MAX_LEAVES, THRESHOLD, birch_subclusters
 from kohorta.operators.dense import matrix, squared_distances
-from kohorta.session import literal_table
+from kohorta.operators.ward import ward_cuts, ward_merges
+from kohorta.session import literal_table, written
 
 #: Models of a sweep: centers by (group, k).
 Models = dict[tuple[int, int], np.ndarray]
@@ -298,36 +299,6 @@ def assign(points: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
 # ---- agglomerative merge of a bounded summary -------------------------------------------------
 
 
-def ward_merges(sizes: np.ndarray, means: np.ndarray, ks: Sequence[int]) -> dict[int, np.ndarray]:
-    """Labels of weighted points after merging the closest pair by Ward's distance down to each k.
-
-    Works on a summary of at most a few hundred micro-clusters.
-    """
-    sizes, means = sizes.astype(float).copy(), means.copy()
-    owner = np.arange(len(sizes))
-    cost = squared_distances(means, means) * (sizes[:, None] * sizes[None, :]) / (sizes[:, None] + sizes[None, :])
-    np.fill_diagonal(cost, np.inf)
-    alive, cuts = len(sizes), {}
-    while True:
-        if alive in ks:
-            cuts[alive] = np.unique(owner, return_inverse=True)[1]
-        if alive <= min(ks):
-            return cuts
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        i, j = min(i, j), max(i, j)
-        total = sizes[i] + sizes[j]
-        means[i] = (sizes[i] * means[i] + sizes[j] * means[j]) / total
-        sizes[i] = total
-        owner[owner == j] = i
-        row = ((means - means[i]) ** 2).sum(axis=1) * sizes * total / (sizes + total)
-        dead = ~np.isin(np.arange(len(sizes)), owner)
-        row[dead] = np.inf
-        row[i] = np.inf
-        cost[i, :] = cost[:, i] = row
-        cost[j, :] = cost[:, j] = np.inf
-        alive -= 1
-
-
 def ward_two_stage(
     points: DataFrame, ks: Sequence[int], micro: int = MICRO_CLUSTERS, seed: int = 37
 ) -> DataFrame:
@@ -336,7 +307,7 @@ def ward_two_stage(
     K-means forms at most ``micro`` small clusters, and the merge works on their sizes and means; rows
     get the label of their micro-cluster. The summary on the driver has a fixed size however many rows
     there are, and a table of any size takes the same way. The more micro-clusters, the closer to a
-    merge of single rows.
+    merge of single rows; :func:`ward_fit` merges the rows themselves.
     """
     ks = sorted(set(ks))
     models, _ = sweep_kmeans(points, [micro], seed, max_iter=10)
@@ -353,6 +324,22 @@ def ward_two_stage(
     return placed.join(F.broadcast(table), F.col("_micro")[0] == F.col("_m")).select("id", "features", "labels")
 
 
+def ward_fit(points: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """Rows with ``labels``, one Ward cut of the rows themselves per k, smallest k first.
+
+    Equal rows are one cluster from the start. Comparing all distinct rows with each other is quadratic in
+    them, in Spark, a block against a block; the driver sees the last few hundred clusters.
+    """
+    first = F.min(F.xxhash64("id")).alias("cid")
+    # Distinct rows need distinct numbers; two ids with one hash would be a chance of 2^-64 a pair.
+    distinct = written(points.groupBy("features").agg(first, F.count("*").alias("n")), "ward-rows")
+    # Numbers times the number of cuts must fit into 64 bits.
+    summary = distinct.select(F.shiftrightunsigned("cid", 12).alias("cid"), "n", F.col("features").alias("mu"))
+    cuts = written(ward_cuts(summary, ks), "ward-cuts")
+    owned = distinct.select("features", F.shiftrightunsigned("cid", 12).alias("cid")).join(cuts, "cid").select("features", "labels")
+    return points.select("id", "features").join(owned, "features").select("id", "features", "labels")
+
+
 def birch_labels(
     points: DataFrame,
     ks: Sequence[int],
