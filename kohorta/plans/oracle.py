@@ -535,11 +535,13 @@ SELECT sc.id, coalesce(label, -1) AS cluster FROM sc JOIN pl USING (blk, x, y) L
 ORACLE["cluster_facts"] = " UNION ALL ".join(
     f"""SELECT '{m}' AS method, count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, 8::BIGINT AS n_clusters, 0 AS lowest, 7 AS highest
 FROM embeddings"""
-    for m in ("kmeans", "bisecting", "ward", "pca_kmeans")
+    for m in ("kmeans", "bisecting", "ward", "pca_kmeans", "birch", "ward_rows")
 )
 ORACLE["sweep_facts"] = """
 SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM embeddings) AS n, k AS n_clusters, true AS cost_agrees, true AS falls
 FROM (SELECT unnest(generate_series(2, 9)) AS k)"""
 ORACLE["pca_facts"] = "SELECT count(*) AS n_rows, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings"
-ORACLE["choice_facts"] = """SELECT * FROM (VALUES ('silhouette', 5::BIGINT, 1::BIGINT), ('aic', 7, 1), ('bic', 7, 1), ('gap', 4, 1))
+ORACLE["choice_facts"] = """SELECT *, true AS is_best FROM (VALUES ('silhouette', 5::BIGINT, 1::BIGINT), ('aic', 7, 1), ('bic', 7, 1), ('gap', 4, 1))
   AS t(criterion, n_k, n_chosen)"""
+ORACLE["silhouette_bounds"] = """
+SELECT CAST(k AS INT) AS k, true AS within, true AS bounded FROM (SELECT unnest(generate_series(2, 9)) AS k)"""

@@ -735,6 +735,12 @@ def ward_two_stage(spark, sf):
     return placed.select("id", F.col("labels")[0].alias("ward_4"), F.col("labels")[1].alias("ward_8"))
 
 
+@query
+def birch_fit(spark, sf):
+    placed = cluster.birch_labels(views.points(spark, sf), [4, 8])
+    return placed.select("id", F.col("labels")[0].alias("birch_4"), F.col("labels")[1].alias("birch_8"))
+
+
 @query
 def pca_project(spark, sf):
     return rounded(cluster.pca_project(views.points(spark, sf), 3).drop("features", "label"))
@@ -768,7 +774,8 @@ def dbscan_plane(spark, sf):
 
 @query
 def best_k_silhouette(spark, sf):
-    return rounded(validity.best_k_silhouette(views.points(spark, sf)))
+    """By the Euclidean index, which is exact and quadratic in distinct rows."""
+    return rounded(validity.best_k_silhouette(views.points(spark, sf), metric="euclidean"))
 
 
 @query
@@ -808,7 +815,7 @@ def candidate_ks(spark, sf):
         [
             validity.best_k_silhouette(points),
             validity.best_k_silhouette(points, method="ward"),
-            validity.best_k_silhouette(points, method="bisecting"),
+            validity.best_k_silhouette(points, method="birch"),
             validity.best_k_gap(points),
             validity.best_k_elbow(points),
         ]
@@ -828,6 +835,8 @@ def cluster_facts(spark, sf):
         "bisecting": cluster.bisecting_fit(points, k).select("id", F.col("cluster").alias("c")),
         "ward": cluster.ward_two_stage(points, [k]).select("id", F.col("labels")[0].alias("c")),
         "pca_kmeans": plane.select("id", F.col("cluster").alias("c")),
+        "birch": cluster.birch_labels(points, [k]).select("id", F.col("labels")[0].alias("c")),
+        "ward_rows": cluster.ward_fit(points, [k]).select("id", F.col("labels")[0].alias("c")),
     }
     rows = None
     for method, found in labels.items():
@@ -873,17 +882,32 @@ def pca_facts(spark, sf):
 
 @query
 def choice_facts(spark, sf):
-    """Per criterion: how many k's it looked at, and how many it chose."""
+    """Per criterion: how many k's it looked at, how many it chose, and whether these are the best of its scores."""
     points = views.points(spark, sf)
     info = validity.aic_bic_sweep(points, range(2, 9))
+    least = lambda value: F.min_by("k", F.struct(value, "k"))
     tables = {
-        "silhouette": validity.best_k_silhouette(points, range(2, 7)).select("k", "chosen"),
-        "aic": info.select("k", F.col("chosen_aic").alias("chosen")),
-        "bic": info.select("k", F.col("chosen_bic").alias("chosen")),
-        "gap": validity.best_k_gap(points, range(1, 5), references=2, max_iter=5).select("k", "chosen"),
+        "silhouette": (validity.best_k_silhouette(points, range(2, 7)), F.min_by("k", F.struct(-F.col("silhouette"), "k"))),
+        "aic": (info.withColumn("chosen", F.col("chosen_aic")), least("aic")),
+        "bic": (info.withColumn("chosen", F.col("chosen_bic")), least("bic")),
+        "gap": (
+            validity.best_k_gap(points, range(1, 5), references=2, max_iter=5),
+            F.min_by("k", F.struct(-F.col("gap"), "k")),
+        ),
     }
     rows = None
-    for name, found in tables.items():
-        one = found.agg(F.count("*").alias("n_k"), F.count_if("chosen").alias("n_chosen")).withColumn("criterion", F.lit(name))
+    for name, (found, best) in tables.items():
+        picked = F.max(F.when(F.col("chosen"), F.col("k")))
+        one = found.agg(F.count("*").alias("n_k"), F.count_if("chosen").alias("n_chosen"), (picked == best).alias("is_best"))
+        one = one.withColumn("criterion", F.lit(name))
         rows = one if rows is None else rows.union(one)
     return rows
+
+
+@query
+def silhouette_bounds(spark, sf):
+    """Does the exact Euclidean index lie within the stated error of the linear one, for given labels."""
+    rows = _relabelled(spark, sf)
+    exact = validity.silhouette_exact(rows, LABEL_KS).withColumnRenamed("silhouette", "exact")
+    both = validity.silhouette_bounded(rows, LABEL_KS, cells=100).join(exact, "k")
+    return both.select("k", (F.abs(F.col("silhouette") - F.col("exact")) <= F.col("error")).alias("within"), (F.col("error") < 1).alias("bounded"))

@@ -215,3 +215,22 @@ def test_feature_rules(table, rows):
     assert rows(features.bools_to_int(raw), "id", "flag") == [("a", 1), ("b", 0), ("c", None)]
     with pytest.raises(ValueError, match="flag"):
         features.require_numeric(raw, ["v", "flag"])
+
+
+def test_bounded_silhouette_holds_the_exact_one(spark):
+    pick = np.random.default_rng(5)
+    x = np.concatenate([pick.normal(c, 0.7, (120, 2)) for c in ((0, 0), (6, 0), (0, 6))] + [np.zeros((60, 2))])
+    labels = np.stack([(x[:, 0] > 3).astype(int), np.arange(len(x)) % 3 - 1, (np.arange(len(x)) == 5).astype(int)], axis=1)
+    points = spark.createDataFrame(
+        [(i, [float(v) for v in row], [int(c) for c in own]) for i, (row, own) in enumerate(zip(x, labels))],
+        "id bigint, features array<double>, labels array<int>",
+    )
+    ks = [2, 3, 4]
+    exact = {r.k: r.silhouette for r in validity.silhouette_exact(points, ks).collect()}
+    errors = []
+    for cells in (4, 60):
+        got = {r.k: r for r in validity.silhouette_bounded(points, ks, cells).collect()}
+        assert set(got) == set(ks)
+        assert all(abs(r.silhouette - exact[k]) <= r.error for k, r in got.items())
+        errors.append(max(r.error for r in got.values()))
+    assert errors[1] < errors[0] and errors[1] < 0.2
