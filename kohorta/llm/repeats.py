@@ -13,7 +13,8 @@ starts of maximal repeats, and :func:`interval_tree` opens them into nested grou
 
 Texts that are copies of each other are one text here, whose windows all repeat. Contexts that are
 equal within a task's share travel once with all their places. The windows of an n-gram with very
-many contexts are dealt by a hash of their own instead, so no bucket grows with the corpus.
+many contexts are dealt on by a hash of their own, to the more buckets the more contexts there are, so
+no bucket grows with the corpus. What a bucket finds is merged into stretches per text before it is sent.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ MIN_BYTES = 200
 GRAM = 64
 #: Windows of a context; longer runs are cut.
 RUN_WINDOWS = 2048
-#: Contexts of an n-gram beyond which its windows are dealt one by one.
+#: Contexts of an n-gram beyond which its windows are compared by digest, in several buckets.
 HOT_CONTEXTS = 4_000
+#: Counts of contexts end here, and so many buckets take the windows of an n-gram that reaches it.
+MOST_CONTEXTS = 65_535
+MOST_BUCKETS = 4_096
 #: Bytes of contexts that one suffix array takes, but for those of one n-gram that exceed it.
 CHUNK_BYTES = 1_000_000
 #: Bits of a position up to which two ranks and a position fit in one number.
@@ -148,7 +152,7 @@ def _text_columns(blocks: int):
                 "sha": pa.array([t.sha for t in texts], pa.binary()),
             }
         ).replace_schema_metadata(
-            {b"digests": b"".join(digests), b"sizes": sizes.tobytes(), b"inverse": inverse.astype(np.uint32).tobytes(), b"counts": np.minimum(counts, 65535).astype(np.uint16).tobytes()}
+            {b"digests": b"".join(digests), b"sizes": sizes.tobytes(), b"inverse": inverse.astype(np.uint32).tobytes(), b"counts": np.minimum(counts, MOST_CONTEXTS).astype(np.uint16).tobytes()}
         )
         with pa.ipc.new_stream(sink, listed.schema) as w:
             w.write_table(listed)
@@ -181,8 +185,9 @@ def _text_columns(blocks: int):
 def _text_hits(hot_contexts: int):
     """From a flush to all its texts, and for each the runs whose n-gram stands elsewhere, too, with a hot mark.
 
-    A hit is the number of the run, doubled, plus one if its n-gram has very many contexts. The count
-    that decides is the same for every flush, so all contexts of an n-gram are dealt alike.
+    A hit is eight times the number of the run, plus a level: 0 if its contexts go to one bucket, else
+    what tells the number of buckets, see :func:`_buckets`. The count that decides is the same for every
+    flush, so all contexts of an n-gram are dealt alike.
     """
 
     def hits_of(table: pa.Table) -> pa.Table:
@@ -199,13 +204,20 @@ def _text_hits(hot_contexts: int):
                 own = per_run[at : at + size]
                 at += size
                 found = np.flatnonzero(own > 1)
-                hits[raw[16 * i : 16 * i + 16]] = (2 * found + (own[found] > hot_contexts)).astype(np.int32).tobytes() if len(found) else None
+                level = np.clip(np.ceil(np.log2(np.maximum(own[found], 1) / hot_contexts)), 0, 6).astype(np.int64)
+                level[own[found] >= MOST_CONTEXTS] = 7
+                hits[raw[16 * i : 16 * i + 16]] = (8 * found + level).astype(np.int32).tobytes() if len(found) else None
             column = pa.array([hits[d] for d in texts.column("digest").to_pylist()], pa.binary())
             return texts.replace_schema_metadata(None).append_column("hits", column)
 
     return hits_of
 
 
+def _buckets(level: int) -> int:
+    """Buckets that the windows of an n-gram with many contexts are dealt to."""
+    return MOST_BUCKETS if level == 7 else 4 << level
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -235,12 +247,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = unpack(z)
             keys, starts, sizes, _ = window_runs(raw, powers)
             for hit in np.frombuffer(hits, np.int32).tolist():
-                run, hot = hit >> 1, hit & 1
+                run, level = hit >> 3, hit & 7
                 start, size = int(starts[run]), int(sizes[run])
-                if hot:
+                if level:
+                    gram, spread = int(keys[run]), _buckets(level)
+                    bucket = [xxhash.xxh3_64_intdigest(gram.to_bytes(8, "little"), seed=z) - (1 << 63) for z in range(spread)] if size > spread else {}
                     for at in range(start, start + size):
                         body = _digest(raw[at : at + MIN_BYTES])
-                        key = int.from_bytes(body[:8], "little", signed=True)
+                        z = int.from_bytes(body[:8], "little") % spread
+                        key = bucket[z] if bucket else xxhash.xxh3_64_intdigest(gram.to_bytes(8, "little"), seed=z) - (1 << 63)
                         found.setdefault((key, body, 0), []).append((digest, at))
                     held += 120 * size
                 else:
@@ -457,11 +472,32 @@ def _repeated(cold: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, begin[first] - begins[context], reach - begin[first]
 
 
-_SPAN_FIELDS = pa.schema([("digest", pa.binary()), ("start", pa.int32()), ("size", pa.int32())])
+_SPAN_FIELDS = pa.schema([("digest", pa.binary()), ("spans", pa.binary())])
+
+
+def _stretches(texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row per text: its spans merged into stretches, as pairs of begin and end."""
+    halves = np.ascontiguousarray(texts).view("<u8").reshape(-1, 2)
+    order = np.lexsort((starts, halves[:, 1], halves[:, 0]))
+    halves, starts = halves[order], starts[order].astype(np.int64)
+    ends = starts + sizes[order]
+    fresh = np.concatenate([[True], (halves[1:] != halves[:-1]).any(axis=1)])
+    text = np.cumsum(fresh) - 1
+    # Texts are set apart, so the reach of one never meets the next.
+    reach = np.maximum.accumulate((text << 32) + ends)
+    opens = np.flatnonzero(np.concatenate([[True], (text[1:] << 32) + starts[1:] > reach[:-1]]))
+    closes = reach[np.append(opens[1:], len(reach)) - 1] - (text[opens] << 32)
+    pairs = np.stack([starts[opens], closes], axis=1).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], text[opens][1:] != text[opens][:-1]]))
+    digests = halves[opens[first]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([d.tobytes() for d in digests], pa.binary()), pa.array([p.tobytes() for p in np.split(pairs, first[1:])], pa.binary())],
+        schema=_SPAN_FIELDS,
+    )
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, start, size): bytes of a text that lie in maximal repeats, or in repeated windows of hot n-grams."""
+    """(digest, spans): stretches of a text that lie in maximal repeats, or in repeated windows of hot n-grams."""
     for cold, hot in _chunks(batches):
         texts, starts, sizes = [], [], []
         if cold:
@@ -470,42 +506,27 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(places["text"])
                 starts.append(places["start"] + off)
                 sizes.append(np.full(len(places), size))
-        at = 0
-        while at < len(hot):
-            # Equal windows have equal keys, so they are neighbours; windows of one key are few.
-            end = at
-            same: dict[bytes, list[bytes]] = {}
-            while end < len(hot) and hot[end][0] == hot[at][0]:
-                same.setdefault(hot[end][1], []).append(hot[end][3])
-                end += 1
-            at = end
-            for packed in same.values():
-                places = np.frombuffer(b"".join(packed), _PLACE)
-                if len(places) > 1:
-                    texts.append(places["text"])
-                    starts.append(places["start"])
-                    sizes.append(np.full(len(places), MIN_BYTES))
+        same: dict[bytes, list[bytes]] = {}
+        for row in hot:  # equal windows have equal keys, and no key is parted
+            same.setdefault(row[1], []).append(row[3])
+        for packed in same.values():
+            places = np.frombuffer(b"".join(packed), _PLACE)
+            if len(places) > 1:
+                texts.append(places["text"])
+                starts.append(places["start"])
+                sizes.append(np.full(len(places), MIN_BYTES))
         if texts:
-            packed = np.concatenate(texts).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([packed[i : i + 16] for i in range(0, len(packed), 16)], pa.binary()),
-                    pa.array(np.concatenate(starts), pa.int32()),
-                    pa.array(np.concatenate(sizes), pa.int32()),
-                ],
-                schema=_SPAN_FIELDS,
-            )
-
-
-def _merged_spans(size: int, spans) -> list[tuple[int, int]]:
-    """Maximal covered stretches [begin, end) of a text from spans that may overlap or touch."""
-    out: list[list[int]] = []
-    for start, length in sorted((s["start"], s["size"]) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + length)
-        else:
-            out.append([start, start + length])
-    return [(a, min(b, size)) for a, b in out]
+            yield _stretches(np.concatenate(texts), np.concatenate(starts), np.concatenate(sizes))
+
+
+def _merged_spans(size: int, packed: Sequence[bytes]) -> list[tuple[int, int]]:
+    """Maximal covered stretches [begin, end) of a text from stretches that may overlap or touch."""
+    pairs = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    opens = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
+    closes = np.minimum(reach[np.append(opens[1:], len(reach)) - 1], size)
+    return list(zip(pairs[opens, 0].tolist(), closes.tolist()))
 
 
 _CUT_FIELDS = pa.schema(
@@ -566,8 +587,8 @@ def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     every occurrence goes. Null ids are kept as they are. Other columns are left out.
     """
     parts = _prepare(docs, hot_contexts)
-    spans = parts.contexts.mapInArrow(_spans, "digest binary, start int, size int")
-    per_text = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = parts.contexts.mapInArrow(_spans, "digest binary, spans binary")
+    per_text = spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"))
     cut = parts.texts.select("digest", "z").join(per_text, "digest").mapInArrow(
         _cut, "digest binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
     )

@@ -167,5 +167,10 @@ def test_the_query_scans_its_intervals(monkeypatch):
     body = bytes(random.Random(1).choice(b"abcdef") for _ in range(300))
     rows = [(7, b, len(b) - 199, bytes([i]) * 16 + b"\0" * 4) for i, b in enumerate((b"1" + body, b"2" + body))]
     batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), repeats._CONTEXT_FIELDS)], schema=repeats._CONTEXT_FIELDS)
-    found = [tuple(r.values()) for out in repeats._spans(iter([batch])) for r in out.to_pylist()]
+    found = [
+        (r["digest"], a, b - a)
+        for out in repeats._spans(iter([batch]))
+        for r in out.to_pylist()
+        for a, b in np.frombuffer(r["spans"], np.int32).reshape(-1, 2).tolist()
+    ]
     assert called and found == [(bytes([i]) * 16, 1, 300) for i in range(2)]
