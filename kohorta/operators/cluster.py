@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorta.operators.birch import BRANCHING, MAX_LEAVES, THRESHOLD, birch_subclusters
@@ -296,6 +296,22 @@ def assign(points: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
     return frame.mapInArrow(label, f"id {id_type}, features ARRAY<DOUBLE>, labels ARRAY<INT>")
 
 
+def write_models(spark: SparkSession, models: Models, path: str) -> None:
+    """Centers of fitted models as a table (grp, k, cluster, center)."""
+    rows = [(g, k, c, [float(v) for v in center]) for (g, k), centers in sorted(models.items()) for c, center in enumerate(centers)]
+    literal_table(spark, rows, "grp INT, k INT, cluster INT, center ARRAY<DOUBLE>").write.mode("overwrite").parquet(path)
+
+
+def read_models(spark: SparkSession, path: str, ks: Sequence[int] | None = None) -> Models:
+    """Models of a table that :func:`write_models` wrote, all of them or those of some k's."""
+    rows = spark.read.parquet(path)
+    rows = rows if ks is None else rows.where(F.col("k").isin(list(ks)))
+    models: dict[tuple[int, int], list] = {}
+    for r in rows.orderBy("grp", "k", "cluster").collect():
+        models.setdefault((r["grp"], r["k"]), []).append(r["center"])
+    return {key: np.array(centers) for key, centers in models.items()}
+
+
 # ---- agglomerative merge of a bounded summary -------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,22 @@ def strict_code(column: str):
     return F.col(column).cast("long")
 
 
+def cast_codes(df: DataFrame, column: str, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(rows with ``column`` as a long, rejected rows with the text, counts of both) in one pass.
+
+    Each row is written once under ``path``, to the folder of its kind, and counted as it passes. A null
+    is no number and no reject: it stays null.
+    """
+    seen = Observation()
+    number = F.col(column).try_cast("long")
+    judged = df.withColumn("_number", number).withColumn("_rejected", number.isNull() & F.col(column).isNotNull())
+    counts = [F.count_if(~F.col("_rejected")).alias("good"), F.count_if("_rejected").alias("rejected")]
+    judged.observe(seen, *counts).write.partitionBy("_rejected").parquet(path)
+    kept = df.sparkSession.read.schema(judged.schema).parquet(path)
+    good = kept.where(~F.col("_rejected")).withColumn(column, F.col("_number")).select(*[f"`{c}`" for c in df.columns])
+    return good, kept.where("_rejected").select(*[f"`{c}`" for c in df.columns]), dict(seen.get)
+
+
 def map_codes(dx: DataFrame, catalog: DataFrame) -> DataFrame:
     """Replace ``code`` by the catalog's ``cie10``; a code the catalog lacks stays as it is.
 

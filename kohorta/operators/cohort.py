@@ -241,6 +241,24 @@ def classify_cohort_legacy(
     return per_patient.select("p_id", cohort_name(onset, F.col("min_age"), F.col("max_age")).alias("cohort"))
 
 
+def clean_records_legacy(records: DataFrame, age_pattern: str = LEGACY_AGE_PATTERN) -> DataFrame:
+    """(p_id, visits): the records that the earlier classifier leaves, nested, codes as they stand.
+
+    Visits of one code, of ages only, or without an age are gone; sex markers stay where they are. A patient
+    of whom no visit is left has an empty record.
+    """
+    code = F.col("code")
+    per_visit = records.groupBy(*VISIT).agg(
+        F.count("*").alias("n"),
+        F.count_if(code.rlike(age_pattern)).alias("n_age"),
+        F.array_sort(F.collect_list(F.struct("code_idx", "code"))).alias("coded"),
+    )
+    valid = (F.col("n") > 1) & (F.col("n") > F.col("n_age")) & (F.col("n_age") > 0)
+    visit = F.when(valid, F.struct("visit_idx", F.transform("coded", lambda c: c["code"]).alias("codes")))
+    per_patient = per_visit.groupBy("p_id").agg(F.array_sort(F.collect_list(visit)).alias("kept"))
+    return per_patient.select("p_id", F.transform("kept", lambda v: v["codes"]).alias("visits"))
+
+
 def cohort_families(classified: DataFrame) -> DataFrame:
     """(p_id, family) rows: a patient is in every family its cohort belongs to."""
     families = F.array(*[F.when(F.col("cohort").isin(*members), name) for name, members in FAMILIES.items()])

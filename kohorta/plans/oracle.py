@@ -315,6 +315,17 @@ ORACLE["cohort_classify_legacy"] = _with(
       max(CASE WHEN n > 1 AND n > n_age AND n_age > 0 THEN a END) AS hi FROM lf GROUP BY 1)""",
     "lq AS (SELECT p_id, CASE WHEN lo IS NOT NULL AND d <> 0 THEN d END AS dm, lo, hi FROM lp)",
 ) + f"SELECT p_id, {_COHORT} AS cohort FROM lq"
+ORACLE["cleaned_records_legacy"] = _with(
+    EVT,
+    """lf AS (SELECT p_id, visit_idx, count(*) AS n, count(*) FILTER (code LIKE '%90%' AND length(code) = 4) AS n_age,
+      bool_or(code = '401') AS has_index, list(code ORDER BY code_idx, code) AS cs,
+      min(CASE WHEN code LIKE '%90%' AND length(code) = 4 THEN CAST(substr(code, 2) AS INT) END) AS a FROM evt GROUP BY 1, 2)""",
+    """lp AS (SELECT p_id, min(CASE WHEN n > 1 AND has_index THEN a END) AS d,
+      list(cs ORDER BY visit_idx) FILTER (n > 1 AND n > n_age AND n_age > 0) AS vs,
+      min(CASE WHEN n > 1 AND n > n_age AND n_age > 0 THEN a END) AS lo,
+      max(CASE WHEN n > 1 AND n > n_age AND n_age > 0 THEN a END) AS hi FROM lf GROUP BY 1)""",
+    "lq AS (SELECT p_id, vs, CASE WHEN lo IS NOT NULL AND d <> 0 THEN d END AS dm, lo, hi FROM lp)",
+) + f"SELECT p_id, CAST(to_json(coalesce(vs, [])) AS VARCHAR) AS visits_json, {_COHORT} AS cohort FROM lq"
 _FAM = """fam AS (SELECT * FROM (VALUES ('all', 'complete'), ('all', 'only_future'), ('all', 'only_past'), ('all', 'one_year'),
   ('all', 'errors'), ('future', 'only_future'), ('future', 'complete'), ('past', 'only_past'), ('past', 'complete'),
   ('complete', 'complete'), ('only_future', 'only_future'), ('only_past', 'only_past'), ('one_year', 'one_year'),
@@ -363,11 +374,16 @@ _SUMMARY = "summ AS (SELECT p_id, " + ", ".join(
   CASE WHEN bool_or(code = 'PROMO') THEN 'DM' ELSE 'No DM' END AS diabetes FROM rec GROUP BY p_id)"""
 ORACLE["first_index_age"] = _with(REC) + "SELECT p_id, min(age) AS age_dm FROM rec WHERE code = 'PROMO' GROUP BY p_id"
 ORACLE["patient_summary"] = _with(REC, _SUMMARY) + "SELECT * FROM summ"
+ORACLE["patient_summary_by_sex"] = _with(
+    REC,
+    "rs AS (SELECT *, CASE WHEN visit_idx % 2 = 0 THEN 'M' ELSE 'F' END AS sex FROM rec)",
+    _SUMMARY.replace("SELECT p_id,", "SELECT p_id, sex,").replace("FROM rec GROUP BY p_id", "FROM rs GROUP BY p_id, sex"),
+) + "SELECT * FROM summ"
 
 # ---- table one
 
 _BAND = """CASE WHEN age_dm < 18 THEN '0-18' WHEN age_dm < 45 THEN '18-44' WHEN age_dm < 65 THEN '45-64' WHEN age_dm >= 65 THEN '60>' END"""
-_PATIENTS = f"""pt AS (SELECT customer.*, summ.*, {_BAND} AS age_dm_cat FROM customer JOIN summ ON p_id = c_custkey)"""
+_PATIENTS = f"""pt AS (SELECT customer.*, summ.*, {_BAND} AS age_dm_cat, {_BAND.replace('age_dm', 'age')} AS age_cat FROM customer JOIN summ ON p_id = c_custkey)"""
 
 
 def _melt(columns, as_type: str, value: str) -> str:
@@ -540,6 +556,18 @@ FROM embeddings"""
 ORACLE["sweep_facts"] = """
 SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM embeddings) AS n, k AS n_clusters, true AS cost_agrees, true AS falls
 FROM (SELECT unnest(generate_series(2, 9)) AS k)"""
+ORACLE["stored_models"] = """
+SELECT count(*) AS n_rows, count(*) AS n_equal FROM embeddings WHERE vec_id % 2 = 1"""
+ORACLE["final_sort_file"] = _with(REC) + """
+SELECT p_id, visit_idx, age, row_number() OVER (ORDER BY p_id, age, visit_idx) AS position
+FROM (SELECT DISTINCT p_id, visit_idx, age FROM rec)"""
+ORACLE["strict_codes"] = """
+SELECT c_custkey, TRY_CAST(raw AS BIGINT) AS code, CASE WHEN rejected THEN raw END AS raw, count(*) OVER (PARTITION BY rejected) AS n_kind
+FROM (SELECT *, raw IS NOT NULL AND TRY_CAST(raw AS BIGINT) IS NULL AS rejected
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS raw
+    FROM customer))"""
+ORACLE["bools_to_int"] = """
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS "is_F", CAST(o_orderstatus = 'O' AS INT) AS "is_O", o_orderstatus FROM orders"""
 ORACLE["pca_facts"] = "SELECT count(*) AS n_rows, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings"
 ORACLE["choice_facts"] = """SELECT *, true AS is_best FROM (VALUES ('silhouette', 5::BIGINT, 1::BIGINT), ('aic', 7, 1), ('bic', 7, 1), ('gap', 4, 1))
   AS t(criterion, n_k, n_chosen)"""

@@ -357,6 +357,25 @@ def final_sort(spark, sf):
     return longitudinal.final_sort(views.visits_of(views.purchases(spark, sf)))
 
 
+@query
+def final_sort_file(spark, sf):
+    """The sorted visits written in order and read back with their positions."""
+    path = f"{run_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    rec.write_ordered(views.visits_of(views.purchases(spark, sf)), path, "p_id", "age", "visit_idx")
+    return rec.read_ordered(spark, path)
+
+
+@query
+def strict_codes(spark, sf):
+    """Codes as numbers, with the rows whose code is none; every seventh customer's code is a name."""
+    key = F.col("c_custkey")
+    raw = F.when(key % 7 == 0, F.col("c_mktsegment")).when(key % 11 != 0, key.cast("string"))
+    frame = views.table(spark, sf, "customer").select(key, raw.alias("code"))
+    good, rejects, counts = coding.cast_codes(frame, "code", f"{run_dir(spark)}/codes-{uuid.uuid4().hex}")
+    rows = good.select("c_custkey", "code", F.lit(None).cast("string").alias("raw"), F.lit(counts["good"]).alias("n_kind"))
+    return rows.unionByName(rejects.select("c_custkey", F.lit(None).cast("long").alias("code"), F.col("code").alias("raw"), F.lit(counts["rejected"]).alias("n_kind")))
+
+
 @query
 def yearly_max(spark, sf):
     dx, visits = _purchases(spark, sf)
@@ -468,6 +487,14 @@ def cohort_classify_legacy(spark, sf):
     return cohort.classify_cohort_legacy(views.activity(spark, sf))
 
 
+@query
+def cleaned_records_legacy(spark, sf):
+    """What the earlier selection leaves, with its cohorts."""
+    activity = views.activity(spark, sf)
+    cleaned = rec.records_json(cohort.clean_records_legacy(activity))
+    return cleaned.join(cohort.classify_cohort_legacy(activity), "p_id")
+
+
 @query
 def cohort_families(spark, sf):
     return cohort.family_sizes(cohort_classify(spark, sf))
@@ -502,16 +529,23 @@ def patient_summary(spark, sf):
     return _summary(spark, sf)
 
 
+@query
+def patient_summary_by_sex(spark, sf):
+    """With a sex on every row, here by the visit's number, a patient has a row per sex."""
+    dx = views.purchases(spark, sf).withColumn("sex", F.when(F.col("visit_idx") % 2 == 0, "M").otherwise("F"))
+    return cohort.patient_summary(dx, views.PURCHASE_CODES, views.PURCHASE_INDEX)
+
+
 # ---- table one --------------------------------------------------------------------------------
 
-TABLE_CATEGORICAL = ["c_mktsegment", "age_dm_cat", "ECONOMY", "PROMO", "STANDARD"]
+TABLE_CATEGORICAL = ["c_mktsegment", "age_dm_cat", "age_cat", "ECONOMY", "PROMO", "STANDARD"]
 TABLE_NUMERIC = ["age_dm", "c_acctbal"]
 
 
 def _patients(spark, sf) -> DataFrame:
     customers = views.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     joined = customers.join(_summary(spark, sf), F.col("c_custkey") == F.col("p_id"))
-    return joined.withColumn("age_dm_cat", scalars.age_band(F.col("age_dm")))
+    return joined.withColumns({"age_dm_cat": scalars.age_band(F.col("age_dm")), "age_cat": scalars.age_band(F.col("age"))})
 
 
 @query
@@ -561,6 +595,12 @@ def one_hot(spark, sf):
     return features.one_hot(_customers(spark, sf).select("c_custkey", "c_mktsegment"), "c_mktsegment", SEGMENTS, "seg")
 
 
+@query
+def bools_to_int(spark, sf):
+    flags = [(F.col("o_orderstatus") == s).alias(f"is_{s}") for s in ("F", "O")]
+    return features.bools_to_int(views.table(spark, sf, "orders").select("o_orderkey", *flags, "o_orderstatus"))
+
+
 @query
 def feature_fill(spark, sf):
     return features.fill_missing(_summary(spark, sf).select("p_id", "age", "age_dm"), ["age_dm"])
@@ -867,6 +907,18 @@ def sweep_facts(spark, sf):
     )
 
 
+@query
+def stored_models(spark, sf):
+    """Models fitted on one half of the rows, stored, read and given to the other half: are its labels those of the fit."""
+    points, ks = views.points(spark, sf), [3, 5, 8]
+    models, _ = cluster.sweep_kmeans(points.where("id % 2 = 0"), ks, max_iter=10)
+    path = f"{run_dir(spark)}/models-{uuid.uuid4().hex}"
+    cluster.write_models(spark, models, path)
+    rest, stored = points.where("id % 2 = 1"), cluster.read_models(spark, path)
+    labels = [cluster.assign(rest, [m[(0, k)] for k in ks]).select("id", F.col("labels").alias(n)) for m, n in ((models, "a"), (stored, "b"))]
+    return labels[0].join(labels[1], "id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))
+
+
 @query
 def pca_facts(spark, sf):
     """Components are centred, uncorrelated and in order of variance."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions.codes import age_code, visit_label
@@ -95,6 +95,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 
 
+def write_ordered(df: DataFrame, path: str, *keys: str | Column) -> None:
+    """Rows in the order of ``keys``, dealt to files by ranges of them and sorted inside.
+
+    Every row keeps the number of its range and its place there, so the order can be read back whatever order
+    the files are listed in. Rows with equal keys are in one file, in any order.
+    """
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt.withColumns({"_range": F.spark_partition_id(), "_place": place}).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_ordered` wrote, with ``position`` from 1: the row's place among all rows.
+
+    Only the number of rows per range is gathered, one number a file.
+    """
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(starts), "_range").withColumn("position", F.col("_before") + F.col("_place") + 1)
+    return placed.drop("_range", "_place", "_before")
+
+
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A stored table with an explicit schema."""
     reader = spark.read.schema(schema)
