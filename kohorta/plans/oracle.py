@@ -305,6 +305,7 @@ ORACLE["cohort_files"] = _with(EVT, FLAGS, SEX.format(src="evt"), _CLEAN, _SELEC
 SELECT p_id, cohort, visits_json FROM cleaned JOIN chosen USING (p_id) WHERE cohort IN ('only_future', 'complete')"""
 ORACLE["csv_round_trip"] = _with(REC) + "SELECT DISTINCT p_id, visit_idx, age FROM rec"
 ORACLE["nested_round_trip"] = ORACLE["flatten_visits"]
+ORACLE["object_round_trip"] = ORACLE["flatten_visits"]
 ORACLE["cohort_classify_legacy"] = _with(
     EVT,
     """lf AS (SELECT p_id, visit_idx, count(*) AS n, count(*) FILTER (code LIKE '%90%' AND length(code) = 4) AS n_age,

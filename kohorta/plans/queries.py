@@ -482,6 +482,14 @@ def nested_round_trip(spark, sf):
     return rec.flatten_visits(rec.read_records(spark, path))
 
 
+@query
+def object_round_trip(spark, sf):
+    """Nested records written as one JSON object a file, read back in byte ranges and flattened."""
+    path = f"{run_dir(spark)}/objects-{uuid.uuid4().hex}"
+    rec.write_records_object(views.notes(spark, sf), path)
+    return rec.flatten_visits(rec.read_records_object(spark, path))
+
+
 @query
 def cohort_classify_legacy(spark, sf):
     return cohort.classify_cohort_legacy(views.activity(spark, sf))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions.codes import age_code, visit_label
 from kohorta.operators.longitudinal import identifier
+from kohorta.sources.one_object import object_members
 
 NESTED_SCHEMA = "p_id STRING, visits ARRAY<ARRAY<STRING>>"
 
@@ -21,18 +23,36 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_records_object(spark: SparkSession, path: str) -> DataFrame:
     """Nested records from files that each hold one ``{"patient": [[...], ...], ...}`` object.
 
-    A single JSON object cannot be split, so each file is one task; convert it once with
-    :func:`write_records` and read the lines from then on.
+    A large file is read by many tasks, see :mod:`kohorta.sources.one_object`. A name that stands twice
+    gives two records; members that are no lists of lists of texts become null visits.
     """
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "MAP<STRING, ARRAY<ARRAY<STRING>>>")
-    return text.select(F.explode(parsed).alias("p_id", "visits"))
+    parsed = F.from_json(F.concat(F.lit("{"), F.col("member"), F.lit("}")), "MAP<STRING, ARRAY<ARRAY<STRING>>>")
+    return object_members(spark, path).select(F.explode(parsed).alias("p_id", "visits"))
 
 
 def write_records(nested: DataFrame, path: str) -> None:
     nested.select("p_id", "visits").write.json(path)
 
 
+def write_records_object(nested: DataFrame, path: str) -> None:
+    """Nested records as files that each hold one object with a member per patient, one file per partition."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            lines = []
+            for member in batch.column(0).to_pylist():
+                lines.append(f"{lead} {member}")
+                lead = ","
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if lead == "{" else "}"])], names=["value"])
+
+    member = F.to_json(F.create_map("p_id", "visits"))
+    bare = F.substring(member, F.lit(2), F.length(member) - 2)
+    nested.select(bare).mapInArrow(framed, "value STRING").write.text(path)
+
+
 def flatten_visits(nested: DataFrame) -> DataFrame:
     """(p_id, visit_idx, code_idx, code); empty visits and empty codes disappear.
 

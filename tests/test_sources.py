@@ -1,5 +1,7 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kohorta.operators import coding
@@ -97,3 +99,26 @@ def test_relational_records(spark, table, rows):
     assert rows(nested) == [("a", [["1111"], ["401", "9030"], ["701", "9031"]])]
     counts = relational.relational_counts(diagnoses, patients, people, catalog)
     assert tuple(counts.first()) == (3, 2, 1)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("size", ["64", "997", "128m"])
+def test_one_large_object_is_read_in_ranges(spark, tmp_path, indent, size):
+    """Ranges that begin inside strings, names and nested lists; records longer than a range."""
+    pick = random.Random(7)
+    odd = ["a]b", '"quo"ted', "back\\slash", "{", "}", ",", "[", "é\n", ""]
+    people = {
+        f"p{i}{pick.choice(odd)}": [[pick.choice([*odd, "401", "9045"]) for _ in range(pick.randrange(4))] for _ in range(pick.choice([0, 1, 3, 40]))]
+        for i in range(60)
+    }
+    (tmp_path / "a.json").write_text(json.dumps(people, indent=indent, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"other": [["1"]]}, indent=indent))
+    (tmp_path / "c.json").write_text("{}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "8")
+    try:
+        got = {r.p_id: r.visits for r in rec.read_records_object(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {**people, "other": [["1"]]}
