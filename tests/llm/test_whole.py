@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohorta.llm import repeats
-from kohorta.llm.licenses import LICENSES, NOTICES, license_report
+from kohorta.llm.licenses import LICENSES, NOTICES, WORDINGS, license_report, scan_licenses, signature_rules
 from kohorta.llm.line_dedup import LONG_BYTES, dedup_lines
 from kohorta.llm.mixing import mix_sources
 from kohorta.llm.ngram_join import ngram_components
@@ -97,7 +98,7 @@ def test_a_stray_source_beside_large_ones_is_mixed(spark):
 
 def _example(pattern: str) -> str:
     """The shortest words that a rule's pattern takes: optional parts left out, the first of each choice."""
-    pattern = re.sub(r"\(\?:[^()|]*\)\?", "", pattern).replace(" ?", " ")
+    pattern = re.sub(r"\(\?:[^()|]*\)\?", "", pattern).replace(" ?", " ").replace("s?", "s")
     while (plain := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: "" if m[2] else m[1], pattern)) != pattern:
         pattern = plain
     return re.sub(r"\[(.)[^\]]*\](?:\{\d\})?", lambda m: m[1], pattern.replace("[0-9]{2}", "19"))
@@ -105,12 +106,35 @@ def _example(pattern: str) -> str:
 
 def test_one_example_of_every_rule_passes_the_gate(spark):
     named = [(label.removesuffix("-short"), _example(name)) for label, _, name in LICENSES]
-    rows = named + [(label, _example(p)) for _, label, _, p in NOTICES] + [("mit-0", "released under MIT No Attribution")]
+    rows = named + [(label, _example(p)) for _, label, _, p in NOTICES + WORDINGS] + [("mit-0", "released under MIT No Attribution")]
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
     got = {r.doc_id: (r.labels or "").split(",") for r in license_report(docs).collect()}
     assert [rows[i] for i in range(len(rows)) if rows[i][0] not in got[i]] == []
 
 
+def test_matches_are_found_in_any_number(spark):
+    """Blocks of matches end and begin anywhere; kept matches follow the rule of containment."""
+    pick = random.Random(4)
+    parts = ["MIT License", "under the MIT license", "copyright 2019", "licensed under", "GNU GPL v3", "Apache License 2.0", "word", "a b c"]
+    texts = [" ".join(pick.choice(parts) for _ in range(n)) for n in (0, 1, 255, 256, 257, 700)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rules = [(r.priority, r.label, r.pattern) for r in signature_rules()]
+    for row in scan_licenses(docs).collect():
+        words = re.findall("[a-z0-9]+", texts[row.doc_id].lower())
+        spaced = "".join(f" {w} " for w in words)
+        found = sorted({(m.start(), -m.end(), -p, label) for p, label, pattern in rules for m in re.finditer(pattern, spaced)})
+        kept = [m for i, m in enumerate(found) if not any(-b[1] >= -m[1] and -b[2] >= -m[2] for b in found[:i])]
+        assert [(d.start, -d.end, -d.priority, d.label) for d in row.detections] == kept
+
+
+def test_a_text_of_many_mentions_takes_time_in_proportion(spark):
+    docs = spark.createDataFrame([(1, "mit license, " * 100_000)], "doc_id bigint, text string")
+    began = time.monotonic()
+    row = license_report(docs).first()
+    assert (row.n_words, row.n_base, row.n_detections, row.labels) == (200_000, 100_000, 100_000, "mit")
+    assert time.monotonic() - began < 120
+
+
 # ---- flushes
 
 
