@@ -1,12 +1,13 @@
 """Line deduplication by winnowing over line hashes.
 
 The lines of a document are a sequence of hashes. Of every ``window`` neighbouring k-grams of lines
-the smallest is a fingerprint, so any run of ``window + gram - 1`` lines that stands in two places has
-a fingerprint in common. A line of ``LONG_BYTES`` bytes or more has a fingerprint of its own as well, so
-a passage that is one line is found between any neighbours. Only stretches around fingerprints that
-occur more than once are compared at all. The comparison extends a match both ways, as far as the
-neighbouring runs of that length are repeats as well; lines of later repeats are deleted, the first
-occurrence stays.
+the smallest is selected as a fingerprint, once for all windows it is the smallest of, so any run of
+``window + gram - 1`` lines that stands in two places has a fingerprint in common. A line of ``LONG_BYTES``
+bytes or more is a fingerprint of its own as well, so a passage that is one line is found between any
+neighbours. Only fingerprints and their positions leave the texts. They are joined; what occurs more than
+once is extended both ways, by the lines before and after it that its windows reach, and extensions
+that agree with an earlier place are repeats. Those that follow each other make up one stretch. Lines of
+later repeats are deleted, the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -37,11 +38,13 @@ def content_lines(raw: bytes) -> tuple[list[bytes], list[int]]:
     return [stripped[i] for i in at], at
 
 
-def _runs(raw: bytes, gram: int, window: int, long_bytes: int) -> list[tuple[int, int, bytes]]:
-    """(place, fingerprint, digest) of every run of ``gram + window - 1`` lines and of every long line.
+def _fingerprints(raw: bytes, gram: int, window: int, long_bytes: int) -> list[tuple[int, int, bytes]]:
+    """(place, fingerprint, reach) of every window minimum and of every long line.
 
-    A place is the number of the first line, doubled, plus one if the line stands for itself. No line
-    holds a line break, so a line and a run have different digests.
+    The windows with one minimum begin at neighbouring lines. ``reach`` holds a digest of 16 bytes for
+    the run of ``gram + window - 1`` lines of each: the fingerprint extended to the left by fewer and fewer
+    lines and to the right by more and more. The place is the first line of the first run, doubled, plus one
+    for a line that stands for itself. No line holds a line break, so a line and a run differ in digest.
     """
     lines, _ = content_lines(raw)
     size = gram + window - 1
@@ -49,8 +52,14 @@ def _runs(raw: bytes, gram: int, window: int, long_bytes: int) -> list[tuple[int
     if len(lines) >= size:
         joined = [b"\n".join(lines[i : i + gram]) for i in range(len(lines) - gram + 1)]
         grams = np.array([xxhash.xxh3_64_intdigest(g) for g in joined], np.uint64)
-        smallest = np.lib.stride_tricks.sliding_window_view(grams, window).min(axis=1).view(np.int64)
-        found = [(2 * i, fp, xxhash.xxh3_128_digest(b"\n".join(lines[i : i + size]))) for i, fp in enumerate(smallest.tolist())]
+        chosen = np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1)
+        chosen += np.arange(len(chosen))
+        # Of equal minima the first is taken, so the chosen places never go back.
+        edges = [0, *(np.flatnonzero(np.diff(chosen)) + 1).tolist(), len(chosen)]
+        values = grams.view(np.int64)[chosen[edges[:-1]]].tolist()
+        for low, high, fp in zip(edges, edges[1:], values):
+            runs = [xxhash.xxh3_128_digest(b"\n".join(lines[i : i + size])) for i in range(low, high)]
+            found.append((2 * low, fp, b"".join(runs)))
     if size > 1:
         for i, line in enumerate(lines):
             if len(line) >= long_bytes:
@@ -59,18 +68,18 @@ def _runs(raw: bytes, gram: int, window: int, long_bytes: int) -> list[tuple[int
     return found
 
 
-def _run_rows(gram: int, window: int, long_bytes: int):
+def _fingerprint_rows(gram: int, window: int, long_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc_id, mark, place, fp, digest)
+                (doc_id, mark, place, fp, reach)
                 for doc_id, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)))
-                for place, fp, digest in _runs(raw, gram, window, long_bytes)
+                for place, fp, reach in _fingerprints(raw, gram, window, long_bytes)
             ]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "mark", "place", "fp", "digest"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "mark", "place", "fp", "reach"]
             )
 
     return run
@@ -104,15 +113,20 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long_by
     size = gram + window - 1
     rows = boxed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("bigint"), "mark": F.xxhash64("row.text")})
     slim = rows.select("doc_id", "mark", F.col("row.text").alias("text"))
-    runs = written(slim.mapInArrow(_run_rows(gram, window, long_bytes), "doc_id bigint, mark bigint, place int, fp bigint, digest binary"), "line-runs")
+    schema = "doc_id bigint, mark bigint, place int, fp bigint, reach binary"
+    marks = written(slim.mapInArrow(_fingerprint_rows(gram, window, long_bytes), schema), "line-fingerprints")
     # Counts and first places are written before they are joined: no aggregate then stands between
     # shuffle and join, and a fingerprint that a third of the documents share can be split.
-    shared = written(runs.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-fingerprints")
-    met = runs.join(shared, "fp")
+    shared = written(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "line-repeated")
+    steps = F.sequence(F.lit(0), (F.octet_length("reach") / 16).cast("int") - 1)
+    extended = marks.join(shared, "fp").withColumn("i", F.explode(steps)).select(
+        "doc_id", "mark", (F.col("place") + 2 * F.col("i")).alias("place"), F.expr("substring(reach, 16 * i + 1, 16)").alias("digest")
+    )
+    extended = written(extended, "line-extended")
     where = F.struct("doc_id", "mark", "place")
-    first = met.groupBy("digest").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = extended.groupBy("digest").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = written(first.select("digest", "first"), "line-first-places")
-    later = runs.join(first, "digest").where(where > F.col("first"))
+    later = extended.join(first, "digest").where(where > F.col("first"))
     per_doc = later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("place")).alias("places"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "id", "mark": "own"})
 

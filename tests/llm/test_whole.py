@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kohorta.llm import repeats
 from kohorta.llm.licenses import LICENSES, NOTICES, WORDINGS, license_report, scan_licenses, signature_rules
-from kohorta.llm.line_dedup import LONG_BYTES, dedup_lines
+from kohorta.llm.line_dedup import LONG_BYTES, _fingerprints, dedup_lines
 from kohorta.llm.mixing import mix_sources
 from kohorta.llm.ngram_join import ngram_components
 from kohorta.llm.repeats import remove_repeats
@@ -93,6 +93,31 @@ def test_a_stray_source_beside_large_ones_is_mixed(spark):
     assert stray.rate > 500 and stray.n == stray.k and abs(stray.n - stray.rate) < 6 * math.sqrt(stray.rate)
 
 
+@pytest.mark.parametrize("gram, window", [(1, 2), (2, 3), (1, 5), (3, 1)])
+def test_fingerprints_reach_every_run_once(spark, gram, window):
+    pick = random.Random(8)
+    for n in (0, 1, gram, gram + window - 1, 60):
+        lines = [pick.choice("abc").encode() for _ in range(n)]
+        size, runs = gram + window - 1, {}
+        found = _fingerprints(b"\n".join(lines), gram, window, LONG_BYTES)
+        for place, fp, reach in found:
+            for i in range(len(reach) // 16):
+                runs[place // 2 + i] = fp, reach[16 * i : 16 * i + 16]
+        assert sorted(runs) == list(range(max(0, n - size + 1))) and sum(len(r) // 16 for _, _, r in found) == len(runs)
+        same = {}
+        for start, run in runs.items():
+            same.setdefault(tuple(lines[start : start + size]), set()).add(run)
+        assert all(len(v) == 1 for v in same.values()) and len(set.union(set(), *same.values())) == len(same)
+
+
+def test_line_dedup_by_longer_windows_matches_brute_force(spark):
+    pick = random.Random(9)
+    rows = [(i, "\n".join(pick.choice("abcd") for _ in range(pick.randint(0, 30)))) for i in range(60)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), gram=2, window=3).collect()
+    got = {r.doc_id: r.n_removed for r in got}
+    assert [got[i] for i, _ in rows] == brute.removed_lines(rows, size=4)
+
+
 # ---- licenses
 
 
