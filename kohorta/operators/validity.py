@@ -30,6 +30,8 @@ BLOCK_ROWS = 4096
 CELLS = 400
 #: Centroid tables up to this size are broadcast, and larger ones are read in blocks of this size.
 CENTER_BYTES = 64 << 20
+#: Clusters in a block of the Davies-Bouldin index, on average.
+BLOCK_CENTERS = 1024
 RANKED = {"davies_bouldin": True, "calinski_harabasz": False, "silhouette": False}
 
 
@@ -146,32 +148,35 @@ def _center_blocks(stats: DataFrame) -> Iterator[dict[int, _Centers]]:
 def davies_bouldin(stats: DataFrame) -> DataFrame:
     """(k, davies_bouldin): mean over clusters of the worst (dev + dev) / distance to another one.
 
-    Every cluster is compared with blocks of its model's clusters, and one number per cluster and
-    block comes out. Clusters on the same centroid do not compare, as if infinitely far.
+    The clusters of a model are dealt to blocks by a hash, and every two blocks meet in a task of their
+    own, from which one number per cluster comes out. So no task and no driver holds all centroids; work is
+    quadratic in the clusters of a model. Clusters on the same centroid do not compare, as if infinitely far.
     """
 
-    def against(block: dict[int, _Centers]):
-        def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ks, codes = np.asarray(batch.column("k")), np.asarray(batch.column("cluster"))
-                mu, dev, out = matrix(batch.column("mu")), np.asarray(batch.column("dev")), np.full(len(ks), -1.0)
-                for k in set(ks.tolist()) & block.keys():
-                    at, other = np.flatnonzero(ks == k), block[k]
-                    for i in at:
-                        d = np.sqrt(((other.mu - mu[i]) ** 2).sum(axis=1))
-                        d[(other.code == codes[i]) | (d == 0)] = np.inf
-                        ratio = np.where(other.code == codes[i], -1.0, (dev[i] + other.dev) / d)
-                        out[i] = ratio.max()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), batch.column("cluster"), pa.array(out)], names=["k", "cluster", "worst"]
-                )
-
-        return worst
+    def worst(pair: pa.Table) -> pa.Table:
+        pair = pair.combine_chunks()
+        asks = np.asarray(pair.column("asks"))
+        codes, dev = np.asarray(pair.column("cluster")), np.asarray(pair.column("dev"))
+        mu = matrix(pair.column("mu").combine_chunks())
+        other, other_mu, other_dev = codes[~asks], mu[~asks], dev[~asks]
+        out = []
+        for i in np.flatnonzero(asks):
+            d = np.sqrt(((other_mu - mu[i]) ** 2).sum(axis=1))
+            d[(other == codes[i]) | (d == 0)] = np.inf
+            out.append(np.where(other == codes[i], -1.0, (dev[i] + other_dev) / d).max(initial=-1.0))
+        mine = pair.filter(pa.array(asks)).select(["k", "cluster"])
+        return mine.append_column("worst", pa.array(out, pa.float64()))
 
     slim = stats.select(F.col("k").cast("int").alias("k"), F.col("cluster").cast("int").alias("cluster"), "mu", "dev")
-    parts = [slim.mapInArrow(against(b), "k INT, cluster INT, worst DOUBLE") for b in _center_blocks(stats)]
-    worst = reduce(DataFrame.union, parts, slim.select("k", "cluster", F.lit(0.0).alias("worst")).where("false"))
-    per_cluster = worst.groupBy("k", "cluster").agg(F.max("worst").alias("worst"))
+    # Read three times below; the rows behind the centroids are passed once.
+    slim = written(slim, "centroids")
+    blocks = slim.groupBy("k").agg(F.ceil(F.count("*") / BLOCK_CENTERS).alias("blocks"))
+    own, every = F.pmod(F.xxhash64("cluster"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = slim.join(blocks, "k").withColumn("own", own).withColumn("met", every)
+    asking = dealt.select("k", F.col("own").alias("a"), F.col("met").alias("b"), "cluster", "mu", "dev", F.lit(True).alias("asks"))
+    asked = dealt.select("k", F.col("met").alias("a"), F.col("own").alias("b"), "cluster", "mu", "dev", F.lit(False).alias("asks"))
+    pairs = asking.union(asked).groupBy("k", "a", "b")
+    per_cluster = pairs.applyInArrow(worst, "k INT, cluster INT, worst DOUBLE").groupBy("k", "cluster").agg(F.max("worst").alias("worst"))
     return per_cluster.groupBy("k").agg(F.avg(F.when(F.col("worst") >= 0, F.col("worst"))).alias("davies_bouldin"))
 
 

@@ -234,3 +234,22 @@ def test_bounded_silhouette_holds_the_exact_one(spark):
         assert all(abs(r.silhouette - exact[k]) <= r.error for k, r in got.items())
         errors.append(max(r.error for r in got.values()))
     assert errors[1] < errors[0] and errors[1] < 0.2
+
+
+def test_davies_bouldin_in_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(validity, "BLOCK_CENTERS", 16)
+    pick = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in (1, 2, 100):
+        mu, dev = pick.normal(size=(k, 3)), pick.random(k)
+        if k == 100:
+            mu[7] = mu[50]
+        rows += [(k, c, mu[c].tolist(), float(dev[c])) for c in range(k)]
+        d = np.sqrt(((mu[:, None] - mu[None]) ** 2).sum(axis=2))
+        d[d == 0] = np.inf
+        ratio = (dev[:, None] + dev[None]) / d
+        want[k] = None if k == 1 else np.where(np.eye(k) > 0, -1, ratio).max(axis=1).mean()
+    stats = spark.createDataFrame(rows, "k INT, cluster INT, mu ARRAY<DOUBLE>, dev DOUBLE")
+    got = {r.k: r.davies_bouldin for r in validity.davies_bouldin(stats).collect()}
+    assert got.keys() == want.keys() and got[1] is None
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in (2, 100))
