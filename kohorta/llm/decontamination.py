@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.llm.common import boxed, raw_texts, unboxed
+from kohorta.plans.skew import spread_join
+from kohorta.session import written
 
 #: Words of a window.
 WINDOW = 13
-#: Words of items that one automaton takes; a larger benchmark is cut into several.
+#: Words of items that one automaton takes; a larger benchmark is matched block by block.
 BLOCK_WORDS = 500_000
 #: A document is contaminated when at least one word in this many is hit.
 HIT_SHARE = 20
@@ -158,63 +161,131 @@ class ItemAutomaton:
         return spans, items
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str | None, list[bytes]]]]:
-    """Items in blocks of bounded size, one at a time from the driver's iterator.
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """Items dealt to blocks as (block, item, words), in the shared folder, and the number of blocks.
 
-    Items are a stated query set; documents are matched against all blocks. Rows with a null text have
-    no words and are left out; an item with a null id is matched as any other, but has no name.
+    Long items are cut into pieces that overlap by a window less one word, so each of their windows
+    stands in a piece; equal rows are kept once. A benchmark of at most ``block_words`` words is one
+    block. Pieces of a larger one are dealt by hash to blocks of half that on average; a piece is a 64th
+    of a block at most, so blocks stay near their average. Rows without words are left out; an item with
+    a null id is matched as any other, but has no name.
     """
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
-    blocks: list[list[tuple[str | None, list[bytes]]]] = []
-    size = block_words
-    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
-        words = words_of(text.encode())
-        if size + len(words) > block_words and (size or not blocks):
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, words))
-        size += len(words)
-    return blocks
-
-
-def _matcher(docs: DataFrame, benchmark: DataFrame):
-    """A function from words to (mask of hit words, items), with its automata built once per task."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
+    most = max(block_words // 64, 4 * WINDOW)
 
-    def load():
-        automata = [ItemAutomaton(b.value) for b in shared]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), raw_texts(batch.column(1))):
+                words = words_of(text)
+                begins = range(0, max(len(words) - WINDOW + 1, 1), most - WINDOW + 1) if words else ()
+                parts = [words[i : i + most] for i in begins]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([item.as_py()] * len(parts), pa.string()),
+                        pa.array([b" ".join(w) for w in parts], pa.binary()),
+                        pa.array([len(w) for w in parts], pa.int32()),
+                    ],
+                    names=["item", "words", "n"],
+                )
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    pieces = written(rows.mapInArrow(cut, "item string, words binary, n int").distinct(), "benchmark-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    if total <= block_words:
+        return pieces.select(F.lit(0).alias("block"), "item", "words"), 1
+    blocks = -(-2 * total // block_words)
+    dealt = pieces.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int").alias("block"), "item", "words")
+    return written(dealt.repartition(blocks, "block").sortWithinPartitions("block"), "benchmark-blocks"), blocks
+
+
+def _block(pieces: DataFrame, number: int):
+    """A broadcast of one block; the driver holds one block at a time."""
+    rows = pieces.where(F.col("block") == number).select("item", "words").toArrow()
+    items = [(item, words.split()) for item, words in zip(rows["item"].to_pylist(), rows["words"].to_pylist())]
+    return pieces.sparkSession.sparkContext.broadcast(items)
+
+
+def _hits_in(texts: DataFrame, shared) -> DataFrame:
+    """(digest, spans, items) of the texts that a block hits; ``texts`` are (digest, text)."""
 
-        def match(words: Sequence[bytes]) -> tuple[np.ndarray, set[str]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ItemAutomaton(shared.value)
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch.column(0), raw_texts(batch.column(1))):
+                spans, items = automaton.find(words_of(text))
+                if spans:
+                    out.append((digest.as_py(), np.array(sorted(set(spans)), "<i8").tobytes(), sorted(items - {None})))
+            columns = list(zip(*out)) or [[]] * 3
+            kinds = (pa.string(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", "spans", "items"]
+            )
+
+    return texts.mapInArrow(run, "digest string, spans binary, items array<string>")
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, block_words: int):
+    """The rows of ``docs`` as (row, spans, items), and a function that loads a matcher in a task.
+
+    The matcher turns a text's words, its spans and its items into a mask of hit words and a set of
+    items. One block is broadcast and matched where the rows are read, and spans and items are null.
+    Of several, each is matched in a pass of its own, which keeps only what it hit; hits are united by
+    a digest of the text and joined back as a table. Texts themselves are never copied per block.
+    """
+    pieces, blocks = item_blocks(benchmark, block_words)
+    rows = boxed(docs)
+    if blocks == 1:
+        shared = _block(pieces, 0)
+        spans, items = F.lit(None).cast("array<binary>"), F.lit(None).cast("array<string>")
+        rows = rows.select("row", spans.alias("spans"), items.alias("items"))
+    else:
+        shared = None
+        keyed = rows.select(F.sha2(F.col("row.text"), 256).alias("digest"), "row")
+        texts = keyed.where("digest is not null").select("digest", "row.text")
+        passes = [_hits_in(texts, _block(pieces, b)) for b in range(blocks)]
+        # A text has one set of spans per block, however many rows repeat it.
+        united = reduce(DataFrame.union, passes).groupBy("digest").agg(
+            F.collect_set("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+        )
+        rows = spread_join(keyed, united, ["digest"], "left").select("row", "spans", "items")
+
+    def load():
+        automaton = ItemAutomaton(shared.value) if shared else None
+
+        def match(words: Sequence[bytes], spans, items) -> tuple[np.ndarray, set[str]]:
+            if automaton:
+                found, names = automaton.find(words)
+            else:
+                found = [s for part in (() if spans is None else spans) for s in np.frombuffer(part, "<i8").reshape(-1, 2).tolist()]
+                names = set(() if items is None else items)
             hit = np.zeros(len(words) + 1, np.int32)
-            items: set[str] = set()
-            for automaton in automata:
-                spans, found = automaton.find(words)
-                items |= found - {None}
-                for a, b in spans:
-                    hit[a] += 1
-                    hit[b] -= 1
-            return np.cumsum(hit[:-1]) > 0, items
+            for a, b in found:
+                hit[a] += 1
+                hit[b] -= 1
+            return np.cumsum(hit[:-1]) > 0, names - {None}
 
         return match
 
-    return load
+    return rows, load
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
 
     Null and empty texts have no words and are clean; repeated rows are judged each, repeated items
     count once; an empty benchmark leaves everything clean. Other columns are left out.
     """
-    load = _matcher(docs, benchmark)
+    rows, load = _matched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = load()
         for batch in batches:
             out = []
-            for text in raw_texts(batch.column(1)):
+            for text, spans, items in zip(raw_texts(batch.column(1)), batch.column(2), batch.column(3)):
                 words = words_of(text)
-                mask, items = match(words)
+                mask, items = match(words, spans.as_py(), items.as_py())
                 n, hit = len(words), int(mask.sum())
                 names = ",".join(sorted(items))
                 out.append((n, hit, len(items), hashlib.sha256(names.encode()).hexdigest(), hit > 0 and share * hit >= n))
@@ -226,7 +297,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE)
             )
 
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return rows.select("row.doc_id", "row.text", "spans", "items").mapInArrow(run, schema)
 
 
 def without_spans(text: str, mask: np.ndarray) -> str:
@@ -246,22 +317,24 @@ def without_spans(text: str, mask: np.ndarray) -> str:
     return b"".join(out).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """Clean documents as they are, contaminated ones gone, and hit words cut from the rest.
 
     The rest are documents whose hit words are fewer than one in ``share``. All columns stay; null
     texts stay null.
     """
-    load = _matcher(docs, benchmark)
+    rows, load = _matched(docs, benchmark, block_words)
 
     @F.pandas_udf("contaminated boolean, text string")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         match = load()
-        for texts in batches:
+        for texts, found in batches:
             out = []
-            for text in texts:
+            for text, spans in zip(texts, found):
                 words = words_of((text or "").encode())
-                mask, _ = match(words)
+                mask, _ = match(words, spans, None)
                 hit = int(mask.sum())
                 bad = hit > 0 and share * hit >= len(words)
                 out.append((bad, without_spans(text, mask) if hit and not bad else text))
@@ -269,5 +342,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = HIT_SHARE)
 
     # A filter on what is selected later would have every text judged twice, were the function deterministic.
     once = judged.asNondeterministic()
-    kept = boxed(docs).withColumn("judged", once(F.col("row.text"))).where("not judged.contaminated")
+    kept = rows.withColumn("judged", once(F.col("row.text"), F.col("spans"))).where("not judged.contaminated")
     return kept.select(*unboxed(docs.columns, text=F.col("judged.text")))

@@ -3,10 +3,11 @@
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
 
 from kohorta.llm import queries as Q
-from kohorta.llm.decontamination import contamination, decontaminate
+from kohorta.llm.decontamination import contamination, decontaminate, item_blocks
 from kohorta.llm.line_dedup import drop_repeated_lines
 from kohorta.llm.ngram_join import one_per_component
 from kohorta.llm.token_counts import TokenLedger, count_changes, inserts, word_counter
@@ -99,3 +100,43 @@ def test_a_text_is_handled_once(spark, stage):
     with redirect_stdout(io.StringIO()) as plan:
         out.explain("simple")
     assert plan.getvalue().count("ArrowEvalPython") == 1
+
+
+def test_benchmark_of_many_blocks(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+
+    def draw(n):
+        return [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
+
+    named = [(i, " ".join(draw(n))) for i, n in enumerate([300, 200, 120, 60, 40, 13, 12, 3, 0])]
+    items = [*named, (20, named[0][1]), (3, named[3][1]), (None, " ".join(draw(30)))]
+    rows = [(1, None), (2, ""), (None, named[1][1])]
+    for i in range(40):
+        words = draw(int(rng.integers(0, 120)))
+        source = items[int(rng.integers(0, len(items)))][1].split()
+        at = int(rng.integers(0, max(len(source) - 30, 1)))
+        rows.append((10 + i, " ".join(words[:50] + source[at : at + int(rng.integers(10, 70))] + words[50:])))
+    rows += [rows[5], rows[5], (7, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    pieces, blocks = item_blocks(benchmark, 200)
+    assert blocks > 3 and pieces.select("block").distinct().count() > 3
+
+    def found(**options):
+        return sorted(map(tuple, contamination(docs, benchmark, **options).collect()), key=str)
+
+    assert found(block_words=200) == found()
+    without_name = [r[:2] for r in items if r[0] is not None]
+    unhit = {" ".join(r[1].split()) for r in items if r[0] is None}
+    want = [(d, *brute.contamination(t, without_name)) for d, t in rows]
+    exact = [w for w, (_, t) in zip(want, rows) if not any(_shares(t, u) for u in unhit)]
+    assert len(exact) > 30 and set(exact) <= set(found())
+    cut = [sorted(map(tuple, decontaminate(docs, benchmark, **o).collect()), key=str) for o in ({}, {"block_words": 200})]
+    assert cut[0] == cut[1] and 0 < len(cut[0]) < len(rows)
+
+
+def _shares(text, item, size=13):
+    have, want = (text or "").split(), item.split()
+    windows = {tuple(want[i : i + size]) for i in range(len(want) - size + 1)}
+    return any(tuple(have[i : i + size]) in windows for i in range(len(have)))
