@@ -520,8 +520,7 @@ SELECT k FROM rk WHERE davies_bouldin_rank <= 3 OR calinski_harabasz_rank <= 3 O
 
 # ---- density clusters: neighbours of all points, closure over core points
 
-_DBSCAN = """nb AS (SELECT a.id, b.id AS bid FROM {pts} a JOIN {pts} b ON a.blk = b.blk
-    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps} * {eps}),
+_DBSCAN = """nb AS (SELECT a.id, b.id AS bid FROM {pts} a JOIN {pts} b ON a.blk = b.blk AND {d2} <= {eps} * {eps}),
 core AS (SELECT nb.id FROM nb JOIN {pts} p ON p.id = bid GROUP BY nb.id HAVING sum(p.w) >= {least}),
 ce AS (SELECT nb.id, bid FROM nb WHERE nb.id IN (SELECT id FROM core) AND bid IN (SELECT id FROM core)),
 reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.bid, reach.root FROM reach JOIN ce ON ce.id = reach.id),
@@ -529,11 +528,12 @@ comp AS (SELECT id, min(root) AS label FROM reach GROUP BY id),
 border AS (SELECT nb.id, min(label) AS label FROM nb JOIN comp ON comp.id = nb.bid
     WHERE nb.id NOT IN (SELECT id FROM core) GROUP BY nb.id),
 found AS (SELECT * FROM comp UNION ALL SELECT * FROM border)"""
+_PLANE_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 ORACLE["dbscan_plane"] = "WITH RECURSIVE " + ",\n".join(
     [
         """pl AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
   CAST(embedding[3] > 0 AS INT) * 2 + CAST(embedding[4] > 0 AS INT) AS blk, 1 AS w FROM embeddings)""",
-        _DBSCAN.format(pts="pl", eps="CAST(0.04 AS DOUBLE)", least=4),
+        _DBSCAN.format(pts="pl", d2=_PLANE_D2, eps="CAST(0.04 AS DOUBLE)", least=4),
     ]
 ) + "\nSELECT pl.id, coalesce(label, -1) AS cluster FROM pl LEFT JOIN found ON found.id = pl.id"
 ORACLE["dbscan"] = "WITH RECURSIVE " + ",\n".join(
@@ -542,10 +542,16 @@ ORACLE["dbscan"] = "WITH RECURSIVE " + ",\n".join(
         """sc AS (SELECT id, blk, (a - (SELECT avg(a) FROM o)) / (SELECT stddev_pop(a) FROM o) AS x,
   (m - (SELECT min(m) FROM o)) / CAST((SELECT max(m) - min(m) FROM o) AS DOUBLE) AS y FROM o)""",
         "pl AS (SELECT blk, x, y, min(id) AS id, count(*) AS w FROM sc GROUP BY blk, x, y)",
-        _DBSCAN.format(pts="pl", eps="CAST(0.1 AS DOUBLE)", least=7),
+        _DBSCAN.format(pts="pl", d2=_PLANE_D2, eps="CAST(0.1 AS DOUBLE)", least=7),
     ]
 ) + """
 SELECT sc.id, coalesce(label, -1) AS cluster FROM sc JOIN pl USING (blk, x, y) LEFT JOIN found ON found.id = pl.id"""
+ORACLE["dbscan_vectors"] = "WITH RECURSIVE " + ",\n".join(
+    [
+        "pl AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, label AS blk, 1 AS w FROM embeddings)",
+        _DBSCAN.format(pts="pl", d2="list_distance(a.f, b.f) * list_distance(a.f, b.f)", eps="CAST(1.22 AS DOUBLE)", least=4),
+    ]
+) + "\nSELECT pl.id, coalesce(label, -1) AS cluster FROM pl LEFT JOIN found ON found.id = pl.id"
 
 # ---- facts that hold for models that SQL cannot fit
 

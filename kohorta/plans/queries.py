@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from kohorta.functions import codes as C
 from kohorta.functions import scalars
-from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, tableone, validity
+from kohorta.operators import clean, cluster, coding, cohort, density, features, longitudinal, metric, tableone, validity
 from kohorta.plans import pipelines, views
 from kohorta.plans.skew import spread_join
 from kohorta.session import literal_table, run_dir, written
@@ -820,6 +820,12 @@ def dbscan_plane(spark, sf):
     return density.dbscan(plane, ["x", "y"], 0.04, 4, ["b2", "b3"])
 
 
+@query
+def dbscan_vectors(spark, sf):
+    """All 64 dimensions, inside each label."""
+    return metric.dbscan_metric(views.points(spark, sf), "features", 1.22, 4, ["label"])
+
+
 @query
 def best_k_silhouette(spark, sf):
     """By the Euclidean index, which is exact and quadratic in distinct rows."""
