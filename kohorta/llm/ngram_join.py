@@ -8,11 +8,13 @@ transpose holds the overlap of every two documents, but hardly any of it is need
 2. Of the rest, equal sets are one row. Columns are ordered by count, rare ones first. Two sets that
    reach the threshold share a column among the first of each, as many as its size leaves room to miss.
    Sets that are connected by such columns, linked or not, are a family.
-3. Within a family, all rows whose sizes allow a link are multiplied, block by block, and the overlaps
-   are judged exactly. Only a forest of links leaves a block.
+3. In a large family each set is multiplied with a few pivots first, which its columns name. Sets that
+   links to pivots connect are one component, and their other overlaps decide nothing.
+4. Within a family, all rows whose sizes allow a link and that are in different components are multiplied,
+   block by block, and the overlaps are judged exactly. Only a forest of links leaves a block.
 
-A family's work and shuffle grow with the square of its blocks: a set is sent to every block of its own
-band of sizes and of the two next to it. Linked sets are not contracted before.
+So a family of near copies costs as much as its sets and the few that pivots leave apart. Where pivots
+connect nothing, work and shuffle grow with the square of the family's blocks, as exact links need.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from kohorta.llm import blocked
 from kohorta.llm.common import boxed, raw_texts, unboxed
 from kohorta.operators.density import connected_components
-from kohorta.plans.skew import small_table
+from kohorta.plans.skew import small_table, spread_join
 from kohorta.session import written
 
 WORDS = 5
@@ -38,6 +40,8 @@ PERCENT = 75
 #: Sets of a block of rows, and cells of a block of the matrix that is dense while it is multiplied.
 BLOCK_ROWS = 256
 BLOCK_CELLS = 4_000_000
+#: Pivots that a set of a large family is compared with.
+PIVOTS = 3
 #: Ids that may be broadcast to filter the documents; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Words whose hashes a task remembers before it starts anew.
@@ -282,58 +286,92 @@ def _families(entries: DataFrame) -> DataFrame:
     return written(entries.select("h", "n").distinct().join(found, "h"), "ngram-families")
 
 
-def _rooms(members: DataFrame, rooms: int) -> DataFrame:
-    """(room, pair, second, h): which sets are multiplied with which, block by block.
+def _pivot_links(entries: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between sets of large families and pivots; hot pivots are copied to many rooms.
 
-    A family of up to BLOCK_ROWS sets is one block. A larger one is cut by bands of sizes, such that
-    links are possible within a band and between neighbours only, and each band by a hash into blocks
-    of about BLOCK_ROWS. Every two blocks that may have links meet in a room of their own; small
-    families share rooms.
+    For each of ``PIVOTS`` orders by hash, a column names the first set that has it, and a set takes the
+    first one that its columns name. So most sets of a family name the same few.
     """
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(written(sizes, "ngram-family-sizes"), "family")
-    small = sized.where(F.col("size") <= BLOCK_ROWS).select(
+    columns = entries.join(large.select("h"), "h", "left_semi").select("g", "h")
+    orders = range(PIVOTS)
+    named = columns.groupBy("g").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "h"), "h")).alias(f"p{i}") for i in orders])
+    picked = spread_join(columns, named, ["g"]).groupBy("h").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in orders])
+    pairs = picked.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.h") for i in orders]))).alias("pivot"))
+    pairs = written(pairs.where("h <> pivot"), "ngram-pivots")
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    counts = written(counts, "ngram-pivot-sizes")
+    name = F.concat_ws(":", F.hex("pivot"), F.col("block").cast("string")).alias("pair")
+    mine = pairs.join(counts, "pivot").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    theirs = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = mine.select(name, F.lit(0).alias("second"), "h").unionByName(
+        theirs.select(name, F.lit(1).alias("second"), F.col("pivot").alias("h"))
+    )
+    return written(_products(met.withColumn("room", F.xxhash64("pair")), sets), "ngram-pivot-links")
+
+
+def _products(rooms: DataFrame, sets: DataFrame) -> DataFrame:
+    placed = written(rooms, "ngram-rooms").join(sets, "h").select("room", "pair", "second", "h", "grams")
+    return placed.groupBy("room").applyInArrow(_multiplied, "a binary, b binary")
+
+
+def _small_rooms(small: DataFrame, rooms: int) -> DataFrame:
+    """(room, pair, second, h): a family of up to BLOCK_ROWS sets is one block; families share rooms."""
+    return small.select(
         F.pmod(F.xxhash64("family"), F.lit(rooms)).alias("room"), F.hex("family").alias("pair"), F.lit(0).alias("second"), "h"
     )
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("int")
-    large = written(sized.where(F.col("size") > BLOCK_ROWS).select("family", "h", band.alias("band")), "ngram-large")
-    counts = large.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    counts = written(counts, "ngram-bands")
-    next_up = counts.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    next_down = counts.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    around = written(counts.join(next_up, ["family", "band"], "left").join(next_down, ["family", "band"], "left"), "ngram-around")
-    placed = large.join(around, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-
-    def partners(blocks: str, shift: int):
-        """Blocks of the band ``shift`` away, as (lower band, its block, upper band, its block, is upper)."""
-        up, own = F.col("band") + shift, F.col("own")
-        there = F.when(F.col(blocks) > 0, F.sequence(F.lit(0), F.col(blocks) - 1)).otherwise(F.array().cast("array<int>"))
-
-        def meet(j):
-            if shift > 0:
-                low = F.lit(True)
-            elif shift < 0:
-                low = F.lit(False)
-            else:
-                low = own <= j
-            text = lambda b, i, c, k: F.concat_ws(":", F.hex("family"), b.cast("string"), i.cast("string"), c.cast("string"), k.cast("string"))
-            return F.struct(
-                F.when(low, text(F.col("band"), own, up, j)).otherwise(text(up, j, F.col("band"), own)).alias("pair"),
-                F.when(low, F.lit(0)).otherwise(F.lit(1)).alias("second"),
-            )
 
-        return F.transform(there, meet)
 
-    met = F.explode(F.concat(partners("blocks", 0), partners("above", 1), partners("below", -1)))
-    pairs = placed.select("h", met.alias("m")).select((F.xxhash64("m.pair")).alias("room"), "m.pair", "m.second", "h")
-    return small.unionByName(pairs)
+def _large_rooms(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(room, pair, second, h): which sets of large families are multiplied, two blocks in a room.
+
+    A family is cut by bands of sizes, such that links are possible within a band and between neighbours
+    only. In a band, a component of more than BLOCK_ROWS sets is a part of its own, all others share a
+    part. Parts are cut by a hash into blocks of about BLOCK_ROWS. Blocks of one component never meet;
+    every other two that may have links do.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("int")
+    sized = spread_join(large, labels.toDF("h", "label"), ["h"]).select("family", "h", "label", band.alias("band"))
+    sized = written(sized, "ngram-large")
+    components = sized.groupBy("family", "band", "label").agg(F.count(F.lit(1)).alias("sets"))
+    apart = written(sized.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"), "ngram-apart")
+    own = F.when(F.col("sets") > BLOCK_ROWS, F.hex("label")).otherwise(F.lit(""))
+    components = written(components.join(apart.select("family"), "family", "left_semi").withColumn("part", own), "ngram-labels")
+    placed = sized.join(components.select("family", "band", "label", "part"), ["family", "band", "label"])
+    blocks = F.ceil(F.sum("sets") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")
+    parts = written(components.groupBy("family", "band", "part").agg(blocks), "ngram-parts")
+    lower = parts.select("family", "band", "part", "blocks", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2"))
+    upper = parts.toDF("family", "band2", "part2", "blocks2")
+    same = F.col("band") == F.col("band2")
+    alike = F.col("part") == F.col("part2")
+    # One component has the same label in every band; the shared part holds several.
+    meets = F.when(alike, F.col("part") == "").otherwise(~same | (F.col("part") < F.col("part2")))
+    met = lower.join(upper, ["family", "band2"]).where(meets).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("j", F.explode(F.sequence(F.when(same & alike, F.col("i")).otherwise(F.lit(0)), F.col("blocks2") - 1)))
+    texts = [F.hex("family"), *[F.col(c).cast("string") for c in ("band", "part", "i", "band2", "part2", "j")]]
+    met = met.withColumn("pair", F.concat_ws(":", *texts))
+    first = met.select("pair", F.lit(0).alias("second"), "family", "band", "part", F.col("i").alias("own"))
+    second = met.where(~(same & alike & (F.col("i") == F.col("j")))).select(
+        "pair", F.lit(1).alias("second"), "family", F.col("band2").alias("band"), F.col("part2").alias("part"), F.col("j").alias("own")
+    )
+    dealt = placed.join(parts, ["family", "band", "part"]).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    sides = written(first.unionByName(second), "ngram-sides")
+    return sides.join(dealt, ["family", "band", "part", "own"]).select(F.xxhash64("pair").alias("room"), "pair", "second", "h")
 
 
 def _components(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label) of the sets that have a link."""
-    rooms = _rooms(_families(entries), blocked.block_count(sets))
-    placed = written(rooms, "ngram-rooms").join(sets, "h").select("room", "pair", "second", "h", "grams")
-    links = written(placed.groupBy("room").applyInArrow(_multiplied, "a binary, b binary"), "ngram-links")
+    members = _families(entries)
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = spread_join(members, sizes, ["family"])
+    large = written(sized.where(F.col("size") > BLOCK_ROWS).select("family", "h", "n"), "ngram-large-families")
+    rooms = _small_rooms(sized.where(F.col("size") <= BLOCK_ROWS), blocked.block_count(sets))
+    found = None
+    if not large.isEmpty():
+        found = _pivot_links(entries, large, sets)
+        labels = connected_components(large.select(F.col("h").alias("node")), found)
+        rooms = rooms.unionByName(_large_rooms(large, labels))
+    links = _products(rooms, sets)
+    links = written(links if found is None else links.union(found), "ngram-links")
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return connected_components(nodes, links)
 

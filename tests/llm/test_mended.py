@@ -6,10 +6,10 @@ from contextlib import redirect_stdout
 import numpy as np
 import pytest
 
-from kohorta.llm import queries as Q
+from kohorta.llm import ngram_join, queries as Q
 from kohorta.llm.decontamination import contamination, decontaminate, item_blocks
 from kohorta.llm.line_dedup import drop_repeated_lines
-from kohorta.llm.ngram_join import one_per_component
+from kohorta.llm.ngram_join import ngram_components, one_per_component
 from kohorta.llm.token_counts import TokenLedger, count_changes, inserts, word_counter
 from kohorta.session import run_dir
 from tests.llm.test_edges import _words
@@ -140,3 +140,36 @@ def _shares(text, item, size=13):
     have, want = (text or "").split(), item.split()
     windows = {tuple(want[i : i + size]) for i in range(len(want) - size + 1)}
     return any(tuple(have[i : i + size]) in windows for i in range(len(have)))
+
+
+@pytest.fixture
+def large_rooms(monkeypatch):
+    """Sizes of the rooms of large families, with blocks of four sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    sizes, plain = [], ngram_join._large_rooms
+
+    def counted(*args):
+        rooms = plain(*args)
+        sizes.append(rooms.count())
+        return rooms
+
+    monkeypatch.setattr(ngram_join, "_large_rooms", counted)
+    return sizes
+
+
+def test_pivots_contract_a_large_family(spark, large_rooms):
+    """Near copies of one text that all link leave nothing to multiply."""
+    base = [f"b{i}" for i in range(120)]
+    near = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    docs = spark.createDataFrame(near, "doc_id bigint, text string")
+    assert {r.component_id for r in ngram_components(docs).collect()} == {0}
+    assert large_rooms == [0]
+
+
+def test_components_that_pivots_leave_apart_are_multiplied(spark, large_rooms):
+    """Windows that slide along a text link to the next few; at one gap they share columns and do not link."""
+    words = [f"b{i}" for i in range(600)]
+    begins = [5 * i + (60 if i >= 30 else 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[b : b + 120])) for i, b in enumerate(begins)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_components(docs).collect()} == {(i, 0 if i < 30 else 30) for i in range(60)}
+    assert len(large_rooms) == 1 and large_rooms[0] > 0
