@@ -1,13 +1,14 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax, trained jointly.
 
 A word is the bag of its character n-grams, each hashed to an embedding; unseen and misspelt words
-share n-grams with seen ones. A window of neighbouring words is the average of their vectors, and a
-linear softmax on it gives the probability of either label. A text is as toxic as its most toxic
-window: over a whole long text a few toxic words would average away.
+share n-grams with seen ones. A window of neighbouring words, or a whole shorter text, is the average of
+their vectors, and a linear softmax on it gives the log odds of the labels. A text's log odds are those
+of its windows averaged by their softmax: nearly the largest, since over a whole long text a few toxic
+words would average away. A text that repeats itself keeps its score, so length alone moves none.
 
 Training runs in numpy on a bounded sample of labelled texts. It alternates between scoring every
-window of the sample and moving embeddings and softmax weights along the gradient of each text's most
-toxic window. Since the softmax is linear, scoring needs one number per n-gram only.
+window of the sample and moving embeddings and softmax weights along the gradient of each text's
+average. Since the softmax is linear, scoring needs one number per n-gram only.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ FIT_ROWS = 4_000
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMS = 8
-#: Words of a window.
-WINDOW = 1
+#: Words of a window; windows of all these lengths count.
+WINDOWS = (1, 2)
 #: Factor on a window's log odds.
 SHARPNESS = 8.0
 EPOCHS = 25
@@ -71,12 +72,12 @@ def gram_buckets(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pooled_logit(values: np.ndarray) -> float:
-    """Log of the summed exponentials of all windows' averages; one window begins at each word."""
-    n = len(values)
+    """The log odds of all windows, averaged by their softmax."""
     c = np.concatenate([[0.0], np.cumsum(values)])
-    at = np.arange(n)
-    span = np.minimum(n - at, WINDOW)
-    return float(np.log(np.exp(np.clip(SHARPNESS * (c[at + span] - c[at]) / span, -30, 30)).sum()))
+    spans = [min(w, len(values)) for w in WINDOWS]
+    odds = SHARPNESS * np.concatenate([(c[n:] - c[:-n]) / n for n in spans])
+    weight = np.exp(odds - odds.max())
+    return float((odds * weight).sum() / weight.sum())
 
 
 class ToxicityModel:
@@ -143,32 +144,38 @@ def fit_sample(labelled: Sequence[tuple[bytes, int]]) -> ToxicityModel:
     rng = np.random.default_rng(SEED)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMS))
     softmax = rng.normal(0, 0.3, (DIMS, 2))
-    # A window that begins at each word, and ends with its text.
-    text_of = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(flat))
-    span = np.minimum(begin[text_of] + sizes[text_of] - at, WINDOW)
+    # Windows of each length begin wherever they end within their text; a shorter text is one window.
+    spans = np.minimum(sizes[None, :], np.array(WINDOWS)[:, None])
+    places = (sizes[None, :] - spans + 1).ravel()
+    text_of = np.repeat(np.tile(np.arange(len(sizes)), len(WINDOWS)), places)
+    at = np.arange(places.sum()) + np.repeat(np.tile(begin, len(WINDOWS)) - (np.cumsum(places) - places), places)
+    span = np.repeat(spans.ravel(), places)
+    order = np.argsort(text_of, kind="stable")
+    text_of, at, span = text_of[order], at[order], span[order]
+    first = np.searchsorted(text_of, np.arange(len(sizes)))
     # Both labels weigh the same: the rarer one would otherwise drown.
     weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior)) / len(y)
-    bias = -np.log(sizes.mean())
+    bias = 0.0
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-10), np.full((DIMS, 2), 1e-10), 1e-10
 
     def pooled() -> tuple[np.ndarray, np.ndarray]:
+        """Every text's log odds, and how much they rise with the odds of each window."""
         per_gram = embed @ (softmax[:, 1] - softmax[:, 0])
         words = np.add.reduceat(per_gram[bucket], start) / counts
         c = np.concatenate([[0.0], np.cumsum(words[flat])])
-        e = np.exp(np.clip(SHARPNESS * (c[at + span] - c[at]) / span, -30, 30))
-        total = np.add.reduceat(e, begin)
-        return np.log(total), e / total[text_of]
+        odds = SHARPNESS * (c[at + span] - c[at]) / span
+        e = np.exp(odds - np.maximum.reduceat(odds, first)[text_of])
+        share = e / np.add.reduceat(e, first)[text_of]
+        mean = np.add.reduceat(odds * share, first)
+        return mean, share * (1 + odds - mean[text_of])
 
     for _ in range(EPOCHS):
-        logit, attention = pooled()
+        logit, slope = pooled()
         error = (1 / (1 + np.exp(-np.clip(logit + bias, -30, 30))) - y) * weight
-        window_error = error[text_of] * attention * SHARPNESS / span
-        word_error = window_error.copy()
-        for shift in range(1, WINDOW):
-            reach = span[:-shift] > shift
-            word_error[shift:][reach] += window_error[:-shift][reach]
-        per_word = np.bincount(flat, weights=word_error, minlength=len(vocab)) / counts
+        window_error = error[text_of] * slope * SHARPNESS / span
+        # A word takes the errors of all windows that hold it.
+        steps = np.bincount(at, window_error, len(flat) + 1) - np.bincount(at + span, window_error, len(flat) + 1)
+        per_word = np.bincount(flat, weights=np.cumsum(steps[:-1]), minlength=len(vocab)) / counts
         gram_error = np.bincount(bucket, weights=per_word[owner], minlength=BUCKETS)
         pull = embed.T @ gram_error
         grad_s = np.stack([-pull, pull], axis=1)
