@@ -22,11 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.operators.density import connected_components
-from kohorta.operators.dense import matrix, squared_distances
+from kohorta.operators.dense import exact_squares, matrix, rough_squares, squared_distances
 from kohorta.session import literal_table, written
 
-#: Clusters of a block that is compared with another block in one task.
+#: Least clusters of a block that is compared with another block in one task.
 BLOCK_CLUSTERS = 2_048
+#: Blocks of a table, unless they would have more than MOST_CLUSTERS.
+BLOCKS = 8
+MOST_CLUSTERS = 131_072
+#: Seekers and nodes whose rough costs a task holds at a time, and pairs that it measures at a time.
+TILE = (1024, 4096)
+PAIRS = 1 << 20
 #: Clusters that the driver merges in the end.
 LAST_CLUSTERS = 500
 
@@ -81,13 +87,55 @@ def _pair_order(ids: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(27))).view(np.int64)
 
 
+def _blocks(count: int, block: int) -> int:
+    return max(1, min(BLOCKS, math.ceil(count / block)), math.ceil(count / max(block, MOST_CLUSTERS)))
+
+
+def _nearer(
+    rows: slice, columns: slice, ids: np.ndarray, n: np.ndarray, mu: np.ndarray, others: np.ndarray, m: np.ndarray, nu: np.ndarray,
+    own: np.ndarray, cost: np.ndarray, pair: np.ndarray, other: np.ndarray,
+) -> None:
+    """Bring ``cost``, ``pair`` and ``other`` of some seekers up to date with some nodes.
+
+    Rough costs, less what they may be off by, leave out what cannot be the nearest; the rest is measured.
+    ``own`` is a seeker's place among the nodes, or -1.
+    """
+    x, y, shift, to = mu[rows], nu[columns], rows.start, columns.start
+
+    def measured(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return exact_squares(x, y, i, j) * (n[shift + i] * m[to + j]) / (n[shift + i] + m[to + j])
+
+    least, off, unit = rough_squares(x, y)
+    least -= off[:, None]
+    least /= (1 / n[rows]).astype(np.float32)[:, None] + (1 / m[columns]).astype(np.float32)
+    here = np.flatnonzero((own[rows] >= to) & (own[rows] < to + len(y)))
+    least[here, own[rows][here] - to] = np.inf
+    i, j = np.arange(len(x)), least.argmin(axis=1)
+    some = np.isfinite(least[i, j])
+    bound = cost[rows].copy()
+    bound[some] = np.minimum(bound[some], measured(i[some], j[some]))
+    limit = np.where(some, bound / unit * (1 + 1e-6), -np.inf).astype(np.float32)
+    i, j = np.nonzero(least <= np.nextafter(limit, np.float32(np.inf))[:, None])
+    # A tie of many nodes may leave any number of pairs, so some go at a time.
+    for at in range(0, len(i), PAIRS):
+        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        exact, order = measured(p, q), _pair_order(ids[shift + p], others[to + q])
+        by = np.lexsort((order, exact, p))
+        by = by[np.flatnonzero(np.diff(p[by], prepend=-1))]
+        seek = shift + p[by]
+        better = (exact[by] < cost[seek]) | ((exact[by] == cost[seek]) & (order[by] < pair[seek]))
+        seek, by = seek[better], by[better]
+        cost[seek], pair[seek], other[seek] = exact[by], order[by], others[to + q[by]]
+
+
 def _nearest(seekers: DataFrame, nodes: DataFrame, n_seekers: int, n_nodes: int, block: int) -> DataFrame:
     """(cid, other, cost): the nearest other node of every seeker.
 
     Seekers and nodes are cut into blocks by a hash, and every two blocks meet in a task; a node is sent
-    as many times as there are blocks of seekers.
+    as many times as there are blocks of seekers. Blocks grow with the table, not their number, as long
+    as a task can hold two of them.
     """
-    rows, columns = max(1, math.ceil(n_seekers / block)), max(1, math.ceil(n_nodes / block))
+    rows, columns = _blocks(n_seekers, block), _blocks(n_nodes, block)
 
     def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
         home = F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")
@@ -95,29 +143,18 @@ def _nearest(seekers: DataFrame, nodes: DataFrame, n_seekers: int, n_nodes: int,
         return copies.toDF("cid", "n", "mu", own, other)  # columns of its own: both sides may be one table
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float, int]] = []
-        if left.num_rows and right.num_rows:
-            ids, n, mu = (left["cid"].to_numpy(), left["n"].to_numpy(), matrix(left["mu"]))
-            others, m, nu = (right["cid"].to_numpy(), right["n"].to_numpy(), matrix(right["mu"]))
-            for at in range(0, len(ids), 256):
-                part = slice(at, at + 256)
-                weight = n[part, None] * m / (n[part, None] + m)
-                d2 = squared_distances(mu[part], nu)
-                # The product form of a distance is off by roundings of the vectors' lengths.
-                slack = 1e-12 * ((mu[part] ** 2).sum(1)[:, None] + (nu**2).sum(1)) + 1e-300
-                least, most = weight * (d2 - slack), weight * (d2 + slack)
-                same = ids[part, None] == others
-                least[same], most[same] = np.inf, np.inf
-                bound = most.min(axis=1)
-                for i in np.flatnonzero(np.isfinite(bound)):
-                    near = np.flatnonzero(least[i] <= bound[i])
-                    exact = ((mu[at + i] - nu[near]) ** 2).sum(axis=1) * (n[at + i] * m[near]) / (n[at + i] + m[near])
-                    order = _pair_order(np.full(len(near), ids[at + i]), others[near])
-                    best = np.lexsort((order, exact))[0]
-                    out.append((int(ids[at + i]), int(others[near[best]]), float(exact[best]), int(order[best])))
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cid", "other", "cost", "pair"])
+        ids, others = left["cid"].to_numpy(), right["cid"].to_numpy()
+        cost, pair, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        if len(ids) and len(others):
+            n, mu, m, nu = left["n"].to_numpy(), matrix(left["mu"]), right["n"].to_numpy(), matrix(right["mu"])
+            order = np.argsort(others)
+            at = order[np.minimum(np.searchsorted(others, ids, sorter=order), len(others) - 1)]
+            own = np.where(others[at] == ids, at, -1)
+            for top in range(0, len(ids), TILE[0]):
+                for first in range(0, len(others), TILE[1]):
+                    _nearer(slice(top, top + TILE[0]), slice(first, first + TILE[1]), ids, n, mu, others, m, nu, own, cost, pair, other)
+        known = np.isfinite(cost)
+        return pa.table({"cid": ids[known], "other": other[known], "cost": cost[known], "pair": pair[known]})
 
     left = dealt(seekers, "r", rows, "c", columns).groupBy("r", "c")
     right = dealt(nodes, "c", columns, "r", rows).groupBy("r", "c")

@@ -42,3 +42,21 @@ def test_ties_settle(spark):
 def test_no_rows(spark):
     points = spark.createDataFrame([], "id bigint, features array<double>")
     assert cluster.ward_fit(points, [2]).count() == 0
+
+
+def test_blocks_grow_and_not_their_number(spark, monkeypatch):
+    """A row is sent as often at twice the rows, and tiles of any size find the same nearest nodes."""
+    monkeypatch.setattr(ward, "TILE", (32, 50))
+    monkeypatch.setattr(ward, "PAIRS", 64)
+    pick = np.random.default_rng(5)
+    for rows in (600, 1200):
+        x, n = pick.integers(0, 5, (rows, 4)).astype(float) + 1e6, pick.integers(1, 4, rows).astype(float)
+        nodes = _summary(spark, x, n)
+        found = ward._nearest(nodes, nodes, rows, rows, 40)
+        sent = found._jdf.queryExecution().analyzed().toString()
+        assert sent.count("explode(sequence(0, ") == sent.count(f"explode(sequence(0, {ward.BLOCKS - 1},") == 2
+        cost = ((x[:, None] - x[None]) ** 2).sum(-1) * (n[:, None] * n) / (n[:, None] + n)
+        np.fill_diagonal(cost, np.inf)
+        got = {r.cid: r for r in found.collect()}
+        assert [got[i].cost for i in range(rows)] == cost.min(axis=1).tolist()
+        assert all(cost[i, r.other] == r.cost for i, r in got.items())
