@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.operators.dense import matrix
+from kohorta.operators.dense import exact_squares, matrix, rough_squares
 from kohorta.operators.density import NOISE, connected_components
 from kohorta.plans.skew import spread_join
 from kohorta.session import written
 
-#: Cells with more distinct points than this are cut, into at most ``FANOUT`` cells.
-CELL_POINTS = 1024
+#: Cells with more distinct points than this are cut, into at most ``FANOUT`` cells, and no more of them
+#: than twice what would hold the points. A point that no bound rules out is sent to each cell it may be near.
+CELL_POINTS = 8192
 FANOUT = 64
 #: Points that meet the pivots, cells or points of one cell in a group.
 ROOM_POINTS = 2048
@@ -50,6 +51,17 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances that the true ones are not below and not above, from a product."""
+    rounding = 4.0 * (x.shape[1] + 8) * 2.0**-53
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    d2 = (-2.0 * x) @ y.T
+    d2 += xx[:, None]
+    d2 += yy
+    off = (rounding * (xx + yy.max(initial=0.0)))[:, None]
+    return np.sqrt(np.maximum(d2 - off, 0.0)), np.sqrt(np.maximum(d2 + off, 0.0))
+
+
 def _meet(many: DataFrame, few: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn`` on up to about ``ROOM_POINTS`` rows of a node in ``many`` and all rows of that node in ``few``.
 
@@ -114,7 +126,8 @@ class _Tree:
         level = len(self.levels)
         hashed = F.abs(F.xxhash64(F.lit(level), "id") % F.col("n"))
         drawn = large.where(hashed < 2 * FANOUT).withColumn("h", F.xxhash64(F.lit(level), F.lit(1), "id"))
-        lists = drawn.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "id", "v"))), 1, FANOUT).alias("pivots"))
+        fan = F.least(F.lit(FANOUT), F.ceil(2 * F.first("n") / F.lit(CELL_POINTS)).cast("int"))
+        lists = drawn.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "id", "v"))), F.lit(1), fan).alias("pivots"))
         pivots = lists.select("node", F.posexplode("pivots").alias("child", "pivot")).select("node", "child", F.col("pivot.v").alias("v"))
         schema = f"node string, parent string, id {self.id_type}, w bigint, v array<double>, dense string, r double"
         dealt = written(_meet(large.drop("n"), written(pivots, "metric-pivots"), _deal, schema), "metric-dealt")
@@ -132,7 +145,7 @@ class _Tree:
         """(node, id, v, reach, d, inside): leaves that may hold points within ``reach`` of a searcher.
 
         ``searchers`` are (node, id, v, reach) with the root of their block as node. ``d`` is the distance
-        of the leaf's pivot, ``inside`` says that the whole leaf is within reach.
+        of the leaf's pivot, or a little more, ``inside`` says that the whole leaf is within reach.
         """
         schema = f"node string, id {self.id_type}, v array<double>, reach double, d double, inside boolean"
         front = searchers.withColumn("d", F.lit(None).cast("double")).withColumn("inside", F.lit(False))
@@ -159,11 +172,11 @@ def _descend(searchers: pa.Table, cells: pa.Table) -> pa.Table:
         q = c = np.empty(0, np.int64)
         d = inside = np.empty((0, 0))
     else:
-        d = np.sqrt(_squares(_rows(searchers["v"]), _rows(cells["v"])))
+        least, d = _bounds(_rows(searchers["v"]), _rows(cells["v"]))
         reach, radius = np.asarray(searchers["reach"])[:, None], np.asarray(cells["radius"])[None]
         bound = np.minimum(radius + reach, d.min(axis=1)[:, None] + 2 * reach)
         inside = d + radius <= reach * (1 - SLACK)
-        q, c = np.nonzero(d <= bound * (1 + SLACK))
+        q, c = np.nonzero(least <= bound * (1 + SLACK))
     return pa.table(
         {
             "node": cells["child"].take(c),
@@ -177,14 +190,28 @@ def _descend(searchers: pa.Table, cells: pa.Table) -> pa.Table:
 
 
 def _near(searchers: pa.Table, homes: pa.Table, eps: float) -> np.ndarray:
+    """Which points are within ``eps``: by rough distances where they decide, by differences elsewhere."""
+    near = np.zeros((len(searchers), len(homes)), bool)
     if not len(searchers) or not len(homes):
-        return np.zeros((len(searchers), len(homes)), bool)
-    return _squares(_rows(searchers["v"]), _rows(homes["v"])) <= eps * eps
+        return near
+    x, y = _rows(searchers["v"]), _rows(homes["v"])
+    step = max(1, BLOCK_VALUES // len(y))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        d2, off, unit = rough_squares(part, y)
+        limit = eps * eps / unit
+        # The limit itself is rounded when it is compared.
+        low, high = (((limit + s * off.astype(float)) * (1 + s * 1e-6)).astype(np.float32)[:, None] for s in (-1, 1))
+        near[at : at + step] = d2 < low
+        i, j = np.nonzero((d2 >= low) & (d2 <= high))
+        near[at + i, j] = exact_squares(part, y, i, j, BLOCK_VALUES) <= eps * eps
+    return near
 
 
 def _around(eps: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(searchers: pa.Table, homes: pa.Table) -> pa.Table:
-        weight = _near(searchers, homes, eps) @ np.asarray(homes["w"], np.int64) if len(homes) else np.zeros(len(searchers), np.int64)
+        near, w = _near(searchers, homes, eps), np.asarray(homes["w"], np.int64)
+        weight = np.concatenate([near[at : at + 256] @ w for at in range(0, len(near), 256)] or [np.zeros(0, np.int64)])
         return pa.table({"id": searchers["id"], "around": pa.array(weight, pa.int64())})
 
     return run
@@ -195,23 +222,27 @@ def _links(eps: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def run(searchers: pa.Table, homes: pa.Table) -> pa.Table:
         near = _near(searchers, homes, eps)
-        ids, names = searchers["id"].to_pylist(), homes["label"].to_pylist()
-        parent: dict = {}
-
-        def root(i):
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        kept = []
-        for q, h in zip(*np.nonzero(near)):
-            x, y = root(ids[q]), root(names[h])
-            if x != y:
-                parent[y] = x
-                kept.append((ids[q], names[h]))
-        kind = searchers.schema.field("id").type
-        return pa.table({"a": pa.array([a for a, _ in kept], kind), "b": pa.array([b for _, b in kept], kind)})
+        new, free = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in np.flatnonzero(near.any(axis=1)):
+            if not new[start]:
+                continue
+            front = np.array([start])
+            while len(front):  # a spanning tree, in turn by searchers and by homes
+                new[front] = False
+                places = np.flatnonzero(free)
+                reached = near[np.ix_(front, places)]
+                at = np.flatnonzero(reached.any(axis=0))
+                found = places[at]
+                pairs.append((front[reached[:, at].argmax(axis=0)], found))
+                free[found] = False
+                others = np.flatnonzero(new)
+                reached = near[np.ix_(others, found)]
+                at = np.flatnonzero(reached.any(axis=1))
+                front = others[at]
+                pairs.append((front, found[reached[at].argmax(axis=1)] if len(at) else front))
+        q, h = (np.concatenate([p[side] for p in pairs] or [np.empty(0, np.int64)]) for side in (0, 1))
+        return pa.table({"a": searchers["id"].take(q), "b": homes["label"].take(h)})
 
     return run
 

@@ -1,6 +1,7 @@
 """DBSCAN by distances, against brute force in many dimensions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,40 @@ def test_odd_rows(table):
     got = {r["id"]: r["cluster"] for r in metric.dbscan_metric(table(rows, SCHEMA), "v", 0.1, 2).collect()}
     assert got == {1: 1, 2: 1, 3: -1, 4: -1, 5: -1, 6: -1}
     assert metric.dbscan_metric(table(rows, SCHEMA).where("false"), "v", 0.1, 2).count() == 0
+
+
+def test_rough_distances_and_links(table, monkeypatch):
+    """Far from the origin and at the very radius, points are near as differences say; links span what is near."""
+    monkeypatch.setattr(metric, "BLOCK_VALUES", 500)
+    rng = np.random.default_rng(8)
+    for shift, scale in ((0.0, 1.0), (1e6, 1.0), (0.0, 1e-20), (0.0, 1e25)):
+        x = (rng.integers(0, 3, (90, 6)) + shift) * scale
+        eps = 2.0 * scale
+        left, right = (pa.table({"id": list(range(len(v))), "label": [1000 + i for i in range(len(v))], "v": v.tolist()}) for v in (x[:40], x[40:]))
+        near = metric._squares(x[:40], x[40:]) <= eps * eps
+        assert (metric._near(left, right, eps) == near).all()
+        links = metric._links(eps)(left, right)
+        pairs = list(zip(links["a"].to_pylist(), links["b"].to_pylist()))
+        assert all(near[a, b - 1000] for a, b in pairs) and len(set(pairs)) == len(pairs) < near.sum()
+        group = {**{i: i for i in range(40)}, **{1000 + i: 1000 + i for i in range(50)}}
+
+        def root(i):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for a, b in pairs:
+            assert root(a) != root(b)
+            group[root(b)] = root(a)
+        assert all(root(a) == root(1000 + b) for a, b in zip(*np.nonzero(near)))
+
+
+def test_no_more_cells_than_the_points_need(table, monkeypatch):
+    """Where no bound rules anything out, a point is sent to each cell, so these are few."""
+    monkeypatch.setattr(metric, "CELL_POINTS", 100)
+    x = np.random.default_rng(9).normal(0, 1, (300, 32))
+    points = table([(i, r.tolist(), 0) for i, r in enumerate(x)], SCHEMA).select(F.lit("").alias("node"), "id", "v", F.lit(1).cast("long").alias("w"))
+    tree = metric._Tree(points, 7.0, 5)
+    assert tree.levels[0].count() <= 6
+    searchers = points.select("node", "id", "v", F.lit(7.0).alias("reach"))
+    assert tree.search(searchers).count() <= 300 * tree.homes.select("node").distinct().count() <= 300 * 20
