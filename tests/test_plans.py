@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from kohorta.operators import longitudinal
 from kohorta.plans.queries import QUERIES
 
 SF = os.environ.get("KOHORTA_TEST_SF", "/root/testdata/sf0.001")
@@ -44,3 +45,12 @@ def test_literal_catalog_is_broadcast_by_size(spark):
 def test_cohort_needs_no_window_or_self_join(spark):
     text = plan(spark, "cohort_select")
     assert "Window" not in text and "Join" not in text
+
+
+def test_shifted_labels_read_the_diagnoses_once(spark, table, rows):
+    plan = QUERIES["label_shift_union"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 3
+    dx = table([("a", 1, 4, "X"), ("a", 2, 5, "X"), ("a", 2, 5, "Y"), ("b", 3, None, "X"), (None, 4, 1, "X")], "p_id STRING, visit_idx INT, age INT, code STRING")
+    name = longitudinal.LABEL_PREFIX + "X"
+    want = [("a", 3, name), ("a", 4, name), ("a", 5, name), ("b", None, name), (None, 0, name), (None, 1, name)]
+    assert rows(longitudinal.shifted_targets(dx, ["X"])) == want
