@@ -24,8 +24,13 @@ from kohorta.operators.cluster import fit_labels, matrix, squared_distances, swe
 from kohorta.plans.skew import small_table, spread_join
 from kohorta.session import literal_table, written
 
-#: Rows a task of the exact silhouette holds.
+#: Least rows that a task of the exact silhouette holds, if there are as many.
 BLOCK_ROWS = 4096
+#: Blocks of rows for the exact silhouette, unless they would have more than MOST_ROWS.
+BLOCKS = 32
+MOST_ROWS = 131_072
+#: Rows whose distances to as many others a task of the exact silhouette holds.
+TILE = 512
 #: Cells that stand for rows in the bounded silhouette, unless the caller names another number.
 CELLS = 400
 #: Centroid tables up to this size are broadcast, and larger ones are read in blocks of this size.
@@ -202,10 +207,12 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
 
     Copies are collapsed first, which is exact and takes most rows of flag-like features away. The
     distinct rows are cut into blocks; a task holds one block and streams all rows past it, keeping
-    only the distance sums to each cluster. The work is quadratic in distinct rows by definition;
-    ``silhouette_squared`` is the linear index for larger tables.
+    only the distance sums to each cluster. Blocks grow with the table, not their number, up to what a
+    task can hold, so rows are sent a bounded number of times. The work is quadratic in distinct rows by
+    definition; ``silhouette_squared`` is the linear index for larger tables.
     """
-    distinct = points.groupBy("features", "labels").agg(F.min("id").alias("id"), F.count("*").alias("w"))
+    # Read three times below.
+    distinct = written(points.groupBy("features", "labels").agg(F.min("id").alias("id"), F.count("*").alias("w")), "silhouette-rows")
     size_rows = (
         points.select(F.posexplode("labels").alias("m", "cluster"))
         .groupBy("m", "cluster")
@@ -216,7 +223,10 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
     sizes = [{r["cluster"]: r["n"] for r in size_rows if r["m"] == m} for m in range(n_models)]
     codes = [np.array(sorted(s)) for s in sizes]
     counts = [np.array([s[c] for c in code], dtype=float) for s, code in zip(sizes, codes)]
-    blocks = max(1, math.ceil(distinct.count() / BLOCK_ROWS))
+    # The clusters of all models side by side, a column of distance sums each.
+    first = np.concatenate([[0], np.cumsum([len(code) for code in codes])]).astype(int)
+    count = distinct.count()
+    blocks = max(1, min(BLOCKS, math.ceil(count / BLOCK_ROWS)), math.ceil(count / max(BLOCK_ROWS, MOST_ROWS)))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own, held, sums = None, [], None, None
@@ -225,7 +235,7 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
             columns = []
             for m, code in enumerate(codes):
                 at = np.searchsorted(code, held["labels"][:, m])
-                total, n = sums[m], counts[m]
+                total, n = sums[:, first[m] : first[m + 1]], counts[m]
                 rows = np.arange(len(at))
                 inside = total[rows, at] / np.maximum(n[at] - 1, 1)
                 mean = total / n
@@ -243,19 +253,21 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
         def hold():
             x = np.concatenate([o[1] for o in own])
             labels = np.concatenate([o[2] for o in own])
-            return {"ids": [o[0] for o in own], "x": x, "labels": labels}, [
-                np.zeros((len(x), len(code))) for code in codes
-            ]
+            # A product with these and (y, 1, |y|^2) is the squared distance.
+            turned = np.concatenate([-2.0 * x, (x * x).sum(axis=1)[:, None], np.ones((len(x), 1))], axis=1)
+            return {"ids": [o[0] for o in own], "turned": turned, "labels": labels}, np.zeros((len(x), first[-1]))
 
         def add(x, labels, w):
-            for start in range(0, len(x), 1024):
-                part = slice(start, start + 1024)
-                d = np.sqrt(squared_distances(held["x"], x[part])) * w[part][None, :]
+            for start in range(0, len(x), TILE):
+                part = slice(start, start + TILE)
+                y = np.concatenate([x[part], np.ones((len(x[part]), 1)), (x[part] * x[part]).sum(axis=1)[:, None]], axis=1).T
+                member = np.zeros((y.shape[1], first[-1]))
                 for m, code in enumerate(codes):
-                    at = np.searchsorted(code, labels[part, m])
-                    member = np.zeros((d.shape[1], len(code)))
-                    member[np.arange(d.shape[1]), at] = 1.0
-                    sums[m] += d @ member
+                    member[np.arange(len(member)), first[m] + np.searchsorted(code, labels[part, m])] = w[part]
+                for top in range(0, len(sums), TILE):
+                    d = held["turned"][top : top + TILE] @ y
+                    np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+                    sums[top : top + TILE] += d @ member
 
         def streamed(part):
             return matrix(part.column("features")), matrix(part.column("labels")), np.asarray(part.column("w"), dtype=float)
@@ -295,7 +307,7 @@ def _exact(points: DataFrame, n_models: int) -> DataFrame:
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumn("guest", (F.col("home") != F.col("block")).cast("int"))
         .select("block", "guest", "id", "features", "labels", "w")
-        .repartition(blocks, "block")
+        .repartition(8 * blocks, "block")  # more than blocks, so that few of these share a task
         .sortWithinPartitions("block", "guest")
     )
     id_type = points.schema["id"].dataType.simpleString()

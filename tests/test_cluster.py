@@ -46,6 +46,18 @@ def test_silhouette_against_brute_force(table, monkeypatch):
     assert abs(mean - expected.mean()) < 1e-6
 
 
+def test_silhouette_blocks_grow_and_not_their_number(table, monkeypatch):
+    monkeypatch.setattr(validity, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(validity, "BLOCKS", 3)
+    monkeypatch.setattr(validity, "TILE", 7)
+    x = blobs(per=20)
+    labels = np.arange(len(x)) % 3
+    scored = validity._exact(frame(table, x, labels), 1)
+    assert "explode(sequence(0, 2," in scored._jdf.queryExecution().analyzed().toString()
+    got = {r["id"]: r["s"][0] for r in scored.collect()}
+    assert np.allclose([got[i] for i in range(len(x))], brute_silhouette(x, labels), atol=1e-6)
+
+
 def test_indices_with_large_centroid_tables(table, monkeypatch):
     x = blobs()
     points = frame(table, x, np.repeat([0, 1, 2], 60))
