@@ -121,11 +121,11 @@ def _lloyd_pass(chunks: DataFrame, models: Models, fan: int = 1) -> dict[tuple[i
         at, place = {}, 0
         for key in keys:
             at[key], place = place, place + sizes[key]
-        by_group: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+        by_group: dict[int, tuple[list, slice, np.ndarray, np.ndarray]] = {}
         for g in {g for g, _ in keys}:
             mine = [key for key in keys if key[0] == g]
             centers = np.concatenate([own[key] for key in mine])
-            by_group[g] = (mine, centers, (centers * centers).sum(axis=1))
+            by_group[g] = (mine, slice(at[mine[0]], at[mine[0]] + len(centers)), -2.0 * centers, (centers * centers).sum(axis=1)[:, None])
         read = False
         for batch in batches:
             for g, data in zip(batch.column("grp").to_pylist(), batch.column("data")):
@@ -133,22 +133,25 @@ def _lloyd_pass(chunks: DataFrame, models: Models, fan: int = 1) -> dict[tuple[i
                     continue
                 read = True
                 x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, dims)
-                mine, centers, squares = by_group[g]
+                mine, places, turned, squares = by_group[g]
                 norms = (x * x).sum(axis=1)
-                away = squares - 2.0 * (x @ centers.T)
-                first = 0
+                away = turned @ x.T
+                away += squares
+                # One row per center of all models; a column of a model marks its nearest one.
+                member, part, first = np.empty(away.shape), sums[places], 0
                 for key in mine:
-                    k = sizes[key]
-                    near = away[:, first : first + k]
-                    label = near.argmin(axis=1)
-                    rows = np.arange(len(x))
-                    member = np.zeros((k, len(x)))
-                    member[label, rows] = 1.0
-                    part = sums[at[key] : at[key] + k]
-                    part[:, 0] += member.sum(axis=1)
-                    part[:, 1] += np.bincount(label, np.maximum(near[rows, label] + norms, 0.0), k)
-                    part[:, 2:] += member @ x
-                    first += k
+                    last = first + sizes[key]
+                    near, hit = away[first:last], member[first:last]
+                    least = near.min(axis=0)
+                    np.equal(near, least, out=hit)
+                    if hit.sum() != len(x):  # equally near centers: the first one counts
+                        hit[:] = 0.0
+                        hit[near.argmin(axis=0), np.arange(len(x))] = 1.0
+                    least += norms
+                    part[first:last, 1] += hit @ np.maximum(least, 0.0, out=least)
+                    first = last
+                part[:, 0] += member.sum(axis=1)
+                part[:, 2:] += member @ x
         if read:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["task", "sums"])

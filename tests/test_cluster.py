@@ -87,6 +87,24 @@ def test_sweep_does_not_depend_on_partitions(table):
     assert all(abs(one[key] - many[key]) < 1e-6 for key in one)
 
 
+def test_a_pass_counts_the_first_of_equal_centers(spark):
+    """Sizes, costs and sums of every model and group, as from all distances, with ties and repeated centers."""
+    pick = np.random.default_rng(6)
+    x, grp = pick.integers(0, 3, (500, 3)).astype(float), pick.integers(0, 2, 500)
+    points = spark.createDataFrame([(v.tolist(), int(g)) for v, g in zip(x, grp)], "features array<double>, grp int")
+    models = {(g, k): x[pick.integers(0, 500, k)] for g in (0, 1) for k in (1, 2, 7)}
+    models[(1, 4)] = np.repeat(x[:2], 2, axis=0)
+    found = cluster._lloyd_pass(cluster._chunks(points), models)
+    assert set(found) == set(models)
+    for (g, k), (n, cost, total) in found.items():
+        own = x[grp == g]
+        d2 = ((own[:, None] - models[(g, k)][None]) ** 2).sum(-1)
+        label = d2.argmin(axis=1)
+        assert n.tolist() == np.bincount(label, minlength=k).tolist()
+        assert np.allclose(cost, np.bincount(label, d2.min(axis=1), k))
+        assert np.allclose(total, [own[label == c].sum(axis=0) for c in range(k)])
+
+
 def test_sweep_seeds_small_groups(spark):
     grp = F.when(F.col("id") < 5, 1).otherwise(0)
     points = spark.range(5005).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("features"), grp.alias("grp"))
