@@ -49,6 +49,25 @@ def rough_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return d2, (off * (1 + 1e-6) + 1e-30).astype(np.float32), unit
 
 
+def rough_sides(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(u, v, unit): a value of u @ v.T is at most the squared distance of two rows over ``unit``.
+
+    As :func:`rough_squares`, less what these may be off by, with the sums of squares in the product.
+    """
+    dims, middle = x.shape[1], y.mean(axis=0)
+    far = (x * x).sum(axis=1) + (y * y).sum(axis=1).max()
+    x, y = x - middle, y - middle
+    _, power = np.frexp(max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)))
+    x, y, unit = np.ldexp(x, -power), np.ldexp(y, -power), float(np.ldexp(1.0, 2 * int(power)))
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    rounding = 4.0 * (dims + 8)
+    off = rounding * 2.0**-24 * (xx + yy.max()) + rounding * 2.0**-53 * far / unit
+    off = off * (1 + 1e-6) + 1e-30
+    u = np.concatenate([-2.0 * x, (xx - off)[:, None], np.ones((len(x), 1))], axis=1)
+    v = np.concatenate([y, np.ones((len(y), 1)), yy[:, None]], axis=1)
+    return u.astype(np.float32), v.astype(np.float32), unit
+
+
 def exact_squares(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, values: int = 4_000_000) -> np.ndarray:
     """Squared distances of the rows x[i] and y[j] from differences, at most ``values`` of them held at a time."""
     out, step = np.empty(len(i)), max(1, values // max(1, x.shape[1]))

@@ -4,9 +4,9 @@ Ward's distance is reducible: merging two clusters brings neither closer to a th
 them was. So all pairs that are each other's nearest neighbour may merge at once, in any round, and the
 hierarchy is the one that merges the closest pair at a time. A round finds the nearest neighbours of the
 clusters that lost theirs, block against block, and merges every reciprocal pair; about a third of the
-clusters goes in each. The last few hundred clusters are merged on the driver, which holds a bounded
-number of them. A cut into k clusters takes back the k - 1 highest merges, and its clusters are the
-connected components of the others.
+clusters goes in each. Once a task can hold the clusters that are left, a bounded number of them, it goes
+through the other rounds by itself. A cut into k clusters takes back the k - 1 highest merges, and the others
+lead every cluster to the one that stands for it.
 
 Ties go by a hash of the pair, so that many pairs of equal distance are reciprocal at once.
 """
@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from kohorta.operators.density import connected_components
-from kohorta.operators.dense import exact_squares, matrix, rough_squares, squared_distances
+from kohorta.operators.dense import exact_squares, matrix, rough_sides, squared_distances
 from kohorta.session import literal_table, written
 
 #: Least clusters of a block that is compared with another block in one task.
@@ -31,12 +31,12 @@ BLOCK_CLUSTERS = 2_048
 BLOCKS = 8
 MOST_CLUSTERS = 131_072
 #: Seekers and nodes whose rough costs a task holds at a time, and pairs that it measures at a time.
-TILE = (1024, 4096)
+TILE = (1024, 1024)
 PAIRS = 1 << 20
-#: Clusters that the driver merges in the end.
+#: Clusters whose rounds one task goes through, and those that it merges a pair at a time in the end.
+TASK_CLUSTERS = 32_768
 LAST_CLUSTERS = 500
 
-NODE = "cid bigint, n double, mu array<double>, height double"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,115 +91,269 @@ def _blocks(count: int, block: int) -> int:
     return max(1, min(BLOCKS, math.ceil(count / block)), math.ceil(count / max(block, MOST_CLUSTERS)))
 
 
-def _nearer(
-    rows: slice, columns: slice, ids: np.ndarray, n: np.ndarray, mu: np.ndarray, others: np.ndarray, m: np.ndarray, nu: np.ndarray,
-    own: np.ndarray, cost: np.ndarray, pair: np.ndarray, other: np.ndarray,
-) -> None:
-    """Bring ``cost``, ``pair`` and ``other`` of some seekers up to date with some nodes.
+class _Nodes(NamedTuple):
+    """Clusters of a block, those that seek first: ids, sizes, means; how many seek."""
 
-    Rough costs, less what they may be off by, leave out what cannot be the nearest; the rest is measured.
-    ``own`` is a seeker's place among the nodes, or -1.
-    """
-    x, y, shift, to = mu[rows], nu[columns], rows.start, columns.start
-
-    def measured(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return exact_squares(x, y, i, j) * (n[shift + i] * m[to + j]) / (n[shift + i] + m[to + j])
-
-    least, off, unit = rough_squares(x, y)
-    least -= off[:, None]
-    least /= (1 / n[rows]).astype(np.float32)[:, None] + (1 / m[columns]).astype(np.float32)
-    here = np.flatnonzero((own[rows] >= to) & (own[rows] < to + len(y)))
-    least[here, own[rows][here] - to] = np.inf
-    i, j = np.arange(len(x)), least.argmin(axis=1)
-    some = np.isfinite(least[i, j])
-    bound = cost[rows].copy()
-    bound[some] = np.minimum(bound[some], measured(i[some], j[some]))
-    limit = np.where(some, bound / unit * (1 + 1e-6), -np.inf).astype(np.float32)
-    i, j = np.nonzero(least <= np.nextafter(limit, np.float32(np.inf))[:, None])
-    # A tie of many nodes may leave any number of pairs, so some go at a time.
-    for at in range(0, len(i), PAIRS):
-        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
-        exact, order = measured(p, q), _pair_order(ids[shift + p], others[to + q])
-        by = np.lexsort((order, exact, p))
-        by = by[np.flatnonzero(np.diff(p[by], prepend=-1))]
-        seek = shift + p[by]
-        better = (exact[by] < cost[seek]) | ((exact[by] == cost[seek]) & (order[by] < pair[seek]))
+    ids: np.ndarray
+    n: np.ndarray
+    mu: np.ndarray
+    seeking: int
+
+    @classmethod
+    def ordered(cls, ids: np.ndarray, n: np.ndarray, mu: np.ndarray, seek: np.ndarray) -> _Nodes:
+        """By size, so that those of a tile are of about the same."""
+        by = np.lexsort((ids, n, ~seek))
+        return cls(ids[by], n[by], mu[by], int(seek.sum()))
+
+
+class _Near(NamedTuple):
+    """The nearest node known of each seeker: cost, order of the pair, id."""
+
+    cost: np.ndarray
+    pair: np.ndarray
+    other: np.ndarray
+
+    @classmethod
+    def unknown(cls, count: int) -> _Near:
+        return cls(np.full(count, np.inf), np.zeros(count, np.int64), np.zeros(count, np.int64))
+
+    def offer(self, at: np.ndarray, cost: np.ndarray, pair: np.ndarray, other: np.ndarray) -> None:
+        """Take what is nearer than the known one; ``at`` may repeat."""
+        some = np.flatnonzero(cost <= self.cost[at])
+        by = some[np.lexsort((pair[some], cost[some], at[some]))]
+        by = by[np.flatnonzero(np.diff(at[by], prepend=-1))]
+        seek = at[by]
+        better = (cost[by] < self.cost[seek]) | (pair[by] < self.pair[seek])
         seek, by = seek[better], by[better]
-        cost[seek], pair[seek], other[seek] = exact[by], order[by], others[to + q[by]]
+        self.cost[seek], self.pair[seek], self.other[seek] = cost[by], pair[by], other[by]
+
+
+def _meet(a: _Nodes, b: _Nodes, near_a: _Near, near_b: _Near) -> None:
+    """Bring the nearest nodes of the seekers of two blocks up to date with each other's nodes.
+
+    All nodes of ``a`` seek. Each pair is measured once for both. Rough costs, less what they may be off by, leave
+    out what cannot be the nearest; the rest is measured from differences. If the seekers of ``b`` are ``a``,
+    ``near_b`` is to share its memory with ``near_a``.
+    """
+    if not len(a.ids) or not len(b.ids):
+        return
+    order = np.argsort(b.ids)
+    own = order[np.minimum(np.searchsorted(b.ids, a.ids, sorter=order), len(b.ids) - 1)]
+    own[b.ids[own] != a.ids] = -1
+    same = b.seeking == len(a.ids) and bool((own == np.arange(len(own))).all())
+    x, y, unit = rough_sides(a.mu, b.mu)
+    u, w = 1 / a.n, 1 / b.n
+
+    def limits(cost: np.ndarray, widest: np.ndarray) -> np.ndarray:
+        return np.nextafter((cost * widest / unit * (1 + 1e-6)).astype(np.float32), np.float32(np.inf))
+
+    for top in range(0, len(a.ids), TILE[0]):
+        rows = slice(top, min(top + TILE[0], len(a.ids)))
+        for first in range(0, len(b.ids), TILE[1]):
+            columns = slice(first, min(first + TILE[1], len(b.ids)))
+            if same and columns.stop <= top:
+                continue  # met as rows
+            least = x[rows] @ y[columns].T
+            here = np.flatnonzero((own[rows] >= first) & (own[rows] < columns.stop))
+            least[here, own[rows][here] - first] = np.inf
+
+            def measure(i: np.ndarray, j: np.ndarray, top: int = top, first: int = first) -> None:
+                # A tie of many nodes may leave any number of pairs, so some go at a time.
+                for at in range(0, len(i), PAIRS):
+                    p, q = top + i[at : at + PAIRS], first + j[at : at + PAIRS]
+                    cost = exact_squares(a.mu, b.mu, p, q) * (a.n[p] * b.n[q]) / (a.n[p] + b.n[q])
+                    pair = _pair_order(a.ids[p], b.ids[q])
+                    near_a.offer(p, cost, pair, b.ids[q])
+                    back = q < b.seeking
+                    if back.any():
+                        near_b.offer(q[back], cost[back], pair[back], a.ids[p[back]])
+
+            seeking = max(0, min(columns.stop, b.seeking) - first)
+            new = np.flatnonzero(np.isinf(near_a.cost[rows]))
+            if len(new):
+                j = least[new].argmin(axis=1)
+                some = np.isfinite(least[new, j])
+                measure(new[some], j[some])
+            new = np.flatnonzero(np.isinf(near_b.cost[first : first + seeking]))
+            if len(new):
+                i = least[:, new].argmin(axis=0)
+                some = np.isfinite(least[i, new])
+                measure(i[some], new[some])
+            known = np.where(np.isfinite(near_a.cost[rows]), near_a.cost[rows], -np.inf)
+            hit = least <= limits(known, u[rows] + w[columns].max())[:, None]
+            if seeking:
+                back = near_b.cost[first : first + seeking]
+                back = np.where(np.isfinite(back), back, -np.inf)
+                hit[:, :seeking] |= least[:, :seeking] <= limits(back, u[rows].max() + w[first : first + seeking])
+            some = np.flatnonzero(hit.any(axis=1))
+            i, j = np.divmod(np.flatnonzero(hit[some]), hit.shape[1])
+            i = some[i]
+            bound = known[i]
+            if seeking:
+                bound = np.maximum(bound, np.append(back, -np.inf)[np.minimum(j, seeking)])
+            close = least[i, j] <= limits(bound, u[rows][i] + w[columns][j])
+            measure(i[close], j[close])
 
 
 def _nearest(seekers: DataFrame, nodes: DataFrame, n_seekers: int, n_nodes: int, block: int) -> DataFrame:
     """(cid, other, cost): the nearest other node of every seeker.
 
-    Seekers and nodes are cut into blocks by a hash, and every two blocks meet in a task; a node is sent
-    as many times as there are blocks of seekers. Blocks grow with the table, not their number, as long
-    as a task can hold two of them.
+    Seekers and nodes are cut into blocks by a hash, packed, and every two blocks meet in a task; a node is sent
+    as many times as there are blocks of seekers. Blocks grow with the table, not their number, as long as a task
+    can hold two of them. Where nodes tell by ``seek`` that most of them are seekers, two blocks of these meet once.
     """
-    rows, columns = _blocks(n_seekers, block), _blocks(n_nodes, block)
+    rows = columns = _blocks(n_nodes, block)
+    sharing = "seek" in nodes.columns and 2 * n_seekers >= n_nodes
+    if 2 * n_seekers < n_nodes:  # fewer blocks of seekers, so that nodes are sent to fewer
+        rows = max(math.ceil(n_seekers / max(block, MOST_CLUSTERS)), round(rows * math.sqrt(n_seekers / n_nodes / 2)), 1)
+
+    def packed(df: DataFrame, count: int) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                home, seek = np.asarray(batch["home"]), batch["seek"].to_numpy(zero_copy_only=False)
+                parts = {"cid": np.asarray(batch["cid"]), "n": np.asarray(batch["n"]), "mu": matrix(batch["mu"])}
+                kinds = [(h, s, np.flatnonzero((home == h) & (seek == s))) for h in np.unique(home) for s in (False, True)]
+                kinds = [k for k in kinds if len(k[2])]
+                yield pa.RecordBatch.from_pydict(
+                    {"home": pa.array([h for h, *_ in kinds], pa.int32()), "seek": pa.array([s for _, s, _ in kinds], pa.bool_())}
+                    | {name: pa.array([part[at].tobytes() for *_, at in kinds], pa.binary()) for name, part in parts.items()}
+                )
 
-    def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
         home = F.pmod(F.xxhash64("cid"), F.lit(count)).cast("int")
-        copies = df.select("cid", "n", "mu", home, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        return copies.toDF("cid", "n", "mu", own, other)  # columns of its own: both sides may be one table
+        return df.select(home.alias("home"), "seek", "cid", "n", "mu").mapInArrow(pack, "home int, seek boolean, cid binary, n binary, mu binary")
+
+    def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+        copies = packed(df, count).select("seek", "cid", "n", "mu", "home", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return copies.toDF("seek", "cid", "n", "mu", own, other)  # columns of its own: both sides may be one table
+
+    def unpacked(side: pa.Table) -> _Nodes:
+        def whole(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(part.as_buffer(), kind) for part in side[name]] or [np.empty(0, kind)])
+
+        ids, n = whole("cid", np.int64), whole("n", np.float64)
+        sizes = [len(part.as_buffer()) // 8 for part in side["cid"]]
+        seek = np.repeat(side["seek"].to_numpy(), sizes).astype(bool)
+        return _Nodes.ordered(ids, n, whole("mu", np.float64).reshape(len(ids), -1 if len(ids) else 0), seek)
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, others = left["cid"].to_numpy(), right["cid"].to_numpy()
-        cost, pair, other = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        if len(ids) and len(others):
-            n, mu, m, nu = left["n"].to_numpy(), matrix(left["mu"]), right["n"].to_numpy(), matrix(right["mu"])
-            order = np.argsort(others)
-            at = order[np.minimum(np.searchsorted(others, ids, sorter=order), len(others) - 1)]
-            own = np.where(others[at] == ids, at, -1)
-            for top in range(0, len(ids), TILE[0]):
-                for first in range(0, len(others), TILE[1]):
-                    _nearer(slice(top, top + TILE[0]), slice(first, first + TILE[1]), ids, n, mu, others, m, nu, own, cost, pair, other)
-        known = np.isfinite(cost)
-        return pa.table({"cid": ids[known], "other": other[known], "cost": cost[known], "pair": pair[known]})
-
-    left = dealt(seekers, "r", rows, "c", columns).groupBy("r", "c")
-    right = dealt(nodes, "c", columns, "r", rows).groupBy("r", "c")
+        a, b = unpacked(left), unpacked(right)
+        near_b = _Near.unknown(b.seeking)
+        if key[0].as_py() == key[1].as_py() and b.seeking:
+            sides = [(a, near_b)]
+            near_a = near_b
+        else:
+            near_a = _Near.unknown(len(a.ids))
+            sides = [(a, near_a), (b, near_b)]
+        _meet(a, b, near_a, near_b)
+        found = {"cid": [], "other": [], "cost": [], "pair": []}
+        for side, near in sides:
+            known = np.isfinite(near.cost)
+            for name, values in (("cid", side.ids[: len(known)]), *near._asdict().items()):
+                found[name].append(values[known])
+        return pa.table({name: np.concatenate(parts) for name, parts in found.items()})
+
+    shared = F.col("seek") if sharing else F.lit(False)
+    left = dealt(seekers.withColumn("seek", F.lit(True)), "r", rows, "c", columns).groupBy("r", "c")
+    right = dealt(nodes.withColumn("seek", shared), "c", columns, "r", rows).where("NOT seek OR r <= c").groupBy("r", "c")
     found = left.cogroup(right).applyInArrow(compare, "cid bigint, other bigint, cost double, pair bigint")
     best = found.groupBy("cid").agg(F.min(F.struct("cost", "pair", "other")).alias("b"))
     return best.select("cid", F.col("b.other").alias("other"), F.col("b.cost").alias("cost"))
 
 
+def _finished(
+    ids: np.ndarray, n: np.ndarray, mu: np.ndarray, height: np.ndarray, other: np.ndarray, cost: np.ndarray, turn: int, last: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, height, turn) of all merges of a bounded number of clusters, by the same rounds.
+
+    ``cost`` is nan where the nearest node, ``other``, is not known.
+    """
+    while len(ids) > max(last, 1):
+        seek = np.isnan(cost)
+        by = np.lexsort((ids, n, ~seek))
+        ids, n, mu, height, other, cost = ids[by], n[by], mu[by], height[by], other[by], cost[by]
+        near = _Near.unknown(seeking := int(seek.sum()))
+        _meet(_Nodes(ids[:seeking], n[:seeking], mu[:seeking], seeking), _Nodes(ids, n, mu, seeking), near, near)
+        other[:seeking], cost[:seeking] = near.other, near.cost
+        order = np.argsort(ids)
+        at = order[np.searchsorted(ids, other, sorter=order)]
+        mutual = other[at] == ids
+        i = np.flatnonzero(mutual & (ids < other))
+        j = at[i]
+        both = n[i] + n[j]
+        mean = (n[i][:, None] * mu[i] + n[j][:, None] * mu[j]) / both[:, None]
+        top = np.maximum(cost[i], np.maximum(height[i], height[j]))
+        yield ids[i], ids[j], top, np.full(len(i), turn)
+        stays = ~mutual
+        left = np.where(mutual[at], np.nan, cost)
+        ids, n, mu, height, other, cost = (
+            np.concatenate([old[stays], fresh])
+            for old, fresh in ((ids, ids[i]), (n, both), (mu, mean), (height, top), (other, other[i]), (left, np.full(len(i), np.nan)))
+        )
+        turn += 1
+    by = np.argsort(ids)
+    ids, top = ids[by], height[by].tolist()
+    for k, (i, j, step) in enumerate(merge_steps(n[by], mu[by]) if len(ids) > 1 else ()):
+        top[i] = max(step, top[i], top[j])
+        yield ids[[i]], ids[[j]], np.array([top[i]]), np.array([turn + k])
+
+
 def ward_hierarchy(summary: DataFrame, block: int = BLOCK_CLUSTERS, last: int = LAST_CLUSTERS) -> DataFrame:
     """(a, b, height, turn): all merges of the clusters (cid, n, mu); a < b, and a stands for both then.
 
     A merge is at least as high as those below it. Clusters need distinct ids.
     """
-    spark = summary.sparkSession
     merge = "a bigint, b bigint, height double, turn int"
-    nodes = written(summary.select(F.col("cid").cast("bigint"), F.col("n").cast("double"), "mu", F.lit(0.0).alias("height")), "ward-nodes")
+    first = [F.lit(0.0).alias("height"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("cost")]
+    nodes = written(summary.select(F.col("cid").cast("bigint"), F.col("n").cast("double"), "mu", *first), "ward-nodes")
     count, turn = nodes.count(), 0
     merges = None
-    seekers, known = nodes, None
-    while count > max(last, 1):
-        found = _nearest(seekers, nodes, seekers.count(), count, block)
-        near = written(found if known is None else known.unionByName(found), "ward-nearest")
-        back = near.select(F.col("cid").alias("other"), F.col("other").alias("cid"))
-        pairs = near.join(back, ["cid", "other"]).where("cid < other").select(F.col("cid").alias("a"), F.col("other").alias("b"), "cost")
-        sides = [nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "mu", "height")]) for s in "ab"]
-        met = pairs.join(sides[0], F.col("a") == F.col("cid_a")).join(sides[1], F.col("b") == F.col("cid_b"))
+    while count > max(last, TASK_CLUSTERS, 1):
+        known = nodes.where("other IS NOT NULL").select("cid", "other", "cost")
+        seekers = nodes.where("other IS NULL")
+        found = _nearest(seekers, nodes.withColumn("seek", F.col("other").isNull()), seekers.count(), count, block)
+        near = written(found.unionByName(known), "ward-nearest")
+        # A node merges if the nearest of its nearest is itself, and seeks again if its nearest merges with another.
+        beyond = [near.select(F.col("cid").alias(f"cid{i}"), F.col("other").alias(f"other{i}")) for i in (1, 2)]
+        chain = near.join(beyond[0], F.col("other") == F.col("cid1")).join(beyond[1], F.col("other1") == F.col("cid2"))
+        state = chain.select(
+            "cid",
+            F.when(F.col("other1") == F.col("cid"), F.least("cid", "other")).alias("into"),
+            F.when((F.col("other1") == F.col("cid")) | (F.col("other2") != F.col("other")), F.col("other")).alias("other"),
+            "cost",
+        )
+        tagged = written(nodes.drop("other", "cost").join(state, "cid"), "ward-tagged")
+        sides = [
+            tagged.where(where).select("into", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "mu", "height", "cost")])
+            for s, where in (("a", "into = cid"), ("b", "into <> cid"))
+        ]
         both = F.col("n_a") + F.col("n_b")
         mean = F.zip_with("mu_a", "mu_b", lambda x, y: (F.col("n_a") * x + F.col("n_b") * y) / both)
-        met = written(met.select("a", "b", both.alias("n"), mean.alias("mu"), F.greatest("cost", "height_a", "height_b").alias("height")), "ward-pairs")
+        top = F.greatest("cost_a", "height_a", "height_b")
+        met = sides[0].join(sides[1], "into").select(
+            F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("n"), mean.alias("mu"), top.alias("height")
+        )
+        met = written(met, "ward-pairs")
         done = met.select("a", "b", "height", F.lit(turn).alias("turn"))
         merges = done if merges is None else merges.unionByName(done)
-        gone = met.select(F.explode(F.array("a", "b")).alias("gone"))
-        fresh = met.select(F.col("a").alias("cid"), "n", "mu", "height")
-        nodes = written(nodes.join(gone, F.col("cid") == F.col("gone"), "left_anti").unionByName(fresh), "ward-nodes")
-        kept = near.join(gone, F.col("cid") == F.col("gone"), "left_anti")
-        known = written(kept.join(gone, F.col("other") == F.col("gone"), "left_anti"), "ward-known")
-        seekers = nodes.join(known.select("cid"), "cid", "left_anti")
+        stays = tagged.where("into IS NULL").select(
+            "cid", "n", "mu", "height", "other", F.when(F.col("other").isNotNull(), F.col("cost")).alias("cost")
+        )
+        nodes = written(stays.unionByName(met.select(F.col("a").alias("cid"), "n", "mu", "height", *first[1:])), "ward-nodes")
         count, turn = nodes.count(), turn + 1
-    rest = nodes.orderBy("cid").collect()  # at most ``last`` clusters
-    steps, top = [], [r["height"] for r in rest]
-    if len(rest) > 1:
-        for k, (i, j, cost) in enumerate(merge_steps(np.array([r["n"] for r in rest]), np.array([r["mu"] for r in rest]))):
-            top[i] = max(cost, top[i], top[j])
-            steps.append((rest[i]["cid"], rest[j]["cid"], top[i], turn + k))
-    final = literal_table(spark, steps, merge) if steps else spark.createDataFrame([], merge)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [b for b in batches if b.num_rows]
+        if rest:
+            whole = pa.Table.from_batches(rest)
+            ids, n, height = (whole[c].to_numpy() for c in ("cid", "n", "height"))
+            other = whole["other"].fill_null(-1).to_numpy()
+            cost = whole["cost"].fill_null(float("nan")).to_numpy()
+            steps = list(_finished(ids, n, matrix(whole["mu"]), height, other, cost, turn, last))
+            if steps:
+                a, b, top, turns = (np.concatenate(parts) for parts in zip(*steps))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(top), pa.array(turns, pa.int32())], names=["a", "b", "height", "turn"])
+
+    final = nodes.coalesce(1).mapInArrow(finish, merge)  # at most TASK_CLUSTERS or ``last`` rows
     return final if merges is None else merges.unionByName(final)
 
 
@@ -225,7 +379,7 @@ def ward_cuts(summary: DataFrame, ks: Sequence[int], block: int = BLOCK_CLUSTERS
         edges = edges.unionByName(more)
     ids = summary.select(F.col("cid").cast("bigint").alias("cid"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
     nodes = ids.select((F.col("cid") * width + F.col("i")).alias("node"))
-    found = connected_components(nodes, edges).withColumn("i", F.pmod("node", F.lit(width)))
+    found = _roots(nodes, edges).withColumn("i", F.pmod("node", F.lit(width)))
     # The labels of a cut are as many as its clusters.
     heads = found.where("node = label").withColumn("number", F.row_number().over(Window.partitionBy("i").orderBy("label")) - 1)
     numbered = found.join(heads.select("label", "number"), "label")
@@ -235,6 +389,22 @@ def ward_cuts(summary: DataFrame, ks: Sequence[int], block: int = BLOCK_CLUSTERS
     return cuts.select("cid", F.transform("cuts", lambda c: c["number"].cast("int")).alias("labels"))
 
 
+def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the node that stands for it after all merges (a, b), which is the smallest of its cluster.
+
+    A node is b of one merge at most, so each follows its own; the ways that are left halve in every round.
+    """
+    up = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    steps = written(nodes.join(up, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "ward-roots")
+    while True:
+        seen = Observation()
+        above = steps.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = F.count_if(F.col("next") != F.col("label")).alias("moved")
+        steps = written(steps.join(above, "label").observe(seen, moved).select("node", F.col("next").alias("label")), "ward-roots")
+        if not seen.get["moved"]:
+            return steps
+
+
 def _placed(ranked: DataFrame) -> DataFrame:
     """(a, b, place) of a few ordered rows."""
     rows = [(r["a"], r["b"], i) for i, r in enumerate(ranked.collect())]

@@ -60,3 +60,19 @@ def test_blocks_grow_and_not_their_number(spark, monkeypatch):
         got = {r.cid: r for r in found.collect()}
         assert [got[i].cost for i in range(rows)] == cost.min(axis=1).tolist()
         assert all(cost[i, r.other] == r.cost for i, r in got.items())
+
+
+@pytest.mark.parametrize("task", [1, 60])
+def test_rounds_of_one_task_are_those_of_all(spark, monkeypatch, task):
+    """Merges, heights and turns are the same, and only rounds of more clusters than a task takes are written."""
+    pick = np.random.default_rng(6)
+    x, n = pick.normal(size=(150, 5)), pick.integers(1, 4, 150).astype(float)
+    writes, written = [], ward.written
+    monkeypatch.setattr(ward, "written", lambda df, name: writes.append(name) or written(df, name))
+    nodes = _summary(spark, x, n)
+    whole = ward.ward_hierarchy(nodes, block=30, last=4).collect()
+    assert writes == ["ward-nodes"] and len(whole) == 149
+    monkeypatch.setattr(ward, "TILE", (16, 7))
+    monkeypatch.setattr(ward, "TASK_CLUSTERS", task)
+    assert sorted(ward.ward_hierarchy(nodes, block=30, last=4).collect()) == sorted(whole)
+    assert len(writes) > 5
