@@ -204,7 +204,10 @@ def _drawn(points: DataFrame, known: dict[int, np.ndarray], cost: dict[int, floa
             x, groups, u = matrix(batch.column("features")), np.asarray(batch.column("grp")), np.asarray(batch.column("u"))
             d2 = np.zeros(len(x))
             for g in np.unique(groups):
-                d2[groups == g] = squared_distances(x[groups == g], known[g]).min(axis=1) * wanted / max(cost[g], 1e-300)
+                own = np.flatnonzero(groups == g)
+                for at in range(0, len(own), CHUNK_ROWS):
+                    part = own[at : at + CHUNK_ROWS]
+                    d2[part] = squared_distances(x[part], known[g]).min(axis=1) * wanted / max(cost[g], 1e-300)
             hit = pa.array(np.flatnonzero(u < d2))
             yield batch.select(["grp", "id_hash", "features"]).take(hit)
 
@@ -224,8 +227,12 @@ def _first_centers(points: DataFrame, chunks: DataFrame, fan: int, k: int, seed:
     weighs as many rows as are nearest to it, and k of them are drawn. What comes to the driver is
     bounded by groups, k and rounds.
     """
-    first = F.min_by("features", F.struct(F.xxhash64(F.lit(seed), "grp", "id"), F.col("features")))
-    known = {r["grp"]: np.array([r["features"]]) for r in points.groupBy("grp").agg(first.alias("features")).collect()}
+    hashed = F.xxhash64(F.lit(seed), "grp", "id")
+    # The least hash first: an aggregate of features would sort all rows.
+    least = {r["grp"]: r["least"] for r in points.groupBy("grp").agg(F.min(hashed).alias("least")).collect()}
+    lowest = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
+    firsts = points.where(hashed == lowest[F.col("grp")]).groupBy("grp").agg(F.min("features").alias("features"))
+    known = {r["grp"]: np.array([r["features"]]) for r in firsts.collect()}
     spread: dict[int, float] = {}
     for turn in range(SEED_ROUNDS):
         stats = _lloyd_pass(chunks, {(g, len(c)): c for g, c in known.items()}, fan)
@@ -248,12 +255,12 @@ def sweep_kmeans(
     ``points`` is (id, features) or (id, features, grp), grp an int that separates data sets. Centers
     start from a draw over all rows of a group, see :func:`_first_centers`. A model whose centers
     together move by less than ``tol`` variances leaves the later passes. Rows are kept on the
-    executors meanwhile; a lost block is computed again.
+    executors' disks meanwhile, so that memory does not grow with them; a lost block is computed again.
     """
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
-    points = points.select("id", "features", F.col("grp").cast("int").alias("grp")).persist(StorageLevel.MEMORY_AND_DISK)
-    chunks = _chunks(points).persist(StorageLevel.MEMORY_AND_DISK)
+    points = points.select("id", "features", F.col("grp").cast("int").alias("grp")).persist(StorageLevel.DISK_ONLY)
+    chunks = _chunks(points).persist(StorageLevel.DISK_ONLY)
     fan = _fan(chunks)
     try:
         start, spread = _first_centers(points, chunks, fan, max(ks), seed)
@@ -287,7 +294,10 @@ def assign(points: DataFrame, centers: Sequence[np.ndarray]) -> DataFrame:
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("features"), batch.column("id"))
-            found = np.stack([squared_distances(x, c).argmin(axis=1) for c in centers], axis=1).astype(np.int32)
+            found = np.empty((len(x), len(centers)), np.int32)
+            for at in range(0, len(x), CHUNK_ROWS):
+                for m, c in enumerate(centers):
+                    found[at : at + CHUNK_ROWS, m] = squared_distances(x[at : at + CHUNK_ROWS], c).argmin(axis=1)
             offsets = np.arange(0, found.size + 1, len(centers), dtype=np.int32)
             labels = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays(

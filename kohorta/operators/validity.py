@@ -35,6 +35,8 @@ TILE = 512
 CELLS = 400
 #: Centroid tables up to this size are broadcast, and larger ones are read in blocks of this size.
 CENTER_BYTES = 64 << 20
+#: Values of the reference sets of the gap statistic that a task makes, at most.
+REFERENCE_VALUES = 1 << 22
 #: Clusters in a block of the Davies-Bouldin index, on average.
 BLOCK_CENTERS = 1024
 RANKED = {"davies_bouldin": True, "calinski_harabasz": False, "silhouette": False}
@@ -618,16 +620,18 @@ def best_k_gap(
     # Uniform numbers from a hash of row and column, so they do not depend on how rows are placed.
     uniforms = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), "id"), 11) / F.lit(float(1 << 53)) for i in range(dims)]
     columns = [F.lit(bounds[f"lo{i}"]) + u * (bounds[f"hi{i}"] - bounds[f"lo{i}"]) for i, u in enumerate(uniforms)]
-    uniform = spark.range(bounds["n"] * references).select(
+    rows = bounds["n"] * references
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(rows * dims / REFERENCE_VALUES))
+    uniform = spark.range(0, rows, 1, tasks).select(
         "id", (F.col("id") % references).cast("int").alias("grp"), F.array(*columns).alias("features")
     )
     _, reference = sweep_kmeans(uniform, ks, seed, max_iter)
-    rows = []
+    gaps = []
     for k in ks:
         logs = np.log([max(reference[(g, k)], 1e-300) for g in range(references)])
         gap = logs.mean() - math.log(max(actual[(0, k)], 1e-300))
-        rows.append((int(k), float(gap), float(logs.std() * math.sqrt(1 + 1 / references))))
-    table = literal_table(spark, rows, "k INT, gap DOUBLE, sk DOUBLE")
+        gaps.append((int(k), float(gap), float(logs.std() * math.sqrt(1 + 1 / references))))
+    table = literal_table(spark, gaps, "k INT, gap DOUBLE, sk DOUBLE")
     if not one_standard_error:
         return chosen(table, "gap")
     step = F.lead(F.col("gap") - F.col("sk")).over(Window.orderBy("k"))

@@ -283,3 +283,24 @@ def test_davies_bouldin_in_blocks_equals_all_pairs(spark, monkeypatch):
     got = {r.k: r.davies_bouldin for r in validity.davies_bouldin(stats).collect()}
     assert got.keys() == want.keys() and got[1] is None
     assert all(abs(got[k] - want[k]) < 1e-9 for k in (2, 100))
+
+
+def test_a_sweep_keeps_no_rows_in_memory(spark, monkeypatch):
+    """Rows lie on disk, a task makes a bounded part of the reference sets, and distances are taken of a few rows at a time."""
+    kept, first = [], cluster._first_centers
+
+    def seen(points, chunks, *rest):
+        kept.append((points.storageLevel, chunks.storageLevel, points.rdd.getNumPartitions()))
+        return first(points, chunks, *rest)
+
+    rows = [(i, [float(i % 7), float(i % 5), float(i)]) for i in range(60)]
+    points = spark.createDataFrame(rows, "id bigint, features array<double>")
+    whole = validity.best_k_gap(points, [1, 3], references=10, max_iter=3).collect()
+    monkeypatch.setattr(cluster, "_first_centers", seen)
+    monkeypatch.setattr(cluster, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(validity, "REFERENCE_VALUES", 100)
+    parted = validity.best_k_gap(points, [1, 3], references=10, max_iter=3).collect()
+    assert all(level.useDisk and not level.useMemory for *levels, _ in kept for level in levels)
+    assert kept[-1][2] == 18
+    assert [(r.k, r.chosen) for r in parted] == [(r.k, r.chosen) for r in whole]
+    assert np.allclose([[r.gap, r.sk] for r in parted], [[r.gap, r.sk] for r in whole])
